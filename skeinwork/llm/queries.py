@@ -6,16 +6,27 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skeinwork.llm import decontaminate
+from skeinwork.llm import decontaminate, token_io
 from skeinwork.llm.common import table
 
 
+def byte_bpe_path() -> str:
+    """Where the public byte-level BPE vocabulary lies on this machine; it is never copied."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op1_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_io.tokenize(table(spark, sf_dir, "documents"), byte_bpe_path())
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op10_decontamination": op10_decontamination}
+    return {"op1_token_ids": op1_token_ids, "op10_decontamination": op10_decontamination}
 
 
 def oracle_sql() -> dict[str, str]:
