@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skeinwork.llm import decontaminate, token_io
+from skeinwork.llm import decontaminate, fingerprints, language_id, quality, token_io
 from skeinwork.llm.common import table
 
 
@@ -21,12 +21,30 @@ def op1_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_io.tokenize(table(spark, sf_dir, "documents"), byte_bpe_path())
 
 
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.digest(table(spark, sf_dir, "documents"))
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.digest(table(spark, sf_dir, "documents"))
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_token_ids": op1_token_ids, "op10_decontamination": op10_decontamination}
+    return {
+        "op1_token_ids": op1_token_ids,
+        "op3_fingerprints": op3_fingerprints,
+        "op4_language_id": op4_language_id,
+        "op5_quality": op5_quality,
+        "op10_decontamination": op10_decontamination,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
