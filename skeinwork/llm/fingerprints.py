@@ -23,11 +23,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skeinwork.llm.common import checkpointed, slices, text_bytes, utf8
+from skeinwork.llm.common import slices, text_bytes, utf8
 from skeinwork.llm.segments import _random, hashes
 
 LEAST, WISHED, MOST = 8, 28, 80
@@ -103,9 +102,9 @@ def _of(texts: list[str]) -> list[np.ndarray]:
 
 _SCHEMA = pa.schema(
     [("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string())]
-    + [("near_edited", pa.float64()), ("near_next", pa.float64()), ("place", pa.string()), ("range", pa.int32()), ("text", pa.string())]
+    + [("near_edited", pa.float64()), ("near_next", pa.float64())]
 )
-DIGEST = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+DIGEST = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -118,7 +117,7 @@ def _compared(ids: list, texts: list[str], prints: list[np.ndarray]) -> list[tup
     rows = []
     for k, e in enumerate(_of(new)):
         sha = hashlib.sha256(new[k].encode()).hexdigest()
-        rows.append((ids[k], len(texts[k]), sha, shown(prints[k]), shown(e), containment(prints[k], e), containment(prints[k], prints[k + 1]), None, None, None))
+        rows.append((ids[k], len(texts[k]), sha, shown(prints[k]), shown(e), containment(prints[k], e), containment(prints[k], prints[k + 1])))
     return rows
 
 
@@ -127,7 +126,7 @@ def compare_neighbours(documents: DataFrame, range_bytes: int = RANGE_BYTES) ->
     n = max(1, -(-text_bytes(documents) // range_bytes))
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, last = TaskContext.get().partitionId(), None
+        last = None
         for b in batches:
             data, offs = utf8(b.column("text"))
             ids = b.column("doc_id").to_pylist()
@@ -135,15 +134,11 @@ def compare_neighbours(documents: DataFrame, range_bytes: int = RANGE_BYTES) ->
                 body, prints = part.tobytes(), fingerprints(part, o)
                 texts = [body[x:y].decode() for x, y in zip(o[:-1].tolist(), o[1:].tolist(), strict=True)]
                 own = ids[i:j]
-                if last is None:
-                    yield _batch([(own[0], None, None, None, None, None, None, "first", number, texts[0])])
-                else:
+                if last is not None:
                     own, texts, prints = [last[0], *own], [last[1], *texts], [last[2], *prints]
                 if rows := _compared(own, texts, prints):
                     yield _batch(rows)
                 last = own[-1], texts[-1], prints[-1]
-        if last is not None:
-            yield _batch([(last[0], None, None, None, None, None, None, "last", number, last[1])])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -151,17 +146,16 @@ def compare_neighbours(documents: DataFrame, range_bytes: int = RANGE_BYTES) ->
                 yield _batch(_compared([doc_id, None], [text, following], _of([text, following])))
 
     dealt = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).repartitionByRange(n, "doc_id")
-    ddl = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, place string, range int, text string"
-    rows = checkpointed(dealt.sortWithinPartitions("doc_id", F.xxhash64("text")).mapInArrow(walk, ddl))
-    ends = rows.where("place is not null").select("place", "range", "doc_id", "text")
-    # two rows a range: the numbers of the ranges alone go through one task
+    inner = dealt.sortWithinPartitions("doc_id", F.xxhash64("text")).mapInArrow(walk, DIGEST)
+    # seams: one exchange of the texts serves these reads too; nothing but range numbers goes through one task
+    ranged = dealt.select(F.spark_partition_id().alias("range"), F.struct("doc_id", F.xxhash64("text").alias("h"), "text").alias("row"))
+    numbers = ranged.select("range").distinct()
     order = Window.orderBy("range")
-    numbers = ends.where("place = 'first'").select("range")
     following = numbers.select("range", F.coalesce(F.lead("range").over(order), F.min("range").over(Window.partitionBy())).alias("next_range"))
-    firsts = ends.where("place = 'first'").select(F.col("range").alias("next_range"), F.col("text").alias("following"))
-    seams = ends.where("place = 'last'").join(following, "range").join(firsts, "next_range").select("doc_id", "text", "following")
-    inner = rows.where("place is null").select(*DIGEST)
-    return inner.unionByName(seams.mapInArrow(meet, ddl).select(*DIGEST))
+    firsts = ranged.groupBy(F.col("range").alias("next_range")).agg(F.min("row").alias("first"))
+    lasts = ranged.groupBy("range").agg(F.max("row").alias("last"))
+    seams = lasts.join(following, "range").join(firsts, "next_range").select("last.doc_id", "last.text", F.col("first.text").alias("following"))
+    return inner.unionByName(seams.mapInArrow(meet, DIGEST))
 
 
 digest = compare_neighbours
