@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skeinwork.llm import decontaminate, fingerprints, language_id, mixing, quality, token_io
+from skeinwork.llm import decontaminate, fingerprints, language_id, mixing, ngram_join, quality, suffix_dedup, token_io
 from skeinwork.llm.common import table
 
 
@@ -33,6 +33,14 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(table(spark, sf_dir, "documents"))
+
+
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.digest(table(spark, sf_dir, "documents"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(table(spark, sf_dir, "documents"))
 
@@ -47,6 +55,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_fingerprints": op3_fingerprints,
         "op4_language_id": op4_language_id,
         "op5_quality": op5_quality,
+        "op6_suffix_dedup": op6_suffix_dedup,
+        "op7_ngram_join": op7_ngram_join,
         "op8_mixing": op8_mixing,
         "op10_decontamination": op10_decontamination,
     }
