@@ -28,6 +28,7 @@ from skeinwork.llm.common import ascii_lower, checkpointed
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW, SHINGLE, BROADCAST_BYTES = 13, 3, 32 << 20
+MOST_BROADCAST = 200_000  # rows of two longs
 
 
 def words(text):
@@ -111,7 +112,10 @@ def is_contaminated(n_hit, n_words):
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
     """The rows of `documents` that aren't contaminated, with their columns as they were."""
-    bad = contamination(documents, benchmark, **how).where(is_contaminated(F.col("n_hit"), F.col("n_words"))).select(F.col("doc_id").alias("__d"), F.col("key").alias("__k")).distinct()
+    found = contamination(documents, benchmark, **how).where(is_contaminated(F.col("n_hit"), F.col("n_words")))
+    bad = checkpointed(found.select(F.col("doc_id").alias("__d"), F.col("key").alias("__k")).distinct())
+    if bad.count() <= MOST_BROADCAST:
+        bad = F.broadcast(bad)
     kept = documents.withColumn("__key", F.xxhash64("doc_id", "text"))
     return kept.join(bad, (F.col("__key") == F.col("__k")) & F.col("doc_id").eqNullSafe(F.col("__d")), "left_anti").drop("__key")
 
