@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skeinwork.llm import decontaminate, fingerprints, language_id, mixing, ngram_join, quality, suffix_dedup, token_io
+from skeinwork.llm import decontaminate, fingerprints, language_id, mixing, ngram_join, quality, suffix_dedup, token_counts, token_io
 from skeinwork.llm.common import table
 
 
@@ -21,6 +21,16 @@ def op1_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_io.tokenize(table(spark, sf_dir, "documents"), byte_bpe_path())
 
 
+def byte_ranks_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.digest(table(spark, sf_dir, "documents"), byte_ranks_path())
+
+
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.digest(table(spark, sf_dir, "documents"))
 
@@ -52,6 +62,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_ids": op1_token_ids,
+        "op2_token_counts": op2_token_counts,
         "op3_fingerprints": op3_fingerprints,
         "op4_language_id": op4_language_id,
         "op5_quality": op5_quality,
