@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skeinwork.llm import decontaminate, fingerprints, language_id, mixing, ngram_join, quality, suffix_dedup, token_counts, token_io
+from skeinwork.llm import decontaminate, fingerprints, language_id, mixing, ngram_join, pii, quality, suffix_dedup, token_counts, token_io
 from skeinwork.llm.common import table
 
 
@@ -55,6 +55,10 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(table(spark, sf_dir, "documents"))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(table(spark, sf_dir, "documents"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -69,6 +73,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_suffix_dedup": op6_suffix_dedup,
         "op7_ngram_join": op7_ngram_join,
         "op8_mixing": op8_mixing,
+        "op9_pii": op9_pii,
         "op10_decontamination": op10_decontamination,
     }
 
