@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from skeinwork.llm.common import checkpointed
 
 ENTROPY, REPEATS, BLOCK_ROWS, SEED, GRID = 0.95, 4.0, 1000, 7, 1_000_000
+MOST_BROADCAST = 200_000
 WORD_GAP = r"[\x20\x09-\x0D]+"
 
 
@@ -93,10 +94,13 @@ def mix(documents: DataFrame, entropy: float = ENTROPY, repeats: float = REPEATS
     default as many as there are (the proportional mixture is then one epoch)."""
     units = checkpointed(_units(documents))
     plan = weights(units, entropy, repeats, budget, block_rows)
-    dealt = units.join(plan, "source").withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), "full"))).where("epoch < full or rest > 0")
+    # by count: a row per source, some 100 bytes
+    near = F.broadcast(plan) if plan.count() <= MOST_BROADCAST else plan
+    dealt = units.join(near, "source").withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), "full"))).where("epoch < full or rest > 0")
     digest = F.md5(F.concat_ws(":", F.lit(str(seed)), "epoch", "doc_id").cast("binary"))
     dealt = dealt.withColumn("h", F.conv(F.substring(digest, 1, 15), 16, 10).cast("long"))
     dealt = dealt.withColumn("block", F.shiftright(F.shiftright("h", 30) * F.col("blocks"), 30))
+    dealt = dealt.repartition("source", "epoch", "block")  # else the join's partitioning by source would do, hot sources with it
     inside = Window.partitionBy("source", "epoch", "block").orderBy("h", "doc_id", "key").rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy("source", "epoch").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = dealt.groupBy("source", "epoch", "block").agg(F.sum("n_tokens").alias("sum")).withColumn("behind", F.coalesce(F.sum("sum").over(before), F.lit(0))).drop("sum")
