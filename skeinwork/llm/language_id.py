@@ -26,19 +26,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skeinwork.llm.common import slices, utf8
+from skeinwork.llm.common import checkpointed, slices, utf8
 
-ORDER, ROWS_PER_LANGUAGE = 4, 300
+ORDER, ROWS_PER_LANGUAGE, MOST_BROADCAST = 4, 300, 200_000
 UNKNOWN = "und"
 COUNTS = "lang string, depth int, gram long, n long"
 
 
 def training_rows(labelled: DataFrame, rows_per_language: int) -> DataFrame:
-    """About as many rows of each language as the bound, chosen by hash; all if there are fewer."""
-    sizes = labelled.groupBy("lang").agg(F.count("*").alias("rows"))
+    """About as many rows of each language as the bound, chosen by hash; all if there are fewer.
+
+    Sizes and choice are over all rows, but of doc_id and lang alone. The chosen ids are broadcast to the texts while they
+    are few (`MOST_BROADCAST`, by count); with very many languages they join by a shuffle."""
+    named = labelled.select("doc_id", "lang")
+    sizes = named.groupBy("lang").agg(F.count("*").alias("rows"))
     share = sizes.select("lang", (F.lit(rows_per_language) / F.col("rows")).alias("share"))
     place = F.pmod(F.xxhash64(F.lit("ppm"), "doc_id"), F.lit(1 << 30)) / F.lit(1 << 30)
-    return labelled.join(share, "lang").where(place < F.col("share")).select("lang", "text")
+    chosen = checkpointed(named.join(share, "lang").where(place < F.col("share")).select("doc_id", "lang").distinct())
+    few = F.broadcast(chosen) if chosen.count() <= MOST_BROADCAST else chosen
+    return labelled.join(few, ["doc_id", "lang"]).select("lang", "text")
 
 
 def count_grams(rows: DataFrame, order: int) -> DataFrame:
