@@ -181,26 +181,33 @@ def sorted_answers(length: int):
     def then(table: pa.Table) -> Iterator[pa.RecordBatch]:
         blocks, blobs, bucket = table.column("block").to_pylist(), table.column("payload").to_pylist(), table.column("bucket")[0].as_py()
         n = np.array([int(np.frombuffer(x, np.int64, 1)[0]) for x in blobs])
-        holder = np.concatenate([np.frombuffer(x, np.int64, k, 8) for x, k in zip(blobs, n, strict=True)])
-        count = np.concatenate([np.frombuffer(x, np.uint8, k, 8 + 8 * k) for x, k in zip(blobs, n, strict=True)]).astype(np.int64)
-        body = np.concatenate([np.frombuffer(x, np.uint8, -1, 8 + 9 * k) for x, k in zip(blobs, n, strict=True)])
+        sent_by = np.concatenate([np.frombuffer(x, np.int64, k, 8) for x, k in zip(blobs, n, strict=True)])
+        places = np.concatenate([np.frombuffer(x, np.uint8, k, 8 + 8 * k) for x, k in zip(blobs, n, strict=True)]).astype(np.int64)
+        body = b"".join(x[8 + 9 * k :] for x, k in zip(blobs, n.tolist(), strict=True))
+        # segments that several blocks sent are sorted once, for the smallest document that has them
+        ends, known = np.cumsum(places + length - 1), {}
+        which = np.array([known.setdefault(body[s:e], len(known)) for s, e in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)], np.int64)
+        holder, count = np.full(len(known), NO_ID), np.empty(len(known), np.int64)
+        np.minimum.at(holder, which, sent_by)
+        count[which] = places
         size = count + length - 1
         # one text of all segments, a zero byte behind each
         begin = np.cumsum(size + 1) - (size + 1)
         text = np.zeros(int((size + 1).sum()), np.uint8)
-        text[gather(begin, size)] = body
+        text[gather(begin, size)] = np.frombuffer(b"".join(known), np.uint8)
         place = gather(begin, count)
-        segment = np.repeat(np.arange(len(count)), count)
         marked, of = np.zeros(len(text), bool), np.zeros(len(text), np.int32)
         marked[place] = True
-        of[place] = segment
+        of[place] = np.repeat(np.arange(len(count)), count)
         order = suffix_array(text, marked)
         first = common_prefixes(order, text, length) < length
         owner = holder[of[order]]
         least = np.minimum.reduceat(owner, np.flatnonzero(first)) if len(order) else owner
         earlier = order[least[np.cumsum(first) - 1] < owner]
-        mask = np.zeros(len(count), np.uint64)
-        np.bitwise_or.at(mask, of[earlier], np.uint64(1) << (earlier - begin[of[earlier]]).astype(np.uint64))
+        bits_of = np.zeros(len(count), np.uint64)
+        np.bitwise_or.at(bits_of, of[earlier], np.uint64(1) << (earlier - begin[of[earlier]]).astype(np.uint64))
+        everywhere = ~np.uint64(0) >> (np.uint64(MOST_PLACES) - places.astype(np.uint64))
+        mask = np.where(sent_by > holder[which], everywhere, bits_of[which])
         rows = [(block, bucket, mask[at : at + k].tobytes()) for block, at, k in zip(blocks, np.cumsum(n) - n, n, strict=True) if mask[at : at + k].any()]
         yield from _batches(rows)
 
