@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from skeinwork.schema import EPSILON
 
@@ -97,11 +99,13 @@ def canonical(xc: Column, yc: Column, w: Column, h: Column) -> Column:
     return F.struct(x.alias("xc"), y.alias("yc"), a2.alias("w"), b2.alias("h"))
 
 
-@F.pandas_udf("string")
-def label_text(class_id, xc, yc, w, h):  # noqa: ANN001, ANN201 - Spark's own printf rounds ties differently
-    import pandas as pd
+def label_text(class_id: Column, xc: Column, yc: Column, w: Column, h: Column) -> Column:
+    """The canonical line. A pandas UDF: Spark's own printf rounds ties differently."""
+    @F.pandas_udf(T.StringType())
+    def text(c: pd.Series, x: pd.Series, y: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([f"{k} {p:.8f} {q:.8f} {r:.8f} {t:.8f}" for k, p, q, r, t in zip(c, x, y, a, b, strict=True)])
 
-    return pd.Series([f"{c} {a:.8f} {b:.8f} {d:.8f} {e:.8f}" for c, a, b, d, e in zip(class_id, xc, yc, w, h, strict=True)])
+    return text(class_id, xc, yc, w, h)
 
 
 def group_key(filename: Column) -> Column:

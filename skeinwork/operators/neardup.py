@@ -34,7 +34,7 @@ def bands_for(n: int, distance: int) -> int:
         probes = m * sum(comb(bits, k) for k in range(radius + 1))
         return n * probes + n * n / 2 * min(1.0, probes / 2**bits)
 
-    return min(range(1, distance + 2), key=work)
+    return min(range(2, max(3, distance + 2)), key=work)
 
 
 def hamming_pairs(signatures: DataFrame, id_: str, distance: int, group: str | None = None, n_bands: int | None = None) -> DataFrame:
@@ -42,7 +42,7 @@ def hamming_pairs(signatures: DataFrame, id_: str, distance: int, group: str | N
 
     The signature is cut into bands; one side is looked up by each band as it is, the other with up to distance // bands
     bits flipped, which finds every pair (pigeonhole) by an equality join; candidates are verified."""
-    n_bands = n_bands or bands_for(signatures.count(), distance)
+    n_bands = max(2, n_bands or bands_for(signatures.count(), distance))
     radius = distance // n_bands
     cuts = [64 * k // n_bands for k in range(n_bands + 1)]
     whole = [F.shiftrightunsigned(F.col("sig_hi"), 0), F.col("sig_lo")]
