@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from skeinwork.llm.common import utf8
 
 KINDS = ("email", "ip", "card", "phone")
-MOST_PIECES, MAX_ROWS, EPOCHS, RATE, DECAY = 16, 20_000, 50, 0.3, 1e-4
+MOST_PIECES, MAX_ROWS, EPOCHS, RATE, DECAY = 16, 20_000, 20, 0.3, 1e-4
 ZONE_CHARS, MARGIN = 300, 24
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
