@@ -39,7 +39,9 @@ def training_rows(labelled: DataFrame, rows_per_language: int) -> DataFrame:
     Sizes and choice are over all rows, but of doc_id and lang alone. The chosen ids are broadcast to the texts while they
     are few (`MOST_BROADCAST`, by count); with very many languages they join by a shuffle."""
     named = labelled.select("doc_id", "lang")
-    sizes = named.groupBy("lang").agg(F.count("*").alias("rows"))
+    sizes = checkpointed(named.groupBy("lang").agg(F.count("*").alias("rows")))
+    if sizes.count() <= MOST_BROADCAST:
+        sizes = F.broadcast(sizes)  # a row per language
     share = sizes.select("lang", (F.lit(rows_per_language) / F.col("rows")).alias("share"))
     place = F.pmod(F.xxhash64(F.lit("ppm"), "doc_id"), F.lit(1 << 30)) / F.lit(1 << 30)
     chosen = checkpointed(named.join(share, "lang").where(place < F.col("share")).select("doc_id", "lang").distinct())
