@@ -46,10 +46,24 @@ class Encoder:
 
         self.model, self.dtype, self.most = Tokenizer.from_file(path), dtype, most
         self.known: dict[bytes, bytes] = {}
+        self.special = [t.content.encode() for t in self.model.get_added_tokens_decoder().values()]
+
+    def _starts(self, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
+        """Chunk starts; a text that holds a special token's string is one chunk, for the tokenizer to see it."""
+        starts, body, whole = chunk_starts(data, offs), data.tobytes(), set()
+        for content in self.special:
+            at = body.find(content)
+            while at >= 0:
+                k = int(np.searchsorted(offs, at, "right")) - 1
+                whole.add(k)
+                at = body.find(content, int(offs[k + 1]))
+        for k in sorted(whole):
+            starts = starts[(starts <= offs[k]) | (starts >= offs[k + 1])]
+        return starts
 
     def encode(self, data: np.ndarray, offs: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts of a slice, each with the end id behind it, and the number of ids of each text."""
-        starts = chunk_starts(data, offs)
+        starts = self._starts(data, offs)
         lengths = np.diff(starts, append=len(data))
         chunks, of = distinct(data, starts, lengths)
         new = [c for c in chunks if c not in self.known]
