@@ -5,7 +5,8 @@ least `num`/`den` of the union. All tokens have one global order: rare classes f
 the token), then by hash. A set of n tokens may lack at most e = n - ceil(n*num/den) of them in a set it links with, so
 the first k tokens that two linked sets share are in the first e+k of either. Either one of those is of a rare class, and
 then it alone is indexed, or all k are frequent, and then their combination is: single rare tokens and k-combinations of
-frequent ones within the extended prefixes find every link. Tokens that one set only holds find nothing and aren't
+frequent ones within the extended prefixes find every link. (Sets that may share fewer than k tokens and still link have
+all their prefix tokens indexed one by one too.) Tokens that one set only holds find nothing and aren't
 indexed. Frequent means held by more than `frequent` sets; combinations keep such tokens from tying unlike sets together.
 
 Rounds over blocks (see blocks): 1 blocks tell tokens, buckets answer with those that more sets hold, and their class;
@@ -171,6 +172,8 @@ def prefix_keys(tokens: np.ndarray, class_: np.ndarray, lack: int, frequent_clas
     t, c = tokens[first], class_[first]
     rare = t[(c > 0) & (c < frequent_class)]
     often = t[c >= frequent_class]
+    if len(tokens) - lack < k:  # so small a set may link with fewer than k shared tokens; its partner is as small
+        rare = t[c > 0]
     if len(often) < k:
         return rare
     with np.errstate(over="ignore"):
