@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from skeinwork.functions.hashing import hamming
 
 
+#: What a candidate costs (joined and counted in one stage) of what a probe costs (made, shuffled, sorted).
+CANDIDATE = 0.1
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut lineage in the shared checkpoint folder; a folder of our own only where none is set."""
     sc = df.sparkSession.sparkContext
@@ -32,7 +36,7 @@ def bands_for(n: int, distance: int) -> int:
     def work(m: int) -> float:
         bits, radius = 64 // m, distance // m
         probes = m * sum(comb(bits, k) for k in range(radius + 1))
-        return n * probes + n * n / 2 * min(1.0, probes / 2**bits)
+        return n * probes + CANDIDATE * n * n / 2 * min(1.0, probes / 2**bits)
 
     return min(range(2, max(3, distance + 2)), key=work)
 
@@ -64,7 +68,8 @@ def hamming_pairs(signatures: DataFrame, id_: str, distance: int, group: str | N
     by_band = F.array(*(F.array(*(F.lit(x).cast("long") for x in flips[w])) for w in widths))
     probes = each.withColumn("flip", F.explode(F.get(by_band, F.col("band")))).withColumn("bits", F.col("bits").bitwiseXOR(F.col("flip"))).drop("flip")
     rename = lambda d, s: d.select("band", "bits", *(F.col(c).alias(f"{c}_{s}") for c in (id_, "sig_hi", "sig_lo", *([group] if group else []))))
-    found = rename(probes, "a").join(rename(each, "b"), ["band", "bits"]).where(F.col(f"{id_}_a") < F.col(f"{id_}_b"))
+    # size estimates don't see how many rows the probes are, so that either side might be broadcast; neither may
+    found = rename(probes, "a").hint("merge").join(rename(each, "b"), ["band", "bits"]).where(F.col(f"{id_}_a") < F.col(f"{id_}_b"))
     if group:
         found = found.where(F.col(f"{group}_a") != F.col(f"{group}_b"))
     d = hamming((F.col("sig_hi_a"), F.col("sig_lo_a")), (F.col("sig_hi_b"), F.col("sig_lo_b")))
