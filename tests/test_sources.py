@@ -141,3 +141,22 @@ def test_image_rows_go_through_the_stages(spark):
     d = spark.createDataFrame([("a", 4, 6, 3, bytearray(bytes(72)))], "name string, height int, width int, channels int, data binary")
     r = kernels.process_rows(d, {"resize": {"target_size": (8, 8)}, "normalize": {"enabled": False}}).first()
     assert (r["height"], r["width"], r["kind"], len(r["data"])) == (8, 8, "uint8", 192)
+
+
+def test_augmentation_depends_on_the_image_alone():
+    from skeinwork.functions import augment as a
+
+    image = np.arange(40 * 60 * 3, dtype=np.uint32).reshape(40, 60, 3).astype(np.uint8)
+    boxes = [(0, 0.5, 0.5, 0.4, 0.4), (2, 0.1, 0.1, 0.19, 0.19)]
+    every = {"enabled": True, **{k: {"prob": 1.0} for k in ("flip", "translate", "scale", "rotation", "light", "gamma", "blur_noise")}}
+    one, two, other = (a.augmented(n, image, boxes, every) for n in ("x.jpg", "x.jpg", "y.jpg"))
+    assert np.array_equal(one[0], two[0])
+    assert one[1] == two[1] != other[1]
+    assert a.augmented("x", image, boxes, every, split="val")[1] == boxes
+    flipped, moved = a.augmented("x", image, boxes, {"enabled": True, "flip": {"prob": 1.0}})
+    assert np.array_equal(flipped, image[:, ::-1])
+    assert moved == [(0, 0.5, 0.5, 0.4, 0.4), (2, 0.9, 0.1, 0.19, 0.19)]
+    with pytest.raises(ValueError, match="rotation"):
+        a.augmented("x", image, boxes, {"enabled": True, "rotation": {"prob": 1.0, "range": 30.0}})
+    with pytest.raises(ValueError, match="class"):
+        a.kept([(7, 0.5, 0.5, 0.1, 0.1)])
