@@ -5,9 +5,10 @@ least `num`/`den` of the union. All tokens have one global order: rare classes f
 the token), then by hash. A set of n tokens may lack at most e = n - ceil(n*num/den) of them in a set it links with, so
 the first k tokens that two linked sets share are in the first e+k of either. Either one of those is of a rare class, and
 then it alone is indexed, or all k are frequent, and then their combination is: single rare tokens and k-combinations of
-frequent ones within the extended prefixes find every link. (Sets that may share fewer than k tokens and still link have
-all their prefix tokens indexed one by one too.) Tokens that one set only holds find nothing and aren't
-indexed. Frequent means held by more than `frequent` sets; combinations keep such tokens from tying unlike sets together.
+frequent ones within the extended prefixes find every link. Sets that may link with fewer than k shared tokens, and sets
+whose prefixes would make more than `most_combinations` combinations, have all their prefix tokens indexed one by one, and so
+have sets that could link with such a one: the keys of a set grow with its prefix, not with the square. Tokens that one set
+only holds find nothing and aren't indexed. Frequent means held by more than `frequent` sets; combinations keep such tokens from tying unlike sets together.
 
 Rounds over blocks (see blocks): 1 blocks tell tokens, buckets answer with those that more sets hold, and their class;
 2 blocks tell prefix keys, buckets answer nothing but edges to the smallest holder, which connect all holders of a key
@@ -27,6 +28,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +39,7 @@ from skeinwork.llm.blocks import NO_ID, Texts, block_of, bounds, components, dea
 from skeinwork.llm.common import checkpointed, mix64
 from skeinwork.llm.segments import gather, hashes, runs
 
-FREQUENT, COMBINATION, MOST_TOKENS = 1000, 2, 8_000_000
+FREQUENT, COMBINATION, MOST_COMBINATIONS, MOST_TOKENS = 1000, 2, 1000, 8_000_000
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -166,23 +168,28 @@ def _classes(sets: Sets, answers: pa.Table, bits: int) -> np.ndarray:
     return out
 
 
-def prefix_keys(tokens: np.ndarray, class_: np.ndarray, lack: int, frequent_class: int, k: int) -> np.ndarray:
+def prefix_keys(tokens: np.ndarray, class_: np.ndarray, num: int, den: int, frequent_class: int, k: int, most: int = MOST_COMBINATIONS) -> np.ndarray:
     """Keys of one set: rare tokens of its extended prefix, and k-combinations of the frequent ones."""
+    n = len(tokens)
+    lack = lacking(n, num, den)
     first = np.lexsort((tokens, class_))[: lack + k]
     t, c = tokens[first], class_[first]
-    rare = t[(c > 0) & (c < frequent_class)]
+    single = t[(c > 0) & (c < frequent_class)]
     often = t[c >= frequent_class]
-    if len(tokens) - lack < k:  # so small a set may link with fewer than k shared tokens; its partner is as small
-        rare = t[c > 0]
-    if len(often) < k:
-        return rare
+    many = lambda size: comb(lacking(size, num, den) + k, k) > most
+    # Every prefix token alone, too: of a set so small that it may link with fewer than k shared tokens (its partner is as
+    # small), of a set too large for combinations, and of a set that may link with one that is.
+    if n - lack < k or many(n * den // num):
+        single = t[c > 0]
+    if len(often) < k or many(n):
+        return single
     with np.errstate(over="ignore"):
         if k == 2:
             i, j = np.triu_indices(len(often), 1)
             both = mix64(often[i] * _TURN[1] + mix64(often[j] * _TURN[2]))
         else:
             both = np.array([mix64(np.array([np.bitwise_xor.reduce(mix64(often[list(x)]))]))[0] for x in combinations(range(len(often)), k)], np.uint64)
-    return np.concatenate((rare, both))
+    return np.concatenate((single, both))
 
 
 ROUND2 = "kind string, bucket int, payload binary"
@@ -193,7 +200,7 @@ def _round2(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _ROUND2, strict=True)], schema=_ROUND2)
 
 
-def key_messages(sets: Sets, class_: np.ndarray, bits: int, num: int, den: int, frequent: int, k: int) -> Iterator[pa.RecordBatch]:
+def key_messages(sets: Sets, class_: np.ndarray, bits: int, num: int, den: int, frequent: int, k: int, most: int) -> Iterator[pa.RecordBatch]:
     """Round 2: by bucket, the block's prefix keys with their smallest holder; edges from other holders to it; documents."""
     keys, holders = [], []
     frequent_class = int(np.log2(frequent)) + 1
@@ -202,7 +209,7 @@ def key_messages(sets: Sets, class_: np.ndarray, bits: int, num: int, den: int,
         n = int(sets.size[i])
         if held + lacking(n, num, den) >= n:  # enough tokens that others hold
             a, b = sets.offs[i], sets.offs[i + 1]
-            found = prefix_keys(sets.tokens[a:b], class_[a:b], lacking(n, num, den), frequent_class, k)
+            found = prefix_keys(sets.tokens[a:b], class_[a:b], num, den, frequent_class, k, most)
             keys.append(found)
             holders.append(np.full(len(found), sets.ids[i]))
     rows = [("doc", sets.block, b"".join((sets.ids.tobytes(), sets.size.astype(np.int64).tobytes(), sets.ids[sets.rep].tobytes())))]
@@ -316,7 +323,7 @@ def joined(num: int, den: int):
     return then
 
 
-def near_duplicates(documents: DataFrame, width: int = 5, num: int = 8, den: int = 10, frequent: int = FREQUENT, k: int = COMBINATION, most_tokens: int = MOST_TOKENS) -> DataFrame:
+def near_duplicates(documents: DataFrame, width: int = 5, num: int = 8, den: int = 10, frequent: int = FREQUENT, k: int = COMBINATION, most_tokens: int = MOST_TOKENS, most_combinations: int = MOST_COMBINATIONS) -> DataFrame:
     """doc_id, n_shingles, component_id: the smallest doc_id that links of Jaccard at least num/den reach."""
     n_blocks = sizes(documents)
     n, bits = partitions(n_blocks), max(1, int(np.ceil(np.log2(max(2, partitions(n_blocks))))))
@@ -329,7 +336,7 @@ def near_duplicates(documents: DataFrame, width: int = 5, num: int = 8, den: int
         if not len(table):
             return _table(iter(()), _ROUND2)
         sets = Sets(table, width)
-        return _table(key_messages(sets, _classes(sets, answers, bits), bits, num, den, frequent, k), _ROUND2)
+        return _table(key_messages(sets, _classes(sets, answers, bits), bits, num, den, frequent, k, most_combinations), _ROUND2)
 
     told = texts.groupBy("block").applyInArrow(tell, MESSAGE)
     answers = regroup(told, "bucket", n, token_answers, MESSAGE).repartition(n, "block")

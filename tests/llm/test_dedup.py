@@ -135,11 +135,12 @@ def _copies(n, seed):
 
 
 @pytest.mark.parametrize(("width", "num", "den", "frequent", "k"), [(3, 9, 10, 1000, 2), (2, 8, 10, 3, 2), (5, 8, 10, 2, 3), (1, 6, 10, 4, 2)])
-def test_join_of_many_copies(documents, monkeypatch, width, num, den, frequent, k):
+@pytest.mark.parametrize("most_combinations", [6, 1000])
+def test_join_of_many_copies(documents, monkeypatch, width, num, den, frequent, k, most_combinations):
     rows = _copies(300, width)
     monkeypatch.setattr(ngram_join, "sizes", lambda d: 9)
     for most in (8_000_000, 400):  # whole components, and components in parts
-        got = {tuple(r) for r in ngram_join.near_duplicates(documents(rows), width, num, den, frequent, k, most).collect()}
+        got = {tuple(r) for r in ngram_join.near_duplicates(documents(rows), width, num, den, frequent, k, most, most_combinations).collect()}
         assert got == _components(_sets(rows, width), num, den)
 
 
