@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skeinwork.llm.common import checkpointed, text_bytes
+from skeinwork.llm.common import checkpointed, map_arrow, text_bytes
 
 BLOCK_BYTES = 4 << 20
 NO_ID = np.iinfo(np.int64).max
@@ -60,7 +60,7 @@ def regroup(rows: DataFrame, key: str, n: int, then: Callable[[pa.Table], Iterat
         if held:
             yield from then(pa.Table.from_batches(held))
 
-    return rows.repartition(n, key).sortWithinPartitions(key).mapInArrow(walk, schema)
+    return map_arrow(rows.repartition(n, key).sortWithinPartitions(key), walk, schema)
 
 
 class Texts:

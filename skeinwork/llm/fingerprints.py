@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skeinwork.llm.common import slices, text_bytes, utf8
+from skeinwork.llm.common import map_arrow, slices, text_bytes, utf8
 from skeinwork.llm.segments import _random, hashes
 
 LEAST, WISHED, MOST = 8, 28, 80
@@ -146,7 +146,7 @@ def compare_neighbours(documents: DataFrame, range_bytes: int = RANGE_BYTES) ->
                 yield _batch(_compared([doc_id, None], [text, following], _of([text, following])))
 
     dealt = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).repartitionByRange(n, "doc_id")
-    inner = dealt.sortWithinPartitions("doc_id", F.xxhash64("text")).mapInArrow(walk, DIGEST)
+    inner = map_arrow(dealt.sortWithinPartitions("doc_id", F.xxhash64("text")), walk, DIGEST)
     # seams: one exchange of the texts serves these reads too; nothing but range numbers goes through one task
     ranged = dealt.select(F.spark_partition_id().alias("range"), F.struct("doc_id", F.xxhash64("text").alias("h"), "text").alias("row"))
     numbers = ranged.select("range").distinct()
@@ -155,7 +155,7 @@ def compare_neighbours(documents: DataFrame, range_bytes: int = RANGE_BYTES) ->
     firsts = ranged.groupBy(F.col("range").alias("next_range")).agg(F.min("row").alias("first"))
     lasts = ranged.groupBy("range").agg(F.max("row").alias("last"))
     seams = lasts.join(following, "range").join(firsts, "next_range").select("last.doc_id", "last.text", F.col("first.text").alias("following"))
-    return inner.unionByName(seams.mapInArrow(meet, DIGEST))
+    return inner.unionByName(map_arrow(seams, meet, DIGEST))
 
 
 digest = compare_neighbours

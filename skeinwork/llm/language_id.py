@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skeinwork.llm.common import checkpointed, slices, utf8
+from skeinwork.llm.common import checkpointed, map_arrow, slices, utf8
 
 ORDER, ROWS_PER_LANGUAGE, MOST_BROADCAST = 4, 300, 200_000
 UNKNOWN = "und"
@@ -66,7 +66,7 @@ def count_grams(rows: DataFrame, order: int) -> DataFrame:
                         g, n = np.unique(grams, return_counts=True)
                         yield pa.RecordBatch.from_pydict({"lang": [lang] * len(g), "depth": pa.array(np.full(len(g), depth, np.int32)), "gram": g, "n": n})
 
-    return rows.mapInArrow(count, COUNTS).groupBy("lang", "depth", "gram").agg(F.sum("n").alias("n"))
+    return map_arrow(rows, count, COUNTS).groupBy("lang", "depth", "gram").agg(F.sum("n").alias("n"))
 
 
 class Model:
@@ -187,7 +187,7 @@ def predict(documents: DataFrame, model: Model) -> DataFrame:
                 pred[~letter], sure[~letter] = UNKNOWN, 0.0
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(pred.tolist(), pa.string()), pa.array(sure)], names=[*names, "lang_pred", "score"])
 
-    return shown.mapInArrow(score, schema)
+    return map_arrow(shown, score, schema)
 
 
 def holds_out(folds: int, fold: int):

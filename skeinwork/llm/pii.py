@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skeinwork.llm.common import utf8
+from skeinwork.llm.common import map_arrow, utf8
 
 KINDS = ("email", "ip", "card", "phone")
 MOST_PIECES, MAX_ROWS, EPOCHS, RATE, DECAY = 16, 20_000, 20, 0.3, 1e-4
@@ -330,7 +330,7 @@ def train(documents: DataFrame, max_rows: int = MAX_ROWS) -> SemiMarkovField:
             if rows:
                 yield pa.RecordBatch.from_pydict({"text": [r[0] for r in rows], "spans": [r[1] for r in rows]})
 
-    found = sorted({(r["text"], r["spans"]) for r in sample.mapInArrow(label, "text string, spans string").collect()})
+    found = sorted({(r["text"], r["spans"]) for r in map_arrow(sample, label, "text string, spans string").collect()})
     zones_ = [(t, [(k, int(s), int(e)) for k, s, e in (x.split(":") for x in spans.split("\n") if x)]) for t, spans in found]
     return SemiMarkovField.train(zones_ + [v for t, spans in zones_ for v in variants(t, spans)])
 
@@ -368,7 +368,7 @@ def detect(documents: DataFrame, field: SemiMarkovField) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *made], names=["doc_id", *(n for n, _ in _FOUND)])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(search, f"doc_id {kind}, {FOUND}")
+    return map_arrow(documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), search, f"doc_id {kind}, {FOUND}")
 
 
 def digest(documents: DataFrame) -> DataFrame:

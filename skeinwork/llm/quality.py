@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skeinwork.llm.common import slices, utf8
+from skeinwork.llm.common import map_arrow, slices, utf8
 from skeinwork.llm.language_id import holds_out
 from skeinwork.llm.segments import hashes, runs
 
@@ -202,7 +202,7 @@ def train(documents: DataFrame, labels: DataFrame, label: str = "quality", max_r
                 yield pa.RecordBatch.from_arrays([pa.array(features(part, o).tolist(), pa.list_(pa.float64())), b.column("y").slice(i, j - i)], names=["x", "y"])
 
     # in a fixed order: the sums of boosting depend on it in their last bits
-    found = sorted((r["x"], r["y"]) for r in rows.mapInArrow(measure, "x array<double>, y double").collect())
+    found = sorted((r["x"], r["y"]) for r in map_arrow(rows, measure, "x array<double>, y double").collect())
     return AdditiveModel(np.array([x for x, _ in found]).reshape(-1, len(FEATURES)), np.array([y for _, y in found]))
 
 
@@ -220,7 +220,7 @@ def predict(documents: DataFrame, model: AdditiveModel, threshold: float = THRES
             s = np.concatenate(found) if found else np.empty(0)
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=[*names, "score", "predicted"])
 
-    return rest.withColumn("__text", F.coalesce("text", F.lit(""))).mapInArrow(score, schema)
+    return map_arrow(rest.withColumn("__text", F.coalesce("text", F.lit(""))), score, schema)
 
 
 def digest(documents: DataFrame, labels: DataFrame) -> DataFrame:

@@ -26,10 +26,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skeinwork.llm.common import slices, utf8
+from skeinwork.llm.common import map_arrow, slices, utf8
 from skeinwork.llm.segments import distinct
 
-MOST_KNOWN, DEEPEST, TRIE_CELLS = 1_000_000, 64, 4 << 20
+MOST_KNOWN, DEEPEST, TRIE_CELLS = 500_000, 64, 4 << 20
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
@@ -190,7 +190,7 @@ def count_tokens(documents: DataFrame, vocabulary: str) -> DataFrame:
             pre, tok = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.empty(0, np.int64),) * 2
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(np.diff(offs)), pa.array(pre), pa.array(tok)], names=[*names, "n_bytes", "n_pretokens", "n_tokens"])
 
-    return kept.mapInArrow(count, schema)
+    return map_arrow(kept, count, schema)
 
 
 def digest(documents: DataFrame, vocabulary: str) -> DataFrame:

@@ -29,11 +29,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skeinwork.llm.common import filesystem, fresh_dir, slices, text_bytes, utf8
+from skeinwork.llm.common import filesystem, fresh_dir, map_arrow, slices, text_bytes, utf8
 from skeinwork.llm.perfect_hash import PerfectHash, packed, unpacked
 from skeinwork.llm.segments import chunk_starts, distinct, gather
 
-SHARD_BYTES, CACHE_CHUNKS, END_ID = 16 << 20, 1_000_000, 2
+SHARD_BYTES, CACHE_CHUNKS, END_ID = 16 << 20, 800_000, 2
 MANIFEST = "shard int, n_rows long, n_tokens long, low long, high long, width int"
 
 
@@ -144,7 +144,7 @@ def write(documents: DataFrame, out_dir: str, tokenizer_path: str, end_id: int =
         )
 
     dealt = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).repartitionByRange(n, "doc_id")
-    return dealt.sortWithinPartitions("doc_id", F.xxhash64("text")).mapInArrow(shard, MANIFEST)
+    return map_arrow(dealt.sortWithinPartitions("doc_id", F.xxhash64("text")), shard, MANIFEST)
 
 
 class Shard:
@@ -184,7 +184,9 @@ class Store:
         if at == len(self.shards) or self.shards[at][0] > doc_id:
             return None
         number = self.shards[at][2]
-        shard = self.open.setdefault(number, None) or self.open.update({number: Shard(self.dir, number)}) or self.open[number]
+        if number not in self.open:
+            self.open[number] = Shard(self.dir, number)
+        shard = self.open[number]
         row = int(shard.rows(np.array([doc_id]))[0])
         return None if row < 0 else shard.ids(row)
 
@@ -217,7 +219,7 @@ def read(spark: SparkSession, out_dir: str, manifest: list) -> DataFrame:
                     names=["doc_id", "start", "n_tokens", "ids_crc32", "shard", "row"],
                 )
 
-    return plan.mapInArrow(rows, ROWS)
+    return map_arrow(plan, rows, ROWS)
 
 
 def tokenize(documents: DataFrame, tokenizer_path: str, end_id: int = END_ID, out_dir: str | None = None) -> DataFrame:
