@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skeinwork.schema import EPSILON
+from skeinwork.schema import DATED_NAME, EPSILON, IMPORTED_NAME, PLAIN_NAME, UNSEQUENCED_NAME
 
 #: What int() and float() of the label format accept: a sign, digits with single underscores, exponents, nan and inf.
 INTEGER = r"^[+-]?[0-9]+(_[0-9]+)*$"
@@ -111,15 +111,15 @@ def label_text(class_id: Column, xc: Column, yc: Column, w: Column, h: Column) -
 def group_key(filename: Column) -> Column:
     """The capture group of a file name: all that must stay in one split."""
     stem = F.regexp_replace(filename, r"\.[^.]*$", "")
-    imported = F.regexp_extract(stem, r"^rh_(?:train|valid)_(.+?)(?:_aug_.+|_augmented)?$", 1)
-    dated = F.regexp_extract(stem, r"(?i)^vlcsnap[-_]([0-9]{4}-[0-9]{2}-[0-9]{2})[-_][0-9]{2}h", 1)
-    plain = F.regexp_extract(stem, r"^([0-9]{8})(?:[_-]|$)", 1)
+    imported = F.regexp_extract(stem, IMPORTED_NAME, 1)
+    dated = F.regexp_extract(stem, DATED_NAME, 1)
+    plain = F.regexp_extract(stem, PLAIN_NAME, 1)
     day = F.concat_ws("-", F.substring(plain, 1, 4), F.substring(plain, 5, 2), F.substring(plain, 7, 2))
     return (
         F.when(imported != "", F.concat(F.lit("rh_"), imported))
         .when(dated != "", F.concat(F.lit("session_"), dated))
         .when(plain != "", F.concat(F.lit("session_"), day))
-        .when(stem.rlike(r"(?i)^vlcsnap-[0-9]+"), "vlcsnap_unsequenced")
+        .when(stem.rlike(UNSEQUENCED_NAME), "vlcsnap_unsequenced")
         .otherwise(F.concat(F.lit("file_"), stem))
     )
 

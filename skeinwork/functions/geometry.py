@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from skeinwork.functions.annotations import eight, floored
+from skeinwork.schema import LARGE_AREA, MEDIUM_AREA
 
 
 def _cut(x: Column) -> Column:
@@ -107,7 +108,7 @@ def in_frame(xc: Column, yc: Column, w: Column, h: Column) -> Column:
     return finite & (w > 0) & (h > 0) & (xc - w / 2 >= 0) & (yc - h / 2 >= 0) & (xc + w / 2 <= 1) & (yc + h / 2 <= 1)
 
 
-#: Ranges that augmentation may use: degrees, part of the image, factors.
+# Ranges that augmentation may use: degrees, part of the image, factors.
 SAFE_RANGES = {"rotation": (0.0, 10.0), "translate": (0.0, 0.05), "scale": (0.9, 1.1), "gamma": (0.8, 1.2)}
 
 
@@ -125,7 +126,7 @@ def projected(w: Column, h: Column, width: Column, height: Column, imgsz: Column
 
 
 def size_class(area: Column) -> Column:
-    return F.when(area < 32**2, "small").when(area < 96**2, "medium").otherwise("large")
+    return F.when(area < MEDIUM_AREA, "small").when(area < LARGE_AREA, "medium").otherwise("large")
 
 
 def near_edge(xc: Column, yc: Column, w: Column, h: Column, margin: float = 0.03) -> Column:

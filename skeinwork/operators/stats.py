@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skeinwork.functions.geometry import size_class
-from skeinwork.schema import classes, combinations, splits
+from skeinwork.schema import MEDIUM_AREA, classes, combinations, splits
 
 
 def class_counts(boxes: DataFrame) -> DataFrame:
@@ -97,7 +97,7 @@ def size_buckets(sized: DataFrame) -> DataFrame:
 
 def size_warnings(sized: DataFrame, overall: float = 0.25, of_class: float = 0.5, imgsz: int = 320) -> DataFrame:
     """Codes for too many small boxes at an input size."""
-    g = sized.where(F.col("imgsz") == imgsz).rollup("class_id").agg(F.avg((F.col("area") < 32**2).cast("double")).alias("share"))
+    g = sized.where(F.col("imgsz") == imgsz).rollup("class_id").agg(F.avg((F.col("area") < MEDIUM_AREA).cast("double")).alias("share"))
     code = F.when(F.col("class_id").isNull(), "many_small_objects").otherwise(F.concat(F.lit("many_small_class_"), F.col("class_id").cast("string")))
     hit = F.when(F.col("class_id").isNull(), F.col("share") >= overall).otherwise(F.col("share") >= of_class)
     return g.where(hit).select(code.alias("code"), "share")

@@ -22,9 +22,18 @@ IMAGE_SUFFIXES = ("jpg", "jpeg", "png")
 VIDEO_SUFFIXES = ("mp4", "avi", "mov", "mkv")
 EPSILON = 1e-5
 
+# Patterns of capture file names (without suffix), in the order they are tried.
+IMPORTED_NAME = r"^rh_(?:train|valid)_(.+?)(?:_aug_.+|_augmented)?$"
+DATED_NAME = r"(?i)^vlcsnap[-_]([0-9]{4}-[0-9]{2}-[0-9]{2})[-_][0-9]{2}h"
+PLAIN_NAME = r"^([0-9]{8})(?:[_-]|$)"
+UNSEQUENCED_NAME = r"(?i)^vlcsnap-[0-9]+"
+
+# Box areas from which a box is medium and large, in square pixels of the model input.
+MEDIUM_AREA, LARGE_AREA = 32**2, 96**2
+
 PIXEL_BOX = T.StructType([T.StructField(c, T.IntegerType()) for c in ("class_id", "x1", "y1", "x2", "y2")] + [T.StructField("confidence", T.DoubleType())])
 
-# Columns of a flat experiment result and of a visual review, in the order of their files.
+# Columns of a flat experiment result and of a visual review, in the order of their files.
 RESULT_COLUMNS = (
     "experiment", "preprocessing", "epochs", "batch", "imgsz", "fraction", "seed", "precision", "recall", "mAP50", "mAP50_95",
     "pothole_mAP50", "crack_mAP50", "manhole_mAP50", "preprocessing_ms", "inference_ms", "total_ms",
