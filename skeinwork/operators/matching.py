@@ -38,9 +38,11 @@ def match_counts(gt: DataFrame, pred: DataFrame, threshold: float = 0.5) -> Data
     """tp, fp, fn by frame and class, wherever a box of either side is."""
     keys = ["frame_id", "class_id"]
     matched = greedy(iou_pairs(gt, pred, threshold), keys).select(*keys, F.size("matches").cast("long").alias("tp"))
-    n_gt = gt.groupBy(*keys).agg(F.count("*").alias("n_gt"))
-    n_pred = pred.groupBy(*keys).agg(F.count("*").alias("n_pred"))
-    d = n_gt.join(n_pred, keys, "full_outer").join(matched, keys, "left").na.fill(0, ["tp", "n_gt", "n_pred"])
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    sides = gt.select(*keys, one.alias("g"), none.alias("p")).unionByName(pred.select(*keys, none.alias("g"), one.alias("p")))
+    # counted and matched rows have the same partitioning by frame and class, so that their join needs no other shuffle
+    counted = sides.groupBy(*keys).agg(F.sum("g").alias("n_gt"), F.sum("p").alias("n_pred"))
+    d = counted.join(matched, keys, "left").na.fill(0, ["tp"])
     return d.select(*keys, "tp", (F.col("n_pred") - F.col("tp")).alias("fp"), (F.col("n_gt") - F.col("tp")).alias("fn"))
 
 
