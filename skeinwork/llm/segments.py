@@ -24,18 +24,28 @@ def _places(n: int, kind: int) -> np.ndarray:
     return _PLACE[kind]
 
 
-def hashes(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, kind: int = 0) -> np.ndarray:
+def hashes(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each segment data[start:start+length]; the same bytes give the same hash wherever they stand."""
-    out = np.zeros(len(starts), np.uint64)
+    return _hashes(data, starts, lengths, (0,))[0]
+
+
+def _hashes(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, which: tuple[int, ...]) -> list[np.ndarray]:
+    """One or two independent hashes of each segment; they share the work of finding each byte's place."""
+    out = [np.zeros(len(starts), np.uint64) for _ in which]
     full = lengths > 0
     s, n = starts[full], lengths[full]
     if not len(s):
         return out
-    place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    bytes_ = data if len(s) == 1 and n[0] == len(data) or _contiguous(s, n, len(data)) else data[np.repeat(s, n) + place]
+    ends = np.cumsum(n)
+    kind = np.int32 if ends[-1] < 1 << 31 else np.int64
+    place = np.arange(ends[-1], dtype=kind) - np.repeat((ends - n).astype(kind), n)
+    bytes_ = data if _contiguous(s, n, len(data)) else data[np.repeat(s, n) + place]
+    size = n.astype(np.uint64) * _GOLD
     with np.errstate(over="ignore"):
-        terms = _BYTE[kind][bytes_] * _places(int(n.max()), kind)[place]
-        out[full] = mix64(np.add.reduceat(terms, np.cumsum(n) - n) ^ n.astype(np.uint64) * _GOLD)
+        for k, h in zip(which, out, strict=True):
+            terms = _BYTE[k][bytes_]
+            terms *= _places(int(n.max()), k)[place]
+            h[full] = mix64(np.add.reduceat(terms, ends - n) ^ size)
     return out
 
 
@@ -93,11 +103,11 @@ def chunk_starts(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
 
 def distinct(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[list[bytes], np.ndarray]:
     """The distinct segments, and for each segment which of them it is. Two hashes, 128 bits, tell segments apart."""
-    a = hashes(data, starts, lengths, 0)
+    a, b = _hashes(data, starts, lengths, (0, 1))
     order = np.argsort(a, kind="stable")
     new = np.ones(len(a), bool)
     new[1:] = a[order][1:] != a[order][:-1]
-    b = hashes(data, starts, lengths, 1)[order]
+    b = b[order]
     if np.any((b[1:] != b[:-1]) & ~new[1:]):
         body = data.tobytes()
         seen: dict[bytes, int] = {}
