@@ -20,8 +20,8 @@ LEAST_SCORE = 0.5
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents go that have no letter, or whose language the model doesn't call."""
     model = language_id.train(docs)
-    named = language_id.predict(docs, model)
-    return named.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    named = language_id.predict(docs, model, "__language", "__sure")
+    return named.where((F.col("__language") != language_id.UNKNOWN) & (F.col("__sure") >= LEAST_SCORE)).select(*docs.columns)
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -111,21 +111,24 @@ class Model:
             fallback, parents = cost, g
 
     @classmethod
-    def from_counts(cls, rows: list, order: int) -> Model:
-        langs = sorted({r["lang"] for r in rows})
-        at = {x: i for i, x in enumerate(langs)}
-        grams, counts = [], []
-        for depth in range(1, order + 2):
-            own = [(r["gram"], at[r["lang"]], r["n"]) for r in rows if r["depth"] == depth]
-            if not own:
+    def from_counts(cls, counts: pa.Table, order: int) -> Model:
+        """counts: lang, depth, gram, n, in any order."""
+        names = counts.column("lang").combine_chunks().dictionary_encode() if len(counts) else pa.array([], pa.string()).dictionary_encode()
+        langs = sorted(names.dictionary.to_pylist())
+        place = np.array([langs.index(x) for x in names.dictionary.to_pylist()], np.int64)
+        lang = place[names.indices.to_numpy()] if langs else np.empty(0, np.int64)
+        depth, gram, n = (counts.column(c).to_numpy() for c in ("depth", "gram", "n"))
+        grams, sums = [], []
+        for d in range(1, order + 2):
+            own = depth == d
+            if not own.any():
                 break
-            g, lang, n = (np.array(x, np.int64) for x in zip(*own, strict=True))
-            known, pos = np.unique(g, return_inverse=True)
+            known, pos = np.unique(gram[own], return_inverse=True)
             c = np.zeros((len(known), len(langs)))
-            c[pos, lang] = n
-            grams.append(known)
-            counts.append(c)
-        return cls(langs, order, grams, counts)
+            c[pos, lang[own]] = n[own]
+            grams.append(known.astype(np.int64))
+            sums.append(c)
+        return cls(langs, order, grams, sums)
 
     def code_lengths(self, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
         """Bits of each text under each language."""
@@ -159,33 +162,33 @@ class Model:
 def train(labelled: DataFrame, order: int = ORDER, rows_per_language: int = ROWS_PER_LANGUAGE) -> Model:
     """labelled: doc_id, text, lang. Rows with a null text or language are left out."""
     rows = labelled.select("doc_id", "text", "lang").where("text is not null and lang is not null")
-    return Model.from_counts(count_grams(training_rows(rows, rows_per_language), order).collect(), order)
+    return Model.from_counts(count_grams(training_rows(rows, rows_per_language), order).toArrow(), order)
 
 
-def predict(documents: DataFrame, model: Model) -> DataFrame:
-    """Adds lang_pred and score to the rows of `documents` (a column of that name is replaced)."""
+def predict(documents: DataFrame, model: Model, label: str = "lang_pred", sure: str = "score") -> DataFrame:
+    """Adds the language and its score to the rows of `documents`, under the given names (which replace columns so named)."""
     spark = documents.sparkSession
     held = spark.sparkContext.broadcast(model)
-    rest = documents.drop("lang_pred", "score", "__letter", "__text")
+    rest = documents.drop(label, sure, "__letter", "__text")
     # a letter anywhere, by Unicode category
     shown = rest.withColumn("__letter", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))).withColumn("__text", F.coalesce("text", F.lit("")))
     names = rest.columns
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema), "lang_pred string", "score double"])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema), f"`{label}` string", f"`{sure}` double"])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
         for b in batches:
             data, offs = utf8(b.column("__text"))
             letter = b.column("__letter").to_numpy(zero_copy_only=False)
-            pred, sure = np.full(len(b), UNKNOWN, object), np.zeros(len(b))
+            pred, part_of = np.full(len(b), UNKNOWN, object), np.zeros(len(b))
             if m.langs:
                 for i, j, part, o in slices(data, offs, 1 << 20):
                     lengths = m.code_lengths(part, o)
                     best = lengths.argmin(1)
                     pred[i:j] = np.array(m.langs, object)[best]
-                    sure[i:j] = 1 / np.exp2(np.minimum(0, lengths.min(1)[:, None] - lengths)).sum(1)
-                pred[~letter], sure[~letter] = UNKNOWN, 0.0
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(pred.tolist(), pa.string()), pa.array(sure)], names=[*names, "lang_pred", "score"])
+                    part_of[i:j] = 1 / np.exp2(np.minimum(0, lengths.min(1)[:, None] - lengths)).sum(1)
+                pred[~letter], part_of[~letter] = UNKNOWN, 0.0
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(pred.tolist(), pa.string()), pa.array(part_of)], names=[*names, label, sure])
 
     return map_arrow(shown, score, schema)
 

@@ -39,7 +39,7 @@ def _bits(counts, order, text, lang):
 def test_code_lengths_are_exact():
     order, train = 3, {"en": ["the cat sat on the mat", "a hat"], "fr": ["le chat était là", "la", "aaaa"]}
     counts = Counter((la, t.encode()[i : i + d]) for la, ts in train.items() for t in ts for d in range(1, order + 2) for i in range(len(t.encode()) - d + 1))
-    m = li.Model.from_counts([{"lang": la, "depth": len(g), "gram": int.from_bytes(g, "big"), "n": n} for (la, g), n in counts.items()], order)
+    m = li.Model.from_counts(pa.Table.from_pylist([{"lang": la, "depth": len(g), "gram": int.from_bytes(g, "big"), "n": n} for (la, g), n in counts.items()]), order)
     texts = ["the chat", "", "zzz", "là la là", "\0", "日本", "a", "the cat sat on the mat"]
     got = m.code_lengths(*utf8(pa.array(texts)))
     for t, row in zip(texts, got, strict=True):
