@@ -10,6 +10,8 @@ from skeinwork.plans import views as v
 from skeinwork.plans.groups import _KEY
 from skeinwork.plans.views import sql, table
 
+SHORT_BYTES = 8_000_000
+
 
 def clean_dedup_outcomes(s, d):
     labels = table(s, d, "labels").select("doc_id").distinct()
@@ -105,15 +107,26 @@ def processed_dataset_errors(s, d):
 
 
 def passages(documents, benchmark):
-    """doc_id, item_id where the whole item stands in the document. Three inner words of an item, which the document must
-    hold as words, find candidates by an equality join; the text decides. Items of fewer than five words aren't sought."""
+    """doc_id, item_id where the whole item stands in the document. Up to three inner words of an item, which the document
+    must hold as words, find candidates by an equality join; the text decides. Items of one or two words have no inner words:
+    the text alone decides, by a broadcast of up to SHORT_BYTES of them (counted first) or else a product without one."""
     words = lambda c: F.split(c, " ")
-    item = benchmark.withColumn("w", words(F.col("text"))).where(F.size("w") >= 5)
-    item = item.select("item_id", F.col("text").alias("passage"), F.xxhash64(*(F.get("w", F.lit(k)) for k in (1, 2, 3))).alias("anchor"))
-    d = documents.withColumn("w", words(F.col("text"))).where(F.size("w") >= 5)
-    at = F.transform(F.sequence(F.lit(1), F.size("w") - 4), lambda i: F.xxhash64(F.get("w", i), F.get("w", i + 1), F.get("w", i + 2)))
-    d = d.select("doc_id", "text", F.explode(F.array_distinct(at)).alias("anchor"))
-    return d.join(item, "anchor").where(F.col("text").contains(F.col("passage"))).select("doc_id", "item_id").distinct()
+    item = benchmark.where("text is not null").select("item_id", F.col("text").alias("passage"), words(F.col("text")).alias("w"))
+    item = item.withColumn("inner", F.least(F.size("w") - 2, F.lit(3)))
+    sizes = {r["inner"]: r["bytes"] for r in item.groupBy(F.greatest("inner", F.lit(0)).alias("inner")).agg(F.sum(F.octet_length("passage") + 16).alias("bytes")).collect()}
+    widths = [k for k in (3, 2, 1) if k in sizes] or [3]
+    anchors = lambda i, k: F.xxhash64(*(F.get("w", i + j) for j in range(k)))
+    anchor = F.coalesce(*(F.when(F.col("inner") == k, anchors(F.lit(1), k)) for k in widths))
+    anchored = lambda k: lambda i: anchors(i, k)
+    d = documents.withColumn("w", words(F.col("text")))
+    at = [F.when(F.size("w") >= k + 2, F.transform(F.sequence(F.lit(1), F.size("w") - 1 - k), anchored(k))).otherwise(F.array().cast("array<bigint>")) for k in widths]
+    d = d.select("doc_id", "text", F.explode(F.array_distinct(F.concat(*at))).alias("anchor"))
+    found = d.join(item.where("inner > 0").select("item_id", "passage", anchor.alias("anchor")), "anchor").where(F.col("text").contains(F.col("passage"))).select("doc_id", "item_id")
+    if 0 in sizes:
+        short = item.where("inner <= 0").select("item_id", "passage").distinct()
+        short = F.broadcast(short) if sizes[0] <= SHORT_BYTES else short.hint("shuffle_replicate_nl")
+        found = found.unionByName(documents.select("doc_id", "text").join(short, F.col("text").contains(F.col("passage"))).select("doc_id", "item_id"))
+    return found.distinct()
 
 
 def eval_leakage_passages(s, d):

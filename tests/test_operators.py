@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skeinwork.operators import experiments, neardup, quality, sampling, splitting, stats
+from skeinwork.plans import quality as quality_plans
 from skeinwork.schema import SPLITS
 
 
@@ -140,3 +141,16 @@ def test_samples_repeat_and_quotas_hold(spark):
     assert len(set(a)) == 10
     got = sampling.quotas(d, "id", {"train": 3, "val": 2}).collect()
     assert sorted((r["split"], r["id"]) for r in got) == [("train", 0), ("train", 2), ("train", 4), ("val", 1), ("val", 3)]
+
+
+@pytest.mark.parametrize("short_bytes", [8_000_000, 0])
+def test_passages_of_any_number_of_words(spark, monkeypatch, short_bytes):
+    monkeypatch.setattr(quality_plans, "SHORT_BYTES", short_bytes, raising=False)
+    texts = ["ab cd ef gh ij kl", "ab cd ef gh", "b c", "xab cdx", "", None, "cd ef", "a  b", "ab", "x ab cd ef y", "cd ef gh ij"]
+    items = ["ab cd ef gh ij", "b cd ef g", "ab cd ef", "b cd e", "ab cd", "b c", "b", "zz", "", " ", "  ", None, "cd ef", "b cd"]
+    documents = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = [tuple(r) for r in quality_plans.passages(documents, benchmark).collect()]
+    want = {(i, j) for i, t in enumerate(texts) for j, p in enumerate(items) if t is not None and p is not None and p in t}
+    assert len(got) == len(want)
+    assert set(got) == want
