@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import product
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skeinwork.operators.neardup import checkpointed
 from skeinwork.schema import CLASSES, SPLITS
 
 RATIOS = {"train": 0.70, "val": 0.15, "test": 0.15}
-EXHAUSTIVE, ROUNDS, MOST_GROUPS = 12, 20, 2_000_000
+EXHAUSTIVE, ROUNDS, CHUNK = 12, 20, 1 << 16
 
 
 def group_vectors(rows: DataFrame) -> DataFrame:
@@ -38,57 +42,113 @@ class _Balance:
         self.now[split] = [a + sign * b for a, b in zip(self.now[split], vector, strict=True)]
 
 
-def assignment(groups: dict[str, list[int]], ratios: dict[str, float] = RATIOS, image_weight: float = 1.0, class_weight: float = 1.0) -> dict[str, str]:
-    """The split of each group; groups: key -> [images, objects of each class].
-
-    Up to 12 groups: the best of all assignments that use every split, the first among equals. More: largest first, each
-    to where it adds least error, then rounds of single moves while one improves."""
+def _balance(total: list[int], ratios: dict[str, float] = RATIOS, image_weight: float = 1.0, class_weight: float = 1.0) -> _Balance:
     if set(ratios) != set(SPLITS) or abs(sum(ratios.values()) - 1) > 1e-6:
         raise ValueError("ratios must be given for train, val and test and sum to 1")
-    keys = sorted(groups)
-    total = [sum(groups[k][i] for k in keys) for i in range(1 + len(CLASSES))]
-    b = _Balance(total, ratios, image_weight, class_weight)
-    if len(keys) <= EXHAUSTIVE:
-        best, chosen = float("inf"), None
-        for splits in product(SPLITS, repeat=len(keys)):
-            if set(splits) == set(SPLITS):
-                counts = {s: [0] * len(total) for s in SPLITS}
-                for k, s in zip(keys, splits, strict=True):
-                    counts[s] = [x + y for x, y in zip(counts[s], groups[k], strict=True)]
-                score = sum(b.error(s, counts[s]) for s in SPLITS)
-                if score < best:
-                    best, chosen = score, dict(zip(keys, splits, strict=True))
-        if chosen is None:
-            raise ValueError("groups are too few for three splits")
-        return chosen
-    place: dict[str, str] = {}
-    rank = {s: i for i, s in enumerate(SPLITS)}
-    for k in sorted(keys, key=lambda k: (-groups[k][0], -sum(groups[k][1:]), k)):
-        s = min(SPLITS, key=lambda s: (b.change(s, groups[k], 1), rank[s]))
-        b.put(s, groups[k], 1)
-        place[k] = s
+    return _Balance(total, ratios, image_weight, class_weight)
+
+
+def _total(kinds: list[list[int]], counts: list[int]) -> list[int]:
+    return [sum(v[i] * n for v, n in zip(kinds, counts, strict=True)) for i in range(1 + len(CLASSES))]
+
+
+def _exhaustive(vectors: list[list[int]], b: _Balance) -> tuple[str, ...]:
+    best, chosen = float("inf"), None
+    for splits in product(SPLITS, repeat=len(vectors)):
+        if set(splits) == set(SPLITS):
+            counts = {s: [0] * (1 + len(CLASSES)) for s in SPLITS}
+            for v, s in zip(vectors, splits, strict=True):
+                counts[s] = [x + y for x, y in zip(counts[s], v, strict=True)]
+            score = sum(b.error(s, counts[s]) for s in SPLITS)
+            if score < best:
+                best, chosen = score, splits
+    if chosen is None:
+        raise ValueError("groups are too few for three splits")
+    return chosen
+
+
+def _greedy(kinds: list[list[int]], of: np.ndarray, b: _Balance) -> np.ndarray:
+    """The number of the split of each group. kinds: the distinct vectors; of: the kind of each group, in key order."""
+    images, objects = np.array([v[0] for v in kinds]), np.array([sum(v[1:]) for v in kinds])
+    tier = np.unique(np.stack((-images, -objects), 1), axis=0, return_inverse=True)[1].ravel().astype(np.int32)
+    order, place = np.argsort(tier[of], kind="stable"), np.empty(len(of), np.uint8)
+    for x in range(0, len(of), CHUNK):
+        at = order[x : x + CHUNK]
+        for g, k in zip(at.tolist(), of[at].tolist(), strict=True):
+            cost = [b.change(s, kinds[k], 1) for s in SPLITS]
+            place[g] = to = cost.index(min(cost))
+            b.put(SPLITS[to], kinds[k], 1)
+    del order
     for _ in range(ROUNDS):
-        moved = False
-        for k in keys:
-            here = place[k]
-            cost = {s: 0.0 if s == here else b.change(s, groups[k], 1) + b.change(here, groups[k], -1) for s in SPLITS}
-            to = min(SPLITS, key=lambda s: (cost[s], rank[s]))
-            if to != here and cost[to] < -1e-12:
-                b.put(here, groups[k], -1)
-                b.put(to, groups[k], 1)
-                place[k], moved = to, True
+        moved, known = False, {}  # where a kind goes from a split, until something moves
+        for x in range(0, len(of), CHUNK):
+            for g, own in enumerate(zip(of[x : x + CHUNK].tolist(), place[x : x + CHUNK].tolist(), strict=True), x):
+                to = known.get(own)
+                if to is None:
+                    v, here = kinds[own[0]], SPLITS[own[1]]
+                    cost = [0.0 if s == here else b.change(s, v, 1) + b.change(here, v, -1) for s in SPLITS]
+                    to = cost.index(min(cost))
+                    known[own] = to = to if cost[to] < -1e-12 else own[1]
+                if to != own[1]:
+                    b.put(SPLITS[own[1]], kinds[own[0]], -1)
+                    b.put(SPLITS[to], kinds[own[0]], 1)
+                    place[g], moved = to, True
+                    known.clear()
         if not moved:
             break
-    if set(place.values()) != set(SPLITS):
+    if len(np.unique(place)) < len(SPLITS):
         raise ValueError("groups are too few for three splits")
     return place
 
 
+def assignment(groups: dict[str, list[int]], **how) -> dict[str, str]:
+    """The split of each group; groups: key -> [images, objects of each class]. how: ratios, image_weight, class_weight.
+
+    Up to 12 groups: the best of all assignments that use every split, the first among equals. More: largest first, each
+    to where it adds least error, then rounds of single moves while one improves."""
+    keys, kinds = sorted(groups), {}
+    of = np.array([kinds.setdefault(tuple(groups[k]), len(kinds)) for k in keys], np.int32)
+    vectors = [list(v) for v in kinds]
+    b = _balance(_total(vectors, np.bincount(of, minlength=len(vectors)).tolist()), **how)
+    if len(keys) <= EXHAUSTIVE:
+        return dict(zip(keys, _exhaustive([groups[k] for k in keys], b), strict=True))
+    return {k: SPLITS[p] for k, p in zip(keys, _greedy(vectors, of, b).tolist(), strict=True)}
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        if len(b):
+            v = np.stack([b.column(c).to_numpy() for c in ("images", *(f"c{c}" for c in CLASSES))], 1).astype(np.int64)
+            yield pa.RecordBatch.from_pydict({"at": pa.array([b.column("at")[0].as_py()], pa.int64()), "vectors": pa.array([v.tobytes()], pa.binary())})
+
+
 def assign(vectors: DataFrame, **how) -> DataFrame:
-    """group_key, split. The search is sequential by definition, over group totals: a row per group, which go to the driver
-    up to MOST_GROUPS (checked)."""
-    if vectors.count() > MOST_GROUPS:
-        raise ValueError(f"more than {MOST_GROUPS} groups; merge capture groups first")
-    rows = vectors.collect()
-    found = assignment({r["group_key"]: [r["images"], *(r[f"c{c}"] for c in CLASSES)] for r in rows}, **how)
-    return vectors.sparkSession.createDataFrame(sorted(found.items()), "group_key string, split string")
+    """group_key, split; as assignment(). The search is sequential by definition, but needs the groups' vectors in key order
+    only: the driver reads them a partition at a time and holds each distinct vector once and some 30 bytes a group, while
+    keys stay with the executors, which get one byte a group back."""
+    keyed = checkpointed(vectors.orderBy("group_key").withColumn("at", F.monotonically_increasing_id()))  # partition << 33 | row
+    kinds, of, starts, n = {}, [], {}, 0
+    for r in keyed.mapInArrow(_packed, "at long, vectors binary").toLocalIterator():
+        if not r["at"] & ((1 << 33) - 1):
+            starts[r["at"] >> 33] = n
+        own, back = np.unique(np.frombuffer(r["vectors"], np.int64).reshape(-1, 1 + len(CLASSES)), axis=0, return_inverse=True)
+        of.append(np.array([kinds.setdefault(tuple(v), len(kinds)) for v in own.tolist()], np.int32)[back.ravel()])
+        n += len(back)
+    of = np.concatenate([np.empty(0, np.int32), *of])
+    found = [list(v) for v in kinds]
+    b = _balance(_total(found, np.bincount(of, minlength=len(found)).tolist()), **how)
+    if n > EXHAUSTIVE:
+        place = _greedy(found, of, b)
+    else:
+        place = np.array([SPLITS.index(s) for s in _exhaustive([found[k] for k in of.tolist()], b)], np.uint8)
+    held = vectors.sparkSession.sparkContext.broadcast((starts, place))
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, to = held.value
+        for b in batches:
+            at = b.column("at").to_numpy()
+            part, back = np.unique(at >> 33, return_inverse=True)
+            rows = np.array([first[p] for p in part.tolist()], np.int64)[back] + (at & ((1 << 33) - 1))
+            yield pa.RecordBatch.from_arrays([b.column("group_key"), pa.array(np.array(SPLITS, object)[to[rows]], pa.string())], names=["group_key", "split"])
+
+    return keyed.select("group_key", "at").mapInArrow(put, "group_key string, split string")

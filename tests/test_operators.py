@@ -154,3 +154,37 @@ def test_passages_of_any_number_of_words(spark, monkeypatch, short_bytes):
     want = {(i, j) for i, t in enumerate(texts) for j, p in enumerate(items) if t is not None and p is not None and p in t}
     assert len(got) == len(want)
     assert set(got) == want
+
+
+def _plain_assignment(groups):
+    keys = sorted(groups)
+    b = splitting._Balance([sum(v[i] for v in groups.values()) for i in range(4)], splitting.RATIOS, 1.0, 1.0)
+    place = {}
+    for k in sorted(keys, key=lambda k: (-groups[k][0], -sum(groups[k][1:]), k)):
+        place[k] = min(SPLITS, key=lambda s: (b.change(s, groups[k], 1), SPLITS.index(s)))
+        b.put(place[k], groups[k], 1)
+    for _ in range(splitting.ROUNDS):
+        moved = False
+        for k in keys:
+            cost = {s: 0.0 if s == place[k] else b.change(s, groups[k], 1) + b.change(place[k], groups[k], -1) for s in SPLITS}
+            to = min(SPLITS, key=lambda s: (cost[s], SPLITS.index(s)))
+            if to != place[k] and cost[to] < -1e-12:
+                b.put(place[k], groups[k], -1)
+                b.put(to, groups[k], 1)
+                place[k], moved = to, True
+        if not moved:
+            break
+    return place
+
+
+@pytest.mark.parametrize(("n", "most"), [(400, 1), (300, 40), (40, 9), (7, 3)])
+def test_any_number_of_groups_is_assigned_as_one_by_one(spark, monkeypatch, n, most):
+    monkeypatch.setattr(splitting, "MOST_GROUPS", 5, raising=False)  # the former cap
+    monkeypatch.setattr(splitting, "CHUNK", 64, raising=False)
+    rnd = random.Random(n)
+    groups = {f"g{i}": [rnd.randint(1, most), *(rnd.randint(0, most) for _ in range(3))] for i in range(n)}
+    rows = spark.createDataFrame([(k, *v) for k, v in groups.items()], "group_key string, images long, c0 long, c1 long, c2 long").repartition(3)
+    got = {r["group_key"]: r["split"] for r in splitting.assign(rows).collect()}
+    assert got == splitting.assignment(groups)
+    if n > splitting.EXHAUSTIVE:
+        assert got == _plain_assignment(groups)
