@@ -28,18 +28,20 @@ def sizes(documents: DataFrame, block_bytes: int = BLOCK_BYTES) -> int:
     return max(1, -(-text_bytes(documents) // block_bytes))
 
 
-def block_of(doc_id, n: int):
-    return F.pmod(F.xxhash64(F.lit("block"), doc_id), F.lit(n)).cast("int")
+def block_of(doc_id, text, n: int):
+    """By both, so that rows without a doc_id, or of one, spread over blocks."""
+    return F.pmod(F.xxhash64(F.lit("block"), doc_id, text), F.lit(n)).cast("int")
 
 
 def partitions(n_blocks: int) -> int:
-    return max(1, n_blocks // 4)
+    """Tasks of a round: a block each while they are few, then four."""
+    return max(min(n_blocks, 8), n_blocks // 4)
 
 
 def deal(documents: DataFrame, n_blocks: int) -> DataFrame:
-    """block, doc_id, text; null doc_ids become the largest long, null texts empty."""
-    rows = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(int(NO_ID))).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.withColumn("block", block_of(F.col("doc_id"), n_blocks)).repartition(partitions(n_blocks), "block")
+    """block, doc_id, text; null texts become empty."""
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    return rows.withColumn("block", block_of(F.col("doc_id"), F.col("text"), n_blocks)).repartition(partitions(n_blocks), "block")
 
 
 def regroup(rows: DataFrame, key: str, n: int, then: Callable[[pa.Table], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
@@ -64,14 +66,15 @@ def regroup(rows: DataFrame, key: str, n: int, then: Callable[[pa.Table], Iterat
 
 
 class Texts:
-    """A block's documents in a fixed order: by doc_id, then bytes."""
+    """A block's documents in a fixed order: by doc_id, then bytes; those without a doc_id come last (`known` is false)."""
 
     def __init__(self, table: pa.Table):
         texts = [x.encode() for x in table.column("text").to_pylist()]
         ids = table.column("doc_id").to_pylist()
-        order = sorted(range(len(ids)), key=lambda i: (ids[i], texts[i]))
+        order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0, texts[i]))
         self.block = table.column("block")[0].as_py() if len(ids) else None
-        self.ids = np.array([ids[i] for i in order], np.int64)
+        self.ids = np.array([NO_ID if ids[i] is None else ids[i] for i in order], np.int64)
+        self.known = np.array([ids[i] is not None for i in order], bool)
         own = [texts[i] for i in order]
         self.offs = np.concatenate(([0], np.cumsum([len(t) for t in own], dtype=np.int64)))
         self.data = np.frombuffer(b"".join(own), np.uint8)

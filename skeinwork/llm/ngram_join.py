@@ -1,23 +1,29 @@
 """N-gram Jaccard join with token-combination prefixes: links, and components of links.
 
 A document is the set of its word shingles (here: tokens, 64-bit hashes). Two documents link when the intersection is at
-least `num`/`den` of the union. All tokens have one global order: rare classes first (powers of two of how many sets hold
-the token), then by hash. A set of n tokens may lack at most e = n - ceil(n*num/den) of them in a set it links with, so
-the first k tokens that two linked sets share are in the first e+k of either. Either one of those is of a rare class, and
-then it alone is indexed, or all k are frequent, and then their combination is: single rare tokens and k-combinations of
-frequent ones within the extended prefixes find every link. Sets that may link with fewer than k shared tokens, and sets
-whose prefixes would make more than `most_combinations` combinations, have all their prefix tokens indexed one by one, and so
-have sets that could link with such a one: the keys of a set grow with its prefix, not with the square. Tokens that one set
-only holds find nothing and aren't indexed. Frequent means held by more than `frequent` sets; combinations keep such tokens from tying unlike sets together.
+least `num`/`den` of the union. All tokens have one global order: by the whole binary logarithm of how many sets hold them,
+then by hash. A set of n tokens may lack at most e = n - ceil(n*num/den) of them in a set it links with.
+
+Tokens are of two classes. Rare ones are indexed alone. Frequent ones are dealt by hash to `groups(n)` groups, and 2-token
+combinations within a group are indexed. A prefix is extended until it covers e + 1: each rare token covers one, a group with
+c tokens c - 1, since whoever holds none of its combinations lacks that many. Of two linked sets, the one whose prefix ends
+first then has a rare token or a combination that the other one holds too, within its own prefix. So keys grow with the
+prefix and not with its square, at any size of a set. Sets of nearly the same size must agree on the number of groups, a power
+of two: a set takes part with each number that a smaller partner could have. Sets that may link through a single shared
+token (one or two tokens, at any threshold from a half) have all tokens indexed alone, too.
+
+What is frequent comes from the data: of all tokens in the order of their holders, those behind the rarest `rare` part of all
+occurrences. Each bucket of the token space decides that for its own tokens, over all documents. Tokens that one set only
+holds cover the prefix but find nothing and aren't indexed; where they are half of all occurrences, links come from
+combinations alone.
 
 Rounds over blocks (see blocks): 1 blocks tell tokens, buckets answer with those that more sets hold, and their class;
-2 blocks tell prefix keys, buckets answer nothing but edges to the smallest holder, which connect all holders of a key
-without listing pairs; 3 components of these edges are candidates: every link lies inside one, so each set is sent once, to
-its component, and verified exactly there. A component of more than `most_tokens` tokens is cut into parts by hash, and
-every two parts meet in a task of their own. Equal sets of a block go through all this as one.
-
-Inside a task, sets are joined with those before them through the same kind of prefix index; sets already in one component
-of links aren't compared again, so groups of thousands of copies cost about one comparison each.
+2 blocks tell keys with their holders, and what verification needs of the sets that have enough shared tokens. A bucket
+makes a star of each key: edges from its holders to the smallest one, the hub. Every link lies among the holders of a hub.
+Verification is exact, in three steps, each in tasks of at most `spread` sets on either side, so no group of copies is one
+task: every set with its smallest hub; then the edges whose ends aren't connected yet; and last, for each hub, the holders
+that are still apart from it with all its holders of other components. Sets already connected are never compared again, so
+groups of thousands of copies cost about one comparison each.
 
 Defined cases: null and empty texts and texts without words have an empty set and link with nothing; fewer words than a
 shingle are one token, so equal short texts link; rows of one doc_id count as one document with all their links; a null
@@ -27,19 +33,17 @@ doc_id gets no component (null) and links nothing; an empty table gives no rows;
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
-from math import comb
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skeinwork.llm.blocks import NO_ID, Texts, block_of, bounds, components, deal, partitions, regroup, sizes
-from skeinwork.llm.common import checkpointed, mix64
+from skeinwork.llm.blocks import Texts, bounds, components, deal, partitions, regroup, sizes
+from skeinwork.llm.common import checkpointed, map_arrow, mix64
 from skeinwork.llm.segments import gather, hashes, runs
 
-FREQUENT, COMBINATION, MOST_COMBINATIONS, MOST_TOKENS = 1000, 2, 1000, 8_000_000
+RARE, SPREAD, MOST_BROADCAST = 0.5, 64, 200_000
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -83,18 +87,14 @@ class Sets:
 
     def __init__(self, table: pa.Table, width: int):
         t = Texts(table)
-        self.block, self.ids = t.block, t.ids
+        self.block, self.ids, self.known = t.block, t.ids, t.known
         self.tokens, self.offs = shingle_sets(t.data, t.offs, width)
         self.size = np.diff(self.offs)
         first: dict[bytes, int] = {}
-        self.rep = np.empty(len(self.ids), np.int64)
-        for i in range(len(self.ids)):  # ids ascend, so the first of equal sets has the smallest
-            if self.ids[i] == NO_ID or not self.size[i]:
-                self.rep[i] = i
-            else:
-                own = first.setdefault(self.tokens[self.offs[i] : self.offs[i + 1]].tobytes(), i)
-                self.rep[i] = own
-        self.own = np.flatnonzero((self.rep == np.arange(len(self.ids))) & (self.size > 0) & (self.ids != NO_ID))
+        self.rep = np.arange(len(self.ids))
+        for i in np.flatnonzero(self.known & (self.size > 0)).tolist():  # ids ascend, so the first of equal sets has the smallest
+            self.rep[i] = first.setdefault(self.tokens[self.offs[i] : self.offs[i + 1]].tobytes(), i)
+        self.own = np.flatnonzero((self.rep == np.arange(len(self.ids))) & (self.size > 0) & self.known)
 
 
 def lacking(n, num: int, den: int):
@@ -108,16 +108,28 @@ def _short(tokens: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def token_messages(sets: Sets, bits: int) -> Iterator[pa.RecordBatch]:
-    """Round 1: by bucket, the block's distinct tokens and in how many sets it has them (255 at most)."""
+    """Round 1: by bucket, the block's distinct tokens and in how many sets it has them."""
     at = gather(sets.offs[:-1][sets.own], sets.size[sets.own])
     token, count = np.unique(sets.tokens[at], return_counts=True)
     bucket, low = _short(token, bits)
-    count = np.minimum(count, 255).astype(np.uint8)
-    rows = [(sets.block, b, low[x:y].tobytes() + count[x:y].tobytes()) for b, x, y in bounds(bucket)]
+    rows = [(sets.block, b, _counted(low[x:y], count[x:y])) for b, x, y in bounds(bucket)]
     if rows:
         yield _rows(rows)
 
 
+def _counted(low: np.ndarray, count: np.ndarray) -> bytes:
+    """Tokens with their counts: a byte each, and those of 255 or more once again in 4 bytes."""
+    large = np.flatnonzero(count >= 255)
+    return b"".join((np.uint32(len(low)).tobytes(), low.tobytes(), np.minimum(count, 255).astype(np.uint8).tobytes(), count[large].astype(np.uint32).tobytes()))
+
+
+def _uncounted(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = int(np.frombuffer(blob, np.uint32, 1)[0])
+    low, count = np.frombuffer(blob, np.uint32, n, 4), np.frombuffer(blob, np.uint8, n, 4 + 4 * n).astype(np.int64)
+    count[count == 255] = np.frombuffer(blob, np.uint32, -1, 4 + 5 * n)
+    return low, count
+
+
 _MESSAGE = pa.schema([("block", pa.int32()), ("bucket", pa.int32()), ("payload", pa.binary())])
 MESSAGE = "block int, bucket int, payload binary"
 
@@ -126,26 +138,40 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _MESSAGE, strict=True)], schema=_MESSAGE)
 
 
-def token_answers(table: pa.Table) -> Iterator[pa.RecordBatch]:
-    """By block, those of its tokens that more sets hold, and the class (whole binary logarithm of how many)."""
-    blocks, blobs = table.column("block").to_pylist(), table.column("payload").to_pylist()
-    n = np.array([len(x) // 5 for x in blobs])
-    low = np.concatenate([np.frombuffer(x, np.uint32, k) for x, k in zip(blobs, n, strict=True)])
-    count = np.concatenate([np.frombuffer(x, np.uint8, k, 4 * k) for x, k in zip(blobs, n, strict=True)])
-    order = np.argsort(low, kind="stable")
-    new = np.ones(len(low), bool)
-    new[1:] = low[order][1:] != low[order][:-1]
-    group = np.cumsum(new) - 1
-    total = np.bincount(group, count[order])
-    class_ = np.empty(len(low), np.uint8)
-    class_[order] = np.floor(np.log2(total))[group].astype(np.uint8)
-    bucket, rows = table.column("bucket")[0].as_py(), []
-    for block, at, k in zip(blocks, np.cumsum(n) - n, n, strict=True):
-        held = class_[at : at + k] > 0
-        if held.any():
-            rows.append((block, bucket, low[at : at + k][held].tobytes() + class_[at : at + k][held].tobytes()))
-    if rows:
-        yield _rows(rows)
+def first_frequent(holders: np.ndarray, rare: float) -> int:
+    """From how many holders a token is frequent: the tokens below hold at least the part `rare` of all occurrences.
+
+    holders: of each token, 1 or more."""
+    size, tokens = np.unique(holders, return_counts=True)
+    held = np.cumsum(size * tokens)
+    return int(size[np.searchsorted(held, rare * held[-1])]) + 1 if len(size) else 1
+
+
+def token_answers(rare: float):
+    """By block, those of its tokens that more sets hold, and the class: whole binary logarithm of how many, and in the
+    highest bit whether that is frequent."""
+
+    def then(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        blocks, told = table.column("block").to_pylist(), [_uncounted(x) for x in table.column("payload").to_pylist()]
+        n = np.array([len(low) for low, _ in told])
+        _, token, total = _summed(np.concatenate([low for low, _ in told]), np.concatenate([count for _, count in told]))
+        often = total >= first_frequent(total, rare)
+        class_ = (np.floor(np.log2(total)).astype(np.uint8) | often.astype(np.uint8) << np.uint8(7))[token]
+        bucket, rows = table.column("bucket")[0].as_py(), []
+        for (low, _), block, at, k in zip(told, blocks, np.cumsum(n) - n, n, strict=True):
+            held = class_[at : at + k] > 0
+            if held.any():
+                rows.append((block, bucket, low[held].tobytes() + class_[at : at + k][held].tobytes()))
+        if rows:
+            yield _rows(rows)
+
+    return then
+
+
+def _summed(low: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct values, which of them each is, and their sums of counts."""
+    known, of = np.unique(low, return_inverse=True)
+    return known, of, np.bincount(of, count).astype(np.int64)
 
 
 def _classes(sets: Sets, answers: pa.Table, bits: int) -> np.ndarray:
@@ -168,67 +194,95 @@ def _classes(sets: Sets, answers: pa.Table, bits: int) -> np.ndarray:
     return out
 
 
-def prefix_keys(tokens: np.ndarray, class_: np.ndarray, num: int, den: int, frequent_class: int, k: int, most: int = MOST_COMBINATIONS) -> np.ndarray:
-    """Keys of one set: rare tokens of its extended prefix, and k-combinations of the frequent ones."""
-    n = len(tokens)
-    lack = lacking(n, num, den)
-    first = np.lexsort((tokens, class_))[: lack + k]
-    t, c = tokens[first], class_[first]
-    single = t[(c > 0) & (c < frequent_class)]
-    often = t[c >= frequent_class]
-    many = lambda size: comb(lacking(size, num, den) + k, k) > most
-    # Every prefix token alone, too: of a set so small that it may link with fewer than k shared tokens (its partner is as
-    # small), of a set too large for combinations, and of a set that may link with one that is.
-    if n - lack < k or many(n * den // num):
-        single = t[c > 0]
-    if len(often) < k or many(n):
-        return single
-    with np.errstate(over="ignore"):
-        if k == 2:
-            i, j = np.triu_indices(len(often), 1)
-            both = mix64(often[i] * _TURN[1] + mix64(often[j] * _TURN[2]))
-        else:
-            both = np.array([mix64(np.array([np.bitwise_xor.reduce(mix64(often[list(x)]))]))[0] for x in combinations(range(len(often)), k)], np.uint64)
-    return np.concatenate((single, both))
-
-
-ROUND2 = "kind string, bucket int, payload binary"
-_ROUND2 = pa.schema([("kind", pa.string()), ("bucket", pa.int32()), ("payload", pa.binary())])
+def groups(n, num: int, den: int):
+    """Into how many groups a set of n tokens deals its frequent ones: a quarter of what it may lack, as a power of two."""
+    return 1 << np.floor(np.log2(np.maximum(lacking(n, num, den) // 4, 1))).astype(np.int64)
+
+
+def prefix_keys(tokens: np.ndarray, class_: np.ndarray, size: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of sets that lie one after another: the key, which set it is of, and whether it is a combination.
+
+    class_: whole logarithm of holders, 128 more if frequent, 0 if no other set holds the token."""
+    least = -(-size * num // den)  # of a partner, or of what is shared with one
+    low, high = groups(least, num, den), groups(size, num, den)
+    keys, of, kind = [], [], []
+
+    def add(key: np.ndarray, owner: np.ndarray, combination: bool) -> None:
+        keys.append(key)
+        of.append(owner)
+        kind.append(np.full(len(key), combination))
+
+    owner = np.repeat(np.arange(len(size)), size)
+    lonely = (least <= 1)[owner] & (class_ >= 128)
+    add(tokens[lonely], owner[lonely], False)
+    number = 1
+    while len(size) and number <= high.max():
+        takes = np.flatnonzero((low <= number) & (number <= high))
+        at = gather(np.concatenate(([0], np.cumsum(size)))[takes], size[takes])
+        t, c, o = tokens[at], class_[at], owner[at]
+        order = np.lexsort((t, c & 127, o))
+        t, c, o = t[order], c[order], o[order]
+        often = c >= 128
+        group = (mix64(t ^ _TURN[0]) >> np.uint64(20)).astype(np.int64) & (number - 1)
+        f = np.flatnonzero(often)
+        by = f[np.lexsort((f, group[f], o[f]))]  # by set, group, place in the order
+        first = np.ones(len(by), bool)
+        first[1:] = (o[by[1:]] != o[by[:-1]]) | (group[by[1:]] != group[by[:-1]])
+        covers = np.ones(len(t), np.int64)
+        covers[by[first]] = 0
+        before = np.cumsum(covers) - covers
+        starts = np.cumsum(size[takes]) - size[takes]
+        before -= np.repeat(before[starts] if len(starts) else starts, size[takes])
+        inside = before <= np.repeat(lacking(size[takes], num, den), size[takes])
+        if number == 1 or len(takes):
+            single = inside & (c > 0) & ~often & (number == low[o])
+            add(t[single], o[single], False)
+        by, first = by[inside[by]], first[inside[by]]
+        start = np.maximum.accumulate(np.where(first, np.arange(len(by)), 0))
+        rank = np.arange(len(by)) - start  # pairs of each token with those before it in its group
+        right, left = np.repeat(np.arange(len(by)), rank), gather(start, rank)
+        with np.errstate(over="ignore"):
+            add(mix64(mix64(t[by[left]] * _TURN[1] + np.uint64(number)) + t[by[right]] * _TURN[2]), o[by[right]], True)
+        number *= 2
+    return np.concatenate(keys), np.concatenate(of), np.concatenate(kind)
+
+
+ROUND2 = "kind string, key long, payload binary"
+_ROUND2 = pa.schema([("kind", pa.string()), ("key", pa.int64()), ("payload", pa.binary())])
 
 
 def _round2(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _ROUND2, strict=True)], schema=_ROUND2)
 
 
-def key_messages(sets: Sets, class_: np.ndarray, bits: int, num: int, den: int, frequent: int, k: int, most: int) -> Iterator[pa.RecordBatch]:
-    """Round 2: by bucket, the block's prefix keys with their smallest holder; edges from other holders to it; documents."""
-    keys, holders = [], []
-    frequent_class = int(np.log2(frequent)) + 1
-    some = np.add.reduceat(class_ > 0, sets.offs[:-1][sets.own]) if len(sets.own) else []
-    for i, held in zip(sets.own, some, strict=True):
-        n = int(sets.size[i])
-        if held + lacking(n, num, den) >= n:  # enough tokens that others hold
-            a, b = sets.offs[i], sets.offs[i + 1]
-            found = prefix_keys(sets.tokens[a:b], class_[a:b], num, den, frequent_class, k, most)
-            keys.append(found)
-            holders.append(np.full(len(found), sets.ids[i]))
-    rows = [("doc", sets.block, b"".join((sets.ids.tobytes(), sets.size.astype(np.int64).tobytes(), sets.ids[sets.rep].tobytes())))]
-    if keys:
-        key, holder = np.concatenate(keys), np.concatenate(holders)
-        order = np.lexsort((holder, key))
-        key, holder = key[order], holder[order]
-        new = np.ones(len(key), bool)
-        new[1:] = key[1:] != key[:-1]
-        least = holder[np.flatnonzero(new)][np.cumsum(new) - 1]
-        edges = np.unique(np.stack((holder, least), 1)[holder != least], axis=0)
-        rows.append(("edge", sets.block, edges.astype(np.int64).tobytes()))
-        key, holder = key[new], holder[new]
-        for b, x, y in bounds((key >> np.uint64(64 - bits)).astype(np.int64)):
-            rows.append(("key", b, key[x:y].tobytes() + holder[x:y].tobytes()))
+def key_messages(sets: Sets, class_: np.ndarray, bits: int, num: int, den: int, kinds: tuple[bool, ...] = (False, True)) -> Iterator[pa.RecordBatch]:
+    """Round 2: by bucket, the block's prefix keys with their holders; the sets that may link; documents.
+
+    kinds: which keys to tell, single tokens (False) and combinations (True); for measurements."""
+    known = sets.known
+    yield _round2([("doc", sets.block, b"".join((sets.ids.tobytes(), sets.size.astype(np.int64).tobytes(), sets.ids[sets.rep].tobytes(), known.astype(np.int64).tobytes())))])
+    if not len(sets.own):
+        return
+    some = np.add.reduceat(class_ > 0, sets.offs[:-1][sets.own])
+    use = sets.own[some >= sets.size[sets.own] - lacking(sets.size[sets.own], num, den)]  # enough tokens that others hold
+    if not len(use):
+        return
+    at = gather(sets.offs[:-1][use], sets.size[use])
+    key, of, kind = prefix_keys(sets.tokens[at], class_[at], sets.size[use], num, den)
+    told = np.isin(kind, kinds)
+    key, holder = key[told], sets.ids[use][of[told]]
+    order = np.lexsort((holder, key))
+    key, holder = key[order], holder[order]
+    rows = []
+    for b, x, y in bounds((key >> np.uint64(64 - bits)).astype(np.int64)):
+        rows.append(("key", b, key[x:y].tobytes() + holder[x:y].tobytes()))
+    for i in use.tolist():
+        a, b = sets.offs[i], sets.offs[i + 1]
+        rows.append(("set", int(sets.ids[i]), np.int64(b - a).tobytes() + sets.tokens[a:b][class_[a:b] > 0].tobytes()))
     yield _round2(rows)
 
 
-def key_edges(table: pa.Table) -> Iterator[pa.RecordBatch]:
+def key_stars(table: pa.Table) -> Iterator[pa.RecordBatch]:
     """From a bucket of keys: edges from every holder to the key's smallest."""
     blobs = table.column("payload").to_pylist()
     key = np.concatenate([np.frombuffer(x, np.uint64, len(x) // 16) for x in blobs])
@@ -242,89 +296,75 @@ def key_edges(table: pa.Table) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1])], names=["a", "b"])
 
 
-def unpacked_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for blob in b.column("payload").to_pylist():
-            e = np.frombuffer(blob, np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(e[:, 0]), pa.array(e[:, 1])], names=["a", "b"])
-
-
 def unpacked_docs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for blob in b.column("payload").to_pylist():
-            d = np.frombuffer(blob, np.int64).reshape(3, -1)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in d], names=["doc_id", "n_shingles", "rep"])
-
-
-def link_components(sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
-    """For each set the first set that links reach; exact, without listing the pairs of connected groups."""
-    m = len(sets)
-    size = np.array([len(s) for s in sets], np.int64)
-    offs = np.concatenate(([0], np.cumsum(size)))
-    _, ids, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    root = list(range(m))
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    mark = np.zeros(len(df), bool)
-    holders: dict[int, dict[int, list[int]]] = {}  # token -> component -> sets
-    for x in np.argsort(size, kind="stable").tolist():
-        own, n = ids[offs[x] : offs[x + 1]], int(size[x])
-        first = own[np.lexsort((own, df[own]))[: lacking(n, num, den) + 1]]
-        shared = [t for t in first[df[first] > 1].tolist()]
-        mark[own] = True
-        tried: set[int] = set()
-
-        def link(candidates: list[int]) -> None:
-            tried.update(candidates)
-            c = np.array([y for y in candidates if size[y] * den >= n * num], np.int64)  # earlier sets aren't larger
-            if not len(c):
-                return
-            both = np.add.reduceat(mark[ids[gather(offs[c], size[c])]], np.cumsum(size[c]) - size[c], dtype=np.int64)
-            for y in c[den * both >= num * (n + size[c] - both)].tolist():
-                a, b = find(x), find(y)
-                root[max(a, b)] = min(a, b)
-
-        for only_one in (True, False):  # one set of each component first: mostly enough
-            mine = find(x)
-            found: set[int] = set()
-            for t in shared:
-                by = holders.get(t)
-                for r in list(by or ()):
-                    now = find(r)
-                    if now != r:
-                        by.setdefault(now, []).extend(by.pop(r))
-                    if now != mine:
-                        found.update(by[now][:1] if only_one else by[now])
-            link(sorted(found - tried))
-        mark[own] = False
-        mine = find(x)
-        for t in shared:
-            holders.setdefault(t, {}).setdefault(mine, []).append(x)
-    return np.array([find(x) for x in range(m)], np.int64)
+            d = np.frombuffer(blob, np.int64).reshape(4, -1)
+            yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in d[:3]), pa.array(d[3] > 0)], names=["doc_id", "n_shingles", "rep", "known"])
+
+
+def links_between(left: list[tuple], right: list[tuple], num: int, den: int) -> list[tuple[int, int]]:
+    """Which sets of the left link with sets of the right that are in another component; one link for each component
+    that the right side brings is enough. left, right: doc_id, component, size, sorted shared tokens."""
+    ids, comp = np.array([r[0] for r in right]), np.array([r[1] for r in right])
+    size, own = np.array([r[2] for r in right]), np.array([len(r[3]) for r in right])
+    tokens = np.concatenate([r[3] for r in right])
+    offs, out = np.cumsum(own) - own, []
+    for doc_id, part, n, mine in left:
+        most = np.minimum(len(mine), own)
+        open_ = np.flatnonzero((comp != part) & (ids != doc_id) & (most * (num + den) >= num * (n + size)))
+        if not len(open_):
+            continue
+        at = gather(offs[open_], own[open_])
+        place = np.minimum(np.searchsorted(mine, tokens[at]), len(mine) - 1)
+        both = np.add.reduceat((mine[place] == tokens[at]).astype(np.int64), np.cumsum(own[open_]) - own[open_])
+        linked = open_[den * both >= num * (n + size[open_] - both)]
+        out += [(doc_id, int(ids[k])) for k in linked[np.unique(comp[linked], return_index=True)[1]]]
+    return out
 
 
 def joined(num: int, den: int):
-    """Verifies the sets of a candidate component; edges from each to the first of its component of links."""
+    """Verifies the sets of a task; rows: task, side (0 or 1), doc_id, component, payload."""
 
     def then(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        ids = table.column("doc_id").to_numpy()
-        order = np.argsort(ids, kind="stable")
-        blobs = table.column("tokens").to_pylist()
-        found = link_components([np.frombuffer(blobs[i], np.uint64) for i in order], num, den)
-        ids = ids[order]
-        linked = found != np.arange(len(found))
-        yield pa.RecordBatch.from_arrays([pa.array(ids[linked]), pa.array(ids[found[linked]])], names=["a", "b"])
+        sides: tuple[list, list] = ([], [])
+        for side, doc_id, comp, blob in zip(*(table.column(c).to_pylist() for c in ("side", "doc_id", "component", "payload")), strict=True):
+            sides[side].append((doc_id, comp, int(np.frombuffer(blob, np.int64, 1)[0]), np.frombuffer(blob, np.uint64, -1, 8)))
+        found = links_between(*sides, num, den) if all(sides) else []
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
 
     return then
 
 
-def near_duplicates(documents: DataFrame, width: int = 5, num: int = 8, den: int = 10, frequent: int = FREQUENT, k: int = COMBINATION, most_tokens: int = MOST_TOKENS, most_combinations: int = MOST_COMBINATIONS) -> DataFrame:
-    """doc_id, n_shingles, component_id: the smallest doc_id that links of Jaccard at least num/den reach."""
+def _compared(left: DataFrame, right: DataFrame, sets: DataFrame, n: int, num: int, den: int, spread: int) -> DataFrame:
+    """Links a, b between the sets of each hub's left and right side. left, right: hub, doc_id, component.
+
+    Both sides are cut by hash into parts of about `spread` sets, and each part of the one meets each of the other in a task.
+    Only hubs that need cutting are looked up, by a broadcast while they are few (`MOST_BROADCAST`, by count)."""
+    parts = lambda d, name: d.groupBy("hub").agg(F.ceil(F.count("*") / F.lit(spread)).alias(name))
+    large = checkpointed(parts(left, "i").join(parts(right, "j"), "hub").where("i > 1 or j > 1"))
+    cut = F.broadcast(large) if large.count() <= MOST_BROADCAST else large
+    place = lambda c: F.pmod(F.xxhash64("doc_id"), F.coalesce(c, F.lit(1)))
+    every = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(c, F.lit(1)) - 1))
+    task = F.concat_ws(":", "hub", "x", "y").alias("task")
+    one = left.join(cut, "hub", "left").withColumn("x", place("i")).withColumn("y", every("j")).select(task, F.lit(0).alias("side"), "doc_id", "component")
+    two = right.join(cut, "hub", "left").withColumn("y", place("j")).withColumn("x", every("i")).select(task, F.lit(1).alias("side"), "doc_id", "component")
+    return regroup(one.unionByName(two).join(sets, "doc_id"), "task", n, joined(num, den), "a long, b long")
+
+
+def _apart(stars: DataFrame, found: DataFrame) -> DataFrame:
+    """a, b, ca, cb: edges whose ends aren't connected, with their components. found: node, component."""
+    d = stars
+    for end in ("a", "b"):
+        part = found.select(F.col("node").alias(end), F.col("component").alias("c" + end))
+        d = d.join(part, end, "left").withColumn("c" + end, F.coalesce("c" + end, end))
+    return d.where("ca <> cb")
+
+
+def near_duplicates(documents: DataFrame, width: int = 5, num: int = 8, den: int = 10, rare: float = RARE, spread: int = SPREAD, kinds: tuple[bool, ...] = (False, True)) -> DataFrame:
+    """doc_id, n_shingles, component_id: the smallest doc_id that links of Jaccard at least num/den (a half or more) reach."""
+    if not den <= 2 * num <= 2 * den:
+        raise ValueError("num/den must be from a half to one")
     n_blocks = sizes(documents)
     n, bits = partitions(n_blocks), max(1, int(np.ceil(np.log2(max(2, partitions(n_blocks))))))
     texts = deal(documents, n_blocks)
@@ -336,49 +376,38 @@ def near_duplicates(documents: DataFrame, width: int = 5, num: int = 8, den: int
         if not len(table):
             return _table(iter(()), _ROUND2)
         sets = Sets(table, width)
-        return _table(key_messages(sets, _classes(sets, answers, bits), bits, num, den, frequent, k, most_combinations), _ROUND2)
+        return _table(key_messages(sets, _classes(sets, answers, bits), bits, num, den, kinds), _ROUND2)
 
     told = texts.groupBy("block").applyInArrow(tell, MESSAGE)
-    answers = regroup(told, "bucket", n, token_answers, MESSAGE).repartition(n, "block")
+    answers = regroup(told, "bucket", n, token_answers(rare), MESSAGE).repartition(n, "block")
     second = checkpointed(texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(tell_keys, ROUND2))
-    docs = second.where("kind = 'doc'").mapInArrow(unpacked_docs, "doc_id long, n_shingles long, rep long")
-    inside = second.where("kind = 'edge'").mapInArrow(unpacked_edges, "a long, b long")
-    across = regroup(second.where("kind = 'key'").drop("kind"), "bucket", n, key_edges, "a long, b long")
-    candidates = checkpointed(components(inside.unionByName(across)))
-
-    # parts of large components, from the sizes alone
-    shingles = docs.where("doc_id = rep").groupBy("doc_id").agg(F.max("n_shingles").alias("n"))
-    sized = candidates.join(shingles, candidates["node"] == shingles["doc_id"]).select("node", "component", "n")
-    total = sized.groupBy("component").agg(F.ceil(F.sum("n") / F.lit(most_tokens)).cast("int").alias("parts"))
-    placed = sized.join(total, "component").select("node", "component", "parts", block_of(F.col("node"), n_blocks).alias("block"))
-    placed = checkpointed(placed)
-    cut = placed.where("parts > 1").limit(1).count() > 0
-
-    def send(table: pa.Table, wanted: pa.Table) -> pa.Table:
-        if not len(table) or not len(wanted):
-            return _table(iter(()), _SENT)
-        sets = Sets(table, width)
-        at = {int(sets.ids[i]): i for i in sets.own}
-        rows = []
-        for node, comp, parts in zip(*(wanted.column(c).to_pylist() for c in ("node", "component", "parts")), strict=True):
-            i = at[node]
-            blob = sets.tokens[sets.offs[i] : sets.offs[i + 1]].tobytes()
-            mine = int(mix64(np.array([node], np.uint64))[0] % np.uint64(parts))
-            for other in range(parts):
-                if parts == 1 or other != mine:
-                    rows.append((f"{comp}:{min(mine, other)}:{max(mine, other)}", node, blob))
-        return pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _SENT, strict=True)], schema=_SENT)
-
-    sent = texts.groupBy("block").cogroup(placed.repartition(n, "block").groupBy("block")).applyInArrow(send, "task string, doc_id long, tokens binary")
-    links = checkpointed(regroup(sent, "task", n, joined(num, den), "a long, b long"))
-    labels = components(links) if cut else links.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    docs = map_arrow(second.where("kind = 'doc'"), unpacked_docs, "doc_id long, n_shingles long, rep long, known boolean")
+    sets = second.where("kind = 'set'").select(F.col("key").alias("doc_id"), "payload")
+    stars = checkpointed(regroup(second.where("kind = 'key'").drop("kind"), "key", n, key_stars, "a long, b long").distinct())
+
+    hub = F.col("b").alias("hub")
+    one = lambda d, end, c: d.select(hub, F.col(end).alias("doc_id"), F.col(c).alias("component")).distinct()
+    # rows of one doc_id with several sets are one document
+    same = docs.where("known").groupBy("doc_id").agg(F.min("rep").alias("x"), F.max("rep").alias("y")).where("x <> y")
+    same = docs.where("known").join(same, "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    def connected(found: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+        """Components of what was found so far and of the links between the sides."""
+        return components(found.unionByName(_compared(left, right, sets, n, num, den, spread)))
+
+    edges = lambda found: found.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    least = stars.groupBy("a").agg(F.min("b").alias("b"))
+    found = connected(same, one(least, "b", "b"), one(least, "a", "a"))
+    apart = checkpointed(_apart(stars, found))
+    untried = apart.join(least, ["a", "b"], "left_anti")
+    found = connected(edges(found), one(untried, "b", "cb"), one(untried, "a", "ca"))
+    around = stars.join(apart.select("b").distinct(), "b", "left_semi")
+    apart = checkpointed(_apart(around, found))
+    # the holders that are still apart from their hub, with all holders of that hub
+    around = around.join(apart.select("b").distinct(), "b", "left_semi").join(found.withColumnRenamed("node", "a"), "a", "left")
+    around = around.withColumn("component", F.coalesce("component", "a"))
+    labels = connected(edges(found), one(apart, "a", "ca"), one(around, "a", "component"))
     final = docs.join(labels, docs["rep"] == labels["node"], "left")
-    known = F.col("doc_id") != F.lit(int(NO_ID))
-    rows = final.select(F.when(known, F.col("doc_id")).alias("doc_id"), "n_shingles", F.when(known, F.coalesce("component", "rep")).alias("component_id"))
-    return rows
-
-
-_SENT = pa.schema([("task", pa.string()), ("doc_id", pa.int64()), ("tokens", pa.binary())])
+    return final.select(F.when(F.col("known"), F.col("doc_id")).alias("doc_id"), "n_shingles", F.when(F.col("known"), F.coalesce("component", "rep")).alias("component_id"))
 
 
 def _table(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> pa.Table:
@@ -391,5 +420,5 @@ def digest(documents: DataFrame) -> DataFrame:
 
 def one_of_each(documents: DataFrame, **how) -> DataFrame:
     """The rows of `documents` whose doc_id is the smallest of its component; rows without a doc_id stay."""
-    first = near_duplicates(documents, **how).where("doc_id = component_id").select(F.col("doc_id").alias("__d")).distinct()
-    return documents.join(first, documents["doc_id"] == first["__d"], "left_semi").unionByName(documents.where("doc_id is null"))
+    first = near_duplicates(documents, **how).where("doc_id = component_id").select("doc_id").distinct()
+    return documents.join(first, "doc_id", "left_semi").select(*documents.columns).unionByName(documents.where("doc_id is null"))

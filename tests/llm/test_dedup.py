@@ -10,12 +10,14 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from skeinwork.llm import blocks, ngram_join, suffix_dedup
+from skeinwork.llm import blocks, ngram_join, suffix_dedup, suffix_sort
 from skeinwork.llm.queries import queries
 from skeinwork.llm.suffix_sort import common_prefixes, suffix_array
 
 
-def test_suffixes_are_sorted():
+@pytest.mark.parametrize("rows", [1 << 16, 7])
+def test_suffixes_are_sorted(monkeypatch, rows):
+    monkeypatch.setattr(suffix_sort, "ROWS", rows)
     rnd = random.Random(3)
     for _ in range(200):
         letters = rnd.choice([b"a", b"ab", b"abc\0", bytes(range(256))])
@@ -71,7 +73,18 @@ def test_removal_over_many_small_blocks(documents, monkeypatch):
         own = " ".join(rnd.choice(words) for _ in range(rnd.randrange(60)))
         rows.append((i, rnd.choice([own, passage[rnd.randrange(50) :] + own, own + passage[: rnd.randrange(120)], "=" * rnd.randrange(300), passage])))
     rows += [(None, passage + "!"), (5, passage), (5, "z" * 60)]
+    rows += [(2**63 - 1, passage + "??"), (2**63 - 1, "x" + passage + "??"), (-3, passage[10:])]
     monkeypatch.setattr(suffix_dedup, "sizes", lambda d: 13)
+    for length in (50, 16, 90):
+        got = sorted((tuple(r) for r in suffix_dedup.remove_repeats(documents(rows), length).collect()), key=str)
+        assert got == _removed(rows, length)
+
+
+def test_removal_from_very_long_texts(documents, monkeypatch):
+    rnd = random.Random(4)
+    long = "".join(rnd.choice("abcd ") for _ in range(9000))
+    rows = [(1, long), (2, long[4000:] + "!" + long[:3000]), (3, "x" * 5000 + long[100:300]), (4, "x" * 400)]
+    monkeypatch.setattr(suffix_dedup, "PIECE", 700)
     got = sorted((tuple(r) for r in suffix_dedup.remove_repeats(documents(rows)).collect()), key=str)
     assert got == _removed(rows)
 
@@ -134,14 +147,63 @@ def _copies(n, seed):
     return rows
 
 
-@pytest.mark.parametrize(("width", "num", "den", "frequent", "k"), [(3, 9, 10, 1000, 2), (2, 8, 10, 3, 2), (5, 8, 10, 2, 3), (1, 6, 10, 4, 2)])
-@pytest.mark.parametrize("most_combinations", [6, 1000])
-def test_join_of_many_copies(documents, monkeypatch, width, num, den, frequent, k, most_combinations):
+@pytest.mark.parametrize(("width", "num", "den", "rare"), [(3, 9, 10, 0.25), (2, 8, 10, 0.0), (5, 8, 10, 0.5), (1, 6, 10, 0.9), (1, 1, 2, 0.0)])
+@pytest.mark.parametrize("spread", [3, 64])
+def test_join_of_many_copies(documents, monkeypatch, width, num, den, rare, spread):
     rows = _copies(300, width)
     monkeypatch.setattr(ngram_join, "sizes", lambda d: 9)
-    for most in (8_000_000, 400):  # whole components, and components in parts
-        got = {tuple(r) for r in ngram_join.near_duplicates(documents(rows), width, num, den, frequent, k, most, most_combinations).collect()}
-        assert got == _components(_sets(rows, width), num, den)
+    got = {tuple(r) for r in ngram_join.near_duplicates(documents(rows), width, num, den, rare, spread).collect()}
+    assert got == _components(_sets(rows, width), num, den)
+
+
+@pytest.mark.parametrize(("num", "den"), [(8, 10), (9, 10), (1, 2)])
+def test_two_linked_sets_have_a_key_in_common(num, den):
+    """For sets of all sizes, classes at random: linked ones share a rare token or a combination, and keys stay few."""
+    rnd = np.random.default_rng(5)
+    for n in [*range(1, 12), *rnd.integers(12, 1500, 40).tolist()]:
+        pool = np.unique(rnd.integers(1, 1 << 62, 2 * n + 4).astype(np.uint64))
+        rnd.shuffle(pool)
+        class_of = dict(zip(pool.tolist(), np.where(rnd.random(len(pool)) < rnd.choice([0.02, 0.4, 1.0]), 130 + rnd.integers(0, 3, len(pool)), rnd.integers(1, 3, len(pool))).tolist(), strict=True))
+        a = pool[:n]
+        for gone in range(n - -(-n * num // den) + 1):
+            left = n - gone  # tokens that both have; the second set's own ones as many as the link allows
+            more = rnd.integers(0, max(0, left * den // num - n) + 1)
+            b = np.concatenate((a[gone:], pool[n : n + more]))
+            if left * den < num * (n + more) or not left:
+                continue
+            tokens = np.concatenate((np.sort(a), np.sort(b)))
+            size = np.array([len(a), len(b)])
+            class_ = np.array([class_of[t] for t in tokens.tolist()], np.uint8)
+            key, of, combined = ngram_join.prefix_keys(tokens, class_, size, num, den)
+            assert set(key[of == 0].tolist()) & set(key[of == 1].tolist())
+            assert len(key) <= 14 * size.sum() + 20
+
+
+def test_frequent_comes_from_the_data():
+    assert ngram_join.first_frequent(np.array([], np.int64), 0.25) == 1
+    holders = np.array([2] * 50 + [3] * 20 + [10] * 10 + [500])
+    assert ngram_join.first_frequent(holders, 0.0) == 3
+    assert ngram_join.first_frequent(holders, 0.25) == 11
+    assert ngram_join.first_frequent(np.concatenate((holders, [500, 500, 500])), 0.05) == 4
+
+
+def test_counts_of_tokens_are_whole():
+    low, count = np.arange(5, dtype=np.uint32), np.array([1, 254, 255, 256, 70_000])
+    got = ngram_join._uncounted(ngram_join._counted(low, count))
+    assert got[0].tolist() == low.tolist()
+    assert got[1].tolist() == count.tolist()
+
+
+def test_rows_of_one_document_have_all_its_links(documents, monkeypatch):
+    """Two texts of one doc_id, each with a copy elsewhere, over several blocks."""
+    rnd = random.Random(2)
+    text = lambda: " ".join(rnd.choice("abcdefghij") * 3 + str(rnd.randrange(99)) for _ in range(40))
+    one, two, other = text(), text(), text()
+    rows = [(10, one), (10, two), (20, one), (30, two + " z"), (40, other), (5, two), (None, one), (None, other)]
+    for n in (1, 7, 50):
+        monkeypatch.setattr(ngram_join, "sizes", lambda d, n=n: n)
+        got = {(r["doc_id"], r["component_id"]) for r in ngram_join.near_duplicates(documents(rows), 3, 8, 10).collect()}
+        assert got == {(10, 5), (20, 5), (30, 5), (5, 5), (40, 40), (None, None)}
 
 
 def test_join_of_odd_documents(odd, nothing):
