@@ -6,17 +6,20 @@ Places in a row that share a minimizer make one segment (its places and the leng
 over blocks (see blocks):
 
 1. Blocks tell which minimizers they hold, and whether in two documents. Buckets answer with those that two documents
-   anywhere hold; all other segments cannot repeat and are never sent.
-2. Blocks send the segments of those minimizers, equal ones once with the smallest doc_id that has them. A bucket sorts the
-   suffixes at all places of its segments in two stages (see suffix_sort) and computes adjacent common prefixes; places
-   whose prefixes agree for `length` bytes are one string, and the smallest doc_id of each is known. The answer is a bit
-   for each place of a segment: whether a document before the segment's own smallest has the string.
-3. Blocks put the bits onto their documents: a segment's other documents lose all its places (the smallest has them), the
-   smallest loses those with a bit. Covered bytes and runs follow.
+   anywhere hold; all other segments cannot repeat and are never sorted.
+2. A block sorts the suffixes at all places of the segments of those minimizers in two stages (see suffix_sort) and computes
+   adjacent common prefixes; places whose prefixes agree for `length` bytes are one string. The first place of each string
+   speaks for it, and the segments around such places are sent, so what many documents of a block share is sent once. A
+   bucket sorts what all blocks sent in the same way and answers with a bit for each place: whether a document before the
+   sender's has the string.
+3. A place goes if the first place of its string in the block is an earlier document's, or if that one's bit is set. Blocks
+   sort once more for that. Covered bytes and runs follow.
+
+Every removal so comes from two neighbours in a suffix order. `length` may be anything from 16 bytes on.
 
 Defined cases: null counts as an empty text; texts shorter than `length` lose nothing; matches inside one document or among
-rows of one doc_id remove nothing; rows with a null doc_id come after all others and lose to them only; an empty table gives
-no rows; other columns play no part.
+rows of one doc_id remove nothing; rows with a null doc_id come after all others and lose to them only; very long texts are
+walked in pieces; an empty table gives no rows; other columns play no part.
 """
 
 from __future__ import annotations
@@ -29,12 +32,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skeinwork.llm.blocks import NO_ID, Texts, bounds, deal, partitions, regroup, sizes
+from skeinwork.llm.blocks import Texts, bounds, deal, partitions, regroup, sizes
 from skeinwork.llm.common import mix64, slices
 from skeinwork.llm.segments import gather
 from skeinwork.llm.suffix_sort import common_prefixes, suffix_array
 
-LENGTH, GRAM, MOST_PLACES = 50, 16, 64
+LENGTH, GRAM, MOST_PLACES, PIECE, NOBODY = 50, 16, 64, 1 << 20, 128
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 MESSAGE = "block int, bucket int, payload binary"
 _MESSAGE = pa.schema([("block", pa.int32()), ("bucket", pa.int32()), ("payload", pa.binary())])
@@ -46,12 +49,15 @@ class Segments:
     def __init__(self, texts: Texts, length: int = LENGTH):
         self.texts, self.length = texts, length
         starts, counts, least, of = [], [], [], []
-        for i, j, data, offs in slices(texts.data, texts.offs, 1 << 20):
-            s, n, h = _runs(data, offs, length)
-            starts.append(s + texts.offs[i])
-            counts.append(n)
-            least.append(h)
-            of.append(np.searchsorted(offs, s, "right") - 1 + i)
+        for i, j, data, offs in slices(texts.data, texts.offs, PIECE):
+            for a in range(0, max(1, len(data)), PIECE) if len(data) > 2 * PIECE else (0,):  # one very long text, in pieces of places
+                b = min(len(data), a + PIECE + length - 1) if len(data) > 2 * PIECE else len(data)
+                s, n, h = _runs(data[a:b], offs if b - a == len(data) else np.array([0, b - a]), length)
+                s = s + a
+                starts.append(s + texts.offs[i])
+                counts.append(n)
+                least.append(h)
+                of.append(np.searchsorted(offs, s, "right") - 1 + i)
         join = lambda x, kind: np.concatenate(x) if x else np.empty(0, kind)
         self.start, self.count, self.hash, self.of = join(starts, np.int64), join(counts, np.int64), join(least, np.uint64), join(of, np.int64)
 
@@ -144,34 +150,45 @@ def minimizer_answers(table: pa.Table) -> Iterator[pa.RecordBatch]:
     yield from _batches(rows)
 
 
-class Sent:
-    """The distinct segments that a block sends, and which of them each of its segments is."""
+def _width(length: int) -> int:
+    return -(-length // 8) * 8
+
+
+class Ranked:
+    """The strings of a block's held segments in suffix order, and the segments it sends."""
 
     def __init__(self, seg: Segments, answers: pa.Table, bits: int):
         bucket, low = _parts(seg.hash, bits)
         wanted = [np.uint64(b) << np.uint64(32) | np.frombuffer(x, np.uint32).astype(np.uint64) for b, x in zip(answers.column("bucket").to_pylist(), answers.column("payload").to_pylist(), strict=True)]
         full = bucket.astype(np.uint64) << np.uint64(32) | low.astype(np.uint64)
-        hit = np.isin(full, np.concatenate(wanted)) if wanted else np.zeros(len(full), bool)
-        self.at = np.flatnonzero(hit)
-        body, known = seg.texts.data.tobytes(), {}
-        start, count = seg.start[self.at], seg.count[self.at]
-        end = start + count + seg.length - 1
-        # documents ascend, so the first holder has the smallest doc_id
-        self.which = np.array([known.setdefault(body[s:e], len(known)) for s, e in zip(start.tolist(), end.tolist(), strict=True)], np.int64)
-        self.bytes = list(known)
-        first = np.full(len(known), -1, np.int64)
-        first[self.which[::-1]] = np.arange(len(self.which))[::-1]
-        self.first = first
-        self.holder = seg.texts.ids[seg.of[self.at[first]]]
-        self.count = count[first]
-        self.bucket = bucket[self.at[first]]
-        self.order = np.argsort(self.bucket, kind="stable")
-
-    def messages(self, block: int) -> pa.Table:
-        rows = []
-        for b, x, y in bounds(self.bucket[self.order]):
-            own = self.order[x:y]
-            rows.append((block, b, b"".join((np.int64(len(own)).tobytes(), self.holder[own].tobytes(), self.count[own].astype(np.uint8).tobytes(), *(self.bytes[i] for i in own.tolist())))))
+        at = np.flatnonzero(np.isin(full, np.concatenate(wanted))) if wanted else np.empty(0, np.int64)
+        text, self.length = seg.texts.data, seg.length
+        place = gather(seg.start[at], seg.count[at])
+        segment = np.repeat(np.arange(len(at)), seg.count[at])
+        marked = np.zeros(len(text), bool)
+        marked[place] = True
+        self.order = suffix_array(text, marked, _width(seg.length))
+        head = common_prefixes(self.order, text, seg.length) < seg.length
+        # documents ascend, so the first place of a string is in the earliest document that has it
+        self.first = np.minimum.reduceat(self.order, np.flatnonzero(head)) if len(self.order) else self.order
+        self.string = np.cumsum(head) - 1
+        speaks = np.zeros(len(text), bool)
+        speaks[self.first] = True
+        own = np.flatnonzero(speaks[place])
+        # each sent segment from its first place that speaks to its last
+        which, begin = np.unique(segment[own], return_index=True)
+        end = np.append(begin[1:], len(own)) - 1 if len(own) else begin
+        self.start, self.count = place[own[begin]], place[own[end]] - place[own[begin]] + 1
+        self.of, self.bucket = seg.of[at[which]], bucket[at[which]]
+        self.by = np.argsort(self.bucket, kind="stable")
+
+    def messages(self, texts: Texts) -> pa.Table:
+        rows, body, size = [], texts.data, self.length - 1
+        for b, x, y in bounds(self.bucket[self.by]):
+            own = self.by[x:y]
+            count = (self.count[own] | np.where(texts.known[self.of[own]], 0, NOBODY)).astype(np.uint8)
+            strings = body[gather(self.start[own], self.count[own] + size)]
+            rows.append((texts.block, b, b"".join((np.int64(len(own)).tobytes(), texts.ids[self.of[own]].tobytes(), count.tobytes(), strings.tobytes()))))
         return _table(rows)
 
 
@@ -181,55 +198,54 @@ def sorted_answers(length: int):
     def then(table: pa.Table) -> Iterator[pa.RecordBatch]:
         blocks, blobs, bucket = table.column("block").to_pylist(), table.column("payload").to_pylist(), table.column("bucket")[0].as_py()
         n = np.array([int(np.frombuffer(x, np.int64, 1)[0]) for x in blobs])
-        sent_by = np.concatenate([np.frombuffer(x, np.int64, k, 8) for x, k in zip(blobs, n, strict=True)])
-        places = np.concatenate([np.frombuffer(x, np.uint8, k, 8 + 8 * k) for x, k in zip(blobs, n, strict=True)]).astype(np.int64)
-        body = b"".join(x[8 + 9 * k :] for x, k in zip(blobs, n.tolist(), strict=True))
-        # segments that several blocks sent are sorted once, for the smallest document that has them
-        ends, known = np.cumsum(places + length - 1), {}
-        which = np.array([known.setdefault(body[s:e], len(known)) for s, e in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)], np.int64)
-        holder, count = np.full(len(known), NO_ID), np.empty(len(known), np.int64)
-        np.minimum.at(holder, which, sent_by)
-        count[which] = places
+        holder = np.concatenate([np.frombuffer(x, np.int64, k, 8) for x, k in zip(blobs, n, strict=True)])
+        count = np.concatenate([np.frombuffer(x, np.uint8, k, 8 + 8 * k) for x, k in zip(blobs, n, strict=True)])
+        nobody, count = count & NOBODY, (count & (NOBODY - 1)).astype(np.int64)
+        by = np.lexsort((holder, nobody))
+        new = np.ones(len(by), bool)
+        new[1:] = (holder[by[1:]] != holder[by[:-1]]) | (nobody[by[1:]] != nobody[by[:-1]])
+        rank = np.empty(len(by), np.int64)
+        rank[by] = np.cumsum(new)
         size = count + length - 1
         # one text of all segments, a zero byte behind each
         begin = np.cumsum(size + 1) - (size + 1)
         text = np.zeros(int((size + 1).sum()), np.uint8)
-        text[gather(begin, size)] = np.frombuffer(b"".join(known), np.uint8)
+        text[gather(begin, size)] = np.concatenate([np.frombuffer(x, np.uint8, -1, 8 + 9 * k) for x, k in zip(blobs, n.tolist(), strict=True)])
         place = gather(begin, count)
         marked, of = np.zeros(len(text), bool), np.zeros(len(text), np.int32)
         marked[place] = True
         of[place] = np.repeat(np.arange(len(count)), count)
-        order = suffix_array(text, marked)
-        first = common_prefixes(order, text, length) < length
-        owner = holder[of[order]]
-        least = np.minimum.reduceat(owner, np.flatnonzero(first)) if len(order) else owner
-        earlier = order[least[np.cumsum(first) - 1] < owner]
-        bits_of = np.zeros(len(count), np.uint64)
-        np.bitwise_or.at(bits_of, of[earlier], np.uint64(1) << (earlier - begin[of[earlier]]).astype(np.uint64))
-        everywhere = ~np.uint64(0) >> (np.uint64(MOST_PLACES) - places.astype(np.uint64))
-        mask = np.where(sent_by > holder[which], everywhere, bits_of[which])
+        order = suffix_array(text, marked, _width(length))
+        head = common_prefixes(order, text, length) < length
+        owner = rank[of[order]]
+        least = np.minimum.reduceat(owner, np.flatnonzero(head)) if len(order) else owner
+        earlier = order[least[np.cumsum(head) - 1] < owner]
+        mask = np.zeros(len(count), np.uint64)
+        np.bitwise_or.at(mask, of[earlier], np.uint64(1) << (earlier - begin[of[earlier]]).astype(np.uint64))
         rows = [(block, bucket, mask[at : at + k].tobytes()) for block, at, k in zip(blocks, np.cumsum(n) - n, n, strict=True) if mask[at : at + k].any()]
         yield from _batches(rows)
 
     return then
 
 
-def removed(seg: Segments, sent: Sent, answers: pa.Table) -> np.ndarray:
+def removed(texts: Texts, sent: Ranked, answers: pa.Table) -> np.ndarray:
     """Which bytes of the block go."""
-    mask = np.zeros(len(sent.bytes), np.uint64)
-    by = {b: (x, y) for b, x, y in bounds(sent.bucket[sent.order])}
+    mask = np.zeros(len(sent.start), np.uint64)
+    by = {b: (x, y) for b, x, y in bounds(sent.bucket[sent.by])}
     for b, blob in zip(answers.column("bucket").to_pylist(), answers.column("payload").to_pylist(), strict=True):
         x, y = by[b]
-        mask[sent.order[x:y]] = np.frombuffer(blob, np.uint64)
-    own = seg.texts.ids[seg.of[sent.at]]
-    later = own > sent.holder[sent.which]
-    count = seg.count[sent.at]
-    place = gather(seg.start[sent.at], count)
-    inside = np.arange(len(place)) - np.repeat(np.cumsum(count) - count, count)
-    goes = np.repeat(later, count) | (np.repeat(mask[sent.which], count) >> inside.astype(np.uint64) & np.uint64(1)).astype(bool)
-    edge = np.zeros(len(seg.texts.data) + 1, np.int32)
-    np.add.at(edge, place[goes], 1)
-    np.add.at(edge, place[goes] + seg.length, -1)
+        mask[sent.by[x:y]] = np.frombuffer(blob, np.uint64)
+    inside = gather(np.zeros(len(sent.count), np.int64), sent.count)
+    elsewhere = np.zeros(len(texts.data), bool)
+    elsewhere[gather(sent.start, sent.count)] = (np.repeat(mask, sent.count) >> inside.astype(np.uint64) & np.uint64(1)).astype(bool)
+    new = np.ones(len(texts.ids), bool)
+    new[1:] = (texts.ids[1:] != texts.ids[:-1]) | (texts.known[1:] != texts.known[:-1])
+    document = np.repeat(np.cumsum(new), np.diff(texts.offs))  # rows of one doc_id are one
+    first = sent.first[sent.string]
+    goes = sent.order[(document[first] < document[sent.order]) | elsewhere[first]]
+    edge = np.zeros(len(texts.data) + 1, np.int32)
+    np.add.at(edge, goes, 1)
+    np.add.at(edge, goes + sent.length, -1)
     return np.cumsum(edge[:-1]) > 0
 
 
@@ -243,7 +259,7 @@ def results(seg: Segments, gone: np.ndarray, text: bool) -> pa.Table:
         g = gone[a:b]
         kept = t.data[a:b][~g].tobytes()
         spans = int(g[:1].sum() + (g[1:] & ~g[:-1]).sum())
-        doc_id = None if t.ids[i] == NO_ID else int(t.ids[i])
+        doc_id = int(t.ids[i]) if t.known[i] else None
         rows.append((doc_id, b - a, int(g.sum()), spans, hashlib.sha256(kept).hexdigest()) + ((kept,) if text else ()))
     schema = _RESULT.append(pa.field("kept", pa.binary())) if text else _RESULT
     return pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * len(schema), schema, strict=True)], schema=schema)
@@ -251,8 +267,8 @@ def results(seg: Segments, gone: np.ndarray, text: bool) -> pa.Table:
 
 def remove_repeats(documents: DataFrame, length: int = LENGTH, with_text: bool = False) -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and (with_text) the remaining bytes as `kept`."""
-    if not GRAM <= length <= 56:
-        raise ValueError("length must be 16 to 56 bytes")
+    if length < GRAM:
+        raise ValueError(f"length must be {GRAM} bytes or more")
     n_blocks = sizes(documents)
     n = partitions(n_blocks)
     bits = max(1, int(np.ceil(np.log2(2 * n))))
@@ -265,14 +281,14 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH, with_text: bool =
         if not len(table) or not len(wanted):
             return _table([])
         seg = Segments(Texts(table), length)
-        return Sent(seg, wanted, bits).messages(seg.texts.block)
+        return Ranked(seg, wanted, bits).messages(seg.texts)
 
     def third(table: pa.Table, answers: pa.Table) -> pa.Table:
         if not len(table):
             return results(Segments(Texts(table), length), np.empty(0, bool), with_text)
         seg, kind = Segments(Texts(table), length), np.array(answers.column("kind").to_pylist(), object)
-        sent = Sent(seg, answers.filter(pa.array(kind == "held", pa.bool_())), bits)
-        return results(seg, removed(seg, sent, answers.filter(pa.array(kind == "mask", pa.bool_()))), with_text)
+        sent = Ranked(seg, answers.filter(pa.array(kind == "held", pa.bool_())), bits)
+        return results(seg, removed(seg.texts, sent, answers.filter(pa.array(kind == "mask", pa.bool_()))), with_text)
 
     held = regroup(texts.groupBy("block").applyInArrow(first, MESSAGE), "bucket", n, minimizer_answers, MESSAGE).repartition(n, "block")
     segments = texts.groupBy("block").cogroup(held.groupBy("block")).applyInArrow(second, MESSAGE)

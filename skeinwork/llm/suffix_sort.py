@@ -1,19 +1,19 @@
 """Two-stage suffix sorting on numpy arrays.
 
-A suffix is of kind S if it isn't larger than its successor, else of kind L. S suffixes are sorted directly, by 64-bit words
-of their first 56 bytes; L suffixes are induced: scanning the suffix array from the left, each suffix whose predecessor is of
-kind L puts that predecessor at the front of its first byte's bucket. The scan goes bucket by bucket; what a bucket's own
-suffixes put into the same bucket (runs of one byte) comes in waves, each wave one array operation.
+A suffix is of kind S if it isn't larger than its successor, else of kind L. S suffixes are sorted directly, by their first
+`width` bytes; L suffixes are induced: scanning the suffix array from the left, each suffix whose predecessor is of kind L puts
+that predecessor at the front of its first byte's bucket. The scan goes bucket by bucket; what a bucket's own suffixes put into
+the same bucket (runs of one byte) comes in waves, each wave one array operation.
 
 Only marked positions are sorted, and what they need: the positions behind an L position up to the next S. Order is right
-for the first 56 bytes; suffixes that agree so far are next to each other, in any order.
+for the first `width` bytes; suffixes that agree so far are next to each other, in any order.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-WORDS = 7
+WIDTH, ROWS = 56, 1 << 16
 
 
 def kinds(text: np.ndarray) -> np.ndarray:
@@ -29,30 +29,19 @@ def kinds(text: np.ndarray) -> np.ndarray:
     return s
 
 
-def words(text: np.ndarray) -> list[np.ndarray]:
-    """For k = 0..6 a view of the big-endian words at bytes 8k.. of every suffix; beyond the end are zeros."""
-    padded = np.concatenate((text, np.zeros(8 * WORDS + 8, np.uint8)))
-    return [np.ndarray((len(text),), ">u8", padded, 8 * k, (1,)) for k in range(WORDS)]
-
-
-def direct(suffixes: np.ndarray, view: list[np.ndarray]) -> np.ndarray:
-    """Suffixes sorted by their first 56 bytes; word by word, only groups that are still tied go on."""
-    order = suffixes[np.argsort(view[0][suffixes].astype(np.uint64), kind="stable")]
-    tied = view[0][order].astype(np.uint64)
-    new = np.ones(len(order), bool)
-    new[1:] = tied[1:] != tied[:-1]
-    for k in range(1, WORDS):
-        alone = new.copy()
-        alone[:-1] &= new[1:]
-        at = np.flatnonzero(~alone)
-        if not len(at):
-            break
-        group, word = np.cumsum(new)[at], view[k][order[at]].astype(np.uint64)
-        by = np.lexsort((word, group))
-        order[at], word = order[at][by], word[by]
-        changed = np.ones(len(at), bool)
-        changed[1:] = word[1:] != word[:-1]
-        new[at] |= changed
+def heads(text: np.ndarray, width: int) -> np.ndarray:
+    """A view of the first `width` bytes of every suffix as fixed strings, which numpy compares byte by byte; beyond the end are
+    zeros, which compare as such strings' padding does."""
+    return np.ndarray((len(text),), f"S{width}", np.concatenate((text, np.zeros(width, np.uint8))), 0, (1,))
+
+
+def direct(suffixes: np.ndarray, view: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Suffixes sorted by their heads, one bucket of the first byte after another."""
+    order = suffixes[np.argsort(first, kind="stable")]
+    ends = np.cumsum(np.bincount(first, minlength=256))
+    for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+        if b - a > 1:
+            order[a:b] = order[a:b][np.argsort(view[order[a:b]], kind="stable")]
     return order
 
 
@@ -68,12 +57,13 @@ def needed(marked: np.ndarray, s: np.ndarray) -> np.ndarray:
     return out
 
 
-def suffix_array(text: np.ndarray, marked: np.ndarray) -> np.ndarray:
-    """The marked positions in the order of their suffixes (of their first 56 bytes)."""
+def suffix_array(text: np.ndarray, marked: np.ndarray, width: int = WIDTH) -> np.ndarray:
+    """The marked positions in the order of their suffixes (of their first `width` bytes)."""
     s = kinds(text)
     use = needed(marked, s)
     is_l = use & ~s
-    own = direct(np.flatnonzero(use & s), words(text))
+    small = np.flatnonzero(use & s)
+    own = direct(small, heads(text, width), text[small])
     first = text[own]
     bounds = np.searchsorted(first, np.arange(257))
     waiting: list[list[np.ndarray]] = [[] for _ in range(256)]  # induced L suffixes of each bucket, in order
@@ -113,18 +103,19 @@ def suffix_array(text: np.ndarray, marked: np.ndarray) -> np.ndarray:
 
 
 def common_prefixes(order: np.ndarray, text: np.ndarray, most: int) -> np.ndarray:
-    """Bytes that each suffix shares with the one before it in the order, `most` (up to 56) at most; 0 for the first."""
-    view, n = words(text), len(order)
-    out = np.zeros(n, np.int64)
-    open_ = np.arange(1, n)
-    for k in range(WORDS):
-        if not len(open_) or 8 * k >= most:
-            break
-        differ = view[k][order[open_]].astype(np.uint64) ^ view[k][order[open_ - 1]].astype(np.uint64)
-        same = differ == 0
-        out[open_[same]] += 8
-        rest, bits = open_[~same], differ[~same]
+    """Bytes that each suffix shares with the one before it in the order, `most` at most; 0 for the first."""
+    width = -(-most // 8) * 8
+    view, out = heads(text, width), np.zeros(len(order), np.int64)
+    for a in range(0, len(order), ROWS):
+        b = min(len(order), a + ROWS)
+        rows = view[order[max(a - 1, 0) : b]].view(">u8").reshape(-1, width // 8)
+        differ = rows[1:] != rows[:-1]
+        word = differ.argmax(1)
+        at = np.arange(len(word))
+        bits = (rows[1:][at, word] ^ rows[:-1][at, word]).astype(np.uint64)
+        shared = 8 * word
         for shift in (56, 48, 40, 32, 24, 16, 8):
-            out[rest] += bits >> np.uint64(shift) == 0
-        open_ = open_[same]
+            shared += bits >> np.uint64(shift) == 0
+        shared[~differ.any(1)] = most
+        out[b - len(shared) : b] = shared
     return np.minimum(out, most)
