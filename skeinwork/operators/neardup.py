@@ -9,25 +9,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skeinwork.functions.hashing import hamming
+from skeinwork.session import checkpointed
 
 
 #: What a candidate costs (joined and counted in one stage) of what a probe costs (made, shuffled, sorted).
 CANDIDATE = 0.1
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage in the shared checkpoint folder; a folder of our own only where none is set."""
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        where = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not where:
-            import tempfile
-
-            where = f"file://{tempfile.mkdtemp(prefix='skeinwork-')}"
-        sc.setCheckpointDir(where)
-    return df.checkpoint()
-
-
 def bands_for(n: int, distance: int) -> int:
     """How many bands make the fewest probes and candidates together, were the bits random.
 
@@ -77,20 +65,26 @@ def hamming_pairs(signatures: DataFrame, id_: str, distance: int, group: str | N
     return found.withColumn("distance", d).where(F.col("distance") <= distance).select(*out).distinct()
 
 
-def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """node, root: the smallest node of each connected component. Alternating star contractions, checkpointed each round:
-    the number of rounds grows with the logarithm of the longest path, and hubs only ever meet their smallest neighbour."""
+def stars(edges: DataFrame) -> DataFrame:
+    """a, b: every node that has an edge and isn't the smallest of its component, with the smallest. Alternating star
+    contractions, checkpointed each round: the number of rounds grows with the logarithm of the longest path, and hubs only
+    ever meet their smallest neighbour. Nothing but one checksum a round goes to the driver."""
     now = edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     last = None
     while True:
         now = checkpointed(now)
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if seen == last:
-            break
+        if seen == last or not seen[0]:
+            return now
         last = seen
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(least, "a").where("b > a and b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         small = large.join(large.groupBy("a").agg(F.min("b").alias("m")), "a")
         now = small.where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small.select("a", F.col("m").alias("b"))).where("a > b").distinct()
-    return nodes.select("node").distinct().join(now, F.col("node") == F.col("a"), "left").select("node", F.coalesce("b", "node").alias("root"))
+
+
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """node, root: the smallest node of each connected component."""
+    found = stars(edges)
+    return nodes.select("node").distinct().join(found, F.col("node") == F.col("a"), "left").select("node", F.coalesce("b", "node").alias("root"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from skeinwork.operators import tracking as t
 from skeinwork.plans import views as v
 from skeinwork.plans.views import sql
+from skeinwork.session import shared_dir
 
 
 def track_summary(s, d):
@@ -43,12 +44,7 @@ def iou_tracker_stream(s, d):
     """The same detections through the stateful stream, all that is there."""
     from skeinwork.streaming.tracker import run_available
 
-    root = s.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        import tempfile
-
-        root = f"file://{tempfile.mkdtemp(prefix='skeinwork-')}"
-    here = f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    here = f"{shared_dir(s).rstrip('/')}/stream-{uuid.uuid4().hex}"
     key = "spark.sql.streaming.stateStore.providerClass"
     before = s.conf.get(key)
     s.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -21,3 +23,24 @@ def session(master: str | None = None, **more: str) -> SparkSession:
     for k, v in (SETTINGS | {k.replace("__", "."): v for k, v in more.items()}).items():
         builder = builder.config(k, v)
     return builder.getOrCreate()
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, else the session's checkpoint folder. With a local
+    master, where all is one machine, a folder of our own does if neither is set; a cluster must name one."""
+    context = spark.sparkContext
+    current = context._jsc.sc().getCheckpointDir()
+    where = spark.conf.get("spark.checkpoint.dir", None) or (current.get() if current.isDefined() else None)
+    if not where:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        where = f"file://{tempfile.mkdtemp(prefix='skeinwork-')}"
+    if not current.isDefined():
+        context.setCheckpointDir(where)
+    return where
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage in the shared folder, so a lost executor costs no recomputation beyond this point."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint()
