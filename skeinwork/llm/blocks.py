@@ -17,7 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skeinwork.llm.common import checkpointed, map_arrow, text_bytes
+from skeinwork.llm.common import map_arrow, text_bytes
+from skeinwork.operators.neardup import stars
 
 BLOCK_BYTES = 4 << 20
 NO_ID = np.iinfo(np.int64).max
@@ -89,26 +90,7 @@ def bounds(sorted_buckets: np.ndarray) -> Iterator[tuple[int, int, int]]:
         yield int(sorted_buckets[a]), a, b
 
 
-def _round(edges: DataFrame) -> DataFrame:
-    """One large-star and one small-star step; edges a, b with a > b."""
-    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    large = both.join(least, "a").where("b > a and b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-    least = large.groupBy("a").agg(F.min("b").alias("m"))
-    small = large.join(least, "a")
-    return small.where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small.select("a", F.col("m").alias("b"))).where("a > b").distinct()
-
-
 def components(edges: DataFrame) -> DataFrame:
-    """node, component (its smallest node) of the graph of edges a, b; by alternating stars, checkpointed every round.
-
-    Nodes without an edge don't appear. Nothing but one checksum a round goes to the driver."""
-    now = edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    last = None
-    while True:
-        now = checkpointed(now)
-        seen = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if seen == last:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
-        last = seen
-        now = _round(now)
+    """node, component (its smallest node) of the graph of edges a, b; nodes without an edge don't appear."""
+    now = stars(edges)
+    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

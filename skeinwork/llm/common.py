@@ -5,15 +5,19 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import os
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skeinwork.session import checkpointed, shared_dir
+
+__all__ = ["checkpointed", "shared_dir"]
+
 #: Text bytes that Python works on at once; numpy temporaries are a few times this.
 SLICE_BYTES = 4 << 20
 BATCH_ROWS = 1000
@@ -24,29 +28,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        where = current.get() if current.isDefined() else f"file://{tempfile.mkdtemp(prefix='skeinwork-')}"
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(where)
-    return where
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the shared folder, so a lost executor costs no recomputation beyond this point."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def released(run: Callable) -> Callable:
-    """A map over batches that gives freed memory back at its end: workers are kept for later tasks, whatever they do."""
+    """A map over batches that gets them in pieces of BATCH_ROWS rows, which suits long texts whatever the session's batches
+    are, and gives freed memory back at its end: workers are kept for later tasks."""
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(0, max(1, len(b)), BATCH_ROWS):
+                yield b.slice(k, BATCH_ROWS)
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
-            yield from run(batches)
+            yield from run(pieces(batches))
         finally:
             pa.default_memory_pool().release_unused()
             with contextlib.suppress(OSError, AttributeError):
@@ -56,13 +49,18 @@ def released(run: Callable) -> Callable:
 
 
 def map_arrow(df: DataFrame, run: Callable, schema: str) -> DataFrame:
-    """mapInArrow with batches that suit long texts. The session's row limit of a batch is lowered where it is Spark's own."""
-    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if conf.get(key) == "10000":
-        conf.set(key, BATCH_ROWS)
+    """mapInArrow with pieces of batches that suit long texts."""
     return df.mapInArrow(released(run), schema)
 
 
+def own_name(df: DataFrame, name: str) -> str:
+    """A column name that `df` doesn't have, for helpers beside a caller's columns."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def fresh_dir(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
@@ -104,6 +102,62 @@ def slices(data: np.ndarray, offs: np.ndarray, most: int = SLICE_BYTES) -> Itera
         i = j
 
 
+class Ranges:
+    """Where ranges of rows in one order end: fixed values, so that every read of them agrees on every row's range.
+
+    The order is by a numeric column, nulls first, and then by a hash, so that rows of equal value spread, too. Bounds are
+    quantiles by bytes of a sample of the rows' keys, some 30 a range, chosen by hash."""
+
+    SAMPLE, MOST = 30, 10_000  # rows a range; ranges, whose number the driver holds: larger tables have larger ranges
+
+    def __init__(self, keys: DataFrame, wished: int):
+        """keys: at (numeric), hash (long), bytes (long)."""
+        self.n = max(1, min(wished, self.MOST))
+        self.bounds = np.empty((0, 2))
+        if self.n > 1:
+            rows = keys.count()
+            place = F.pmod(F.xxhash64(F.lit("range"), "at", "hash"), F.lit(1 << 30)) / F.lit(1 << 30)
+            found = keys.where(place < min(1.0, self.n * self.SAMPLE / max(1, rows))).select("at", "hash", "bytes").collect()
+            found.sort(key=lambda r: (r["at"] is not None, r["at"] or 0, r["hash"]))
+            ends = np.cumsum([r["bytes"] + 1 for r in found], dtype=np.float64)
+            cut = np.unique(np.searchsorted(ends, np.arange(1, self.n) * (ends[-1] / self.n if len(ends) else 0))).tolist()
+            self.bounds = [(found[k]["at"], found[k]["hash"]) for k in cut if k < len(found)]
+            self.n = len(self.bounds) + 1
+        self.nulls = sum(a is None for a, _ in self.bounds)
+        self.at = np.array([a for a, _ in self.bounds if a is not None])
+        self.hash = np.array([h for _, h in self.bounds], np.int64)
+
+    def of(self, at: np.ndarray, known: np.ndarray, hash_: np.ndarray) -> np.ndarray:
+        """The range of each row; a bound is the last key of its range."""
+        first, end = np.zeros(len(at), np.int64), np.full(len(at), self.nulls)
+        if len(self.at):
+            first[known], end[known] = (np.searchsorted(self.at, at[known], side) + self.nulls for side in ("left", "right"))
+        else:
+            first[known] = end[known] = self.nulls
+        for k in np.flatnonzero(end > first):  # bounds of equal value: the hash decides
+            first[k] += np.searchsorted(self.hash[first[k] : end[k]], hash_[k])
+        return first
+
+    def column(self, at, hash_):
+        """The range as a column, from two numeric columns (no text goes to Python)."""
+
+        @F.pandas_udf("int")
+        def number(at: pd.Series, known: pd.Series, hash_: pd.Series) -> pd.Series:
+            return pd.Series(self.of(at.to_numpy(), known.to_numpy(bool), hash_.to_numpy(np.int64)).astype(np.int32))
+
+        return number(F.coalesce(at, F.lit(0)), at.isNotNull(), hash_) if self.n > 1 else F.lit(0)
+
+
+def in_ranges(documents: DataFrame, order: str, range_bytes: int) -> tuple[DataFrame, int]:
+    """doc_id, at, hash, text, range: a partition per range, rows not sorted yet; and the number of ranges.
+
+    order: a numeric column that becomes `at`; null texts become empty."""
+    text = F.coalesce("text", F.lit(""))
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(order).alias("at"), F.xxhash64(F.col("doc_id"), text).alias("hash"), text.alias("text"))
+    ranges = Ranges(rows.select("at", "hash", F.octet_length("text").cast("long").alias("bytes")), -(-text_bytes(documents) // range_bytes))
+    return rows.withColumn("range", ranges.column(F.col("at"), F.col("hash"))), ranges.n
+
+
 def text_bytes(df: DataFrame) -> int:
     """Bytes of all texts; one narrow aggregate."""
     return int(df.agg(F.sum(F.octet_length("text"))).first()[0] or 0)

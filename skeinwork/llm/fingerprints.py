@@ -5,13 +5,13 @@ it, so sizes keep near it. Chunk ends depend on nearby bytes only; an insertion
 behind it. A fingerprint is the set of chunk digests, each with its chunk's length (56 and 8 bits), and the likeness of A
 to B is the containment of A in B: the share of A's length whose chunks B has.
 
-Neighbours in doc_id order are compared without a global sort of texts: one shuffle deals documents by doc_id ranges, each
-task walks its sorted rows with the next one at hand, and the last row of each range meets the first row of the next
-range in a second, small step (two texts a range).
+Neighbours in doc_id order are compared without a global sort of texts: one shuffle deals documents to ranges of doc_id with
+fixed bounds (common.Ranges), and each task walks its sorted rows with the next one at hand. The keys of the first and last
+row of each range are found from the same bounds; their texts (two a range) meet in a second, small step.
 
 Defined cases: null texts count as empty; empty texts have the empty fingerprint, which is like (1.0) another empty one and
-unlike (0.0) any other; rows with a null doc_id come first; rows of equal doc_id follow each other by text hash and each
-gives a row; a single row is its own neighbour; an empty table gives no rows; other columns are ignored.
+unlike (0.0) any other; rows with a null doc_id come first; rows of equal doc_id follow each other by text hash, may
+lie in several ranges, and each gives a row; very long texts are chunked in windows; a single row is its own neighbour; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,10 +23,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skeinwork.llm.common import map_arrow, slices, text_bytes, utf8
+from skeinwork.llm.common import SLICE_BYTES, in_ranges, map_arrow, slices, utf8
 from skeinwork.llm.segments import _random, hashes
 
 LEAST, WISHED, MOST = 8, 28, 80
@@ -65,13 +65,31 @@ def chunks(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.array(ends, np.int64), np.array(counts, np.int64)
 
 
-def fingerprints(data: np.ndarray, offs: np.ndarray) -> list[np.ndarray]:
-    """Each text's sorted distinct entries: digest in the upper 56 bits, chunk length in the lower 8."""
-    ends, counts = chunks(data, offs)
+def _windows(data: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Chunk ends of one very long text, window by window: the window and the ends in it. A chunk's end depends on nothing
+    before the chunk, as the first eight bytes of a chunk hold no end, so the next window begins at the last whole chunk's."""
+    p = 0
+    while p < len(data):
+        window = data[p : p + most]
+        ends, _ = chunks(window, np.array([0, len(window)]))
+        if p + most < len(data):
+            ends = ends[ends <= most - MOST]
+        yield window[: ends[-1]], ends
+        p += int(ends[-1])
+
+
+def _entries(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
     starts = np.concatenate(([0], ends[:-1])) if len(ends) else ends
     length = ends - starts
-    entries = hashes(data, starts, length) & ~np.uint64(255) | length.astype(np.uint64)
-    at = np.cumsum(counts) - counts
+    return hashes(data, starts, length) & ~np.uint64(255) | length.astype(np.uint64)
+
+
+def fingerprints(data: np.ndarray, offs: np.ndarray, most: int = SLICE_BYTES) -> list[np.ndarray]:
+    """Each text's sorted distinct entries: digest in the upper 56 bits, chunk length in the lower 8."""
+    if len(offs) == 2 and len(data) > most:
+        return [np.unique(np.concatenate([np.unique(_entries(part, ends)) for part, ends in _windows(data, most)]))]
+    ends, counts = chunks(data, offs)
+    entries, at = _entries(data, ends), np.cumsum(counts) - counts
     return [np.unique(entries[a : a + n]) for a, n in zip(at.tolist(), counts.tolist(), strict=True)]
 
 
@@ -121,9 +139,17 @@ def _compared(ids: list, texts: list[str], prints: list[np.ndarray]) -> list[tup
     return rows
 
 
+def _seams(ranged: DataFrame) -> list[tuple]:
+    """range, doc_id and hash of the last row of each range that has rows, and the same of the first row behind it.
+
+    Nothing but two keys a range goes to the driver; ranges are common.Ranges.MOST at most."""
+    key = F.struct(F.col("doc_id").isNotNull(), "doc_id", "hash")
+    found = sorted(ranged.groupBy("range").agg(F.min(key).alias("first"), F.max(key).alias("last")).collect())
+    return [(k, *r["last"][1:], *found[(k + 1) % len(found)]["first"][1:]) for k, r in enumerate(found)]
+
+
 def compare_neighbours(documents: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """Fingerprints of each text and of its edited text, and likenesses, in doc_id order."""
-    n = max(1, -(-text_bytes(documents) // range_bytes))
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None
@@ -145,17 +171,18 @@ def compare_neighbours(documents: DataFrame, range_bytes: int = RANGE_BYTES) ->
             for doc_id, text, following in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "following")), strict=True):
                 yield _batch(_compared([doc_id, None], [text, following], _of([text, following])))
 
-    dealt = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).repartitionByRange(n, "doc_id")
-    inner = map_arrow(dealt.sortWithinPartitions("doc_id", F.xxhash64("text")), walk, DIGEST)
-    # seams: one exchange of the texts serves these reads too; nothing but range numbers goes through one task
-    ranged = dealt.select(F.spark_partition_id().alias("range"), F.struct("doc_id", F.xxhash64("text").alias("h"), "text").alias("row"))
-    numbers = ranged.select("range").distinct()
-    order = Window.orderBy("range")
-    following = numbers.select("range", F.coalesce(F.lead("range").over(order), F.min("range").over(Window.partitionBy())).alias("next_range"))
-    firsts = ranged.groupBy(F.col("range").alias("next_range")).agg(F.min("row").alias("first"))
-    lasts = ranged.groupBy("range").agg(F.max("row").alias("last"))
-    seams = lasts.join(following, "range").join(firsts, "next_range").select("last.doc_id", "last.text", F.col("first.text").alias("following"))
-    return inner.unionByName(map_arrow(seams, meet, DIGEST))
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    ranged, n = in_ranges(rows, "doc_id", range_bytes)
+    dealt = ranged.select("doc_id", "hash", "text", "range").repartitionById(n, "range").sortWithinPartitions("doc_id", "hash")
+    inner = map_arrow(dealt.select("doc_id", "text"), walk, DIGEST)
+    seams = _seams(ranged.select("doc_id", "hash", "range"))
+    ends = [(k, side, *key) for k, *keys in seams for side, key in enumerate((keys[:2], keys[2:]))]
+    wanted = documents.sparkSession.createDataFrame(ends, "seam int, side int, id long, h long")  # two short rows a range
+    at = ranged["doc_id"].eqNullSafe(wanted["id"]) & (ranged["hash"] == wanted["h"])
+    both = ranged.select("doc_id", "hash", "text").join(F.broadcast(wanted), at).groupBy("seam")
+    side = lambda c, k: F.first(F.when(F.col("side") == k, F.col(c)), ignorenulls=True)
+    pairs = both.agg(side("doc_id", 0).alias("doc_id"), side("text", 0).alias("text"), side("text", 1).alias("following"))
+    return inner.unionByName(map_arrow(pairs, meet, DIGEST))
 
 
 digest = compare_neighbours

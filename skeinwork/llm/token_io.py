@@ -1,19 +1,21 @@
 """Token ids as raw binary shards with a minimal perfect hash index.
 
-A store is a folder of shards in ascending doc_id order. `shard-N.ids` is nothing but ids, little-endian, 2 bytes each if
-the vocabulary fits and else 4. `shard-N.idx` holds, by row of the shard, the key and where its ids start, and a minimal
-perfect hash from key to row with 32-bit fingerprints. Documents are dealt to shards by ranges of doc_id, one shuffle of
-the texts; each task streams its rows through the tokenizer into one shard, under a name of its own attempt that is moved
-into place at the end, so retried or doubled tasks leave whole files. `Store.get` finds a shard by its key range and a
-document by one hash lookup.
+A store is a folder of shards, in ascending doc_id order or in the order of another numeric column (a mixture's positions).
+`shard-N-*.ids` is nothing but ids, little-endian, 2 bytes each if the vocabulary fits and else 4. `shard-N-*.idx` holds, by
+row of the shard, the key and where its ids start, and a minimal perfect hash from key to row with 32-bit fingerprints.
+Documents are dealt to shards by ranges with fixed bounds (common.Ranges), one shuffle of the texts; each task streams its
+rows through the tokenizer into one shard. Files carry the name of the attempt that wrote them, and the manifest names those
+of the attempts that count, so retried or doubled tasks do no harm; what other attempts left is deleted. `Store.get` finds
+the shards whose key range holds a document, one if shards are in doc_id order, and the document by one hash lookup.
 
 Tokenizing goes by chunks of the text that no pre-token of the byte-level pattern spans (segments.chunk_starts), each
 encoded once per worker while it stays in a bounded cache. The chunks' ids, put together, are those of the whole text;
 tests hold this against the tokenizer itself.
 
 Defined cases: a null or empty text is just the end id; rows with a null doc_id come first and aren't indexed; a repeated
-doc_id is written as often as it occurs (equal ids in the order of text hash) and its key finds the first; an empty table
-makes an empty store. Columns other than doc_id and text are ignored.
+doc_id is written as often as it occurs (equal ids in the order of text hash), maybe over several shards, and its key finds
+the first; very long texts are encoded in pieces of whole chunks; an empty table makes an empty store. Other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -29,12 +31,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skeinwork.llm.common import filesystem, fresh_dir, map_arrow, slices, text_bytes, utf8
+from skeinwork.llm.common import SLICE_BYTES, filesystem, fresh_dir, in_ranges, map_arrow, slices, utf8
 from skeinwork.llm.perfect_hash import PerfectHash, packed, unpacked
 from skeinwork.llm.segments import chunk_starts, distinct, gather
 
-SHARD_BYTES, CACHE_CHUNKS, END_ID = 16 << 20, 800_000, 2
-MANIFEST = "shard int, n_rows long, n_tokens long, low long, high long, width int"
+SHARD_BYTES, CACHE_CHUNKS, END_ID, WINDOW_IDS = 16 << 20, 800_000, 2, 4 << 20
+MANIFEST = "shard int, file string, n_rows long, n_tokens long, low long, high long, width int"
+_MANIFEST = pa.schema([("shard", pa.int32()), ("file", pa.string()), ("n_rows", pa.int64()), ("n_tokens", pa.int64()), ("low", pa.int64()), ("high", pa.int64()), ("width", pa.int32())])
 
 
 class Encoder:
@@ -81,6 +84,16 @@ class Encoder:
         total = np.concatenate(([0], np.cumsum(taken)))[ends]
         return pool[gather((np.cumsum(sizes) - sizes)[units], taken)], np.diff(total, prepend=0)
 
+    def pieces(self, data: np.ndarray, offs: np.ndarray, end_id: int, most: int = SLICE_BYTES) -> Iterator[tuple[np.ndarray, int]]:
+        """encode() of one very long text, in runs of whole chunks: ids and their number, one run after another."""
+        starts = self._starts(data, offs)
+        cuts = np.unique(starts[np.searchsorted(starts, np.arange(most, len(data), most), "right") - 1])
+        ends = [*cuts[cuts > 0].tolist(), len(data)]
+        for a, b in zip([0, *ends], ends):
+            ids, sizes = self.encode(data[a:b], np.array([0, b - a]), end_id)
+            last = b == len(data)
+            yield ids if last else ids[:-1], int(sizes[0]) - (not last)
+
 
 _encoders: dict[tuple, Encoder] = {}
 
@@ -102,25 +115,32 @@ def _put(fs, path: str, blob: bytes) -> None:
         f.write(blob)
 
 
-def write(documents: DataFrame, out_dir: str, tokenizer_path: str, end_id: int = END_ID, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """Write a store; the manifest, a row per shard."""
+def write(documents: DataFrame, out_dir: str, tokenizer_path: str, end_id: int = END_ID, shard_bytes: int = SHARD_BYTES, order: str = "doc_id") -> DataFrame:
+    """Write a store in the order of a numeric column; the manifest, a row per shard."""
     dtype = id_dtype(tokenizer_path, end_id)
-    n = max(1, -(-text_bytes(documents) // shard_bytes))
+    ranged, n = in_ranges(documents, order, shard_bytes)
 
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, encoder = TaskContext.get().partitionId(), _encoder(tokenizer_path, dtype)
         fs, root = filesystem(out_dir)
-        own = f"{root}/.{number:06d}-{uuid.uuid4().hex}"
+        file = f"shard-{number:06d}-{uuid.uuid4().hex}"
         keys, lengths, out = [], [], None
         for b in batches:
             data, offs = utf8(b.column("text"))
             for _, _, part, o in slices(data, offs):
-                ids, sizes = encoder.encode(part, o, end_id)
                 if out is None:
                     fs.create_dir(root, recursive=True)
-                    out = fs.open_output_stream(own + ".ids")
-                out.write(ids.tobytes())
-                lengths.append(sizes)
+                    out = fs.open_output_stream(f"{root}/{file}.ids")
+                if len(part) > 2 * SLICE_BYTES:  # one text
+                    total = 0
+                    for ids, size in encoder.pieces(part, o, end_id):
+                        out.write(ids.tobytes())
+                        total += size
+                    lengths.append(np.array([total]))
+                else:
+                    ids, sizes = encoder.encode(part, o, end_id)
+                    out.write(ids.tobytes())
+                    lengths.append(sizes)
             keys.append(b.column("doc_id"))
         if out is None:
             return
@@ -134,25 +154,32 @@ def write(documents: DataFrame, out_dir: str, tokenizer_path: str, end_id: int =
         index = PerfectHash.build(known)
         row_of = np.empty(len(known), np.int64)
         row_of[index.lookup(known)] = rows[first]
-        _put(fs, own + ".idx", packed({"keys": key, "valid": valid, "offsets": starts, "row_of": row_of, "width": np.array(np.dtype(dtype).itemsize), **index.arrays()}))
-        for kind in (".ids", ".idx"):
-            fs.move(own + kind, f"{root}/shard-{number:06d}{kind}")
+        _put(fs, f"{root}/{file}.idx", packed({"keys": key, "valid": valid, "offsets": starts, "row_of": row_of, "width": np.array(np.dtype(dtype).itemsize), **index.arrays()}))
         low, high = (int(known[0]), int(known[-1])) if len(known) else (None, None)
-        yield pa.RecordBatch.from_pydict(
-            {"shard": [number], "n_rows": [len(key)], "n_tokens": [int(starts[-1])], "low": [low], "high": [high], "width": [np.dtype(dtype).itemsize]},
-            pa.schema([("shard", pa.int32()), ("n_rows", pa.int64()), ("n_tokens", pa.int64()), ("low", pa.int64()), ("high", pa.int64()), ("width", pa.int32())]),
-        )
+        made = (number, file, len(key), int(starts[-1]), low, high, np.dtype(dtype).itemsize)
+        yield pa.RecordBatch.from_pylist([dict(zip(_MANIFEST.names, made, strict=True))], _MANIFEST)
+
+    dealt = ranged.repartitionById(n, "range").sortWithinPartitions("at", "hash").select("doc_id", "text")
+    return map_arrow(dealt, shard, MANIFEST)
 
-    dealt = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).repartitionByRange(n, "doc_id")
-    return map_arrow(dealt.sortWithinPartitions("doc_id", F.xxhash64("text")), shard, MANIFEST)
+
+def clean(out_dir: str, manifest: list) -> None:
+    """Delete what attempts left that don't count."""
+    from pyarrow import fs as pafs
+
+    fs, root = filesystem(out_dir)
+    counts = {r["file"] + kind for r in manifest for kind in (".ids", ".idx")}
+    for f in fs.get_file_info(pafs.FileSelector(root, allow_not_found=True)):
+        if f.base_name.startswith("shard-") and f.base_name not in counts:
+            fs.delete_file(f.path)
 
 
 class Shard:
     """One shard's index and, on demand, its ids."""
 
-    def __init__(self, out_dir: str, number: int):
+    def __init__(self, out_dir: str, file: str):
         self.fs, root = filesystem(out_dir)
-        self.path = f"{root}/shard-{number:06d}"
+        self.path = f"{root}/{file}"
         with self.fs.open_input_stream(self.path + ".idx") as f:
             self.index = unpacked(f.read())
         self.hash = PerfectHash(self.index["words"], self.index["starts"], self.index["prints"])
@@ -167,28 +194,36 @@ class Shard:
         with self.fs.open_input_file(self.path + ".ids") as f:
             return np.frombuffer(f.read_at(b - a, a), self.dtype)
 
-    def all_ids(self) -> np.ndarray:
-        with self.fs.open_input_stream(self.path + ".ids") as f:
-            return np.frombuffer(f.read(), self.dtype)
+    def crcs(self, rows: np.ndarray) -> list[int]:
+        """The CRC of each row's ids as 4-byte integers; reads a window of the file at a time."""
+        offs, wide, out, k = self.index["offsets"], self.dtype.itemsize, [], 0
+        with self.fs.open_input_file(self.path + ".ids") as f:
+            while k < len(rows):
+                run = np.flatnonzero((rows[k + 1 :] != rows[k:-1] + 1) | (offs[rows[k + 1 :] + 1] - offs[rows[k]] > WINDOW_IDS))
+                end = k + 1 + int(run[0]) if len(run) else len(rows)
+                a, b = offs[rows[k]], offs[rows[end - 1] + 1]
+                ids = np.frombuffer(f.read_at(int(b - a) * wide, int(a) * wide), self.dtype)
+                out += [zlib.crc32(ids[offs[r] - a : offs[r + 1] - a].astype("<u4").tobytes()) for r in rows[k:end].tolist()]
+                k = end
+        return out
 
 
 class Store:
-    """Keyed access on one machine: shard by key range, row by perfect hash."""
+    """Keyed access on one machine: shards by key range, row by perfect hash."""
 
     def __init__(self, out_dir: str, manifest: list):
         self.dir, self.open = out_dir, {}
-        self.shards = sorted((r["low"], r["high"], r["shard"]) for r in manifest if r["low"] is not None)
+        self.shards = [(r["low"], r["high"], r["file"]) for r in sorted(manifest, key=lambda r: r["shard"]) if r["low"] is not None]
 
     def get(self, doc_id: int) -> np.ndarray | None:
-        at = int(np.searchsorted([h for _, h, _ in self.shards], doc_id))
-        if at == len(self.shards) or self.shards[at][0] > doc_id:
-            return None
-        number = self.shards[at][2]
-        if number not in self.open:
-            self.open[number] = Shard(self.dir, number)
-        shard = self.open[number]
-        row = int(shard.rows(np.array([doc_id]))[0])
-        return None if row < 0 else shard.ids(row)
+        for low, high, file in self.shards:
+            if low <= doc_id <= high:
+                if file not in self.open:
+                    self.open[file] = Shard(self.dir, file)
+                row = int(self.open[file].rows(np.array([doc_id]))[0])
+                if row >= 0:
+                    return self.open[file].ids(row)
+        return None
 
 
 ROWS = "doc_id long, start long, n_tokens long, ids_crc32 long, shard int, row long"
@@ -197,34 +232,40 @@ ROWS = "doc_id long, start long, n_tokens long, ids_crc32 long, shard int, row l
 def read(spark: SparkSession, out_dir: str, manifest: list) -> DataFrame:
     """A row per document, from the files: where its ids start among all, how many, and their CRC as 4-byte integers.
 
-    manifest: the collected rows of write(), one for each shard (some 100 bytes each; a shard holds 16 MB of text)."""
+    Each key's place comes from the perfect hash; rows without a key of their own (null or repeated doc_ids) follow the
+    offsets. manifest: the collected rows of write(), one for each shard (some 100 bytes each, common.Ranges.MOST shards
+    at most)."""
     spans, base = [], 0
     for r in sorted(manifest, key=lambda r: r["shard"]):
-        spans.append((r["shard"], base))
+        spans.append((r["shard"], r["file"], base))
         base += r["n_tokens"]
-    plan = spark.createDataFrame(spans, "shard int, base long")
+    plan = spark.createDataFrame(spans, "shard int, file string, base long")
     plan = plan.repartition(len(spans)) if spans else plan
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for number, base in zip(b.column("shard").to_pylist(), b.column("base").to_pylist(), strict=True):
-                shard = Shard(out_dir, number)
-                ids, offs, keys, valid = shard.all_ids(), shard.index["offsets"], shard.index["keys"], shard.index["valid"]
-                first = shard.rows(keys)
-                if np.any((first < 0) & valid) or np.any(keys[first[valid]] != keys[valid]):
+            for number, file, base in zip(*(b.column(c).to_pylist() for c in ("shard", "file", "base")), strict=True):
+                shard = Shard(out_dir, file)
+                offs, keys, valid = shard.index["offsets"], shard.index["keys"], shard.index["valid"]
+                first = np.zeros(len(keys), bool)
+                some = np.flatnonzero(valid)
+                first[some[np.unique(keys[some], return_index=True)[1]]] = True
+                at = np.arange(len(keys))
+                at[first] = shard.rows(keys[first])
+                if np.any(at < 0) or np.any(keys[at] != keys):
                     raise ValueError(f"shard {number}: the index doesn't lead to its keys")
-                crc = [zlib.crc32(ids[offs[k] : offs[k + 1]].astype("<u4").tobytes()) for k in range(len(keys))]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys, mask=~valid), pa.array(base + offs[:-1]), pa.array(np.diff(offs)), pa.array(crc, pa.int64()), pa.array(np.full(len(keys), number, np.int32)), pa.array(np.arange(len(keys)))],
+                    [pa.array(keys, mask=~valid), pa.array(base + offs[at]), pa.array(offs[at + 1] - offs[at]), pa.array(shard.crcs(at), pa.int64()), pa.array(np.full(len(keys), number, np.int32)), pa.array(at)],
                     names=["doc_id", "start", "n_tokens", "ids_crc32", "shard", "row"],
                 )
 
     return map_arrow(plan, rows, ROWS)
 
 
-def tokenize(documents: DataFrame, tokenizer_path: str, end_id: int = END_ID, out_dir: str | None = None) -> DataFrame:
-    """Write a store (in the shared folder unless told where) and read it back."""
+def tokenize(documents: DataFrame, tokenizer_path: str, end_id: int = END_ID, out_dir: str | None = None, order: str = "doc_id") -> DataFrame:
+    """Write a store (in the shared folder unless told where) in the order of a numeric column, and read it back."""
     spark = documents.sparkSession
     out_dir = out_dir or fresh_dir(spark, "tokens")
-    manifest = write(documents, out_dir, tokenizer_path, end_id).collect()
+    manifest = write(documents, out_dir, tokenizer_path, end_id, order=order).collect()
+    clean(out_dir, manifest)
     return read(spark, out_dir, manifest)

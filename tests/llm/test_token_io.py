@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -55,7 +56,48 @@ def test_store_gives_back_every_document(spark, small_docs, model, texts, tmp_pa
     assert [store.get(i) for i in (-1, 200, 10**12)] == [None] * 3
     got = token_io.read(spark, str(tmp_path / "s"), manifest).orderBy("start").collect()
     assert [tuple(r)[:4] for r in got] == _expected(model, texts.items())
-    assert not [p for p in (tmp_path / "s").iterdir() if p.name.startswith(".")]
+    left = tmp_path / "s" / "shard-000001-of-a-lost-attempt.ids"
+    left.write_bytes(b"x")
+    token_io.clean(str(tmp_path / "s"), manifest)
+    assert sorted(p.name for p in (tmp_path / "s").iterdir()) == sorted(m["file"] + kind for m in manifest for kind in (".ids", ".idx"))
+
+
+def test_store_in_another_order(spark, small_docs, model, texts, tmp_path):
+    from pyspark.sql import functions as F
+
+    placed = small_docs.withColumn("place", F.pmod(F.col("doc_id") * 0.377317, F.lit(1.0)))
+    manifest = token_io.write(placed, str(tmp_path / "s"), byte_bpe_path(), shard_bytes=100_000, order="place").collect()
+    assert len(manifest) > 3
+    got = [r["doc_id"] for r in token_io.read(spark, str(tmp_path / "s"), manifest).orderBy("start").collect()]
+    assert got == [r["doc_id"] for r in placed.orderBy("place").collect()]
+    store = token_io.Store(str(tmp_path / "s"), manifest)
+    for i in (0, 57, 199):
+        assert store.get(i).tolist() == model.encode(texts[i], add_special_tokens=False).ids + [2]
+
+
+def test_rows_of_a_repeated_doc_id_spread(spark, documents, model):
+    rows = [(4, f"text number {k} " * 40) for k in range(300)] + [(None, f"another {k}" * 30) for k in range(100)] + [(9, "last"), (-1, "first")]
+    manifest = None
+    import tempfile
+
+    with tempfile.TemporaryDirectory() as d:
+        manifest = token_io.write(documents(rows), d, byte_bpe_path(), shard_bytes=20_000).collect()
+        assert max(m["n_rows"] for m in manifest) < 120
+        got = token_io.read(spark, d, manifest).orderBy("start").collect()
+    want = Counter((i, zlib.crc32(np.array(model.encode(t, add_special_tokens=False).ids + [2], "<u4").tobytes())) for i, t in rows)
+    assert Counter((r["doc_id"], r["ids_crc32"]) for r in got) == want
+    ids = [r["doc_id"] for r in got]
+    assert ids == sorted(ids, key=lambda i: (i is not None, i or 0))
+
+
+def test_very_long_texts_are_encoded_in_pieces(model):
+    rnd = random.Random(8)
+    text = " ".join("".join(rnd.choice("abcdefé日") for _ in range(rnd.randrange(1, 9))) for _ in range(4000)) + "x" * 3000
+    e = token_io.Encoder(byte_bpe_path(), np.dtype("<u2"))
+    found = list(e.pieces(*utf8(pa.array([text])), 2, 500))
+    assert len(found) > 20
+    assert np.concatenate([ids for ids, _ in found]).tolist() == model.encode(text, add_special_tokens=False).ids + [2]
+    assert [len(ids) for ids, _ in found] == [n for _, n in found]
 
 
 def test_odd_documents(odd, model):
