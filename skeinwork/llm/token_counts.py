@@ -5,14 +5,17 @@ space is left between them. A pre-token's tokens are its best-scored segmentatio
 of rank r (0 first) scoring -ln(r + 2), the rank-frequency law, in whole millionths so that sums and ties are exact; ties
 go to fewer tokens. Each byte is a piece, so every text has a segmentation.
 
-The distinct pre-tokens of a slice that aren't known yet go into a trie. The forward score of a trie node is the best over
-the pieces that end there, each found by walking the reversed vocabulary back from the node, of the score at the piece's
-start plus the piece's: once for each node, however many pre-tokens share that prefix, and a whole depth of the trie at a
-time. The counts at terminal nodes are kept in a bounded table for the slices to come. Very long pre-tokens, whose prefixes
-nothing shares, are scored one by one in the same way.
-
-Defined cases: null and empty texts have 0 of everything; repeated rows are counted each; columns that aren't asked for
-stay as they are; an empty table gives no rows.
+The distinct pre-tokens of a slice that aren't known yet are cut at places that no piece spans: every segmentation has a
+token's end there, so scores and counts add up over the parts. That leaves short parts even of texts without spaces. The
+distinct parts go into a trie. The forward score of a trie node is the best over the pieces that end there, each found by
+walking the reversed vocabulary back from the node, of the score at the piece's start plus the piece's: once for each node,
+however many parts share that prefix, and a whole depth of the trie at a time. The counts at terminal nodes are kept in a
+bounded table for the slices to come. Parts of more than `DEEPEST` bytes (long runs of one mark, say) share no prefixes worth
+a trie; the same recurrence runs over their pieces alone, which are found in array operations.
+
+Defined cases: null and empty texts have 0 of everything; repeated rows are counted each; columns named n_bytes, n_pretokens
+or n_tokens are replaced, all others stay as they are; very long texts are counted in pieces of whole pre-tokens; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,10 +29,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skeinwork.llm.common import map_arrow, slices, utf8
+from skeinwork.llm.common import SLICE_BYTES, map_arrow, own_name, slices, utf8
 from skeinwork.llm.segments import distinct
 
-MOST_KNOWN, DEEPEST, TRIE_CELLS = 500_000, 64, 4 << 20
+MOST_KNOWN, DEEPEST, TRIE_CELLS, WINDOW = 500_000, 64, 4 << 20, 1 << 16
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
@@ -94,17 +97,50 @@ class UnigramCounter:
         at = np.minimum(np.searchsorted(self.edge, key), len(self.edge) - 1)
         return np.where(self.edge[at] == key, self.to[at], 0)
 
-    def _alone(self, token: bytes) -> int:
-        best, count = [0], [0]
-        for d in range(1, len(token) + 1):
-            top = None
-            for n in range(1, min(d, self.longest) + 1):
-                s = self.scores.get(token[d - n : d])
-                if s is not None and (top is None or (best[d - n] + s, -count[d - n] - 1) > top):
-                    top = best[d - n] + s, -count[d - n] - 1
-            best.append(top[0])
-            count.append(-top[1])
-        return count[-1]
+    def _pieces(self, data: np.ndarray, offs: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Pieces of the vocabulary in tokens that lie one after another: by length, the places of their last bytes and
+        their scores."""
+        place = np.arange(len(data)) - np.repeat(offs[:-1], np.diff(offs))
+        open_, state = np.arange(len(data)), self.first[data]
+        for back in range(1, self.longest + 1):
+            alive = state > 0
+            open_, state = open_[alive], state[alive]
+            score = self.ends[state]
+            yield back, open_[score <= 0], score[score <= 0]
+            more = place[open_] >= back
+            open_, state = open_[more], state[more]
+            if not len(open_):
+                break
+            state = self._step(state, data[open_ - back])
+
+    def _parts(self, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
+        """Starts of the parts of tokens: places that no piece spans."""
+        start = np.arange(len(data))  # of the longest piece that ends with each byte
+        for back, last, _ in self._pieces(data, offs):
+            start[last] = last - back + 1
+        before = np.minimum.accumulate(start[::-1])[::-1]  # of all that end with it or behind it
+        return np.flatnonzero(before >= np.arange(len(data)))
+
+    def _forward(self, token: bytes) -> int:
+        """The recurrence over a token's pieces, piece by piece in the order of their ends."""
+        data = np.frombuffer(token, np.uint8)
+        best, count, top, end = [0], [0], None, 0
+        for x in range(0, len(data), WINDOW):
+            a = max(0, x - self.longest)
+            found = [(np.full(len(last), back), last + a, score) for back, last, score in self._pieces(data[a : x + WINDOW], np.array([0, len(data[a : x + WINDOW])]))]
+            back, last, score = (np.concatenate(c) for c in zip(*found, strict=True))
+            new = last >= x
+            order = np.argsort(last[new], kind="stable")
+            for b, e, s in zip(*(c[new][order].tolist() for c in (back, last, score)), strict=True):
+                if e != end:
+                    best.append(top[0])
+                    count.append(-top[1])
+                    top, end = None, e
+                at = e + 1 - b
+                value = best[at] + s, -count[at] - 1
+                if top is None or value > top:
+                    top = value
+        return -top[1]
 
     def _by_trie(self, tokens: list[bytes]) -> np.ndarray:
         """tokens: sorted, distinct, not empty."""
@@ -147,18 +183,37 @@ class UnigramCounter:
         if len(self.known) + len(new) > self.most:
             self.known.clear()
             new = tokens
-        short = sorted(t for t in new if len(t) <= DEEPEST)
-        step = max(1, TRIE_CELLS // DEEPEST)
-        for k in range(0, len(short), step):
-            part = short[k : k + step]
-            self.known.update(zip(part, self._by_trie(part).tolist(), strict=True))
-        self.known.update((t, self._alone(t)) for t in new if len(t) > DEEPEST)
+        if new:
+            data, size = np.frombuffer(b"".join(new), np.uint8), np.array([len(t) for t in new])
+            offs = np.concatenate(([0], np.cumsum(size)))
+            starts = self._parts(data, offs)
+            parts, of = distinct(data, starts, np.diff(starts, append=len(data)))
+            count = np.empty(len(parts), np.int64)
+            width = np.array([len(p) for p in parts])
+            short = np.flatnonzero(width <= DEEPEST).tolist()
+            short.sort(key=lambda k: parts[k])
+            step = max(1, TRIE_CELLS // DEEPEST)
+            for k in range(0, len(short), step):
+                count[short[k : k + step]] = self._by_trie([parts[p] for p in short[k : k + step]])
+            for k in np.flatnonzero(width > DEEPEST).tolist():
+                count[k] = self._forward(parts[k])
+            total = np.add.reduceat(count[of], np.searchsorted(starts, offs[:-1]))
+            self.known.update(zip(new, total.tolist(), strict=True))
         return np.array([self.known[t] for t in tokens], np.int64)
 
-    def texts(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def texts(self, data: np.ndarray, offs: np.ndarray, most: int = 2 * SLICE_BYTES) -> tuple[np.ndarray, np.ndarray]:
         """Pre-tokens and tokens of each text of a slice."""
         n = len(offs) - 1
         starts = pretoken_starts(data, offs)
+        if n == 1 and len(data) > most:  # one very long text, in runs of whole pre-tokens
+            ends = [*np.unique(starts[np.searchsorted(starts, np.arange(most, len(data), most), "right") - 1]).tolist(), len(data)]
+            ends = [e for e in ends if e]
+            found = []
+            for a, b in zip([0, *ends], ends):
+                own = starts[(starts >= a) & (starts < b)]
+                tokens, of = distinct(data[a:b], own - a, np.diff(own, append=b))
+                found.append((len(own), int(self.counts(tokens)[of].sum())))
+            return tuple(np.array([sum(x)]) for x in zip(*found, strict=True))
         if not len(starts):
             return np.zeros(n, np.int64), np.zeros(n, np.int64)
         tokens, of = distinct(data, starts, np.diff(starts, append=len(data)))
@@ -177,15 +232,16 @@ def _counter(path: str) -> UnigramCounter:
 
 def count_tokens(documents: DataFrame, vocabulary: str) -> DataFrame:
     """Adds n_bytes, n_pretokens and n_tokens to the rows of `documents`, without its text."""
-    rest = documents.drop("n_bytes", "n_pretokens", "n_tokens", "__text")
+    body = own_name(documents, "body")
+    rest = documents.drop("n_bytes", "n_pretokens", "n_tokens")
     names = [c for c in rest.columns if c != "text"]
-    kept = rest.select(*names, F.coalesce("text", F.lit("")).alias("__text"))
+    kept = rest.select(*(F.col(f"`{c}`") for c in names), F.coalesce("text", F.lit("")).alias(body))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema if f.name != "text"), "n_bytes long, n_pretokens long, n_tokens long"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = _counter(vocabulary)
         for b in batches:
-            data, offs = utf8(b.column("__text"))
+            data, offs = utf8(b.column(body))
             found = [counter.texts(part, o) for _, _, part, o in slices(data, offs)]
             pre, tok = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.empty(0, np.int64),) * 2
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(np.diff(offs)), pa.array(pre), pa.array(tok)], names=[*names, "n_bytes", "n_pretokens", "n_tokens"])
