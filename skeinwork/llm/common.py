@@ -61,6 +61,11 @@ def own_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def columns(df: DataFrame, names: list[str] | None = None) -> list:
+    """Columns by their whole names, whatever is in them."""
+    return [F.col(f"`{c}`") for c in (df.columns if names is None else names)]
+
+
 def fresh_dir(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
@@ -148,16 +153,22 @@ class Ranges:
         return number(F.coalesce(at, F.lit(0)), at.isNotNull(), hash_) if self.n > 1 else F.lit(0)
 
 
-def in_ranges(documents: DataFrame, order: str, range_bytes: int) -> tuple[DataFrame, int]:
-    """doc_id, at, hash, text, range: a partition per range, rows not sorted yet; and the number of ranges.
+def in_ranges(documents: DataFrame, order: str, range_bytes: int, keys: DataFrame | None = None) -> tuple[DataFrame, int]:
+    """doc_id, at, hash, text, range of each row; and the number of ranges. Rows are neither dealt nor sorted yet.
 
-    order: a numeric column that becomes `at`; null texts become empty."""
+    order: a numeric column that becomes `at`; null texts become empty. keys: at, hash (range_hash()) and bytes of the rows,
+    where there is a cheaper way to them than through `documents`."""
     text = F.coalesce("text", F.lit(""))
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(order).alias("at"), F.xxhash64(F.col("doc_id"), text).alias("hash"), text.alias("text"))
-    ranges = Ranges(rows.select("at", "hash", F.octet_length("text").cast("long").alias("bytes")), -(-text_bytes(documents) // range_bytes))
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(order).alias("at"), range_hash().alias("hash"), text.alias("text"))
+    keys = rows.select("at", "hash", F.octet_length("text").cast("long").alias("bytes")) if keys is None else keys
+    ranges = Ranges(keys, -(-int(keys.agg(F.sum("bytes")).first()[0] or 0) // range_bytes))
     return rows.withColumn("range", ranges.column(F.col("at"), F.col("hash"))), ranges.n
 
 
+def range_hash():
+    return F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")))
+
+
 def text_bytes(df: DataFrame) -> int:
     """Bytes of all texts; one narrow aggregate."""
     return int(df.agg(F.sum(F.octet_length("text"))).first()[0] or 0)

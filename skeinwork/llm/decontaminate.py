@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skeinwork.llm.common import ascii_lower, checkpointed
+from skeinwork.llm.common import ascii_lower, checkpointed, columns, own_name
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW, SHINGLE, BROADCAST_BYTES = 13, 3, 32 << 20
@@ -113,11 +113,12 @@ def is_contaminated(n_hit, n_words):
 def decontaminate(documents: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
     """The rows of `documents` that aren't contaminated, with their columns as they were."""
     found = contamination(documents, benchmark, **how).where(is_contaminated(F.col("n_hit"), F.col("n_words")))
-    bad = checkpointed(found.select(F.col("doc_id").alias("__d"), F.col("key").alias("__k")).distinct())
+    doc, own, key = (own_name(documents, c) for c in ("unclean", "unclean_key", "text_key"))
+    bad = checkpointed(found.select(F.col("doc_id").alias(doc), F.col("key").alias(own)).distinct())
     if bad.count() <= MOST_BROADCAST:
         bad = F.broadcast(bad)
-    kept = documents.withColumn("__key", F.xxhash64("doc_id", "text"))
-    return kept.join(bad, (F.col("__key") == F.col("__k")) & F.col("doc_id").eqNullSafe(F.col("__d")), "left_anti").drop("__key")
+    kept = documents.withColumn(key, F.xxhash64("doc_id", "text"))
+    return kept.join(bad, (F.col(key) == F.col(own)) & F.col("doc_id").eqNullSafe(F.col(doc)), "left_anti").select(*columns(documents))
 
 
 def digest(documents: DataFrame, benchmark: DataFrame) -> DataFrame:

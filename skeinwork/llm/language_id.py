@@ -13,7 +13,9 @@ Training reads at most about `rows_per_language` labelled documents of each lang
 of doc_id over the whole table). The counts of the united tree go to the driver: they are bounded by that sample.
 
 Defined cases: a null text or one without a letter is `und` with score 0; rows with null labels teach nothing; without
-labelled rows everything is `und`; repeated rows are scored each; ties go to the smaller language name.
+labelled rows everything is `und`; repeated rows are scored each; very long texts are coded in pieces that
+see the bytes before them; an empty table gives no rows; columns of the result's names are replaced, all others stay; ties go
+to the smaller language name.
 """
 
 from __future__ import annotations
@@ -26,9 +28,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skeinwork.llm.common import checkpointed, map_arrow, slices, utf8
+from skeinwork.llm.common import checkpointed, map_arrow, own_name, slices, utf8
 
-ORDER, ROWS_PER_LANGUAGE, MOST_BROADCAST = 4, 300, 200_000
+ORDER, ROWS_PER_LANGUAGE, MOST_BROADCAST, PIECE = 4, 300, 200_000, 1 << 20
+MOST_MODEL, ALPHABET = 1 << 30, 96  # bytes that the model may take on each machine; bytes that follow a node in its dense rows
 UNKNOWN = "und"
 COUNTS = "lang string, depth int, gram long, n long"
 
@@ -130,8 +133,17 @@ class Model:
             sums.append(c)
         return cls(langs, order, grams, sums)
 
-    def code_lengths(self, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
-        """Bits of each text under each language."""
+    def long_lengths(self, text: np.ndarray, most: int = PIECE) -> np.ndarray:
+        """code_lengths of one very long text, in pieces with the bytes before them as context."""
+        out = np.zeros((1, len(self.langs)))
+        for a in range(0, len(text), most):
+            before = min(a, self.order)
+            part = text[a - before : a + most]
+            out += self.code_lengths(part, np.array([0, len(part)]), before)
+        return out
+
+    def code_lengths(self, data: np.ndarray, offs: np.ndarray, skip: int = 0) -> np.ndarray:
+        """Bits of each text under each language; the first `skip` bytes are context only (of a single text)."""
         n_langs, n = len(self.langs), len(offs) - 1
         out = np.zeros((n, n_langs))
         if not len(data):
@@ -154,6 +166,7 @@ class Model:
             if miss.any():
                 bits[miss] += self.escape[k][contexts[k][miss]]
         bits[open_] += 8.0
+        bits[:skip] = 0.0
         full = np.flatnonzero(np.diff(offs))
         out[full] = np.add.reduceat(bits, offs[full], axis=0, dtype=np.float64)
         return out
@@ -162,28 +175,34 @@ class Model:
 def train(labelled: DataFrame, order: int = ORDER, rows_per_language: int = ROWS_PER_LANGUAGE) -> Model:
     """labelled: doc_id, text, lang. Rows with a null text or language are left out."""
     rows = labelled.select("doc_id", "text", "lang").where("text is not null and lang is not null")
-    return Model.from_counts(count_grams(training_rows(rows, rows_per_language), order).toArrow(), order)
+    chosen = training_rows(rows, rows_per_language)
+    counts = checkpointed(count_grams(chosen, order))
+    size = counts.agg(F.countDistinct("depth", "gram").alias("nodes"), F.countDistinct("lang").alias("langs")).first()
+    if size["nodes"] * (size["langs"] + ALPHABET) * 4 > MOST_MODEL:
+        raise ValueError(f"a model of {size['nodes']} nodes for {size['langs']} languages is too large for one machine: lower rows_per_language or order")
+    return Model.from_counts(counts.toArrow(), order)
 
 
 def predict(documents: DataFrame, model: Model, label: str = "lang_pred", sure: str = "score") -> DataFrame:
     """Adds the language and its score to the rows of `documents`, under the given names (which replace columns so named)."""
     spark = documents.sparkSession
     held = spark.sparkContext.broadcast(model)
-    rest = documents.drop(label, sure, "__letter", "__text")
+    rest = documents.drop(label, sure)
+    letters, body = own_name(documents, "letter"), own_name(documents, "body")
     # a letter anywhere, by Unicode category
-    shown = rest.withColumn("__letter", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))).withColumn("__text", F.coalesce("text", F.lit("")))
+    shown = rest.withColumn(letters, F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))).withColumn(body, F.coalesce("text", F.lit("")))
     names = rest.columns
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema), f"`{label}` string", f"`{sure}` double"])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
         for b in batches:
-            data, offs = utf8(b.column("__text"))
-            letter = b.column("__letter").to_numpy(zero_copy_only=False)
+            data, offs = utf8(b.column(body))
+            letter = b.column(letters).to_numpy(zero_copy_only=False)
             pred, part_of = np.full(len(b), UNKNOWN, object), np.zeros(len(b))
             if m.langs:
-                for i, j, part, o in slices(data, offs, 1 << 20):
-                    lengths = m.code_lengths(part, o)
+                for i, j, part, o in slices(data, offs, PIECE):
+                    lengths = m.code_lengths(part, o) if len(part) <= 2 * PIECE else m.long_lengths(part)
                     best = lengths.argmin(1)
                     pred[i:j] = np.array(m.langs, object)[best]
                     part_of[i:j] = 1 / np.exp2(np.minimum(0, lengths.min(1)[:, None] - lengths)).sum(1)

@@ -13,7 +13,7 @@ end. Running sums go within blocks of about `block_rows` documents and over bloc
 
 Defined cases: a null source is the source named ''; null or empty texts have no tokens and come along in every epoch of
 their source that reaches them; sources without tokens get nothing; rows equal in doc_id, source and text are one unit
-that comes together; ties of the hash go by doc_id and text hash; an empty table gives no rows; other columns play no part.
+that comes together; ties of the hash go by doc_id and text hash; units without a doc_id are dealt by their text hash; an empty table gives no rows; other columns play no part.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skeinwork.llm.common import checkpointed
+from skeinwork.llm.common import checkpointed, columns, own_name, range_hash
 
 ENTROPY, REPEATS, BLOCK_ROWS, SEED, GRID = 0.95, 4.0, 1000, 7, 1_000_000
 MOST_BROADCAST = 200_000
@@ -87,6 +87,12 @@ def weights(units: DataFrame, entropy: float, repeats: float, budget: int | None
     return t.withColumn("full", full).withColumn("rest", F.col("target") - F.col("full") * F.col("total")).withColumn("blocks", F.ceil(F.col("units") / F.lit(block_rows)).cast("long"))
 
 
+def _dealt(seed, epoch, doc_id, key):
+    """The hash, 0 to 2**60, that deals a unit in an epoch: of its doc_id, or of its text where that is null."""
+    digest = F.md5(F.concat_ws(":", seed, epoch, F.coalesce(doc_id.cast("string"), F.concat(F.lit("text "), key.cast("string")))).cast("binary"))
+    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
+
+
 def mix(documents: DataFrame, entropy: float = ENTROPY, repeats: float = REPEATS, budget: int | None = None, block_rows: int = BLOCK_ROWS, seed: int = SEED) -> DataFrame:
     """A row per unit and epoch of the mixture: where it stands in its source's stream, and in the whole (0 to 1).
 
@@ -97,8 +103,7 @@ def mix(documents: DataFrame, entropy: float = ENTROPY, repeats: float = REPEATS
     # by count: a row per source, some 100 bytes
     near = F.broadcast(plan) if plan.count() <= MOST_BROADCAST else plan
     dealt = units.join(near, "source").withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), "full"))).where("epoch < full or rest > 0")
-    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), "epoch", "doc_id").cast("binary"))
-    dealt = dealt.withColumn("h", F.conv(F.substring(digest, 1, 15), 16, 10).cast("long"))
+    dealt = dealt.withColumn("h", _dealt(F.lit(str(seed)), F.col("epoch"), F.col("doc_id"), F.col("key")))
     dealt = dealt.withColumn("block", F.shiftright(F.shiftright("h", 30) * F.col("blocks"), 30))
     dealt = dealt.repartition("source", "epoch", "block")  # else the join's partitioning by source would do, hot sources with it
     inside = Window.partitionBy("source", "epoch", "block").orderBy("h", "doc_id", "key").rowsBetween(Window.unboundedPreceding, 0)
@@ -110,12 +115,36 @@ def mix(documents: DataFrame, entropy: float = ENTROPY, repeats: float = REPEATS
 
 
 def mixed(documents: DataFrame, **how) -> DataFrame:
-    """The rows of `documents`, each as often as the mixture has it."""
-    times = mix(documents, **how).groupBy(F.col("doc_id").alias("__d"), F.col("source").alias("__s"), F.col("key").alias("__k")).agg(F.count("*").cast("int").alias("__n"))
-    keyed = documents.withColumn("__key", F.xxhash64("text"))
-    on = F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__key") == F.col("__k")) & (F.coalesce("source", F.lit("")) == F.col("__s"))
-    each = keyed.join(times, on).withColumn("__i", F.explode(F.sequence(F.lit(1), "__n")))
-    return each.select(*documents.columns)
+    """The rows of `documents`, each as often as the mixture has it; laid() finds the mixture's order again."""
+    doc, source, key, times, copy = (own_name(documents, c) for c in ("unit", "unit_source", "unit_key", "times", "copy"))
+    units = mix(documents, **how).groupBy(F.col("doc_id").alias(doc), F.col("source").alias(source), F.col("key").alias(key)).agg(F.count("*").cast("int").alias(times))
+    on = F.col("doc_id").eqNullSafe(F.col(doc)) & (F.xxhash64("text") == F.col(key)) & (F.coalesce("source", F.lit("")) == F.col(source))
+    return documents.join(units, on).withColumn(copy, F.explode(F.sequence(F.lit(1), times))).select(*columns(documents))
+
+
+def laid(mixture: DataFrame, place: str = "place", seed: int = SEED) -> tuple[DataFrame, DataFrame]:
+    """The rows of a mixture with their place in it, from 0 to 1, as a column; and the rows' keys: at (the place), hash
+    (common.range_hash) and bytes, which are found without moving texts.
+
+    The copies of a unit are its epochs, and within an epoch blocks and their documents lie in the order of the same hash
+    that mix() deals them by, so (epoch, hash) is each source's stream of block permutations. Streams of all sources are
+    laid over each other, each stretched over the whole."""
+    source, key = F.coalesce("source", F.lit("")), F.xxhash64("text")
+    units = mixture.select("doc_id", source.alias("s"), key.alias("k"), range_hash().alias("hash"), F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("bytes"))
+    units = checkpointed(units.groupBy("doc_id", "s", "k", "hash").agg(F.max("bytes").alias("bytes"), F.count("*").alias("n")))
+    at = lambda epoch, doc, k: epoch + _dealt(F.lit(str(seed)), epoch, doc, k) / F.lit(float(1 << 60))
+    ends = checkpointed(units.groupBy("s").agg(F.max(at(F.col("n") - 1, F.col("doc_id"), F.col("k"))).alias("last")))
+    near = F.broadcast if ends.count() <= MOST_BROADCAST else (lambda d: d)  # a row per source
+    over = lambda x, last: F.when(last > 0, x / last).otherwise(F.lit(0.0))
+    each = units.join(near(ends), "s").withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    keys = each.select(over(at(F.col("epoch"), F.col("doc_id"), F.col("k")), F.col("last")).alias("at"), "hash", "bytes")
+
+    named, k, epoch, last = (own_name(mixture, c) for c in ("unit_source", "unit_key", "epoch", "last"))
+    copies = Window.partitionBy("doc_id", named, k).orderBy(F.lit(0))
+    rows = mixture.withColumn(named, source).withColumn(k, key).withColumn(epoch, (F.row_number().over(copies) - 1).cast("long"))
+    rows = rows.join(near(ends.select(F.col("s").alias(named), F.col("last").alias(last))), named)
+    others = [c for c in mixture.columns if c.lower() != place.lower()]
+    return rows.select(*columns(mixture, others), over(at(F.col(epoch), F.col("doc_id"), F.col(k)), F.col(last)).alias(place)), keys
 
 
 def digest(documents: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skeinwork.llm.common import map_arrow, slices, utf8
+from skeinwork.llm.common import map_arrow, own_name, slices, utf8
 from skeinwork.llm.language_id import holds_out
 from skeinwork.llm.segments import hashes, runs
 
@@ -209,18 +209,18 @@ def train(documents: DataFrame, labels: DataFrame, label: str = "quality", max_r
 def predict(documents: DataFrame, model: AdditiveModel, threshold: float = THRESHOLD) -> DataFrame:
     """Adds score and predicted to the rows of `documents` (columns of those names are replaced)."""
     held = documents.sparkSession.sparkContext.broadcast(model)
-    rest = documents.drop("score", "predicted", "__text")
+    rest, body = documents.drop("score", "predicted"), own_name(documents, "body")
     names = rest.columns
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema), "score double", "predicted int"])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            data, offs = utf8(b.column("__text"))
+            data, offs = utf8(b.column(body))
             found = [held.value.scores(features(part, o)) for _, _, part, o in slices(data, offs)]
             s = np.concatenate(found) if found else np.empty(0)
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=[*names, "score", "predicted"])
 
-    return map_arrow(rest.withColumn("__text", F.coalesce("text", F.lit(""))), score, schema)
+    return map_arrow(rest.withColumn(body, F.coalesce("text", F.lit(""))), score, schema)
 
 
 def digest(documents: DataFrame, labels: DataFrame) -> DataFrame:

@@ -115,10 +115,10 @@ def _put(fs, path: str, blob: bytes) -> None:
         f.write(blob)
 
 
-def write(documents: DataFrame, out_dir: str, tokenizer_path: str, end_id: int = END_ID, shard_bytes: int = SHARD_BYTES, order: str = "doc_id") -> DataFrame:
+def write(documents: DataFrame, out_dir: str, tokenizer_path: str, end_id: int = END_ID, shard_bytes: int = SHARD_BYTES, order: str = "doc_id", keys: DataFrame | None = None) -> DataFrame:
     """Write a store in the order of a numeric column; the manifest, a row per shard."""
     dtype = id_dtype(tokenizer_path, end_id)
-    ranged, n = in_ranges(documents, order, shard_bytes)
+    ranged, n = in_ranges(documents, order, shard_bytes, keys)
 
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, encoder = TaskContext.get().partitionId(), _encoder(tokenizer_path, dtype)
@@ -262,10 +262,12 @@ def read(spark: SparkSession, out_dir: str, manifest: list) -> DataFrame:
     return map_arrow(plan, rows, ROWS)
 
 
-def tokenize(documents: DataFrame, tokenizer_path: str, end_id: int = END_ID, out_dir: str | None = None, order: str = "doc_id") -> DataFrame:
-    """Write a store (in the shared folder unless told where) in the order of a numeric column, and read it back."""
+def tokenize(documents: DataFrame, tokenizer_path: str, end_id: int = END_ID, out_dir: str | None = None, order: str = "doc_id", keys: DataFrame | None = None) -> DataFrame:
+    """Write a store (in the shared folder unless told where) in the order of a numeric column, and read it back.
+
+    keys: as of common.in_ranges()."""
     spark = documents.sparkSession
     out_dir = out_dir or fresh_dir(spark, "tokens")
-    manifest = write(documents, out_dir, tokenizer_path, end_id, order=order).collect()
+    manifest = write(documents, out_dir, tokenizer_path, end_id, order=order, keys=keys).collect()
     clean(out_dir, manifest)
     return read(spark, out_dir, manifest)

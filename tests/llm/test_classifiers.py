@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from skeinwork.llm import language_id as li
 from skeinwork.llm import pii
@@ -47,6 +48,18 @@ def test_code_lengths_are_exact():
         assert np.allclose(row, [_bits(counts, order, t, la) for la in m.langs], rtol=1e-5)
 
 
+def test_code_lengths_of_a_very_long_text_in_pieces(small_docs):
+    m = li.train(small_docs)
+    data, offs = utf8(pa.array(["the quick brown fox é über la maison " * 300]))
+    assert np.allclose(m.long_lengths(data, 700), m.code_lengths(data, offs), rtol=1e-6)
+
+
+def test_a_model_too_large_for_a_machine_is_refused(small_docs, monkeypatch):
+    monkeypatch.setattr(li, "MOST_MODEL", 10_000)
+    with pytest.raises(ValueError, match="too large"):
+        li.train(small_docs)
+
+
 def test_languages_of_held_out_documents(spark, small, texts, small_docs):
     got = {r["doc_id"]: r for r in queries()["op4_language_id"](spark, small).collect()}
     lang = {r["doc_id"]: r["lang"] for r in small_docs.collect()}
