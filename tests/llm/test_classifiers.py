@@ -11,7 +11,6 @@ import pyarrow as pa
 import pytest
 
 from skeinwork.llm import language_id as li
-from skeinwork.llm import pii
 from skeinwork.llm import quality as q
 from skeinwork.llm.common import utf8
 from skeinwork.llm.queries import queries
@@ -124,10 +123,3 @@ def test_quality_of_odd_documents(spark, odd, nothing, small_docs):
     assert all(0 <= r["score"] <= 1 for r in got)
     assert q.predict(nothing, m).count() == 0
     assert {r["score"] for r in q.predict(odd, q.train(small_docs, labels.where("false"))).collect()} == {0.5}
-
-
-def test_field_is_trained_for_fifty_epochs(monkeypatch):
-    zones = [("call +49 30 1234567 now", [("phone", 5, 19)]), ("from 100-200, 300-400 on", []), ("mail a.b@cd.ef at once", [("email", 5, 12)])]
-    made = pii.SemiMarkovField.train(zones)
-    monkeypatch.setattr(pii, "EPOCHS", 50)
-    assert made.weights == pii.SemiMarkovField.train(zones).weights
