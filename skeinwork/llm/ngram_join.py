@@ -18,12 +18,16 @@ holds cover the prefix but find nothing and aren't indexed; where they are half
 combinations alone.
 
 Rounds over blocks (see blocks): 1 blocks tell tokens, buckets answer with those that more sets hold, and their class;
-2 blocks tell keys with their holders, and what verification needs of the sets that have enough shared tokens. A bucket
-makes a star of each key: edges from its holders to the smallest one, the hub. Every link lies among the holders of a hub.
-Verification is exact, in three steps, each in tasks of at most `spread` sets on either side, so no group of copies is one
-task: every set with its smallest hub; then the edges whose ends aren't connected yet; and last, for each hub, the holders
-that are still apart from it with all its holders of other components. Sets already connected are never compared again, so
-groups of thousands of copies cost about one comparison each.
+2 blocks give out the sets that have enough shared tokens, with those tokens and classes, and `FIRST` keys of each, of the
+commonest tokens. From then on no text is read. The holders of a key make a star: edges to the smallest one, the hub. First
+every set is compared with its smallest hub under those few keys, which connects groups of copies. Then all sets tell all
+keys, with their components so far, and buckets answer with stars of the keys whose holders aren't all connected: every link
+that is still missing lies among the holders of such a hub. Edges whose ends aren't connected are compared; and last, for
+each hub, the holders still apart from it with all its holders of other components.
+
+Comparisons are exact and run in tasks of about `spread` sets on either side, so no group of copies is one task. Sets already
+connected are never compared again, and their keys make no edges, so groups of thousands of copies cost a few comparisons
+for each copy.
 
 Defined cases: null and empty texts and texts without words have an empty set and link with nothing; fewer words than a
 shingle are one token, so equal short texts link; rows of one doc_id count as one document with all their links; a null
@@ -43,7 +47,7 @@ from skeinwork.llm.blocks import Texts, bounds, components, deal, partitions, re
 from skeinwork.llm.common import checkpointed, map_arrow, mix64
 from skeinwork.llm.segments import gather, hashes, runs
 
-RARE, SPREAD, MOST_BROADCAST = 0.5, 64, 200_000
+RARE, SPREAD, FIRST, MOST_BROADCAST = 0.5, 64, 4, 200_000
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -199,30 +203,31 @@ def groups(n, num: int, den: int):
     return 1 << np.floor(np.log2(np.maximum(lacking(n, num, den) // 4, 1))).astype(np.int64)
 
 
-def prefix_keys(tokens: np.ndarray, class_: np.ndarray, size: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys of sets that lie one after another: the key, which set it is of, and whether it is a combination.
+def prefix_keys(tokens: np.ndarray, class_: np.ndarray, held: np.ndarray, size: np.ndarray, num: int, den: int) -> tuple[np.ndarray, ...]:
+    """Keys of sets: the key, which set it is of, whether it is a combination, and its tokens' classes in sum.
 
-    class_: whole logarithm of holders, 128 more if frequent, 0 if no other set holds the token."""
+    tokens, class_: the shared tokens of all sets, set after set, `held` of each set's `size` tokens; whole logarithm of
+    holders, 128 more if frequent. The tokens that no other set holds come first in the order and cover one each."""
     least = -(-size * num // den)  # of a partner, or of what is shared with one
     low, high = groups(least, num, den), groups(size, num, den)
-    keys, of, kind = [], [], []
+    keys, of, kind, weight = [], [], [], []
 
-    def add(key: np.ndarray, owner: np.ndarray, combination: bool) -> None:
+    def add(key: np.ndarray, owner: np.ndarray, combination: bool, classes: np.ndarray) -> None:
         keys.append(key)
         of.append(owner)
         kind.append(np.full(len(key), combination))
+        weight.append(classes)
 
-    owner = np.repeat(np.arange(len(size)), size)
+    owner, common = np.repeat(np.arange(len(size)), held), (class_ & 127).astype(np.int64)
     lonely = (least <= 1)[owner] & (class_ >= 128)
-    add(tokens[lonely], owner[lonely], False)
-    number = 1
+    add(tokens[lonely], owner[lonely], False, common[lonely])
+    begin, number = np.cumsum(held) - held, 1
     while len(size) and number <= high.max():
         takes = np.flatnonzero((low <= number) & (number <= high))
-        at = gather(np.concatenate(([0], np.cumsum(size)))[takes], size[takes])
-        t, c, o = tokens[at], class_[at], owner[at]
-        order = np.lexsort((t, c & 127, o))
-        t, c, o = t[order], c[order], o[order]
-        often = c >= 128
+        at = gather(begin[takes], held[takes])
+        t, c, o, often = tokens[at], common[at], owner[at], class_[at] >= 128
+        order = np.lexsort((t, c, o))
+        t, c, o, often = t[order], c[order], o[order], often[order]
         group = (mix64(t ^ _TURN[0]) >> np.uint64(20)).astype(np.int64) & (number - 1)
         f = np.flatnonzero(often)
         by = f[np.lexsort((f, group[f], o[f]))]  # by set, group, place in the order
@@ -230,21 +235,20 @@ def prefix_keys(tokens: np.ndarray, class_: np.ndarray, size: np.ndarray, num: i
         first[1:] = (o[by[1:]] != o[by[:-1]]) | (group[by[1:]] != group[by[:-1]])
         covers = np.ones(len(t), np.int64)
         covers[by[first]] = 0
-        before = np.cumsum(covers) - covers
-        starts = np.cumsum(size[takes]) - size[takes]
-        before -= np.repeat(before[starts] if len(starts) else starts, size[takes])
-        inside = before <= np.repeat(lacking(size[takes], num, den), size[takes])
-        if number == 1 or len(takes):
-            single = inside & (c > 0) & ~often & (number == low[o])
-            add(t[single], o[single], False)
+        before = np.concatenate(([0], np.cumsum(covers)))
+        ends = np.cumsum(held[takes])
+        covered = before[:-1] - np.repeat(before[ends - held[takes]] - (size - held)[takes], held[takes])
+        inside = covered <= lacking(size, num, den)[o]
+        single = inside & ~often & (number == low[o])
+        add(t[single], o[single], False, c[single])
         by, first = by[inside[by]], first[inside[by]]
         start = np.maximum.accumulate(np.where(first, np.arange(len(by)), 0))
         rank = np.arange(len(by)) - start  # pairs of each token with those before it in its group
-        right, left = np.repeat(np.arange(len(by)), rank), gather(start, rank)
+        right, left = by[np.repeat(np.arange(len(by)), rank)], by[gather(start, rank)]
         with np.errstate(over="ignore"):
-            add(mix64(mix64(t[by[left]] * _TURN[1] + np.uint64(number)) + t[by[right]] * _TURN[2]), o[by[right]], True)
+            add(mix64(mix64(t[left] * _TURN[1] + np.uint64(number)) + t[right] * _TURN[2]), o[right], True, c[left] + c[right])
         number *= 2
-    return np.concatenate(keys), np.concatenate(of), np.concatenate(kind)
+    return tuple(np.concatenate(x) for x in (keys, of, kind, weight))
 
 
 ROUND2 = "kind string, key long, payload binary"
@@ -268,32 +272,84 @@ def key_messages(sets: Sets, class_: np.ndarray, bits: int, num: int, den: int,
     if not len(use):
         return
     at = gather(sets.offs[:-1][use], sets.size[use])
-    key, of, kind = prefix_keys(sets.tokens[at], class_[at], sets.size[use], num, den)
-    told = np.isin(kind, kinds)
-    key, holder = key[told], sets.ids[use][of[told]]
-    order = np.lexsort((holder, key))
-    key, holder = key[order], holder[order]
-    rows = []
-    for b, x, y in bounds((key >> np.uint64(64 - bits)).astype(np.int64)):
-        rows.append(("key", b, key[x:y].tobytes() + holder[x:y].tobytes()))
-    for i in use.tolist():
-        a, b = sets.offs[i], sets.offs[i + 1]
-        rows.append(("set", int(sets.ids[i]), np.int64(b - a).tobytes() + sets.tokens[a:b][class_[a:b] > 0].tobytes()))
+    owner = np.repeat(np.arange(len(use)), sets.size[use])[class_[at] > 0]
+    at = at[class_[at] > 0]
+    held = np.bincount(owner, minlength=len(use))
+    key, of, kind, weight = prefix_keys(sets.tokens[at], class_[at], held, sets.size[use], num, den)
+    some = np.lexsort((key, -weight, of))
+    some = some[np.isin(kind[some], kinds)]
+    rank = np.arange(len(some)) - np.searchsorted(of[some], of[some])
+    some = some[rank < FIRST]
+    rows = [("key", b, blob) for b, blob in _told(key[some], bits, sets.ids[use][of[some]])]
+    ends = np.cumsum(held)
+    for i, a, b in zip(use.tolist(), (ends - held).tolist(), ends.tolist(), strict=True):
+        rows.append(("set", int(sets.ids[i]), _packed(int(sets.size[i]), sets.tokens[at[a:b]], class_[at[a:b]])))
     yield _round2(rows)
 
 
-def key_stars(table: pa.Table) -> Iterator[pa.RecordBatch]:
-    """From a bucket of keys: edges from every holder to the key's smallest."""
+def _packed(size: int, tokens: np.ndarray, class_: np.ndarray) -> bytes:
+    return np.int64(size).tobytes() + tokens.tobytes() + class_.tobytes()
+
+
+def _unpacked(blob: bytes) -> tuple[int, np.ndarray, np.ndarray]:
+    n = (len(blob) - 8) // 9
+    return int(np.frombuffer(blob, np.int64, 1)[0]), np.frombuffer(blob, np.uint64, n, 8), np.frombuffer(blob, np.uint8, n, 8 + 8 * n)
+
+
+def _told(key: np.ndarray, bits: int, *values: np.ndarray) -> list[tuple[int, bytes]]:
+    """By bucket, keys and what goes with them (64 bits each), packed."""
+    order = np.argsort(key)
+    key, values = key[order], [v[order].astype(np.int64) for v in values]
+    return [(b, b"".join((key[x:y].tobytes(), *(v[x:y].tobytes() for v in values)))) for b, x, y in bounds((key >> np.uint64(64 - bits)).astype(np.int64))]
+
+
+def all_keys(bits: int, num: int, den: int, kinds: tuple[bool, ...]):
+    """By bucket, all keys of sets with holders and components. Rows: doc_id, component, payload."""
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not len(b):
+                continue
+            size, tokens, class_ = zip(*map(_unpacked, b.column("payload").to_pylist()), strict=True)
+            held = np.array([len(t) for t in tokens])
+            key, of, kind, _ = prefix_keys(np.concatenate(tokens), np.concatenate(class_), held, np.array(size), num, den)
+            told, ids, comp = np.isin(kind, kinds), b.column("doc_id").to_numpy(), b.column("component").to_numpy()
+            rows = _told(key[told], bits, ids[of[told]], comp[of[told]])
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in rows], pa.int64()), pa.array([x for _, x in rows], pa.binary())], names=["key", "payload"])
+
+    return walk
+
+
+def _columns(table: pa.Table, n: int) -> list[np.ndarray]:
+    """The packed columns of a bucket (keys, then n - 1 more), in the order of keys and holders."""
     blobs = table.column("payload").to_pylist()
-    key = np.concatenate([np.frombuffer(x, np.uint64, len(x) // 16) for x in blobs])
-    holder = np.concatenate([np.frombuffer(x, np.int64, len(x) // 16, len(x) // 2) for x in blobs])
-    order = np.lexsort((holder, key))
-    key, holder = key[order], holder[order]
-    new = np.ones(len(key), bool)
-    new[1:] = key[1:] != key[:-1]
-    least = holder[np.flatnonzero(new)][np.cumsum(new) - 1]
-    edges = np.unique(np.stack((holder, least), 1)[holder != least], axis=0)
-    yield pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1])], names=["a", "b"])
+    parts = [np.frombuffer(x, np.int64).reshape(n, -1) for x in blobs]
+    found = np.concatenate(parts, axis=1)
+    return list(found[:, np.lexsort((found[1], found[0]))])
+
+
+def least_hubs(table: pa.Table) -> Iterator[pa.RecordBatch]:
+    """From a bucket of the first keys: each holder's smallest hub."""
+    key, holder = _columns(table, 2)
+    hub = holder[np.searchsorted(key, key)]
+    order = np.lexsort((hub, holder))
+    a, b = holder[order], hub[order]
+    new = np.ones(len(a), bool)
+    new[1:] = a[1:] != a[:-1]
+    new &= a != b
+    yield pa.RecordBatch.from_arrays([pa.array(a[new]), pa.array(b[new])], names=["a", "b"])
+
+
+def open_stars(table: pa.Table) -> Iterator[pa.RecordBatch]:
+    """From a bucket of all keys: stars of those whose holders are of several components. a, b (the hub), ca, cb."""
+    key, holder, comp = _columns(table, 3)
+    first = np.searchsorted(key, key)
+    runs_ = np.flatnonzero(np.diff(key, prepend=key[0] - 1)) if len(key) else key
+    mixed = np.minimum.reduceat(comp, runs_) != np.maximum.reduceat(comp, runs_)
+    keep = np.repeat(mixed, np.diff(runs_, append=len(key))) & (holder != holder[first])
+    edges = np.unique(np.stack((holder[keep], holder[first][keep], comp[keep], comp[first][keep]), 1), axis=0)
+    yield pa.RecordBatch.from_arrays([pa.array(c) for c in edges.T], names=["a", "b", "ca", "cb"])
 
 
 def unpacked_docs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -329,7 +385,7 @@ def joined(num: int, den: int):
     def then(table: pa.Table) -> Iterator[pa.RecordBatch]:
         sides: tuple[list, list] = ([], [])
         for side, doc_id, comp, blob in zip(*(table.column(c).to_pylist() for c in ("side", "doc_id", "component", "payload")), strict=True):
-            sides[side].append((doc_id, comp, int(np.frombuffer(blob, np.int64, 1)[0]), np.frombuffer(blob, np.uint64, -1, 8)))
+            sides[side].append((doc_id, comp, *_unpacked(blob)[:2]))
         found = links_between(*sides, num, den) if all(sides) else []
         yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
 
@@ -352,13 +408,11 @@ def _compared(left: DataFrame, right: DataFrame, sets: DataFrame, n: int, num: i
     return regroup(one.unionByName(two).join(sets, "doc_id"), "task", n, joined(num, den), "a long, b long")
 
 
-def _apart(stars: DataFrame, found: DataFrame) -> DataFrame:
-    """a, b, ca, cb: edges whose ends aren't connected, with their components. found: node, component."""
-    d = stars
-    for end in ("a", "b"):
-        part = found.select(F.col("node").alias(end), F.col("component").alias("c" + end))
-        d = d.join(part, end, "left").withColumn("c" + end, F.coalesce("c" + end, end))
-    return d.where("ca <> cb")
+def _labelled(nodes: DataFrame, node: str, found: DataFrame, component: str) -> DataFrame:
+    """`nodes` with the component of a node, which is itself where it has no link. found: node, component."""
+    part = found.select(F.col("node").alias(node), F.col("component").alias(component))
+    part = F.broadcast(part) if part.count() <= MOST_BROADCAST else part  # 16 bytes a row
+    return nodes.join(part, node, "left").withColumn(component, F.coalesce(component, node))
 
 
 def near_duplicates(documents: DataFrame, width: int = 5, num: int = 8, den: int = 10, rare: float = RARE, spread: int = SPREAD, kinds: tuple[bool, ...] = (False, True)) -> DataFrame:
@@ -383,7 +437,8 @@ def near_duplicates(documents: DataFrame, width: int = 5, num: int = 8, den: int
     second = checkpointed(texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(tell_keys, ROUND2))
     docs = map_arrow(second.where("kind = 'doc'"), unpacked_docs, "doc_id long, n_shingles long, rep long, known boolean")
     sets = second.where("kind = 'set'").select(F.col("key").alias("doc_id"), "payload")
-    stars = checkpointed(regroup(second.where("kind = 'key'").drop("kind"), "key", n, key_stars, "a long, b long").distinct())
+    told = regroup(second.where("kind = 'key'").drop("kind"), "key", n, least_hubs, "a long, b long")
+    least = checkpointed(told.groupBy("a").agg(F.min("b").alias("b")))
 
     hub = F.col("b").alias("hub")
     one = lambda d, end, c: d.select(hub, F.col(end).alias("doc_id"), F.col(c).alias("component")).distinct()
@@ -395,17 +450,16 @@ def near_duplicates(documents: DataFrame, width: int = 5, num: int = 8, den: int
         return components(found.unionByName(_compared(left, right, sets, n, num, den, spread)))
 
     edges = lambda found: found.select(F.col("node").alias("a"), F.col("component").alias("b"))
-    least = stars.groupBy("a").agg(F.min("b").alias("b"))
     found = connected(same, one(least, "b", "b"), one(least, "a", "a"))
-    apart = checkpointed(_apart(stars, found))
-    untried = apart.join(least, ["a", "b"], "left_anti")
+    told = map_arrow(_labelled(sets, "doc_id", found, "component"), all_keys(bits, num, den, kinds), "key long, payload binary")
+    stars = checkpointed(regroup(told, "key", n, open_stars, "a long, b long, ca long, cb long").distinct())
+    untried = stars.where("ca <> cb").join(least, ["a", "b"], "left_anti")
     found = connected(edges(found), one(untried, "b", "cb"), one(untried, "a", "ca"))
-    around = stars.join(apart.select("b").distinct(), "b", "left_semi")
-    apart = checkpointed(_apart(around, found))
+    around = checkpointed(_labelled(_labelled(stars.select("a", "b"), "a", found, "ca"), "b", found, "cb"))
     # the holders that are still apart from their hub, with all holders of that hub
-    around = around.join(apart.select("b").distinct(), "b", "left_semi").join(found.withColumnRenamed("node", "a"), "a", "left")
-    around = around.withColumn("component", F.coalesce("component", "a"))
-    labels = connected(edges(found), one(apart, "a", "ca"), one(around, "a", "component"))
+    apart = around.where("ca <> cb")
+    around = around.join(apart.select("b").distinct(), "b", "left_semi")
+    labels = connected(edges(found), one(apart, "a", "ca"), one(around, "a", "ca"))
     final = docs.join(labels, docs["rep"] == labels["node"], "left")
     return final.select(F.when(F.col("known"), F.col("doc_id")).alias("doc_id"), "n_shingles", F.when(F.col("known"), F.coalesce("component", "rep")).alias("component_id"))
 
