@@ -48,6 +48,15 @@ def released(run: Callable) -> Callable:
     return walk
 
 
+def prepared(spark: SparkSession) -> SparkSession:
+    """The session of the registered queries and pipeline stages, with Arrow batches that suit long texts where it has Spark's
+    own default. Operators never change a session; their callers choose its batches."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, BATCH_ROWS)
+    return spark
+
+
 def map_arrow(df: DataFrame, run: Callable, schema: str) -> DataFrame:
     """mapInArrow with pieces of batches that suit long texts."""
     return df.mapInArrow(released(run), schema)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from skeinwork.llm import decontaminate, fingerprints, language_id, mixing, ngram_join, pii, quality, suffix_dedup, token_counts, token_io
-from skeinwork.llm.common import table
+from skeinwork.llm.common import prepared, table
 
 
 def byte_bpe_path() -> str:
@@ -18,7 +18,7 @@ def byte_bpe_path() -> str:
 
 
 def op1_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_io.tokenize(table(spark, sf_dir, "documents"), byte_bpe_path())
+    return token_io.tokenize(table(prepared(spark), sf_dir, "documents"), byte_bpe_path())
 
 
 def byte_ranks_path() -> str:
@@ -28,27 +28,27 @@ def byte_ranks_path() -> str:
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.digest(table(spark, sf_dir, "documents"), byte_ranks_path())
+    return token_counts.digest(table(prepared(spark), sf_dir, "documents"), byte_ranks_path())
 
 
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprints.digest(table(spark, sf_dir, "documents"))
+    return fingerprints.digest(table(prepared(spark), sf_dir, "documents"))
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return language_id.digest(table(spark, sf_dir, "documents"))
+    return language_id.digest(table(prepared(spark), sf_dir, "documents"))
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return quality.digest(table(prepared(spark), sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.digest(table(spark, sf_dir, "documents"))
+    return suffix_dedup.digest(table(prepared(spark), sf_dir, "documents"))
 
 
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.digest(table(spark, sf_dir, "documents"))
+    return ngram_join.digest(table(prepared(spark), sf_dir, "documents"))
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,7 +56,7 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.digest(table(spark, sf_dir, "documents"))
+    return pii.digest(table(prepared(spark), sf_dir, "documents"))
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
