@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skeinwork.llm import decontaminate, language_id, mixing, ngram_join, token_io
-from skeinwork.llm.common import columns, fresh_dir, own_name, table
+from skeinwork.llm.common import columns, fresh_dir, own_name, prepared, table
 from skeinwork.llm.queries import byte_bpe_path
 
 #: Below this share of the code-length posterior no language is called.
@@ -23,6 +23,7 @@ def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null and empty texts have no letter and go. Rows without a lang or a doc_id are judged as all others; repeated rows each
     by the same rule. If no row has a lang, no language is known and all go."""
+    prepared(spark)
     label, sure = own_name(docs, "language"), own_name(docs, "sure")
     named = language_id.predict(docs, language_id.train(docs), label, sure)
     return named.where((F.col(label) != language_id.UNKNOWN) & (F.col(sure) >= LEAST_SCORE)).select(*columns(docs))
@@ -33,6 +34,7 @@ def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
     Texts without words (null ones, too) link with nothing and stay. All rows of the doc_id that stays do, also where it is
     repeated; rows without a doc_id can't be named by it and stay."""
+    prepared(spark)
     return ngram_join.one_of_each(docs)
 
 
@@ -55,6 +57,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token shards in the shared folder, laid in the mixture's order; a row per document of the mixture.
 
     Null and empty texts are just the end id; rows without a doc_id are written but can't be looked up."""
+    prepared(spark)
     rows, keys = mixing.laid(docs)
     return token_io.tokenize(rows, byte_bpe_path(), order="place", keys=keys)
 
