@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -22,78 +21,90 @@ def group_vectors(rows: DataFrame) -> DataFrame:
     return rows.groupBy("group_key").agg(F.countDistinct("image").alias("images"), *(F.count_if(F.col("class_id") == c).alias(f"c{c}") for c in CLASSES))
 
 
-class _Balance:
-    """Counts of each split and the error they make against the targets."""
-
-    def __init__(self, total: list[int], ratios: dict[str, float], image_weight: float, class_weight: float):
-        self.targets = {s: [t * ratios[s] for t in total] for s in SPLITS}
-        self.weights = [image_weight] + [class_weight] * len(CLASSES)
-        self.now = {s: [0] * len(total) for s in SPLITS}
-
-    def error(self, split: str, counts: list[int]) -> float:
-        parts = [((c - t) / max(t, 1)) ** 2 for c, t in zip(counts, self.targets[split], strict=True)]
-        return self.weights[0] * parts[0] + self.weights[1] * sum(parts[1:])
-
-    def change(self, split: str, vector: list[int], sign: int) -> float:
-        now = self.now[split]
-        return self.error(split, [a + sign * b for a, b in zip(now, vector, strict=True)]) - self.error(split, now)
-
-    def put(self, split: str, vector: list[int], sign: int) -> None:
-        self.now[split] = [a + sign * b for a, b in zip(self.now[split], vector, strict=True)]
-
-
-def _balance(total: list[int], ratios: dict[str, float] = RATIOS, image_weight: float = 1.0, class_weight: float = 1.0) -> _Balance:
-    if set(ratios) != set(SPLITS) or abs(sum(ratios.values()) - 1) > 1e-6:
-        raise ValueError("ratios must be given for train, val and test and sum to 1")
-    return _Balance(total, ratios, image_weight, class_weight)
-
-
-def _total(kinds: list[list[int]], counts: list[int]) -> list[int]:
-    return [sum(v[i] * n for v, n in zip(kinds, counts, strict=True)) for i in range(1 + len(CLASSES))]
-
-
-def _exhaustive(vectors: list[list[int]], b: _Balance) -> tuple[str, ...]:
-    best, chosen = float("inf"), None
-    for splits in product(SPLITS, repeat=len(vectors)):
-        if set(splits) == set(SPLITS):
-            counts = {s: [0] * (1 + len(CLASSES)) for s in SPLITS}
-            for v, s in zip(vectors, splits, strict=True):
-                counts[s] = [x + y for x, y in zip(counts[s], v, strict=True)]
-            score = sum(b.error(s, counts[s]) for s in SPLITS)
-            if score < best:
-                best, chosen = score, splits
+# Fixed values of the rule: a split's error is the sum over images and classes of the squared distance to the target, in units
+# of the target (of one, if that is less). Up to EXHAUSTIVE groups the best of all allocations that use every split is taken,
+# the first in the order of SPLITS among equals. More groups go largest first, each to where it adds least, and then, in key
+# order and for ROUNDS rounds at most, to where a move gains most, while that is more than LEAST_GAIN.
+LEAST_GAIN = 1e-12
+
+
+class Balance:
+    """What the splits hold, against their targets: arrays by split and count (images, then the classes)."""
+
+    def __init__(self, total: np.ndarray, ratios: dict[str, float] = RATIOS, image_weight: float = 1.0, class_weight: float = 1.0):
+        if set(ratios) != set(SPLITS) or abs(sum(ratios.values()) - 1) > 1e-6:
+            raise ValueError("ratios must be given for train, val and test and sum to 1")
+        self.target = np.outer([ratios[s] for s in SPLITS], total)
+        self.scale = np.maximum(self.target, 1)
+        self.weight = np.array([image_weight] + [class_weight] * len(CLASSES))
+        self.held = np.zeros_like(self.target)
+
+    def error(self, held: np.ndarray) -> np.ndarray:
+        """By split; held: counts in the last two axes."""
+        part = ((held - self.target) / self.scale) ** 2
+        return self.weight[0] * part[..., 0] + self.weight[1] * part[..., 1:].sum(-1)
+
+    def gains(self, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What each vector would change each split's error by, put there and taken away: two tables by vector and split."""
+        now = self.error(self.held)
+        return self.error(self.held + kinds[:, None, :]) - now, self.error(self.held - kinds[:, None, :]) - now
+
+
+def _every_allocation(vectors: np.ndarray, balance: Balance) -> np.ndarray:
+    """The best allocation of a few groups. An allocation is a number whose digits, the first group's highest, are splits."""
+    n, m = len(vectors), len(SPLITS)
+    best, chosen = np.inf, None
+    for low in range(0, m**n, CHUNK):
+        number = np.arange(low, min(low + CHUNK, m**n))
+        place = number[:, None] // m ** np.arange(n - 1, -1, -1) % m
+        member = place[:, :, None] == np.arange(m)
+        score = balance.error(np.einsum("agm,gc->amc", member, vectors)).sum(-1)
+        score[~member.any(1).all(-1)] = np.inf
+        k = int(score.argmin())
+        if score[k] < best:
+            best, chosen = score[k], place[k]
     if chosen is None:
         raise ValueError("groups are too few for three splits")
-    return chosen
-
-
-def _greedy(kinds: list[list[int]], of: np.ndarray, b: _Balance) -> np.ndarray:
-    """The number of the split of each group. kinds: the distinct vectors; of: the kind of each group, in key order."""
-    images, objects = np.array([v[0] for v in kinds]), np.array([sum(v[1:]) for v in kinds])
-    tier = np.unique(np.stack((-images, -objects), 1), axis=0, return_inverse=True)[1].ravel().astype(np.int32)
-    order, place = np.argsort(tier[of], kind="stable"), np.empty(len(of), np.uint8)
-    for x in range(0, len(of), CHUNK):
-        at = order[x : x + CHUNK]
-        for g, k in zip(at.tolist(), of[at].tolist(), strict=True):
-            cost = [b.change(s, kinds[k], 1) for s in SPLITS]
-            place[g] = to = cost.index(min(cost))
-            b.put(SPLITS[to], kinds[k], 1)
-    del order
+    return chosen.astype(np.uint8)
+
+
+def _search(kinds: np.ndarray, of: np.ndarray, balance: Balance) -> np.ndarray:
+    """The split of each group, in key order. kinds: the distinct vectors; of: each group's kind.
+
+    What a group costs depends on its kind and on what the splits hold, so the costs of all kinds are one table that is made
+    anew when something moves; groups between two moves are looked up in it together."""
+    size = np.lexsort((-kinds[:, 1:].sum(1), -kinds[:, 0]))
+    tier = np.empty(len(kinds), np.int64)
+    tied = np.stack((kinds[size, 0], kinds[size, 1:].sum(1)), 1)
+    tier[size] = np.cumsum(np.any(np.diff(tied, axis=0, prepend=tied[:1]) != 0, axis=1))
+    place = np.empty(len(of), np.uint8)
+    for g in np.argsort(tier[of], kind="stable"):
+        added = balance.error(balance.held + kinds[of[g]]) - balance.error(balance.held)
+        place[g] = added.argmin()
+        balance.held[place[g]] += kinds[of[g]]
+    rows = np.arange(len(kinds))
     for _ in range(ROUNDS):
-        moved, known = False, {}  # where a kind goes from a split, until something moves
-        for x in range(0, len(of), CHUNK):
-            for g, own in enumerate(zip(of[x : x + CHUNK].tolist(), place[x : x + CHUNK].tolist(), strict=True), x):
-                to = known.get(own)
-                if to is None:
-                    v, here = kinds[own[0]], SPLITS[own[1]]
-                    cost = [0.0 if s == here else b.change(s, v, 1) + b.change(here, v, -1) for s in SPLITS]
-                    to = cost.index(min(cost))
-                    known[own] = to = to if cost[to] < -1e-12 else own[1]
-                if to != own[1]:
-                    b.put(SPLITS[own[1]], kinds[own[0]], -1)
-                    b.put(SPLITS[to], kinds[own[0]], 1)
-                    place[g], moved = to, True
-                    known.clear()
+        at, moved = 0, False
+        while at < len(of):
+            put, take = balance.gains(kinds)
+            cost = put[:, None, :] + take[:, :, None]  # by kind, the split it is in, the split it goes to
+            for s in range(len(SPLITS)):
+                cost[rows, s, s] = 0.0
+            to = cost.argmin(-1)
+            goes = np.take_along_axis(cost, to[..., None], -1)[..., 0] < -LEAST_GAIN
+            while at < len(of):
+                own = goes[of[at : at + CHUNK], place[at : at + CHUNK]]
+                if own.any():
+                    at += int(own.argmax())
+                    break
+                at += CHUNK
+            if at < len(of):
+                kind, here = of[at], place[at]
+                there = to[kind, here]
+                balance.held[here] -= kinds[kind]
+                balance.held[there] += kinds[kind]
+                place[at], moved = there, True
+                at += 1
         if not moved:
             break
     if len(np.unique(place)) < len(SPLITS):
@@ -101,18 +112,16 @@ def _greedy(kinds: list[list[int]], of: np.ndarray, b: _Balance) -> np.ndarray:
     return place
 
 
-def assignment(groups: dict[str, list[int]], **how) -> dict[str, str]:
-    """The split of each group; groups: key -> [images, objects of each class]. how: ratios, image_weight, class_weight.
+def _allocated(kinds: np.ndarray, of: np.ndarray, **how) -> np.ndarray:
+    balance = Balance(np.bincount(of, minlength=len(kinds)) @ kinds, **how)
+    return _every_allocation(kinds[of], balance) if len(of) <= EXHAUSTIVE else _search(kinds, of, balance)
+
 
-    Up to 12 groups: the best of all assignments that use every split, the first among equals. More: largest first, each
-    to where it adds least error, then rounds of single moves while one improves."""
-    keys, kinds = sorted(groups), {}
-    of = np.array([kinds.setdefault(tuple(groups[k]), len(kinds)) for k in keys], np.int32)
-    vectors = [list(v) for v in kinds]
-    b = _balance(_total(vectors, np.bincount(of, minlength=len(vectors)).tolist()), **how)
-    if len(keys) <= EXHAUSTIVE:
-        return dict(zip(keys, _exhaustive([groups[k] for k in keys], b), strict=True))
-    return {k: SPLITS[p] for k, p in zip(keys, _greedy(vectors, of, b).tolist(), strict=True)}
+def assignment(groups: dict[str, list[int]], **how) -> dict[str, str]:
+    """The split of each group; groups: key -> [images, objects of each class]. how: ratios, image_weight, class_weight."""
+    keys = sorted(groups)
+    kinds, of = np.unique(np.array([groups[k] for k in keys], float).reshape(-1, 1 + len(CLASSES)), axis=0, return_inverse=True)
+    return {k: SPLITS[p] for k, p in zip(keys, _allocated(kinds, of.ravel(), **how).tolist(), strict=True)}
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,7 +136,8 @@ def assign(vectors: DataFrame, **how) -> DataFrame:
     only: the driver reads them a partition at a time and holds each distinct vector once and some 30 bytes a group, while
     keys stay with the executors, which get one byte a group back."""
     keyed = checkpointed(vectors.orderBy("group_key").withColumn("at", F.monotonically_increasing_id()))  # partition << 33 | row
-    kinds, of, starts, n = {}, [], {}, 0
+    kinds: dict[tuple, int] = {}
+    of, starts, n = [], {}, 0
     for r in keyed.mapInArrow(_packed, "at long, vectors binary").toLocalIterator():
         if not r["at"] & ((1 << 33) - 1):
             starts[r["at"] >> 33] = n
@@ -135,12 +145,7 @@ def assign(vectors: DataFrame, **how) -> DataFrame:
         of.append(np.array([kinds.setdefault(tuple(v), len(kinds)) for v in own.tolist()], np.int32)[back.ravel()])
         n += len(back)
     of = np.concatenate([np.empty(0, np.int32), *of])
-    found = [list(v) for v in kinds]
-    b = _balance(_total(found, np.bincount(of, minlength=len(found)).tolist()), **how)
-    if n > EXHAUSTIVE:
-        place = _greedy(found, of, b)
-    else:
-        place = np.array([SPLITS.index(s) for s in _exhaustive([found[k] for k in of.tolist()], b)], np.uint8)
+    place = _allocated(np.array(list(kinds), float).reshape(-1, 1 + len(CLASSES)), of, **how)
     held = vectors.sparkSession.sparkContext.broadcast((starts, place))
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

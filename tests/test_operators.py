@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import itertools
 import random
 from itertools import product
 
@@ -157,26 +158,43 @@ def test_passages_of_any_number_of_words(spark, monkeypatch, short_bytes):
 
 
 def _plain_assignment(groups):
-    keys = sorted(groups)
-    b = splitting._Balance([sum(v[i] for v in groups.values()) for i in range(4)], splitting.RATIOS, 1.0, 1.0)
+    """The rule group by group, with the splits' errors worked out anew each time."""
+    keys, ratios = sorted(groups), splitting.RATIOS
+    total = [sum(v[i] for v in groups.values()) for i in range(4)]
+    held = {s: [0] * 4 for s in SPLITS}
+
+    def error(s, counts):
+        return sum(((c - t * ratios[s]) / max(t * ratios[s], 1)) ** 2 for c, t in zip(counts, total, strict=True))
+
+    def change(s, v, sign):
+        return error(s, [a + sign * b for a, b in zip(held[s], v, strict=True)]) - error(s, held[s])
+
     place = {}
     for k in sorted(keys, key=lambda k: (-groups[k][0], -sum(groups[k][1:]), k)):
-        place[k] = min(SPLITS, key=lambda s: (b.change(s, groups[k], 1), SPLITS.index(s)))
-        b.put(place[k], groups[k], 1)
+        place[k] = min(SPLITS, key=lambda s: (change(s, groups[k], 1), SPLITS.index(s)))
+        held[place[k]] = [a + b for a, b in zip(held[place[k]], groups[k], strict=True)]
     for _ in range(splitting.ROUNDS):
         moved = False
         for k in keys:
-            cost = {s: 0.0 if s == place[k] else b.change(s, groups[k], 1) + b.change(place[k], groups[k], -1) for s in SPLITS}
+            cost = {s: 0.0 if s == place[k] else change(s, groups[k], 1) + change(place[k], groups[k], -1) for s in SPLITS}
             to = min(SPLITS, key=lambda s: (cost[s], SPLITS.index(s)))
             if to != place[k] and cost[to] < -1e-12:
-                b.put(place[k], groups[k], -1)
-                b.put(to, groups[k], 1)
+                held[place[k]] = [a - b for a, b in zip(held[place[k]], groups[k], strict=True)]
+                held[to] = [a + b for a, b in zip(held[to], groups[k], strict=True)]
                 place[k], moved = to, True
         if not moved:
             break
     return place
 
 
+def _error(groups, place):
+    score, total = 0.0, [sum(v[i] for v in groups.values()) for i in range(4)]
+    for s, i in itertools.product(SPLITS, range(4)):
+        t = total[i] * splitting.RATIOS[s]
+        score += ((sum(v[i] for k, v in groups.items() if place[k] == s) - t) / max(t, 1)) ** 2
+    return score
+
+
 @pytest.mark.parametrize(("n", "most"), [(400, 1), (300, 40), (40, 9), (7, 3)])
 def test_any_number_of_groups_is_assigned_as_one_by_one(spark, monkeypatch, n, most):
     monkeypatch.setattr(splitting, "MOST_GROUPS", 5, raising=False)  # the former cap
@@ -188,3 +206,7 @@ def test_any_number_of_groups_is_assigned_as_one_by_one(spark, monkeypatch, n, m
     assert got == splitting.assignment(groups)
     if n > splitting.EXHAUSTIVE:
         assert got == _plain_assignment(groups)
+    else:  # no way to use every split makes less error
+        ways = [dict(zip(groups, way, strict=True)) for way in itertools.product(SPLITS, repeat=n) if set(way) == set(SPLITS)]
+        assert set(got.values()) == set(SPLITS)
+        assert _error(groups, got) <= min(_error(groups, w) for w in ways) + 1e-9
