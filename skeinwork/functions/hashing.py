@@ -29,10 +29,16 @@ def hamming(a: tuple[Column, Column], b: tuple[Column, Column]) -> Column:
 
 
 def source_fingerprint(files: DataFrame) -> DataFrame:
-    """One digest of a tree: path and SHA-256 of each file (path, content), in path order. Caches are left out."""
-    each = files.where(~F.col("path").rlike(r"\.cache$")).select("path", F.sha2("content", 256).alias("sha"))
-    listed = F.sort_array(F.collect_list(F.concat_ws("\x00", "path", "sha")))
-    return each.agg(F.sha2(F.concat_ws("\x01", listed), 256).alias("fingerprint"))
+    """One digest of a tree of files (path, content): of the digests of its folders, each of its files' names and SHA-256 in
+    order, so no row holds more than one folder's files or all folders. Caches are left out, and so is the `path:` line of
+    text configurations, which says where the tree lies."""
+    config = F.col("path").rlike(r"\.ya?ml$")
+    content = F.when(config, F.regexp_replace(F.col("content").cast("string"), r"(?m)^path:[^\n]*\n?", "").cast("binary")).otherwise(F.col("content"))
+    name = F.regexp_extract("path", r"[^/]*$", 0)
+    each = files.where(~F.col("path").rlike(r"\.cache$")).select(F.regexp_replace("path", r"[^/]*$", "").alias("folder"), F.concat_ws("\x00", name, F.sha2(content, 256)).alias("file"))
+    digest = lambda c: F.sha2(F.concat_ws("\x01", F.sort_array(F.collect_list(c))), 256)
+    folders = each.groupBy("folder").agg(digest("file").alias("sha"))
+    return folders.agg(digest(F.concat_ws("\x00", "folder", "sha")).alias("fingerprint"))
 
 
 def config_version(config: dict, fingerprint: str, seed: int) -> str:

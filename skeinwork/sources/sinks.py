@@ -27,23 +27,43 @@ def _fs(spark: SparkSession, path: str):
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
 
 
-def replace_version(rows: DataFrame, path: str) -> None:
-    """Write beside, then rename into place: readers see the old version or the new one, never a part."""
-    spark = rows.sparkSession
-    fs, target = _fs(spark, path)
+def _swap(fs, new, target, path) -> None:
+    """Puts `new` in the place of `target`. What was there steps aside and is deleted last; it comes back if that fails, so
+    at any moment the old version or the new one is there, in its place or beside it under a name that begins alike."""
+    aside = new.suffix(".old") if fs.exists(target) else None  # a name that no other writer has
+    if aside is not None and not fs.rename(target, aside):
+        raise OSError(f"{path} can't be moved aside")
+    try:
+        done = fs.rename(new, target)
+    except Exception:
+        if aside is not None:
+            fs.rename(aside, target)
+        raise
+    if not done:
+        if aside is not None and not fs.rename(aside, target):
+            raise OSError(f"{path} can't be replaced; its last version is {aside.toString()}")
+        raise OSError(f"{path} can't be replaced")
+    if aside is not None:
+        fs.delete(aside, True)
+
+
+def _replaced(spark: SparkSession, path: str, write, swap=_swap) -> None:
+    """write(folder) beside, then swapped into place; nothing is left behind if either fails."""
     beside = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
-    _, new = _fs(spark, beside)
+    fs, new = _fs(spark, beside)
     try:
-        rows.write.parquet(beside)
-        if fs.exists(target):
-            fs.delete(target, True)
-        if not fs.rename(new, target):
-            raise OSError(f"{path} can't be replaced")
+        write(beside)
+        swap(fs, new, _fs(spark, path)[1], path)
     finally:
         if fs.exists(new):
             fs.delete(new, True)
 
 
+def replace_version(rows: DataFrame, path: str) -> None:
+    """A table that appears whole: written beside and swapped into place."""
+    _replaced(rows.sparkSession, path, lambda beside: rows.write.parquet(beside))
+
+
 def write_csv(rows: DataFrame, path: str) -> None:
     """One file with a header; for reports, which are small."""
     rows.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
@@ -54,17 +74,13 @@ def write_json(rows: DataFrame, path: str) -> None:
 
 
 def upsert_csv(spark: SparkSession, existing: DataFrame, new: DataFrame, path: str) -> bool:
-    """Adds rows whose experiment isn't there. Nothing is written if there are none."""
+    """Adds rows whose experiment isn't there, and columns that aren't. Nothing is written if there are neither."""
     from skeinwork.operators.experiments import upserted
 
-    if not new.join(existing, "experiment", "left_anti").limit(1).count():
+    more = set(new.columns) - set(existing.columns)
+    if not more and not new.join(existing, "experiment", "left_anti").limit(1).count():
         return False
-    beside = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
-    write_csv(upserted(existing, new), beside)
-    fs, target = _fs(spark, path)
-    if fs.exists(target):
-        fs.delete(target, True)
-    fs.rename(_fs(spark, beside)[1], target)
+    _replaced(spark, path, lambda beside: write_csv(upserted(existing, new), beside))
     return True
 
 

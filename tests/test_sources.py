@@ -160,3 +160,70 @@ def test_augmentation_depends_on_the_image_alone():
         a.augmented("x", image, boxes, {"enabled": True, "rotation": {"prob": 1.0, "range": 30.0}})
     with pytest.raises(ValueError, match="class"):
         a.kept([(7, 0.5, 0.5, 0.1, 0.1)])
+
+
+class _Failing:
+    """A file system whose renames into one place fail, by exception or by false."""
+
+    def __init__(self, fs, target, raises):
+        self.fs, self.target, self.raises, self.left = fs, target, raises, 1
+
+    def exists(self, p):
+        return self.fs.exists(p)
+
+    def delete(self, p, deep):
+        return self.fs.delete(p, deep)
+
+    def rename(self, a, b):
+        if b.toString() == self.target.toString() and self.left:
+            self.left -= 1
+            if self.raises:
+                raise OSError("no")
+            return False
+        return self.fs.rename(a, b)
+
+
+@pytest.mark.parametrize("raises", [True, False])
+def test_a_failed_replacement_keeps_the_old_version(spark, tmp_path, raises):
+    from skeinwork.sources import sinks
+
+    path = f"file://{tmp_path}/table"
+    sinks.replace_version(spark.range(3), path)
+
+    def swap(fs, new, target, name):
+        sinks._swap(_Failing(fs, target, raises), new, target, name)
+
+    with pytest.raises(OSError):
+        sinks._replaced(spark, path, lambda beside: spark.range(9).write.parquet(beside), swap)
+    assert spark.read.parquet(path).count() == 3
+    assert [x.name for x in tmp_path.iterdir() if not x.name.startswith(".")] == ["table"]
+    sinks.replace_version(spark.range(9), path)
+    assert spark.read.parquet(path).count() == 9
+    assert [x.name for x in tmp_path.iterdir() if not x.name.startswith(".")] == ["table"]
+
+
+def test_upserts_write_new_columns_too(spark, tmp_path):
+    from skeinwork.sources import sinks
+
+    path = f"file://{tmp_path}/results"
+    old = spark.createDataFrame([("a", "1")], "experiment string, score string")
+    assert sinks.upsert_csv(spark, old, spark.createDataFrame([("a", "7")], "experiment string, score string"), path) is False
+    assert sinks.upsert_csv(spark, old, spark.createDataFrame([("b", "2", "x")], "experiment string, score string, notes string"), path)
+    now = spark.read.option("header", True).csv(path)
+    assert sorted(map(tuple, now.select("experiment", "score", "notes").collect())) == [("a", "1", None), ("b", "2", "x")]
+    now = spark.createDataFrame(now.collect(), now.schema)
+    assert sinks.upsert_csv(spark, now, spark.createDataFrame([("a", "9", "y", "z")], "experiment string, score string, notes string, more string"), path)
+    assert "more" in spark.read.option("header", True).csv(path).columns
+
+
+def test_fingerprint_leaves_out_caches_and_where_the_tree_lies(spark):
+    from skeinwork.functions.hashing import source_fingerprint
+
+    def of(*files):
+        return source_fingerprint(spark.createDataFrame([(p, c.encode()) for p, c in files], "path string, content binary")).first()[0]
+
+    base = of(("a/x.txt", "1"), ("a/y.txt", "2"), ("data.yaml", "path: /here\nnames: 3\n"))
+    assert base == of(("data.yaml", "path: /there\nnames: 3\n"), ("a/y.txt", "2"), ("a/x.txt", "1"), ("a/labels.cache", "z"))
+    assert base != of(("a/x.txt", "1"), ("b/y.txt", "2"), ("data.yaml", "path: /here\nnames: 3\n"))
+    assert base != of(("a/x.txt", "1"), ("a/y.txt", "3"), ("data.yaml", "path: /here\nnames: 3\n"))
+    assert base != of(("a/x.txt", "1"), ("a/y.txt", "2"), ("data.yaml", "path: /here\nnames: 4\n"))
