@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skeinwork.schema import RESULT_COLUMNS
+
 
 def preprocessing_label(denoise: Column, contrast: Column, brightness: Column) -> Column:
     """Names of the stages that are on, joined in order; raw without any."""
@@ -14,6 +14,39 @@ def preprocessing_label(denoise: Column, contrast: Column, brightness: Column) -
     return F.coalesce(F.nullif(on, F.lit("")), F.lit("raw"))
 
 
+def result_row(runs: DataFrame) -> DataFrame:
+    """The flat result of each run, in the order of RESULT_COLUMNS; latencies in milliseconds with three decimals.
+
+    runs: experiment, the three stages as booleans, the settings, the metrics, and preprocessing_ms, inference_ms, total_ms."""
+    d = runs.withColumn("preprocessing", preprocessing_label(F.col("denoise"), F.col("contrast"), F.col("brightness")))
+    return d.select(*(F.round(F.col(c).cast("double"), 3).alias(c) if c.endswith("_ms") else F.col(c) for c in RESULT_COLUMNS))
+
+
+def fraction_problem(fraction: Column, debug: Column) -> Column:
+    """Why a training fraction is refused, or null: it must be over 0 and at most 1, and less than 1 only for debugging."""
+    x = finite(fraction.cast("string"))
+    wrong = x.isNull() | (x <= 0) | (x > 1)
+    return F.when(wrong, "out_of_range").when((x < 1) & ~F.coalesce(debug, F.lit(False)), "not_debug")
+
+
+def config_differences(trained: DataFrame, dataset: DataFrame) -> DataFrame:
+    """name, trained, dataset: settings that differ between what a model was trained with and its dataset's manifest.
+
+    Both: name, value (canonical JSON text). A setting that one side lacks differs, too."""
+    a, b = trained.select("name", F.col("value").alias("trained")), dataset.select("name", F.col("value").alias("dataset"))
+    return a.join(b, "name", "full_outer").where(~F.col("trained").eqNullSafe(F.col("dataset")))
+
+
+def fair_problems(rows: DataFrame, columns: list[str], metrics: list[str], order: str) -> DataFrame:
+    """experiment, problem of result rows that may not be compared: settings unlike the first row's, fractions other than 1,
+    metrics that aren't finite, and (experiment null) other than exactly one raw row."""
+    differ = unfair(rows, columns, order).select("experiment", F.concat(F.lit("differs:"), "differs").alias("problem"))
+    part = rows.where(~finite(F.col("fraction").cast("string")).eqNullSafe(F.lit(1.0))).select("experiment", F.lit("fraction").alias("problem"))
+    bad = not_finite(rows, metrics).select("experiment", F.concat(F.lit("not_finite:"), "column").alias("problem"))
+    raw = rows.agg(F.count_if(F.col("preprocessing") == "raw").alias("n")).where("n <> 1").select(F.lit(None).cast("string").alias("experiment"), F.concat(F.lit("raw_rows:"), F.col("n").cast("string")).alias("problem"))
+    return differ.unionByName(part).unionByName(bad).unionByName(raw)
+
+
 def finite(value: Column) -> Column:
     """A text as a finite number, or null."""
     x = value.try_cast("double")
@@ -64,13 +97,12 @@ def conclusion(reasons: DataFrame) -> DataFrame:
 
 def leaders(rows: DataFrame, highest: list[str], lowest: list[str], order: str) -> DataFrame:
     """metric, experiment, value of the best row of each metric; equal values go to the first row in order."""
-    d = rows.select("*")
-    best = []
-    for metric, sign in [*((m, 1) for m in highest), *((m, -1) for m in lowest)]:
-        # smallest (value, order) pair by one aggregate, so that no window gathers a metric
-        key = F.struct((F.col(metric) * F.lit(-sign)).alias("v"), F.col(order).alias("o"), F.col("experiment").alias("e"), F.col(metric).alias("x"))
-        best.append(d.agg(F.min(key).alias("k")).select(F.lit(metric).alias("metric"), F.col("k.e").alias("experiment"), F.col("k.x").cast("double").alias("value")))
-    return reduce(DataFrame.unionByName, best)
+    metrics = [*((m, 1) for m in highest), *((m, -1) for m in lowest)]
+    # the smallest (value, order) of each metric, all by one aggregate
+    key = lambda m, sign: F.struct((F.col(m) * F.lit(-sign)).alias("v"), F.col(order).alias("o"), F.col("experiment").alias("e"), F.col(m).cast("double").alias("x"))
+    best = rows.agg(*(F.min(key(m, sign)).alias(f"k{i}") for i, (m, sign) in enumerate(metrics)))
+    named = F.array(*(F.struct(F.lit(m).alias("metric"), F.col(f"k{i}.e").alias("experiment"), F.col(f"k{i}.x").alias("value")) for i, (m, _) in enumerate(metrics)))
+    return best.select(F.inline(named))
 
 
 def pareto(rows: DataFrame, score: str, cost: str) -> DataFrame:

@@ -67,7 +67,7 @@ def confusion(pairs: DataFrame) -> DataFrame:
 def column_normalised(matrix: DataFrame) -> DataFrame:
     """Each count's part of its actual class. The sums join back, so no window gathers a class."""
     total = matrix.groupBy("actual").agg(F.sum("n").alias("total"))
-    return matrix.join(F.broadcast(total), "actual").select("predicted", "actual", "n", F.when(F.col("total") > 0, F.col("n") / F.col("total")).otherwise(F.lit(0.0)).alias("rate"))
+    return matrix.join(total, "actual").select("predicted", "actual", "n", F.when(F.col("total") > 0, F.col("n") / F.col("total")).otherwise(F.lit(0.0)).alias("rate"))
 
 
 # The confusions that reports name, as (actual, predicted).

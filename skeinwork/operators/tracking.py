@@ -141,6 +141,19 @@ def sampled(frames: DataFrame, step: int) -> DataFrame:
     return frames.where(F.pmod("frame", F.lit(step)) == 0)
 
 
+def seconds(frame, fps):
+    """When a frame is shown, in seconds; null without a frame rate over 0."""
+    return F.when(fps > 0, frame / fps)
+
+
+def clip_rollup(frames: DataFrame) -> DataFrame:
+    """split, n_clips, n_frames, n_objects, n_background. frames: split, clip, frame, objects (boxes in the frame).
+
+    Clips first, then splits, each as a plain aggregate."""
+    clips = frames.groupBy("split", "clip").agg(F.count("*").alias("frames"), F.sum("objects").alias("objects"), F.count_if(F.col("objects") == 0).alias("background"))
+    return clips.groupBy("split").agg(F.count("*").alias("n_clips"), F.sum("frames").alias("n_frames"), F.sum("objects").alias("n_objects"), F.sum("background").alias("n_background"))
+
+
 def held(frames: DataFrame, step: int, value: str) -> DataFrame:
     """Frames between processed ones show the last processed value (as-of, backward)."""
     w = Window.partitionBy("stream_id").orderBy("frame").rowsBetween(Window.unboundedPreceding, 0)

@@ -9,6 +9,7 @@ from skeinwork.operators import matching
 from skeinwork.plans import views as v
 from skeinwork.plans.boxes import greedy_match_counts, _GREEDY
 from skeinwork.plans.views import sql
+from skeinwork.schema import METRIC_COLUMNS
 
 SETTINGS = ["epochs", "imgsz"]
 
@@ -69,6 +70,42 @@ def suite_row_pooled(s, d):
     return matching.pooled_suite_row(videos)
 
 
+def _runs(s, d):
+    """Results as runs of a training program: stages by brand, some with a fraction, one with a metric that isn't a number."""
+    r, n = v.results(s, d), F.col("n")
+    return r.select(
+        "experiment", (n % 2 == 1).alias("denoise"), (n % 3 == 1).alias("contrast"), (n % 5 == 1).alias("brightness"), F.lit(10).alias("epochs"), F.lit(16).alias("batch"), F.lit(640).alias("imgsz"),
+        F.when(n % 4 == 0, 0.5).when(n % 7 == 0, 1.5).otherwise(1.0).alias("fraction"), F.lit(42).alias("seed"), *(F.col("score").cast("double").alias(c) for c in METRIC_COLUMNS),
+        *((F.col("latency_units") / k).alias(c) for k, c in ((7.0, "preprocessing_ms"), (3.0, "inference_ms"), (1.7, "total_ms"))), (n % 8 == 0).alias("debug"),
+    )
+
+
+def result_rows(s, d):
+    return e.result_row(_runs(s, d)).select("experiment", "preprocessing", "fraction", "recall", "preprocessing_ms", "inference_ms", "total_ms")
+
+
+def fraction_problems(s, d):
+    return _runs(s, d).select("experiment", e.fraction_problem(F.col("fraction"), F.col("debug")).alias("problem")).where("problem is not null")
+
+
+def fair_result_problems(s, d):
+    rows = e.result_row(_runs(s, d)).withColumn("recall", F.when(F.col("experiment").contains("4"), float("nan")).otherwise(F.col("recall")))
+    rows = rows.withColumn("epochs", F.when(F.col("experiment").contains("3"), 4).otherwise(F.col("epochs")))
+    return e.fair_problems(rows, ["epochs", "imgsz"], ["recall", "precision"], "experiment").where("problem not like 'raw%'")
+
+
+def config_differences(s, d):
+    """Brands' settings as trained, against a manifest that lacks some and has others."""
+    r = v.results(s, d)
+    trained = r.select(F.col("experiment").alias("name"), F.col("n").cast("string").alias("value"))
+    manifest = r.where("n % 3 <> 0").select(F.col("experiment").alias("name"), F.when(F.col("n") % 3 == 1, F.col("n")).otherwise(F.col("n") + 1).cast("string").alias("value"))
+    return e.config_differences(trained, manifest)
+
+
+_RUNS = """runs AS (SELECT experiment, score, latency_units, n, CASE WHEN n % 4 = 0 THEN 0.5::DOUBLE WHEN n % 7 = 0 THEN 1.5::DOUBLE ELSE 1.0::DOUBLE END AS fraction, n % 8 = 0 AS debug,
+ CASE WHEN n % 2 <> 1 AND n % 3 <> 1 AND n % 5 <> 1 THEN 'raw' ELSE concat_ws('+', CASE WHEN n % 2 = 1 THEN 'denoise' END, CASE WHEN n % 3 = 1 THEN 'contrast' END, CASE WHEN n % 5 = 1 THEN 'brightness' END) END AS preprocessing,
+ min(experiment) OVER () AS ref FROM results)"""
+
 _REVIEWS = """rv AS (SELECT experiment, CASE n % 5 WHEN 0 THEN 'open' WHEN 1 THEN 'complete' ELSE 'COMPLETE' END AS status, CASE n % 5 WHEN 2 THEN '7' WHEN 3 THEN 'many' ELSE '12' END AS k,
  CASE n % 5 WHEN 4 THEN ' ' ELSE 'good' END AS box, CASE n % 5 WHEN 1 THEN '' ELSE 'x' END AS who FROM results WHERE experiment <> 'Brand#7'),
 why AS (SELECT experiment, 'not_complete' AS reason FROM rv WHERE upper(status) <> 'COMPLETE'
@@ -77,6 +114,11 @@ why AS (SELECT experiment, 'not_complete' AS reason FROM rv WHERE upper(status)
  UNION ALL SELECT experiment, 'missing' FROM results WHERE experiment NOT IN (SELECT experiment FROM rv))"""
 
 QUERIES = {
+    "result_rows": (result_rows, sql("SELECT experiment, preprocessing, fraction, CAST(score AS DOUBLE) AS recall, round(latency_units / 7.0::DOUBLE, 3) AS preprocessing_ms, round(latency_units / 3.0::DOUBLE, 3) AS inference_ms, round(latency_units / 1.7::DOUBLE, 3) AS total_ms FROM runs", "results", extra=_RUNS)),
+    "fraction_problems": (fraction_problems, sql("SELECT * FROM (SELECT experiment, CASE WHEN fraction <= 0 OR fraction > 1 THEN 'out_of_range' WHEN fraction < 1 AND NOT debug THEN 'not_debug' END AS problem FROM runs) WHERE problem IS NOT NULL", "results", extra=_RUNS)),
+    "fair_result_problems": (fair_result_problems, sql("""SELECT experiment, 'differs:epochs' AS problem FROM runs WHERE contains(experiment, '3') <> contains(ref, '3')
+ UNION ALL SELECT experiment, 'fraction' FROM runs WHERE fraction <> 1 UNION ALL SELECT experiment, 'not_finite:recall' FROM runs WHERE contains(experiment, '4')""", "results", extra=_RUNS)),
+    "config_differences": (config_differences, sql("SELECT experiment AS name, CAST(n AS STRING) AS trained, CASE n % 3 WHEN 2 THEN CAST(n + 1 AS STRING) END AS dataset FROM results WHERE n % 3 <> 1", "results")),
     "pareto_frontier": (pareto_frontier, sql("SELECT experiment, score, latency_units FROM results c WHERE NOT EXISTS (SELECT 1 FROM results o WHERE o.score >= c.score AND o.latency_units <= c.latency_units AND (o.score > c.score OR o.latency_units < c.latency_units))", "results")),
     "metric_leaders": (metric_leaders, sql("""SELECT metric, experiment, CAST(x AS DOUBLE) AS value FROM (
  SELECT metric, experiment, x, row_number() OVER (PARTITION BY metric ORDER BY CASE WHEN metric = 'latency_units' THEN x ELSE -x END, experiment) AS k FROM (

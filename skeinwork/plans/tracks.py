@@ -36,6 +36,19 @@ def frame_step_sample(s, d):
     return t.sampled(v.frames(s, d), 12).select("stream_id", "frame", "det_id")
 
 
+def frame_seconds(s, d):
+    """Frames of streams at 30 frames a second; every fifth stream has no frame rate."""
+    fps = F.when(F.col("stream_id") % 5 == 0, 0).otherwise(30)
+    return v.frames(s, d).select("stream_id", "frame", "det_id", t.seconds(F.col("frame"), fps).alias("seconds"))
+
+
+def clip_rollup(s, d):
+    """Streams as clips, three splits by number; frames whose confidence ends in 0 show nothing."""
+    f = v.frames(s, d)
+    split = F.element_at(F.array(F.lit("train"), F.lit("val"), F.lit("test")), (F.pmod("stream_id", F.lit(3)) + 1).cast("int"))
+    return t.clip_rollup(f.select(split.alias("split"), F.col("stream_id").alias("clip"), "frame", F.pmod("conf_pct", F.lit(10)).alias("objects")))
+
+
 def iou_tracker_batch(s, d):
     return t.track(v.frame_detections(s, d))
 
@@ -77,6 +90,9 @@ QUERIES = {
     "running_objects": (running_objects, sql("SELECT DISTINCT stream_id, frame, (sum(CASE WHEN hits = 3 THEN 1 ELSE 0 END) OVER (PARTITION BY stream_id ORDER BY frame))::BIGINT AS objects FROM sums", "frames", extra=_VOTES)),
     "hold_last": (hold_last, sql("SELECT stream_id, frame, conf_pct, last_value(CASE WHEN frame % 5 = 0 THEN conf_pct END IGNORE NULLS) OVER (PARTITION BY stream_id ORDER BY frame ROWS UNBOUNDED PRECEDING) AS shown FROM frames", "frames")),
     "frame_step_sample": (frame_step_sample, sql("SELECT stream_id, frame, det_id FROM frames WHERE frame % 12 = 0", "frames")),
+    "frame_seconds": (frame_seconds, sql("SELECT stream_id, frame, det_id, CASE WHEN stream_id % 5 <> 0 THEN frame / 30.0::DOUBLE END AS seconds FROM frames", "frames")),
+    "clip_rollup": (clip_rollup, sql("""SELECT split, count(DISTINCT stream_id) AS n_clips, count(*) AS n_frames, sum(objects)::BIGINT AS n_objects, count_if(objects = 0)::BIGINT AS n_background FROM (
+ SELECT stream_id, conf_pct % 10 AS objects, CASE stream_id % 3 WHEN 0 THEN 'train' WHEN 1 THEN 'val' ELSE 'test' END AS split FROM frames) GROUP BY split""", "frames")),
     "iou_tracker_batch": (iou_tracker_batch, None),
     "iou_tracker_stream": (iou_tracker_stream, None),
     "tracker_kept_counts": (tracker_kept_counts, None),
