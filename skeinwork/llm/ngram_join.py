@@ -47,7 +47,7 @@ from skeinwork.llm.blocks import Texts, bounds, components, deal, partitions, re
 from skeinwork.llm.common import checkpointed, map_arrow, mix64
 from skeinwork.llm.segments import gather, hashes, runs
 
-RARE, SPREAD, FIRST, MOST_BROADCAST = 0.5, 64, 4, 200_000
+RARE, SPREAD, FIRST, MOST_BROADCAST, SALT = 0.5, 64, 4, 200_000, 64
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -415,6 +415,15 @@ def _labelled(nodes: DataFrame, node: str, found: DataFrame, component: str) ->
     return nodes.join(part, node, "left").withColumn(component, F.coalesce(component, node))
 
 
+def _of_hubs(rows: DataFrame, hubs: DataFrame) -> DataFrame:
+    """`rows` whose hub b is one of `hubs`. A hub may have a third of all rows, so where they are too many for a broadcast
+    (`MOST_BROADCAST`, by count) the rows of a hub are dealt to `SALT` tasks."""
+    if hubs.count() <= MOST_BROADCAST:
+        return rows.join(F.broadcast(hubs), "b", "left_semi")
+    salted = hubs.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("a"), F.lit(SALT)).cast("int")).join(salted, ["b", "salt"], "left_semi").drop("salt")
+
+
 def near_duplicates(documents: DataFrame, width: int = 5, num: int = 8, den: int = 10, rare: float = RARE, spread: int = SPREAD, kinds: tuple[bool, ...] = (False, True)) -> DataFrame:
     """doc_id, n_shingles, component_id: the smallest doc_id that links of Jaccard at least num/den (a half or more) reach."""
     if not den <= 2 * num <= 2 * den:
@@ -458,7 +467,7 @@ def near_duplicates(documents: DataFrame, width: int = 5, num: int = 8, den: int
     around = checkpointed(_labelled(_labelled(stars.select("a", "b"), "a", found, "ca"), "b", found, "cb"))
     # the holders that are still apart from their hub, with all holders of that hub
     apart = around.where("ca <> cb")
-    around = around.join(apart.select("b").distinct(), "b", "left_semi")
+    around = _of_hubs(around, checkpointed(apart.select("b").distinct()))
     labels = connected(edges(found), one(apart, "a", "ca"), one(around, "a", "ca"))
     final = docs.join(labels, docs["rep"] == labels["node"], "left")
     return final.select(F.when(F.col("known"), F.col("doc_id")).alias("doc_id"), "n_shingles", F.when(F.col("known"), F.coalesce("component", "rep")).alias("component_id"))

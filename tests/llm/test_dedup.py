@@ -155,6 +155,15 @@ def test_join_of_many_copies(documents, monkeypatch, width, num, den, rare, spre
     assert got == _components(_sets(rows, width), num, den)
 
 
+@pytest.mark.parametrize("most", [0, 100])
+def test_rows_of_hubs(spark, monkeypatch, most):
+    monkeypatch.setattr(ngram_join, "MOST_BROADCAST", most)
+    rows = spark.createDataFrame([(i, i % 7, i, 0) for i in range(300)] + [(5, 5, 5, 0)] * 2, "a long, b long, ca long, cb long")
+    got = ngram_join._of_hubs(rows, spark.createDataFrame([(2,), (5,), (9,)], "b long"))
+    assert sorted(got.columns) == sorted(rows.columns)
+    assert sorted(r["a"] for r in got.collect()) == sorted([*(i for i in range(300) if i % 7 in (2, 5)), 5, 5])
+
+
 @pytest.mark.parametrize(("num", "den"), [(8, 10), (9, 10), (1, 2)])
 def test_two_linked_sets_have_a_key_in_common(num, den):
     """For sets of all sizes, classes at random: linked ones share a rare token or a combination, and keys stay few."""
