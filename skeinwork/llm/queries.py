@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skeinwork.llm import decontaminate, fingerprints, language_id, mixing, ngram_join, pii, quality, suffix_dedup, token_counts, token_io
+from skeinwork.llm import decontaminate, filter_audit, fingerprints, language_id, line_dedup, mixing, ngram_join, phrases, pii, quality, suffix_dedup, token_counts, token_io
 from skeinwork.llm.common import prepared, table
 
 
@@ -63,6 +63,18 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digest(table(spark, sf_dir, "documents"))
+
+
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.digest(table(spark, sf_dir, "documents"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_ids": op1_token_ids,
@@ -75,8 +87,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_mixing": op8_mixing,
         "op9_pii": op9_pii,
         "op10_decontamination": op10_decontamination,
+        "op11_line_dedup": op11_line_dedup,
+        "op12_phrases": op12_phrases,
+        "op13_filter_audit": op13_filter_audit,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_mixing": mixing.ORACLE_SQL, "op10_decontamination": decontaminate.ORACLE_SQL}
+    return {"op8_mixing": mixing.ORACLE_SQL, "op10_decontamination": decontaminate.ORACLE_SQL, "op11_line_dedup": line_dedup.ORACLE_SQL, "op12_phrases": phrases.ORACLE_SQL, "op13_filter_audit": filter_audit.ORACLE_SQL}
