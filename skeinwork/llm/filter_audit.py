@@ -11,7 +11,7 @@ half of all; C more than 2 of 100 characters in A-Z; D any of `#$%&*|`; E the te
 removed or not. Texts are compared by SHA-256.
 
 Scale: one pass over the texts writes some 60 bytes a row (a checkpoint). Those meet the smallest doc_id of their digest in
-a join of repeated digests only, and the labels by doc_id: equality joins whose large partitions Spark splits, so a group
+a join of repeated digests only (a checkpoint, too), and the labels by doc_id: equality joins whose large partitions Spark splits, so a group
 that holds a third of all rows is many tasks. What the tasks add up is 720 places a part, summed by partial aggregation.
 
 Defined cases: a null text is empty, a null source the part named ''; a row without a doc_id neither is nor has a smaller
@@ -65,6 +65,7 @@ def failures(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """part, mask of all five failures, good, toxic of each row."""
     rows = checkpointed(text_failures(documents))
     repeated = rows.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("digest", "first")
+    repeated = checkpointed(repeated)  # both sides of the join are plain shuffles then, whose large partitions Spark splits
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("quality") == 1).alias("good"), (F.col("toxic") == 1).alias("toxic"))
     marks = marks.where("doc_id is not null and (good or toxic)").groupBy("doc_id").agg(F.max("good").alias("good"), F.max("toxic").alias("toxic"))
     copy = F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False))
