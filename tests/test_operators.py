@@ -1,7 +1,10 @@
 from __future__ import annotations
 
 import itertools
+import math
 import random
+from collections import Counter
+from fractions import Fraction
 from itertools import product
 
 import pytest
@@ -158,33 +161,62 @@ def test_passages_of_any_number_of_words(spark, monkeypatch, short_bytes):
 
 
 def _plain_assignment(groups):
-    """The rule group by group, with the splits' errors worked out anew each time."""
-    keys, ratios = sorted(groups), splitting.RATIOS
+    """The rule group by group: what a group adds to a split, and a move, worked out anew each time in whole fractions."""
+    ratios = {k: Fraction(str(r)) for k, r in splitting.RATIOS.items()}
     total = [sum(v[i] for v in groups.values()) for i in range(4)]
+    target = {s: [t * ratios[s] for t in total] for s in SPLITS}
+    # distances in units of the target, over a common denominator
+    whole = math.lcm(*(math.lcm(max(t, 1).numerator, t.denominator) ** 2 for row in target.values() for t in row))
+    part = {s: [int(whole / Fraction(max(t, 1)) ** 2) for t in target[s]] for s in SPLITS}
     held = {s: [0] * 4 for s in SPLITS}
 
-    def error(s, counts):
-        return sum(((c - t * ratios[s]) / max(t * ratios[s], 1)) ** 2 for c, t in zip(counts, total, strict=True))
-
-    def change(s, v, sign):
-        return error(s, [a + sign * b for a, b in zip(held[s], v, strict=True)]) - error(s, held[s])
-
-    place = {}
-    for k in sorted(keys, key=lambda k: (-groups[k][0], -sum(groups[k][1:]), k)):
-        place[k] = min(SPLITS, key=lambda s: (change(s, groups[k], 1), SPLITS.index(s)))
-        held[place[k]] = [a + b for a, b in zip(held[place[k]], groups[k], strict=True)]
+    def added(s, counts, v):
+        return sum(p * (100 * ((c + x) ** 2 - c * c) - int(200 * x * t)) for p, c, x, t in zip(part[s], counts, v, target[s], strict=True))
+
+    own, place = Counter(tuple(v) for v in groups.values()), {}
+    order = sorted(own, key=lambda v: (-v[0], -sum(v[1:]), v))
+    for v in order:
+        place[v] = [0, 0, 0]
+        for _ in range(own[v]):
+            k = min(range(3), key=lambda k: (added(SPLITS[k], held[SPLITS[k]], v), k))
+            held[SPLITS[k]] = [a + b for a, b in zip(held[SPLITS[k]], v, strict=True)]
+            place[v][k] += 1
     for _ in range(splitting.ROUNDS):
         moved = False
-        for k in keys:
-            cost = {s: 0.0 if s == place[k] else change(s, groups[k], 1) + change(place[k], groups[k], -1) for s in SPLITS}
-            to = min(SPLITS, key=lambda s: (cost[s], SPLITS.index(s)))
-            if to != place[k] and cost[to] < -1e-12:
-                held[place[k]] = [a - b for a, b in zip(held[place[k]], groups[k], strict=True)]
-                held[to] = [a + b for a, b in zip(held[to], groups[k], strict=True)]
-                place[k], moved = to, True
+        for v in order:
+            for source, there in enumerate(list(place[v])):
+                for _ in range(there):
+                    left = [a - b for a, b in zip(held[SPLITS[source]], v, strict=True)]
+                    saved = added(SPLITS[source], left, v)
+                    gain, to = min((added(SPLITS[k], held[SPLITS[k]], v) - saved, k) for k in range(3) if k != source)
+                    if gain >= -whole * 100 * Fraction(1, 10**12):
+                        break
+                    held[SPLITS[source]], held[SPLITS[to]], moved = left, [a + b for a, b in zip(held[SPLITS[to]], v, strict=True)], True
+                    place[v][source] -= 1
+                    place[v][to] += 1
         if not moved:
             break
-    return place
+    out, left = {}, {v: [s for s, n in zip(SPLITS, place[v], strict=True) for _ in range(n)] for v in own}
+    for k in sorted(groups):
+        out[k] = left[tuple(groups[k])].pop(0)
+    return out
+
+
+def test_registered_groups_are_assigned_as_one_by_one(spark, small):
+    from skeinwork.plans import groups as plans
+
+    keyed = plans.group_keys(spark, small).collect()
+    groups = {}
+    for r in keyed:
+        v = groups.setdefault(r["capture_group"], [0, 0, 0, 0])
+        v[0] += 1
+        v[1 + r["doc_id"] % 3] += 1
+    got = {r["group_key"]: r["split"] for r in plans.group_assignment(spark, small).collect()}
+    assert got == _plain_assignment(groups)
+
+
+def test_no_groups(spark):
+    assert splitting.assign(spark.createDataFrame([], "group_key string, images long, c0 long, c1 long, c2 long")).collect() == []
 
 
 def _error(groups, place):
@@ -195,10 +227,10 @@ def _error(groups, place):
     return score
 
 
-@pytest.mark.parametrize(("n", "most"), [(400, 1), (300, 40), (40, 9), (7, 3)])
+@pytest.mark.parametrize(("n", "most"), [(100_000, 2), (400, 1), (300, 40), (40, 9), (7, 3)])
 def test_any_number_of_groups_is_assigned_as_one_by_one(spark, monkeypatch, n, most):
-    monkeypatch.setattr(splitting, "MOST_GROUPS", 5, raising=False)  # the former cap
-    monkeypatch.setattr(splitting, "CHUNK", 64, raising=False)
+    monkeypatch.setattr(splitting, "CHUNK", 64)
+    monkeypatch.setattr(splitting, "LOOK", 4)
     rnd = random.Random(n)
     groups = {f"g{i}": [rnd.randint(1, most), *(rnd.randint(0, most) for _ in range(3))] for i in range(n)}
     rows = spark.createDataFrame([(k, *v) for k, v in groups.items()], "group_key string, images long, c0 long, c1 long, c2 long").repartition(3)
