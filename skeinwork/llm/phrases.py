@@ -39,10 +39,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skeinwork.llm.blocks import block_of, bounds, partitions, regroup, sizes
-from skeinwork.llm.common import LOWER, UPPER, checkpointed, map_arrow, utf8
+from skeinwork.llm.common import LOWER, UPPER, checkpointed, map_arrow, trimmed, utf8
 
 LEAST, LONGEST, FIRST = 100, 5, 2000
-SPLIT, MOST_SPLIT, TASK_ROWS, SALTS = 1 << 20, 1 << 20, 2 << 20, 16
+SPLIT, MOST_SPLIT, TASK_ROWS, SALTS = 1 << 19, 1 << 20, 1 << 19, 16
 #: Bytes: what ends a word (1) and what ends a piece, too (2); A-Z become small.
 KIND = np.zeros(256, np.uint8)
 KIND[[0x20, 0x09]] = 1
@@ -308,8 +308,9 @@ def grow(least: int, longest: int, split: list[Prefixes]):
     """In a task: all frequent phrases of two words and more that begin with its prefixes."""
 
     def then(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        parts = [_unpack_rows(x, longest) for x in table.column("payload").to_pylist()]
+        parts = [_unpack_rows(x.as_py(), longest) for x in table.column("payload")]
         seen, weight = np.concatenate([s for s, _ in parts]), np.concatenate([w for _, w in parts])
+        del table, parts
         found: list[tuple[list[int], int, list[int]]] = []
 
         def extend(prefix: list[int], begins: list[int], rows: np.ndarray) -> None:
@@ -374,10 +375,11 @@ def mine(documents: DataFrame, least: int = LEAST, longest: int = LONGEST, split
     n = partitions(n_blocks)
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
     texts = rows.select(block_of(F.col("doc_id"), F.col("text"), n_blocks).alias("block"), "lang", "text").repartition(n, "block")
-    told = texts.groupBy("block").applyInArrow(lambda t: tell_words(t, n), MESSAGE)
+    tell, encode = trimmed(lambda table: tell_words(table, n)), trimmed(lambda table, numbers: sequences(table, numbers, n))
+    told = texts.groupBy("block").applyInArrow(tell, MESSAGE)
     answered = regroup(told, "bucket", n, number_words(least, n), MESSAGE).repartition(n, "block", "bucket")
     numbers = answered.where("kind = 'numbers'").repartition(n, "block")
-    encoded = texts.groupBy("block").cogroup(numbers.groupBy("block")).applyInArrow(lambda t, a: sequences(t, a, n), MESSAGE)
+    encoded = texts.groupBy("block").cogroup(numbers.groupBy("block")).applyInArrow(encode, MESSAGE)
     held = checkpointed(encoded.unionByName(answered.where("kind in ('words', 'all')")))
     words = map_arrow(held.where("kind = 'words'").select("lang", "payload", "words"), _word_rows, "lang string, word string, id long, a long")
     totals = map_arrow(held.where("kind = 'all'").select("lang", "payload"), _total_rows, "lang string, n long").groupBy("lang").agg(F.sum("n").alias("n"))
