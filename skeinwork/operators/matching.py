@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,8 +50,7 @@ def match_counts(gt: DataFrame, pred: DataFrame, threshold: float = 0.5) -> Data
 
 def totals(counts: DataFrame, zero: bool = False) -> DataFrame:
     """Counts of each class over frames, every class reported, with precision and recall; null (or 0) without a base."""
-    s = counts.groupBy("class_id").agg(*(F.sum(c).alias(c) for c in ("tp", "fp", "fn")))
-    d = classes(counts.sparkSession).join(s, "class_id", "left").na.fill(0, ["tp", "fp", "fn"])
+    d = _summed(counts, classes(counts.sparkSession), ["class_id"])
     p, r = F.try_divide("tp", F.col("tp") + F.col("fp")), F.try_divide("tp", F.col("tp") + F.col("fn"))
     if not zero:
         return d.select("class_name", "tp", "fp", "fn", p.alias("precision"), r.alias("recall"))
@@ -58,6 +59,18 @@ def totals(counts: DataFrame, zero: bool = False) -> DataFrame:
     return d.select("class_name", "tp", "fp", "fn", p.alias("precision"), r.alias("recall"), f1.alias("f1"))
 
 
+def _summed(counts: DataFrame, every: DataFrame, by: list[str]) -> DataFrame:
+    s = counts.groupBy(*by).agg(*(F.sum(c).alias(c) for c in ("tp", "fp", "fn")))
+    return every.join(s, by, "left").na.fill(0, ["tp", "fp", "fn"])
+
+
+def totals_by_way(counts: DataFrame) -> DataFrame:
+    """totals() of each way of scored_ways()."""
+    ways = counts.sparkSession.createDataFrame([("raw",), ("voted",), ("kept",)], "way string")
+    d = _summed(counts, classes(counts.sparkSession).crossJoin(ways), ["way", "class_id"])  # nine rows
+    return d.select("way", "class_name", "tp", "fp", "fn", F.try_divide("tp", F.col("tp") + F.col("fp")).alias("precision"), F.try_divide("tp", F.col("tp") + F.col("fn")).alias("recall"))
+
+
 def confusion(pairs: DataFrame) -> DataFrame:
     """predicted, actual, n in long form. pairs: predicted, actual (null: background)."""
     name = lambda c: F.coalesce(c, F.lit("background"))
@@ -94,10 +107,15 @@ def linked_pairs(gt: DataFrame, pred: DataFrame) -> DataFrame:
     return one.unionByName(pred.where("pred_id % 2 = 1").select(name[F.col("class_id")].alias("predicted"), F.lit(None).cast("string").alias("actual")))
 
 
-def filtered_counts(gt: DataFrame, tracked: DataFrame, min_hits: int = 3, threshold: float = 0.5) -> DataFrame:
-    """match_counts() with only those detections (frame_id, pred_id, stream_id, track_id, box) whose track has min_hits."""
+def scored_ways(gt: DataFrame, tracked: DataFrame, min_hits: int = 3, threshold: float = 0.5) -> DataFrame:
+    """match_counts() three ways, as `way`: 'raw' by the class of each frame, 'voted' by the track's class by vote up to the
+    frame, 'kept' by that, too, but only detections of tracks with min_hits in the end.
+
+    tracked: frame_id, pred_id, stream_id, track_id, class_id, track_class_id and the box."""
     confirmed = tracked.groupBy("stream_id", "track_id").agg(F.count("*").alias("hits")).where(F.col("hits") >= min_hits)
-    return match_counts(gt, tracked.join(confirmed, ["stream_id", "track_id"], "left_semi"), threshold)
+    voted = tracked.withColumn("class_id", F.col("track_class_id"))
+    ways = {"raw": tracked, "voted": voted, "kept": voted.join(confirmed, ["stream_id", "track_id"], "left_semi")}
+    return reduce(DataFrame.unionByName, (match_counts(gt, d, threshold).withColumn("way", F.lit(w)) for w, d in ways.items()))
 
 
 def pooled_suite_row(videos: DataFrame) -> DataFrame:

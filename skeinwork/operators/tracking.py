@@ -1,97 +1,179 @@
-"""Objects through frames: the overlap tracker, track summaries, running votes, held detections."""
+"""Objects through frames: the overlap tracker, track summaries, running votes, held detections.
+
+A stream's rows are its detections and, for each processed frame that shows nothing, one row without a det_id: the tracker
+must see such frames, as a track that isn't met in more than `max_missed` processed frames ends there."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from typing import Any
+from typing import TYPE_CHECKING, Any
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skeinwork.schema import classes
+from skeinwork.session import checkpointed
+
+if TYPE_CHECKING:
+    import pandas as pd
 
 IOU, MAX_MISSED, MIN_HITS = 0.3, 5, 3
 
 
-def _iou(a: tuple, b: tuple) -> float:
-    w, h = min(a[2], b[2]) - max(a[0], b[0]), min(a[3], b[3]) - max(a[1], b[1])
-    both = max(0, w) * max(0, h)
-    area = lambda x: max(0, x[2] - x[0]) * max(0, x[3] - x[1])
-    union = area(a) + area(b) - both
-    return both / union if union else 0.0
+BOX = ["x1", "y1", "x2", "y2"]
+#: A track, as the state of a stream keeps it and as it is told when it ends; s0 to s2 are the confidences by class.
+TRACK = "track_id int, x1 int, y1 int, x2 int, y2 int, missed int, hits long, first_frame int, last_frame int, best double, s0 double, s1 double, s2 double"
+_TRACK = [c.split()[0] for c in TRACK.split(", ")]
+
+
+def overlaps(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Intersection over union of all boxes of a with all of b, 0 where the union is empty."""
+    size = np.clip(np.minimum(a[:, None, 2:], b[None, :, 2:]) - np.maximum(a[:, None, :2], b[None, :, :2]), 0, None)
+    both = size.prod(-1)
+    area = lambda x: np.clip(x[:, 2:] - x[:, :2], 0, None).prod(-1)
+    union = area(a)[:, None] + area(b)[None, :] - both
+    return np.divide(both, union, out=np.zeros(union.shape), where=union > 0)
 
 
 class Tracker:
-    """State of one stream: active tracks in order, and the next number. It is all that later frames depend on.
+    """The active tracks of a stream as columns, in the order they started, and the next number.
 
     A frame's detections and the active tracks pair up by falling overlap; equal overlaps take the higher track, then the
-    higher detection. Tracks without a pair miss a frame before new ones start, one for each detection left, in order.
-    More than max_missed missed frames in a row end a track."""
-
-    def __init__(self, state: dict[str, Any] | None = None, iou: float = IOU, max_missed: int = MAX_MISSED):
-        self.iou, self.max_missed = iou, max_missed
-        self.next = state["next"] if state else 1
-        # id, box, missed, scores by class
-        self.tracks: list[list] = [[t[0], tuple(t[1]), t[2], list(t[3])] for t in state["tracks"]] if state else []
-
-    def state(self) -> dict[str, Any]:
-        return {"next": self.next, "tracks": [[t[0], list(t[1]), t[2], list(t[3])] for t in self.tracks]}
-
-    def update(self, detections: list[tuple]) -> list[tuple[int, int]]:
-        """detections: (class_id, confidence, box) in order; for each the track's number and its class by vote so far."""
-        pairs = [(_iou(t[1], d[2]), i, j) for i, t in enumerate(self.tracks) for j, d in enumerate(detections)]
-        track_of: dict[int, int] = {}
-        used: set[int] = set()
-        for value, i, j in sorted((p for p in pairs if p[0] >= self.iou), reverse=True):
-            if i not in used and j not in track_of:
-                used.add(i)
-                track_of[j] = i
-        for i, t in enumerate(self.tracks):
-            t[2] += i not in used
-        for j, (class_id, confidence, box) in enumerate(detections):
-            if j not in track_of:
-                track_of[j] = len(self.tracks)
-                self.tracks.append([self.next, box, 0, [0.0, 0.0, 0.0]])
-                self.next += 1
-            t = self.tracks[track_of[j]]
-            t[1], t[2] = box, 0
-            t[3][class_id] += confidence
-        out = []
-        for j in range(len(detections)):
-            t = self.tracks[track_of[j]]
-            out.append((t[0], max(range(3), key=lambda c: (t[3][c], -c))))
-        self.tracks = [t for t in self.tracks if t[2] <= self.max_missed]
-        return out
+    higher detection. A track without a pair misses the frame and ends with more than max_missed missed frames in a row; a
+    detection without one starts a track."""
+
+    def __init__(self, rows: list[tuple] | None = None, next_id: int = 1, iou: float = IOU, max_missed: int = MAX_MISSED):
+        if not 0 < iou <= 1:
+            raise ValueError("iou must be above 0, and 1 at most")
+        self.iou, self.max_missed, self.next = iou, max_missed, next_id
+        rows = sorted(rows or [])
+        self.whole = np.array([r[:9] for r in rows], np.int64).reshape(-1, 9)  # id, box, missed, hits, first, last
+        self.score = np.array([r[9:] for r in rows], float).reshape(-1, 4)  # best, by class
+
+    def rows(self, which: np.ndarray | slice = slice(None)) -> list[tuple]:
+        """Tracks as TRACK has them."""
+        return [(*w, *s) for w, s in zip(self.whole[which].tolist(), self.score[which].tolist(), strict=True)]
+
+    def _pairs(self, boxes: np.ndarray) -> np.ndarray:
+        """By detection the row of its track, -1 for none."""
+        value = overlaps(self.whole[:, 1:5], boxes)
+        track, detection = np.nonzero(value >= self.iou)
+        best = np.lexsort((detection, track, value[track, detection]))[::-1]
+        of, free = np.full(len(boxes), -1), np.ones(len(self.whole), bool)
+        for t, d in zip(track[best].tolist(), detection[best].tolist(), strict=True):
+            if free[t] and of[d] < 0:
+                of[d], free[t] = t, False
+        return of
+
+    def update(self, frame: int, class_id: np.ndarray, confidence: np.ndarray, boxes: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple]]:
+        """A processed frame's detections, in order: their tracks' numbers, their classes by vote so far, the tracks that ended."""
+        of = self._pairs(boxes)
+        new, old = np.flatnonzero(of < 0), len(self.whole)
+        of[new] = old + np.arange(len(new))
+        started = np.zeros((len(new), 9), np.int64)
+        started[:, 0], started[:, 7] = self.next + np.arange(len(new)), frame
+        self.next += len(new)
+        self.whole, self.score = np.concatenate((self.whole, started)), np.concatenate((self.score, np.zeros((len(new), 4))))
+        self.whole[:, 5] += 1
+        self.whole[of, 1:5], self.whole[of, 5], self.whole[of, 8] = boxes, 0, frame
+        self.whole[of, 6] += 1
+        self.score[of, 0] = np.maximum(self.score[of, 0], confidence)
+        self.score[of, 1 + class_id] += confidence
+        ids, voted = self.whole[of, 0], self.score[of, 1:].argmax(1)
+        over = self.whole[:, 5] > self.max_missed
+        ended = self.rows(over)
+        self.whole, self.score = self.whole[~over], self.score[~over]
+        return ids, voted, ended
 
 
 TRACKED = "stream_id long, frame int, det_id long, class_id int, confidence double, x1 int, y1 int, x2 int, y2 int, track_id int, track_class_id int"
-_IN = ["stream_id", "frame", "det_id", "class_id", "confidence", "x1", "y1", "x2", "y2"]
-
-
-def track_frames(tracker: Tracker, rows: Any) -> list[tuple]:
-    """Rows (as _IN) sorted by frame and det_id, through the tracker; frames without detections aren't seen by it."""
-    out, at = [], 0
-    while at < len(rows):
-        end = at
-        while end < len(rows) and rows[end][1] == rows[at][1]:
-            end += 1
-        frame = rows[at:end]
-        for r, (track, voted) in zip(frame, tracker.update([(int(r[3]), float(r[4]), tuple(int(v) for v in r[5:9])) for r in frame]), strict=True):
-            out.append((*r, track, voted))
-        at = end
-    return out
-
-
-def track(detections: DataFrame, iou: float = IOU, max_missed: int = MAX_MISSED) -> DataFrame:
-    """Detections with track_id and track_class_id. A stream is one sequence, so it is one group by nature; streams are
-    spread over tasks, and only a stream's rows, never its pixels, come together."""
+_IN = ["stream_id", "frame", "det_id", "class_id", "confidence", *BOX]
+
+
+def track_frames(tracker: Tracker, pdf: pd.DataFrame) -> tuple[pd.DataFrame, list[tuple]]:
+    """A stream's rows (_IN, in any order) frame by frame through the tracker: the detections as TRACKED, the tracks that ended."""
+    pdf = pdf[_IN].sort_values(["frame", "det_id"], kind="stable")
+    real = pdf["det_id"].notna().to_numpy()
+    frame = pdf["frame"].to_numpy(np.int64)
+    class_id, confidence = pdf["class_id"].fillna(0).to_numpy(np.int64), pdf["confidence"].fillna(0).to_numpy(float)
+    boxes = pdf[BOX].fillna(0).to_numpy(np.int64)
+    ids, voted, ended = np.zeros(len(pdf), np.int64), np.zeros(len(pdf), np.int64), []
+    cuts = np.flatnonzero(np.diff(frame, prepend=-1)).tolist() if len(pdf) else []
+    for a, b in zip(cuts, [*cuts[1:], len(pdf)], strict=True):
+        at = a + np.flatnonzero(real[a:b])
+        ids[at], voted[at], over = tracker.update(int(frame[a]), class_id[at], confidence[at], boxes[at])
+        ended += over
+    out = pdf.assign(track_id=ids, track_class_id=voted)[real]
+    whole = ["stream_id", "frame", "det_id", "class_id", *BOX, "track_id", "track_class_id"]
+    return out.astype(dict.fromkeys(whole, "int64"))[[*_IN, "track_id", "track_class_id"]], ended
+
+
+def with_empty_frames(detections: DataFrame, frames: DataFrame) -> DataFrame:
+    """Detections, and a row without a detection for each processed frame (stream_id, frame) that shows none."""
+    empty = frames.select("stream_id", "frame").distinct().join(detections, ["stream_id", "frame"], "left_anti")
+    nothing = [F.lit(None).cast(detections.schema[c].dataType).alias(c) for c in _IN[2:]]
+    return detections.select(*_IN).unionByName(empty.select("stream_id", "frame", *nothing))
+
+
+def pieces(rows: DataFrame, step: int = 1, max_missed: int = MAX_MISSED) -> DataFrame:
+    """Adds `piece`: rows of a stream up to a gap that ends every track, so that pieces can be tracked apart.
+
+    A frame with detections starts a piece if none of the max_missed + 1 processed frames (multiples of `step`) before it
+    has any. Frames meet only those of their own and the last window of so many, and starts are summed in two levels, so a
+    stream is never one task."""
+    gap = (max_missed + 1) * step
+    shown = rows.where("det_id is not null").select("stream_id", "frame").distinct().withColumn("window", F.floor(F.col("frame") / gap))
+    windows = shown.groupBy("stream_id", "window").agg(F.collect_set("frame").alias("own"))  # max_missed + 1 frames at most
+    last = windows.select("stream_id", (F.col("window") + 1).alias("window"), F.col("own").alias("before"))
+    met = windows.join(last, ["stream_id", "window"], "left").withColumn("all", F.concat("own", F.coalesce("before", F.array().cast("array<int>"))))
+    starts = met.select("stream_id", F.explode(F.filter("own", lambda f: ~F.exists("all", lambda g: (g < f) & (g >= f - gap)))).alias("frame"))
+    coarse = F.floor(F.col("frame") / (gap * COARSE)).alias("coarse")
+    at = starts.select("stream_id", "frame", coarse)
+    sums = at.groupBy("stream_id", "coarse").agg(F.count("*").alias("n"))
+    # a row for each coarse window that holds a row of the stream, with the starts before it
+    held = rows.select("stream_id", coarse).distinct().join(sums, ["stream_id", "coarse"], "left")
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("stream_id").orderBy("coarse").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    here = at.groupBy("stream_id", "coarse").agg(F.array_sort(F.collect_list("frame")).alias("starts"))  # COARSE frames at most
+    bounds = held.select("stream_id", "coarse", before.alias("before")).join(here, ["stream_id", "coarse"], "left")
+    inside = F.coalesce(F.size(F.filter("starts", lambda f: f <= F.col("frame"))), F.lit(0))
+    return rows.withColumn("coarse", coarse).join(bounds, ["stream_id", "coarse"]).withColumn("piece", F.col("before") + inside).drop("coarse", "before", "starts")
+
+
+#: Windows of max_missed + 1 frames that are summed together.
+COARSE = 1000
+
+
+def track(detections: DataFrame, iou: float = IOU, max_missed: int = MAX_MISSED, frames: DataFrame | None = None, step: int = 1) -> DataFrame:
+    """Detections with track_id and track_class_id.
+
+    frames: the processed frames (stream_id, frame: multiples of `step`); without them those with a detection are all.
+    With them a stream is cut where every track ends, its pieces are tracked in tasks of their own, and their numbers are
+    shifted by the tracks of the pieces before: a long stream is one task only where it is never idle."""
+    if frames is None:
+        return _tracked(detections, ["stream_id"], iou, max_missed).drop("piece")
+    whole = pieces(with_empty_frames(detections, frames), step, max_missed)
+    found = checkpointed(_tracked(whole, ["stream_id", "piece"], iou, max_missed))
+    tracks = found.groupBy("stream_id", "piece").agg(F.max("track_id").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("stream_id").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shifts = tracks.select("stream_id", "piece", before.cast("int").alias("before"))  # a row per piece
+    return found.join(shifts, ["stream_id", "piece"]).withColumn("track_id", F.col("track_id") + F.col("before")).drop("piece", "before")
+
+
+def _tracked(rows: DataFrame, by: list[str], iou: float, max_missed: int) -> DataFrame:
     import pandas as pd
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = list(pdf.sort_values(["frame", "det_id"])[_IN].itertuples(index=False, name=None))
-        return pd.DataFrame(track_frames(Tracker(None, iou, max_missed), rows), columns=[*_IN, "track_id", "track_class_id"])
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        out, _ = track_frames(Tracker(None, 1, iou, max_missed), pdf)
+        return out.assign(piece=int(key[1]) if len(key) > 1 else 0)
 
-    return detections.select(*_IN).groupBy("stream_id").applyInPandas(run, TRACKED)
+    return rows.select(*_IN, *by[1:]).groupBy(*by).applyInPandas(run, f"{TRACKED}, piece long")
+
+
+def finished(tracked: DataFrame) -> DataFrame:
+    """Tracks as the stream tells them at their ends: stream_id, track_id, hits, first_frame, last_frame, best, s0, s1, s2."""
+    scores = [F.sum(F.when(F.col("class_id") == c, F.col("confidence")).otherwise(0.0)).alias(f"s{c}") for c in range(3)]
+    return tracked.groupBy("stream_id", "track_id").agg(F.count("*").alias("hits"), F.min("frame").alias("first_frame"), F.max("frame").alias("last_frame"), F.max("confidence").alias("best"), *scores)
 
 
 def track_summary(tracked: DataFrame) -> DataFrame:
@@ -141,9 +223,13 @@ def sampled(frames: DataFrame, step: int) -> DataFrame:
     return frames.where(F.pmod("frame", F.lit(step)) == 0)
 
 
+#: Fixed value: frames a second of a source that tells none.
+FPS = 30.0
+
+
 def seconds(frame, fps):
-    """When a frame is shown, in seconds; null without a frame rate over 0."""
-    return F.when(fps > 0, frame / fps)
+    """When a frame is shown, in seconds; a source without a frame rate over 0 counts as one of FPS."""
+    return frame / F.coalesce(F.when(fps > 0, fps.cast("double")), F.lit(FPS))
 
 
 def clip_rollup(frames: DataFrame) -> DataFrame:

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import functions as F
 
 from skeinwork.operators import tracking as t
 from skeinwork.plans import views as v
 from skeinwork.plans.views import sql
-from skeinwork.session import shared_dir
+from skeinwork.session import checkpointed, shared_dir
+from skeinwork.sources.frames import read_frames, record
+from skeinwork.streaming.tracker import late_frames, run_available, track_ends, track_stream
 
 
 def track_summary(s, d):
@@ -37,8 +40,8 @@ def frame_step_sample(s, d):
 
 
 def frame_seconds(s, d):
-    """Frames of streams at 30 frames a second; every fifth stream has no frame rate."""
-    fps = F.when(F.col("stream_id") % 5 == 0, 0).otherwise(30)
+    """Frames of streams at 25 frames a second; every fifth stream tells no frame rate."""
+    fps = F.when(F.col("stream_id") % 5 == 0, 0).otherwise(25)
     return v.frames(s, d).select("stream_id", "frame", "det_id", t.seconds(F.col("frame"), fps).alias("seconds"))
 
 
@@ -50,32 +53,61 @@ def clip_rollup(s, d):
 
 
 def iou_tracker_batch(s, d):
-    return t.track(v.frame_detections(s, d))
+    return t.track(v.frame_detections(s, d), frames=v.processed_frames(s, d))
+
+
+@contextmanager
+def _rocksdb(s):
+    """A session of its own with the state store that the stream needs; the caller's settings stay."""
+    own = s.newSession()
+    own.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    shared_dir(s)
+    yield own, f"{shared_dir(s).rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
 def iou_tracker_stream(s, d):
-    """The same detections through the stateful stream, all that is there."""
-    from skeinwork.streaming.tracker import run_available
-
-    here = f"{shared_dir(s).rstrip('/')}/stream-{uuid.uuid4().hex}"
-    key = "spark.sql.streaming.stateStore.providerClass"
-    before = s.conf.get(key)
-    s.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
-        frames = v.frame_detections(s, d)
-        frames.write.parquet(f"{here}/in")
-        run_available(s.readStream.schema(frames.schema).parquet(f"{here}/in"), f"{here}/out", f"{here}/checkpoint")
-    finally:
-        s.conf.set(key, before)
+    """The same frames from a recording through the stateful stream, a hundred frames of each stream in three micro-batches."""
+    with _rocksdb(s) as (own, here):
+        record(v.frame_detections(own, d), v.processed_frames(own, d), f"{here}/in")
+        frames = read_frames(own, f"{here}/in", framesPerBatch=40, checkpoint=f"{here}/checkpoint")
+        run_available(track_stream(frames), f"{here}/out", f"{here}/checkpoint")
     return s.read.parquet(f"{here}/out")
 
 
+def finished_tracks_batch(s, d):
+    """Tracks with what is known of them at their ends, from the tracked detections."""
+    return t.finished(iou_tracker_batch(s, d)).drop("best", "s0", "s1", "s2")
+
+
+def finished_tracks_stream(s, d):
+    """The same from the stream, each when it ends; the query is stopped half-way and started again."""
+    with _rocksdb(s) as (own, here):
+        record(v.frame_detections(own, d), v.processed_frames(own, d), f"{here}/in")
+        for most in (45, None):  # the second reader goes on where the offsets of the first end
+            limit = {"maxFrames": most} if most else {}
+            frames = read_frames(own, f"{here}/in", framesPerBatch=40, checkpoint=f"{here}/checkpoint", **limit)
+            frames = frames.withColumn("last", F.lit(False)) if most else frames
+            run_available(track_ends(frames), f"{here}/out", f"{here}/checkpoint")
+    return s.read.parquet(f"{here}/out").select("stream_id", "track_id", "hits", "first_frame", "last_frame")
+
+
+def late_frame_counts(s, d):
+    """Detections of frames that came after later ones: the second half of all frames first, then the first."""
+    with _rocksdb(s) as (own, here):
+        frames = v.frame_detections(own, d)
+        for k, part in enumerate((frames.where("frame >= 50"), frames.where("frame < 50"))):
+            part.coalesce(1).write.mode("append").parquet(f"{here}/in")
+            stream = own.readStream.schema(frames.schema).parquet(f"{here}/in")
+            run_available(track_stream(stream), f"{here}/out", f"{here}/checkpoint")
+        return late_frames(s, f"{here}/checkpoint")
+
+
 def tracker_kept_counts(s, d):
-    """Matches with only those detections whose track has three hits, by class."""
-    from skeinwork.operators.matching import filtered_counts, totals
+    """Matches by the class of each frame, by voted class, and by that of only those detections whose track has two hits."""
+    from skeinwork.operators.matching import scored_ways, totals_by_way
 
     tracked = iou_tracker_batch(s, d).withColumn("frame_id", F.col("stream_id") * 100 + F.col("frame")).withColumnRenamed("det_id", "pred_id")
-    return totals(filtered_counts(v.gt_boxes(s, d), tracked, 2))
+    return totals_by_way(scored_ways(v.gt_boxes(s, d), checkpointed(tracked), 2))
 
 
 _VOTES = "sums AS (SELECT stream_id, track_id, frame, " + ", ".join(f"sum(CASE WHEN class_id = {c} THEN conf_pct ELSE 0 END) OVER w AS s{c}" for c in range(3)) + ", count(*) OVER w AS hits FROM frames WINDOW w AS (PARTITION BY stream_id, track_id ORDER BY frame ROWS UNBOUNDED PRECEDING))"
@@ -90,10 +122,13 @@ QUERIES = {
     "running_objects": (running_objects, sql("SELECT DISTINCT stream_id, frame, (sum(CASE WHEN hits = 3 THEN 1 ELSE 0 END) OVER (PARTITION BY stream_id ORDER BY frame))::BIGINT AS objects FROM sums", "frames", extra=_VOTES)),
     "hold_last": (hold_last, sql("SELECT stream_id, frame, conf_pct, last_value(CASE WHEN frame % 5 = 0 THEN conf_pct END IGNORE NULLS) OVER (PARTITION BY stream_id ORDER BY frame ROWS UNBOUNDED PRECEDING) AS shown FROM frames", "frames")),
     "frame_step_sample": (frame_step_sample, sql("SELECT stream_id, frame, det_id FROM frames WHERE frame % 12 = 0", "frames")),
-    "frame_seconds": (frame_seconds, sql("SELECT stream_id, frame, det_id, CASE WHEN stream_id % 5 <> 0 THEN frame / 30.0::DOUBLE END AS seconds FROM frames", "frames")),
+    "frame_seconds": (frame_seconds, sql("SELECT stream_id, frame, det_id, frame / CASE WHEN stream_id % 5 <> 0 THEN 25.0::DOUBLE ELSE 30.0::DOUBLE END AS seconds FROM frames", "frames")),
     "clip_rollup": (clip_rollup, sql("""SELECT split, count(DISTINCT stream_id) AS n_clips, count(*) AS n_frames, sum(objects)::BIGINT AS n_objects, count_if(objects = 0)::BIGINT AS n_background FROM (
  SELECT stream_id, conf_pct % 10 AS objects, CASE stream_id % 3 WHEN 0 THEN 'train' WHEN 1 THEN 'val' ELSE 'test' END AS split FROM frames) GROUP BY split""", "frames")),
     "iou_tracker_batch": (iou_tracker_batch, None),
     "iou_tracker_stream": (iou_tracker_stream, None),
+    "finished_tracks_batch": (finished_tracks_batch, None),
+    "finished_tracks_stream": (finished_tracks_stream, None),
+    "late_frame_counts": (late_frame_counts, sql("SELECT stream_id, max(frame) AS last_frame, CASE WHEN max(frame) >= 50 THEN count_if(frame < 50) ELSE 0 END AS late_rows FROM (SELECT frame_id // 100 AS stream_id, CAST(frame_id % 100 AS INT) AS frame FROM pred) WHERE frame % 20 >= 4 + stream_id % 6 GROUP BY stream_id", "pred")),
     "tracker_kept_counts": (tracker_kept_counts, None),
 }

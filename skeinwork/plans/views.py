@@ -84,7 +84,7 @@ def planted_signatures(spark: SparkSession, d: str) -> DataFrame:
 def frames(spark: SparkSession, d: str) -> DataFrame:
     kind = F.col("event_type")
     class_id = F.when(kind.isin("click", "view"), 0).when(kind.isin("purchase", "signup"), 1).otherwise(2).cast("int")
-    frame = (F.row_number().over(Window.partitionBy("user_id").orderBy("ts")) - 1).cast("int")
+    frame = (F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1).cast("int")
     return table(spark, d, "events").select(
         F.col("user_id").alias("stream_id"), frame.alias("frame"), F.col("event_id").alias("det_id"), (F.col("event_id") % 7).cast("int").alias("track_id"),
         class_id.alias("class_id"), (1 + F.col("event_id") % 100).cast("int").alias("conf_pct"),
@@ -113,10 +113,17 @@ def filenames(spark: SparkSession, d: str) -> DataFrame:
 
 
 def frame_detections(spark: SparkSession, d: str) -> DataFrame:
-    """V1 predictions as streams of a hundred frames: stream_id, frame, det_id and the box."""
+    """V1 predictions as streams of a hundred frames: stream_id, frame, det_id and the box. From every 20th frame on a stream is
+    dark for 4 to 9 frames, by its number: fewer than a track may miss, as many, and more."""
+    lit = F.col("frame") % 20 >= 4 + F.col("stream_id") % 6
     return pred_boxes(spark, d).select(
         F.floor(F.col("frame_id") / 100).cast("long").alias("stream_id"), (F.col("frame_id") % 100).cast("int").alias("frame"), F.col("pred_id").alias("det_id"), "class_id", "confidence", "x1", "y1", "x2", "y2"
-    )
+    ).where(lit)
+
+
+def processed_frames(spark: SparkSession, d: str) -> DataFrame:
+    """All frames of those streams: every customer is one."""
+    return table(spark, d, "customer").select(F.floor(F.col("c_custkey") / 100).cast("long").alias("stream_id"), (F.col("c_custkey") % 100).cast("int").alias("frame"))
 
 
 # SQL forms ------------------------------------------------------------------------------------------------------------
@@ -145,7 +152,7 @@ SQL = {
     "sigs": """SELECT o_orderkey AS sig_id, xor(CAST(concat('0x', substr(md5(CAST(o_orderkey // 4 AS STRING)),1,8)) AS BIGINT),
   CAST(CASE o_orderkey % 4 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 6 ELSE 1023 END AS BIGINT)) AS sig_hi,
   CAST(concat('0x', substr(md5(CAST(o_orderkey // 4 AS STRING)),9,8)) AS BIGINT) AS sig_lo FROM orders""",
-    "frames": """SELECT user_id AS stream_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts) - 1 AS INT) AS frame, event_id AS det_id, CAST(event_id % 7 AS INT) AS track_id,
+    "frames": """SELECT user_id AS stream_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS INT) AS frame, event_id AS det_id, CAST(event_id % 7 AS INT) AS track_id,
   CAST(CASE event_type WHEN 'click' THEN 0 WHEN 'view' THEN 0 WHEN 'purchase' THEN 1 WHEN 'signup' THEN 1 ELSE 2 END AS INT) AS class_id, CAST(1 + event_id % 100 AS INT) AS conf_pct FROM events""",
     "results": """SELECT p_brand AS experiment, CASE WHEN p_brand = (SELECT min(p_brand) FROM part) THEN 'raw' ELSE 'filter' END AS preprocessing, count(*) AS n,
   CAST(sum(CAST(p_size AS BIGINT)) AS BIGINT) AS score, CAST(sum(CAST(round(p_retailprice*100) AS BIGINT)) AS BIGINT) AS latency_units FROM part GROUP BY p_brand""",

@@ -1,58 +1,119 @@
-"""The overlap tracker over a stream of frames, with its state in the state store.
+"""The overlap tracker over a stream of frames, with its tracks in the state store.
 
-State of a stream is what operators.tracking.Tracker keeps: its active tracks and the next number. A micro-batch may bring
-several frames of a stream; they are put in order inside the handler. Frames up to the last one that a stream has seen are
-late: they are dropped and counted (late_frames), since the tracker cannot go back. Checkpoints make the query restart where
-it ended."""
+State of a stream: `seen` (last frame, late rows, next number, timer) and `tracks`, a map with an entry for each active
+track. A micro-batch reads the entries once, puts its frames in order and writes back what changed; a track that ended goes
+from the map and, in track_ends(), comes out once with all that is known of it. Tracks still active come out when the
+stream's last frame is there (rows with `last`), or when nothing came for `idle` seconds (a processing-time timer). Frames up
+to the last one that a stream has seen are late: they are dropped and counted, since the tracker cannot go back;
+late_frames() reads the counts from the state store. Checkpoints make the query restart where it ended.
+
+All of it needs the RocksDB state store (session.SETTINGS)."""
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from skeinwork.operators.tracking import _IN, IOU, MAX_MISSED, TRACKED, Tracker, track_frames
+from skeinwork.operators.tracking import _IN, _TRACK, IOU, MAX_MISSED, TRACK, TRACKED, Tracker, track_frames
+
+SEEN = "last_frame int, late_rows long, next_id int, timer long"
+ENDED = "stream_id long, " + TRACK
+KEY, VALUE = TRACK.split(", ", 1)
 
 
 class _Handler(StatefulProcessor):
-    def __init__(self, iou: float, max_missed: int):
-        self.iou, self.max_missed = iou, max_missed
+    """ends: give the tracks that ended, not the tracked detections."""
+
+    def __init__(self, iou: float, max_missed: int, ends: bool, idle: float | None):
+        self.iou, self.max_missed, self.ends, self.idle = iou, max_missed, ends, idle
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.value = handle.getValueState("tracker", "last_frame int, late_frames long, state string")
+        self.handle = handle
+        self.seen = handle.getValueState("seen", SEEN)
+        self.tracks = handle.getMapState("tracks", KEY, VALUE)
+
+    def _state(self) -> tuple:
+        return self.seen.get() if self.seen.exists() else (-1, 0, 1, -1)
+
+    def _ended(self, key: Any, rows: list[tuple]) -> Any:
+        import pandas as pd
+
+        return pd.DataFrame([(key[0], *r) for r in rows], columns=["stream_id", *_TRACK])
 
-    def handleInputRows(self, key: Any, rows: Iterator, timer: Any) -> Iterator:  # noqa: N802 - Spark's name
+    def handleInputRows(self, key: Any, rows: Iterator, timerValues: Any) -> Iterator:  # noqa: N802, N803 - Spark's names
         import pandas as pd
 
-        last, late, state = self.value.get() if self.value.exists() else (-1, 0, None)
-        pdf = pd.concat(list(rows)).sort_values(["frame", "det_id"])
-        old = pdf["frame"] <= last
-        late += int(old.sum())
-        new = list(pdf.loc[~old, _IN].itertuples(index=False, name=None))
-        if new:
-            t = Tracker(json.loads(state) if state else None, self.iou, self.max_missed)
-            out = track_frames(t, new)
-            self.value.update((int(new[-1][1]), late, json.dumps(t.state())))
-            yield pd.DataFrame(out, columns=[*_IN, "track_id", "track_class_id"])
-        else:
-            self.value.update((last, late, state or ""))
+        last_frame, late, next_id, deadline = self._state()
+        pdf = pd.concat(list(rows))
+        old = pdf["frame"] <= last_frame
+        late += int((old & pdf["det_id"].notna()).sum())
+        pdf = pdf[~old]
+        if len(pdf):
+            before = {k[0]: v for k, v in self.tracks.iterator()}
+            tracker = Tracker([(k, *v) for k, v in before.items()], next_id, self.iou, self.max_missed)
+            out, ended = track_frames(tracker, pdf)
+            now = {r[0]: r[1:] for r in tracker.rows()}
+            if bool(pdf["last"].any()):  # no frame follows
+                ended, now = ended + tracker.rows(), {}
+            for k in before.keys() - now.keys():
+                self.tracks.removeKey((k,))
+            for k, v in now.items():
+                if before.get(k) != v:
+                    self.tracks.updateValue((k,), v)
+            last_frame, next_id = int(pdf["frame"].max()), tracker.next
+            yield self._ended(key, ended) if self.ends else out
+        if self.idle is not None:
+            if deadline >= 0:
+                self.handle.deleteTimer(deadline)
+            deadline = timerValues.getCurrentProcessingTimeInMs() + int(1000 * self.idle)
+            self.handle.registerTimer(deadline)
+        self.seen.update((last_frame, late, next_id, deadline))
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator:  # noqa: N802, N803 - Spark's names
+        last_frame, late, next_id, _ = self._state()
+        left = [(k[0], *v) for k, v in self.tracks.iterator()]
+        self.tracks.clear()
+        self.seen.update((last_frame, late, next_id, -1))
+        if self.ends:
+            yield self._ended(key, sorted(left))
 
     def close(self) -> None:
         pass
 
 
+def _stream(detections: DataFrame, schema: str, handler: _Handler) -> DataFrame:
+    last = F.col("last") if "last" in detections.columns else F.lit(False)
+    rows = detections.select(*_IN, F.coalesce(last, F.lit(False)).alias("last"))
+    return rows.groupBy("stream_id").transformWithStateInPandas(handler, outputStructType=schema, outputMode="Append", timeMode="None" if handler.idle is None else "ProcessingTime")
+
+
 def track_stream(detections: DataFrame, iou: float = IOU, max_missed: int = MAX_MISSED) -> DataFrame:
-    """As operators.tracking.track, for a streaming DataFrame. It needs the RocksDB state store (session.SETTINGS)."""
-    return detections.select(*_IN).groupBy("stream_id").transformWithStateInPandas(_Handler(iou, max_missed), outputStructType=TRACKED, outputMode="Append", timeMode="None")
+    """As operators.tracking.track, for a streaming DataFrame; rows without a det_id are processed frames that show nothing."""
+    return _stream(detections, TRACKED, _Handler(iou, max_missed, False, None))
+
+
+def track_ends(detections: DataFrame, iou: float = IOU, max_missed: int = MAX_MISSED, idle: float | None = None) -> DataFrame:
+    """Each track once, when it ends: ENDED. idle: seconds without a row after which a stream's tracks have ended."""
+    return _stream(detections, ENDED, _Handler(iou, max_missed, True, idle))
+
+
+def run_available(found: DataFrame, out: str, checkpoint: str) -> None:
+    """Write all that is there into Parquet, exactly once, and stop; run again for what comes later."""
+    q = found.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).start()
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
 
 
-def run_available(detections: DataFrame, out: str, checkpoint: str, **how: Any) -> None:
-    """Track all that is there into Parquet, exactly once, and stop; run again for what comes later."""
-    q = track_stream(detections, **how).writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    q.awaitTermination()
+def late_frames(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """stream_id, last_frame, late_rows of each stream that the query of a checkpoint has seen, from its state store."""
+    state = spark.read.format("statestore").option("path", checkpoint).option("stateVarName", "seen").load()
+    return state.select(F.col("key.stream_id").alias("stream_id"), F.col("value.last_frame").alias("last_frame"), F.col("value.late_rows").alias("late_rows"))
 
 
 def progress(query: Any) -> dict[str, float]:
