@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import inspect
 import os
 import uuid
 from collections.abc import Callable, Iterator
@@ -54,15 +55,21 @@ def give_back() -> None:
 
 
 def trimmed(run: Callable) -> Callable:
-    """A map over groups that gives freed memory back behind each."""
+    """A function of one group, or of two that go together, that gives freed memory back behind each."""
 
-    def walk(*tables: pa.Table) -> pa.Table:
+    def one(table: pa.Table) -> pa.Table:
         try:
-            return run(*tables)
+            return run(table)
         finally:
             give_back()
 
-    return walk
+    def two(left: pa.Table, right: pa.Table) -> pa.Table:
+        try:
+            return run(left, right)
+        finally:
+            give_back()
+
+    return one if len(inspect.signature(run).parameters) == 1 else two
 
 
 def prepared(spark: SparkSession) -> SparkSession:
