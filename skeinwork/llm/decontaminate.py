@@ -2,18 +2,20 @@
 
 A benchmark window (13 words of an item, or all words of a shorter item) is a set of word shingles. To contain the
 window a document must contain all of them, so the necessary prefix of the window in any global order is one shingle:
-the rarest, by how often the documents hold it. Documents are scanned once for shingles of the benchmark, each hit with
-the few words around it; then
+the rarest, by how often the documents hold it.
 
-1. shingles are counted over all documents; a window with a shingle that no document holds is out,
-2. each window keeps its rarest shingle and that shingle's offset, and joins the hits on it,
-3. positional and length bounds drop hits too near either end of the document,
-4. the window's words are compared with the words around the hit.
+1. the benchmark's shingles are counted over all documents; a window with a shingle that no document holds is out,
+2. each window keeps its rarest shingle and that shingle's offset, its anchor; documents are scanned again for anchors alone,
+3. positional and length bounds drop those too near either end of the document,
+4. the window's words are compared with the document's words there.
 
-The document texts are never shuffled. The benchmark side is broadcast only below `broadcast_bytes`, by its measured
-size; above that the same joins are hash or sort-merge joins, which adaptive execution splits where a key is hot.
+The benchmark side is broadcast only below `broadcast_bytes`, by its measured size: then the texts are never shuffled, and an
+anchor is compared in the document's own row. Above that the same joins are sort-merge joins, which adaptive execution splits
+where a key is hot: all documents' shingles go through as one long each (twice: counts, anchors), candidates as positions, and
+the texts once, to their candidates, so that what is shuffled stays in proportion to the input.
 
-Defined cases: a null or empty text has no words, hits nothing and is clean; null item texts and items without words
+Defined cases: a null or empty text has no words, hits nothing and is clean; very long texts are split into words one at a
+time; null item texts and items without words
 are ignored; an item with a null id marks words but isn't listed; repeated items count once; repeated document rows each
 give their row; columns other than doc_id, text, item_id are ignored, whatever their names; an empty benchmark leaves
 every document clean.
@@ -21,6 +23,8 @@ every document clean.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -70,28 +74,30 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WIND
     for p in parts[1:]:
         own = own.unionByName(p)
     vocabulary = own.select("sh").distinct()
-
+    widths = sorted(stats["k"])
     split = docs.select("doc_id", "key", words(F.col("text")).alias("w"))
-    around = window - 1
-    hits = None
-    for k in sorted(stats["k"]):
-        at = split.select("doc_id", "key", "w", F.posexplode(shingle_hashes(F.col("w"), k)).alias("pos", "sh"))
-        first = F.greatest(F.col("pos") - around, F.lit(0))
-        h = at.join(near(vocabulary), "sh").select("doc_id", "key", "pos", "sh", F.size("w").alias("n"), first.alias("first"), F.slice("w", first + 1, 2 * window - 1).alias("ctx"))
-        hits = h if hits is None else hits.unionByName(h)
-    hits = checkpointed(hits)
-
-    seen = hits.groupBy("sh").agg(F.count("*").alias("df"))
+
+    # counts first: hashes alone meet the vocabulary
+    held = reduce(DataFrame.unionByName, (split.select(F.explode(shingle_hashes(F.col("w"), k)).alias("sh")).join(near(vocabulary), "sh") for k in widths))
+    seen = checkpointed(held.groupBy("sh").agg(F.count("*").alias("df")))
     ranked = own.join(near(seen), "sh", "left")
     prefix = ranked.groupBy("wid").agg(F.count("*").alias("n_sh"), F.count("df").alias("n_seen"), F.min(F.struct("df", "off", "sh")).alias("r")).where("n_sh = n_seen")
-    anchors = prefix.join(win, "wid").select(F.col("r.sh").alias("sh"), F.col("r.off").alias("off"), "win", "len", "item_id")
-    start = F.col("pos") - F.col("off")
-    found = (
-        hits.join(near(anchors), "sh")
-        .where((start >= 0) & (start + F.col("len") <= F.col("n")))
-        .where(F.slice("ctx", start - F.col("first") + 1, F.col("len")) == F.col("win"))
-        .select("doc_id", "key", F.struct(start.alias("s"), (start + F.col("len")).alias("e")).alias("span"), "item_id")
-    )
+    anchors = checkpointed(prefix.join(win, "wid").select(F.col("r.sh").alias("sh"), F.col("r.off").alias("off"), "win", "len", "item_id"))
+
+    # then the positions of anchors alone
+    start, end = F.col("pos") - F.col("off"), F.col("pos") - F.col("off") + F.col("len")
+    same = F.slice("w", F.col("s") + 1, F.col("len")) == F.col("win")
+    candidates = []
+    for k in widths:
+        at = split.select("doc_id", "key", *(["w"] if small else []), F.size("w").alias("n"), F.posexplode(shingle_hashes(F.col("w"), k)).alias("pos", "sh"))
+        own_anchors = anchors.where(F.least(F.col("len"), F.lit(shingle)) == k)
+        met = at.join(near(own_anchors), "sh").withColumn("s", start).where((F.col("s") >= 0) & (end <= F.col("n")))
+        candidates.append(met.where(same).drop("w") if small else met)
+    found = reduce(DataFrame.unionByName, candidates).select("doc_id", "key", "s", "len", "win", "item_id")
+    if not small:  # the texts come to their candidates once
+        to = found.distinct().withColumnsRenamed({"doc_id": "d", "key": "k"})
+        found = split.join(to, (F.col("key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("d"))).where(same)
+    found = found.select("doc_id", "key", F.struct("s", (F.col("s") + F.col("len")).alias("e")).alias("span"), "item_id")
     per_doc = found.groupBy("doc_id", "key").agg(F.sort_array(F.collect_set("span")).alias("spans"), F.sort_array(F.collect_set("item_id")).alias("items"))
     none = F.struct(F.lit(0).cast("long").alias("hit"), F.lit(0).alias("end"))
     union = F.aggregate(

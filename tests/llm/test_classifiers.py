@@ -48,15 +48,41 @@ def test_code_lengths_are_exact():
 
 
 def test_code_lengths_of_a_very_long_text_in_pieces(small_docs):
-    m = li.train(small_docs)
+    models = li.train(small_docs)
+    (m,) = (models._model(f) for f in models.files)
     data, offs = utf8(pa.array(["the quick brown fox é über la maison " * 300]))
     assert np.allclose(m.long_lengths(data, 700), m.code_lengths(data, offs), rtol=1e-6)
-
-
-def test_a_model_too_large_for_a_machine_is_refused(small_docs, monkeypatch):
-    monkeypatch.setattr(li, "MOST_MODEL", 10_000)
-    with pytest.raises(ValueError, match="too large"):
-        li.train(small_docs)
+    assert np.allclose(models.lengths(data, offs), m.code_lengths(data, offs), rtol=1e-6)
+
+
+def test_any_number_of_languages_in_groups(spark):
+    rnd = np.random.default_rng(3)
+    rows = []
+    for k in range(40):
+        words = ["".join(rnd.choice(list("abcdefghijklmnopé"), 4)) for _ in range(12)]
+        rows += [(100 * k + i, " ".join(rnd.choice(words, 25)), f"l{k:02d}") for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    one, many = (li.train(docs, together=n) for n in (40, 7))
+    assert (len(one.files), len(many.files)) == (1, 6)
+    assert one.langs == many.langs == sorted({r[2] for r in rows})
+    data, offs = utf8(pa.array([r[1] for r in rows[::11]] + ["", "zzz"]))
+    assert np.allclose(one.lengths(data, offs), many.lengths(data, offs), rtol=1e-6)
+    got = {r["doc_id"]: r["lang_pred"] for r in li.predict(docs, many).collect()}
+    assert np.mean([got[i] == lang for i, _, lang in rows]) > 0.99
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_rows_laid_over_each_other(seed):
+    rnd = np.random.default_rng(seed)
+    n, width = int(rnd.integers(1, 300)), int(rnd.integers(2, 60))
+    pairs = sorted({(int(rnd.integers(1, n + 1)), int(rnd.integers(1, width))) for _ in range(int(rnd.integers(1, 3 * n + 2)))})
+    parent, symbol = np.array(pairs).T
+    base, owner, entry = li.displaced(parent, symbol, n + 1, width)
+    want = {p: k for k, p in enumerate(pairs)}
+    for p in range(1, n + 1):
+        for x in range(width):
+            slot = base[p] + x
+            assert (int(entry[slot]) if owner[slot] == p else None) == want.get((p, x))
 
 
 def test_languages_of_held_out_documents(spark, small, texts, small_docs):

@@ -19,7 +19,7 @@ WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOW = str.maketrans({chr(65 + k): chr(97 + k) for k in range(26)})
 
 
-@pytest.mark.parametrize("name", sorted(oracle_sql()))
+@pytest.mark.parametrize("name", ["op10_decontamination", "op8_mixing"])
 def test_same_rows_as_sql(spark, small, tmp_path, name):
     queries()[name](spark, small).write.parquet(str(tmp_path / "got"))
     db = duckdb.connect()
