@@ -9,8 +9,8 @@
 3. Growth. A task takes one prefix at a time and extends it to the right depth-first: it counts the next number over the
    prefix's pointers, keeps the frequent ones, projects the pointers on each and goes on, and so has each phrase's count and
    those of all its beginnings.
-4. Prefixes that occur more often than a task should hold are split: they are counted together with each next word (partial
-   sums, one a block), and their extensions are prefixes of their own, again and again if need be. A prefix is split above
+4. Prefixes that occur more often than a task should hold are split: they are counted together with each next word (packed
+   partial sums of blocks, by task), and their extensions are prefixes of their own, again and again if need be. A prefix is split above
    `split` occurrences and a 2**20th of all words, so that there are less than 2**20 of any length: what the driver gathers
    and broadcasts of them has that bound at every size. A prefix of `longest` words has no projection and needs no task.
 5. Scores. Every phrase has the counts of its beginnings with it; the counts of its ends come by an equality join. The first
@@ -242,8 +242,24 @@ def frontier(seen: np.ndarray, split: list[Prefixes]) -> np.ndarray:
     return length
 
 
-def extensions(split: list[Prefixes]):
-    """Counts of the prefixes one longer than the last split ones, a block's at a time."""
+PROJECTED = "task int, payload binary"
+
+
+def _dealt(seen: np.ndarray, counts: np.ndarray, length: np.ndarray, n_tasks: int) -> pa.RecordBatch:
+    """Distinct rows and their numbers, packed for the task of each row's first `length` words."""
+    key = np.zeros(len(seen), np.uint64)
+    for k in range(seen.shape[1]):
+        with np.errstate(over="ignore"):
+            key = np.where(length > k, (key ^ seen[:, k].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15), key)
+            key ^= key >> np.uint64(29)
+    task = (key % np.uint64(n_tasks)).astype(np.int64)
+    by = np.argsort(task, kind="stable")
+    rows = [(t, _pack_rows(seen[by[x:y]], counts[by[x:y]])) for t, x, y in bounds(task[by])]
+    return pa.RecordBatch.from_arrays([pa.array([t for t, _ in rows], pa.int32()), pa.array([p for _, p in rows], pa.binary())], names=["task", "payload"])
+
+
+def extensions(split: list[Prefixes], n_tasks: int):
+    """Each block's counts of the prefixes one longer than the last split ones, by task."""
     length = split[-1].length + 1
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,12 +267,21 @@ def extensions(split: list[Prefixes]):
             for blob in b.column("payload").to_pylist():
                 seen = sights(unpack(blob), length)
                 own, counts = distinct_rows(seen[(frontier(seen, split) == length) & (seen[:, -1] != 0)])
-                yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.list_(pa.int64())), pa.array(counts.astype(np.int64))], names=["ids", "a"])
+                yield _dealt(own, counts, np.full(len(own), length), n_tasks)
 
     return walk
 
 
-PROJECTED = "task int, payload binary"
+def longer(length: int, above: int):
+    """In a task: those prefixes that occur more than `above` times in all."""
+
+    def then(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        parts = [_unpack_rows(x.as_py(), length) for x in table.column("payload")]
+        rows, counts = distinct_rows(np.concatenate([s for s, _ in parts]), np.concatenate([w for _, w in parts]))
+        at = np.flatnonzero(counts > above)
+        yield pa.RecordBatch.from_arrays([pa.array(list(rows[at]), pa.list_(pa.int64())), pa.array(counts[at].astype(np.int64))], names=["ids", "a"])
+
+    return then
 
 
 def project(longest: int, n_tasks: int, split: list[Prefixes]):
@@ -267,18 +292,8 @@ def project(longest: int, n_tasks: int, split: list[Prefixes]):
             for blob in b.column("payload").to_pylist():
                 seen, counts = distinct_rows(sights(unpack(blob), longest))
                 length = frontier(seen, split)
-                key = np.zeros(len(seen), np.uint64)
-                for k in range(longest):
-                    with np.errstate(over="ignore"):
-                        key = np.where(length > k, (key ^ seen[:, k].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15), key)
-                        key ^= key >> np.uint64(29)
-                whole = (length <= longest) & (np.take_along_axis(seen, np.minimum(length, longest)[:, None] - 1, 1)[:, 0] != 0) if len(seen) else np.empty(0, bool)
-                at = np.flatnonzero(whole)
-                task = (key[at] % np.uint64(n_tasks)).astype(np.int64)
-                by = np.argsort(task, kind="stable")
-                at, task = at[by], task[by]
-                rows = [(t, _pack_rows(seen[at[x:y]], counts[at[x:y]])) for t, x, y in bounds(task)]
-                yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in rows], pa.int32()), pa.array([p for _, p in rows], pa.binary())], names=["task", "payload"])
+                whole = (length <= longest) & (np.take_along_axis(seen, np.minimum(length, longest)[:, None] - 1, 1)[:, 0] != 0)
+                yield _dealt(seen[whole], counts[whole], length[whole], n_tasks)
 
     return walk
 
@@ -385,6 +400,7 @@ def mine(documents: DataFrame, least: int = LEAST, longest: int = LONGEST, split
     totals = map_arrow(held.where("kind = 'all'").select("lang", "payload"), _total_rows, "lang string, n long").groupBy("lang").agg(F.sum("n").alias("n"))
     occurrences = int(totals.agg(F.sum("n")).first()[0] or 0)
     blocks = held.where("kind = 'sequence'").select("payload")
+    n_tasks = max(min(n, 8), occurrences // task_rows)
     above = max(split, least, occurrences // MOST_SPLIT)
     over: list[Prefixes] = []
     long_prefixes = words.where(F.col("a") > above).select(F.array("id").alias("ids"), "a")
@@ -393,9 +409,8 @@ def mine(documents: DataFrame, least: int = LEAST, longest: int = LONGEST, split
         if not found:
             break
         over.append(Prefixes(found, over[-1] if over else None))
-        counted = map_arrow(blocks, extensions(over), "ids array<long>, a long").groupBy("ids").agg(F.sum("a").alias("a"))
-        long_prefixes = counted.where(F.col("a") > above)
-    n_tasks = max(min(n, 8), occurrences // task_rows)
+        counted = map_arrow(blocks, extensions(over, n_tasks), PROJECTED)
+        long_prefixes = regroup(counted, "task", n_tasks, longer(len(over) + 1, above), "ids array<long>, a long")
     projected = map_arrow(blocks, project(longest, n_tasks, over), PROJECTED)
     grown = regroup(projected, "task", n_tasks, grow(least, longest, over), PHRASES)
     spark = documents.sparkSession
