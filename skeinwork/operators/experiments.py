@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skeinwork.operators import ordered
 from skeinwork.schema import RESULT_COLUMNS
 
 
@@ -108,18 +109,39 @@ def leaders(rows: DataFrame, highest: list[str], lowest: list[str], order: str)
 def pareto(rows: DataFrame, score: str, cost: str) -> DataFrame:
     """Rows that no other row beats in one and equals or beats in the other; equal rows don't beat each other.
 
-    A row stays if it has the best score of its cost and more than every smaller cost. Costs, not rows, are scanned in
-    order: one row per distinct cost goes through the window."""
+    A row stays if it has the best score of its cost and more than every smaller cost. Costs, not rows, are sorted, and the
+    best score before a cost is the best of the partitions before its own and of its own up to it."""
     best = rows.groupBy(cost).agg(F.max(score).alias("__best"))
-    before = F.max("__best").over(Window.orderBy(cost).rowsBetween(Window.unboundedPreceding, -1))
-    stays = best.withColumn("__before", before).where("__before is null or __best > __before").select(F.col(cost).alias("__cost"), "__best")
+    parts = ordered.others(ordered.sorted_parts(best, cost), "__best", F.max, [], "__before")
+    stays = parts.where("__before is null or __best > __before").select(F.col(cost).alias("__cost"), "__best")
     return rows.join(stays, (F.col(cost) == F.col("__cost")) & (F.col(score) == F.col("__best")), "left_semi")
 
 
 def deltas(rows: DataFrame, columns: list[str], raw: str = "raw") -> DataFrame:
-    """Each row's difference from the one raw row."""
-    base = rows.where(F.col("preprocessing") == raw).limit(1).select(*(F.col(c).alias(f"raw_{c}") for c in columns))
-    return rows.join(F.broadcast(base), F.lit(True)).select("experiment", *((F.col(c) - F.col(f"raw_{c}")).alias(f"{c}_delta") for c in columns))
+    """Each row's difference from the raw row; other than exactly one raw row is an error."""
+    base = rows.where(F.col("preprocessing") == raw).agg(F.count("*").alias("__n"), *(F.first(c).alias(f"raw_{c}") for c in columns))
+    one = F.when(F.col("__n") == 1, F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("raw rows: "), F.col("__n").cast("string"))).cast("boolean"))
+    return rows.join(F.broadcast(base), F.lit(True)).where(one).select("experiment", *((F.col(c) - F.col(f"raw_{c}")).alias(f"{c}_delta") for c in columns))
+
+
+def analysis(rows: DataFrame, reasons: DataFrame, highest: list[str], cost: str, score: str, order: str) -> DataFrame:
+    """section, experiment, name, value: what may be said of the experiments. With any reason (experiment, reason) the status
+    is BLOCKED and the reasons are all; READY has the leader of each metric and of the cost, the frontier of score against
+    cost, and each row's metrics with their differences from the raw row. There is never a single winner."""
+    state = reasons.agg(F.count("*").alias("__n"))
+    nothing = lambda kind: F.lit(None).cast(kind)
+    status = state.select(F.lit("status").alias("section"), nothing("string").alias("experiment"), F.when(F.col("__n") > 0, "BLOCKED").otherwise("READY").alias("name"), F.col("__n").cast("double").alias("value"))
+    why = reasons.select(F.lit("reason").alias("section"), "experiment", F.col("reason").alias("name"), nothing("double").alias("value"))
+    ready = F.broadcast(state.where("__n = 0"))  # one row or none
+    first = leaders(rows, highest, [cost], order).select(F.lit("leader").alias("section"), "experiment", F.col("metric").alias("name"), "value")
+    front = pareto(rows, score, cost).select(F.lit("frontier").alias("section"), "experiment", nothing("string").alias("name"), nothing("double").alias("value"))
+    cells = F.array(*(F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("value")) for c in [*highest, cost]))
+    own = rows.select(F.lit("metric").alias("section"), "experiment", F.inline(cells))
+    base = rows.where("preprocessing = 'raw'").agg(F.count("*").alias("__raws"), *(F.first(c).cast("double").alias(f"raw_{c}") for c in highest))
+    change = F.array(*(F.struct(F.lit(c).alias("name"), F.round(F.col(c).cast("double") - F.col(f"raw_{c}"), 6).alias("value")) for c in highest))
+    against = rows.join(F.broadcast(base.where("__raws = 1")), F.lit(True)).select(F.lit("delta").alias("section"), "experiment", F.inline(change))
+    said = first.unionByName(front).unionByName(own).unionByName(against).join(ready, F.lit(True)).drop("__n")
+    return status.unionByName(why).unionByName(said)
 
 
 def upserted(existing: DataFrame, new: DataFrame) -> DataFrame:

@@ -88,3 +88,13 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """node, root: the smallest node of each connected component."""
     found = stars(edges)
     return nodes.select("node").distinct().join(found, F.col("node") == F.col("a"), "left").select("node", F.coalesce("b", "node").alias("root"))
+
+
+def near_components(signatures: DataFrame, id_: str, distance: int) -> DataFrame:
+    """id_, root: the smallest row that near signatures connect each row with. Rows of one signature are one node: however
+    many there are, they make no pairs among themselves."""
+    nodes = signatures.groupBy("sig_hi", "sig_lo").agg(F.min(id_).alias("__node"))
+    pairs = hamming_pairs(checkpointed(nodes), "__node", distance)
+    found = stars(pairs.select(F.col("__node_a").alias("a"), F.col("__node_b").alias("b")))
+    roots = nodes.join(found, F.col("__node") == F.col("a"), "left").select("sig_hi", "sig_lo", F.coalesce("b", "__node").alias("root"))
+    return signatures.join(roots, ["sig_hi", "sig_lo"]).select(id_, "root")

@@ -93,14 +93,6 @@ def integrity_errors(images: DataFrame, labels: DataFrame, boxes: DataFrame) ->
     return reduce(DataFrame.unionByName, parts)
 
 
-def audit_counters(images: DataFrame, labels: DataFrame, boxes: DataFrame) -> DataFrame:
-    """One row of error counts with is_valid."""
-    e = structural_errors(images, labels, boxes)
-    kinds = ("missing_label", "orphan_label", "unreadable_image", "invalid_box")
-    counts = e.agg(*(F.count_if(F.col("error") == k).alias(k) for k in kinds), F.count("*").alias("n_errors"))
-    return counts.withColumn("is_valid", F.col("n_errors") == 0)
-
-
 def first_errors(errors: DataFrame, n: int = 20) -> DataFrame:
     """The report shows the first errors only."""
     return errors.orderBy("split", "item", "error").limit(n)

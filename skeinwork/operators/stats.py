@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skeinwork.functions.geometry import size_class
-from skeinwork.schema import MEDIUM_AREA, classes, combinations, splits
+from skeinwork.schema import CLASSES, MEDIUM_AREA, classes, combinations, splits
 
 
 def class_counts(boxes: DataFrame) -> DataFrame:
@@ -95,14 +95,6 @@ def size_buckets(sized: DataFrame) -> DataFrame:
     return g.select("imgsz", "class_id", "n", *names, *((F.col(k) / F.col("n")).alias(f"{k}_share") for k in names))
 
 
-def size_warnings(sized: DataFrame, overall: float = 0.25, of_class: float = 0.5, imgsz: int = 320) -> DataFrame:
-    """Codes for too many small boxes at an input size."""
-    g = sized.where(F.col("imgsz") == imgsz).rollup("class_id").agg(F.avg((F.col("area") < MEDIUM_AREA).cast("double")).alias("share"))
-    code = F.when(F.col("class_id").isNull(), "many_small_objects").otherwise(F.concat(F.lit("many_small_class_"), F.col("class_id").cast("string")))
-    hit = F.when(F.col("class_id").isNull(), F.col("share") >= overall).otherwise(F.col("share") >= of_class)
-    return g.where(hit).select(code.alias("code"), "share")
-
-
 def class_imbalance(boxes: DataFrame) -> DataFrame:
     """Shares of classes, and the train split's ratio of the most to the least frequent (that occurs) with its level."""
     spark = boxes.sparkSession
@@ -117,6 +109,23 @@ def class_imbalance(boxes: DataFrame) -> DataFrame:
     )
 
 
+# Codes, severity and limits of the warnings of class balance.
+SMALL_ALL, SMALL_CLASS, IMBALANCE, SEVERITY = "MANY_SMALL_OBJECTS_AT_320", "MANY_SMALL_{}_AT_320", "CLASS_IMBALANCE", "HIGH"
+SMALL_SIZE, SMALL_SHARE, SMALL_CLASS_SHARE = 320, 0.25, 0.5
+
+
+def balance_warnings(sized: DataFrame, boxes: DataFrame, overall: float = SMALL_SHARE, of_class: float = SMALL_CLASS_SHARE) -> DataFrame:
+    """code, severity, value: too many small boxes at SMALL_SIZE pixels, of all and of a class, and classes out of balance.
+
+    sized: as of at_sizes(); boxes: class_id, split."""
+    g = sized.where(F.col("imgsz") == SMALL_SIZE).rollup("class_id").agg(F.avg((F.col("area") < MEDIUM_AREA).cast("double")).alias("value"))
+    named = F.create_map(*(F.lit(x) for k, n in CLASSES.items() for x in (k, SMALL_CLASS.format(n.upper()))))
+    code = F.when(F.col("class_id").isNull(), SMALL_ALL).otherwise(named[F.col("class_id")])
+    small = g.where(F.when(F.col("class_id").isNull(), F.col("value") >= overall).otherwise(F.col("value") >= of_class)).select(code.alias("code"), F.lit(SEVERITY).alias("severity"), "value")
+    uneven = class_imbalance(boxes).where("level = 'HIGH'").agg(F.max("train_ratio").alias("value")).where("value is not null")
+    return small.unionByName(uneven.select(F.lit(IMBALANCE).alias("code"), F.lit(SEVERITY).alias("severity"), "value"))
+
+
 def pixel_statistics(images: DataFrame) -> DataFrame:
     """Over images (mean, std, low, high): mean of means, mean of deviations, extremes."""
     return images.agg(F.avg("mean").alias("mean"), F.avg("std").alias("std"), F.min("low").alias("low"), F.max("high").alias("high"))

@@ -247,6 +247,28 @@ def held(frames: DataFrame, step: int, value: str) -> DataFrame:
     return frames.select("stream_id", "frame", value, shown.alias("shown"))
 
 
+def asof(left: DataFrame, right: DataFrame, by: str, on: str, values: list[str], width: int) -> DataFrame:
+    """Rows of the left with `values` of the right's last row at or before them (by the column `on`); null without one. Of
+    right rows at the same place the greatest values count.
+
+    Places are cut into buckets of `width`. A bucket's rows meet in one window, and what comes from before is the last value
+    of the buckets before, one row each: neither a long stream nor its rows are one window. With a width about the root of a
+    stream's length both are short."""
+    bucket = F.floor(F.col(on) / width).alias("__bucket")
+    value = F.struct(*values).alias("__value")
+    points = right.groupBy(by, on).agg(F.max(value).alias("__value")).withColumn("__bucket", bucket)
+    ends = points.groupBy(by, "__bucket").agg(F.max_by("__value", on).alias("__end"))
+    every = left.select(by, bucket).unionByName(points.select(by, "__bucket")).distinct().join(ends, [by, "__bucket"], "left")
+    over = Window.partitionBy(by).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    carried = every.select(by, "__bucket", F.last("__end", ignorenulls=True).over(over).alias("__carried"))
+    rows = left.withColumn("__bucket", bucket).withColumn("__side", F.lit(1))
+    both = rows.unionByName(points.withColumn("__side", F.lit(0)), allowMissingColumns=True)
+    inside = Window.partitionBy(by, "__bucket").orderBy(on, "__side").rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("__value", F.last("__value", ignorenulls=True).over(inside)).where("__side = 1").join(carried, [by, "__bucket"])
+    kept = [c for c in left.columns if c not in values]
+    return found.withColumn("__value", F.coalesce("__value", "__carried")).select(*kept, *(F.col(f"__value.{c}").alias(c) for c in values))
+
+
 def positional(left: DataFrame, right: DataFrame, whole: bool = False) -> DataFrame:
     """Frames of a clip with the mask of the same number: all frames of the left, or only while both last."""
     return left.join(right, ["clip", "frame"], "inner" if whole else "left")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from skeinwork.functions import geometry as g
 from skeinwork.functions.annotations import canonical
 from skeinwork.operators import matching as m
+from skeinwork.operators import precision
 from skeinwork.operators import sampling, stats
 from skeinwork.plans import views as v
 from skeinwork.plans.views import SIDE, sql, table
@@ -147,8 +148,17 @@ def size_by_imgsz(s, d):
     return _sized(s, d).groupBy("imgsz").agg(F.count("*").alias("n"), F.avg("width").alias("mean_width"), F.avg("height").alias("mean_height"), F.count_if(F.col("area") < 1024).alias("n_small"))
 
 
-def small_object_warnings(s, d):
-    return stats.size_warnings(_sized(s, d), 0.2, 0.2)
+def balance_warnings(s, d):
+    return stats.balance_warnings(_sized(s, d), _uneven(s, d), 0.2, 0.2)
+
+
+def _uneven(s, d):
+    """Boxes of which cracks stay in training only where their number ends in 0 to 3."""
+    return v.gt_boxes(s, d).where("class_id <> 1 or box_id % 10 < 4")
+
+
+def average_precision(s, d):
+    return precision.average_precision(v.gt_boxes(s, d), v.pred_boxes(s, d))
 
 
 def class_imbalance(s, d):
@@ -246,8 +256,16 @@ QUERIES = {
     "size_buckets": (size_buckets, sql("""SELECT *, small / n::DOUBLE AS small_share, medium / n::DOUBLE AS medium_share, large / n::DOUBLE AS large_share FROM (
  SELECT imgsz, class_id, count(*) AS n, count_if(area < 1024)::BIGINT AS small, count_if(area >= 1024 AND area < 9216)::BIGINT AS medium, count_if(area >= 9216)::BIGINT AS large FROM sized GROUP BY ALL)""", "gt", extra=_SIZED)),
     "size_by_imgsz": (size_by_imgsz, sql("SELECT imgsz, count(*) AS n, avg(width) AS mean_width, avg(height) AS mean_height, count_if(area < 1024)::BIGINT AS n_small FROM sized GROUP BY imgsz", "gt", extra=_SIZED)),
-    "small_object_warnings": (small_object_warnings, sql("""SELECT code, share FROM (SELECT CASE WHEN class_id IS NULL THEN 'many_small_objects' ELSE concat('many_small_class_', class_id) END AS code, avg(CASE WHEN area < 1024 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS share
- FROM sized WHERE imgsz = 320 GROUP BY ROLLUP (class_id)) WHERE share >= 0.2::DOUBLE""", "gt", extra=_SIZED)),
+    "balance_warnings": (balance_warnings, sql("""SELECT CASE WHEN class_id IS NULL THEN 'MANY_SMALL_OBJECTS_AT_320' ELSE concat('MANY_SMALL_', upper(class_name), '_AT_320') END AS code, 'HIGH' AS severity, value FROM (
+ SELECT class_id, avg(CASE WHEN area < 1024 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS value FROM (SELECT class_id, ((x2 - x1) * 0.5::DOUBLE) * ((y2 - y1) * 0.5::DOUBLE) AS area FROM gt) GROUP BY ROLLUP (class_id)) LEFT JOIN classes USING (class_id) WHERE value >= 0.2
+ UNION ALL SELECT 'CLASS_IMBALANCE', 'HIGH', max(n) / min(n)::DOUBLE FROM (SELECT class_id, count(*) AS n FROM gt WHERE split = 'train' AND (class_id <> 1 OR box_id % 10 < 4) GROUP BY class_id) HAVING max(n) / min(n)::DOUBLE >= 2""", "gt", "classes")),
+    "average_precision": (average_precision, sql("""SELECT class_name, coalesce(n, 0)::BIGINT AS n_gt, (SELECT count(*) FROM pred p WHERE p.class_id = c.class_id) AS n_pred, CASE WHEN n > 0 THEN coalesce(ap, 0.0::DOUBLE) END AS ap
+ FROM classes c LEFT JOIN ng USING (class_id) LEFT JOIN (SELECT class_id, sum(tp * env) / max(n) AS ap FROM (
+  SELECT class_id, n, tp, max(pr) OVER (PARTITION BY class_id ORDER BY confidence ROWS UNBOUNDED PRECEDING) AS env FROM (
+   SELECT class_id, n, tp, confidence, (sum(tp) OVER w)::BIGINT / (sum(k) OVER w)::DOUBLE AS pr FROM pts JOIN ng USING (class_id) WINDOW w AS (PARTITION BY class_id ORDER BY confidence DESC))) GROUP BY class_id) USING (class_id)""", "pred", "classes", recursive=True, extra=_GREEDY + """,
+ last AS (SELECT frame_id, class_id, max_by(ps, k) AS ps FROM walk GROUP BY ALL), hits AS (SELECT frame_id, class_id, unnest(ps) AS pred_id FROM last),
+ pts AS (SELECT p.class_id, p.confidence, count(h.pred_id)::BIGINT AS tp, count(*) AS k FROM pred p LEFT JOIN hits h USING (frame_id, class_id, pred_id) GROUP BY ALL),
+ ng AS (SELECT class_id, count(*) AS n FROM gt GROUP BY class_id)""")),
     "class_imbalance": (class_imbalance, sql("""SELECT class_name, objects, CASE WHEN a > 0 THEN objects / a::DOUBLE ELSE 0.0::DOUBLE END AS share, train_objects, CASE WHEN t > 0 THEN train_objects / t::DOUBLE ELSE 0.0::DOUBLE END AS train_share, ratio AS train_ratio,
  CASE WHEN ratio >= 2 THEN 'HIGH' WHEN ratio >= 1.5 THEN 'MODERATE' ELSE 'LOW' END AS level FROM (SELECT *, sum(objects) OVER () AS a, sum(train_objects) OVER () AS t,
  coalesce(max(nullif(train_objects, 0)) OVER () / (min(nullif(train_objects, 0)) OVER ())::DOUBLE, 0.0::DOUBLE) AS ratio FROM (

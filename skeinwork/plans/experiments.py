@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from skeinwork.operators import experiments as e
-from skeinwork.operators import matching
+from skeinwork.operators import matching, settings
 from skeinwork.plans import views as v
 from skeinwork.plans.boxes import greedy_match_counts, _GREEDY
 from skeinwork.plans.views import sql
@@ -59,13 +59,38 @@ def review_conclusion(s, d):
     return e.conclusion(review_gate_reasons(s, d)).select("status", "n_reasons")
 
 
+def experiment_analysis(s, d):
+    """All brands with complete reviews: what is READY says."""
+    r = v.results(s, d)
+    good = r.select("experiment", F.lit("complete").alias("status"), F.lit("10").alias("reviewed_images"), *(F.lit("good").alias(c) for c in ("bbox_alignment", "texture_preservation", "representative_failures", "reviewer")))
+    return e.analysis(r, e.review_reasons(good, r), ["score", "n"], "latency_units", "score", "experiment")
+
+
+def experiment_analysis_blocked(s, d):
+    return e.analysis(v.results(s, d), review_gate_reasons(s, d), ["score", "n"], "latency_units", "score", "experiment")
+
+
+def _contract(s, d, manifest):
+    """Parts as settings: nested, with a list. The manifest has other numbers, lists, key orders and lacks some keys."""
+    p = v.table(s, d, "part")
+    size = F.when(F.lit(manifest) & (F.col("p_size") % 4 == 0), F.col("p_size") + 1).otherwise(F.col("p_size"))
+    resize = F.struct(F.lit("letterbox").alias("mode"), size.alias("size")) if not manifest else F.struct((size * 1.0).cast("double").alias("size"), F.lit("letterbox").alias("mode"))
+    gamma = F.when(F.lit(not manifest) | (F.col("p_partkey") % 5 != 0), F.lit(0.9))  # to_json leaves nulls out
+    steps = F.array(F.lit("raw"), F.when(F.lit(manifest) & (F.col("p_partkey") % 3 == 0), "median").otherwise("gaussian"))
+    return p.select(F.col("p_partkey").alias("part"), F.to_json(F.struct(steps.alias("steps"), F.struct(gamma.alias("gamma"), resize.alias("resize")).alias("contrast"))).alias("settings"))
+
+
+def contract_differences(s, d):
+    return settings.differences(_contract(s, d, False), _contract(s, d, True), "part", "settings").withColumnRenamed("key", "part")
+
+
 def latency_after_warmup(s, d):
     return e.latency_after_warmup(v.frames(s, d).select(F.col("stream_id").alias("experiment"), F.col("frame").alias("position"), F.col("conf_pct").alias("ms")))
 
 
 def suite_row_pooled(s, d):
-    """Frames as videos: those with ground truth of class 0 are scored."""
-    c = greedy_match_counts(s, d).where("class_id = 0")
+    """Frames as videos, all classes together: those with ground truth are scored."""
+    c = greedy_match_counts(s, d).groupBy("frame_id").agg(*(F.sum(x).alias(x) for x in ("tp", "fp", "fn")))
     videos = c.select((F.col("tp") + F.col("fn") > 0).alias("scored"), F.lit(1).alias("frames"), "tp", "fp", "fn", (F.col("tp") > 1).cast("int").alias("confirmed"), (F.col("tp") <= 1).cast("int").alias("unconfirmed"), (F.col("frame_id") % 50).alias("ms"))
     return matching.pooled_suite_row(videos)
 
@@ -91,7 +116,7 @@ def fraction_problems(s, d):
 def fair_result_problems(s, d):
     rows = e.result_row(_runs(s, d)).withColumn("recall", F.when(F.col("experiment").contains("4"), float("nan")).otherwise(F.col("recall")))
     rows = rows.withColumn("epochs", F.when(F.col("experiment").contains("3"), 4).otherwise(F.col("epochs")))
-    return e.fair_problems(rows, ["epochs", "imgsz"], ["recall", "precision"], "experiment").where("problem not like 'raw%'")
+    return e.fair_problems(rows, ["epochs", "imgsz"], ["recall", "precision"], "experiment")
 
 
 def config_differences(s, d):
@@ -117,7 +142,8 @@ QUERIES = {
     "result_rows": (result_rows, sql("SELECT experiment, preprocessing, fraction, CAST(score AS DOUBLE) AS recall, round(latency_units / 7.0::DOUBLE, 3) AS preprocessing_ms, round(latency_units / 3.0::DOUBLE, 3) AS inference_ms, round(latency_units / 1.7::DOUBLE, 3) AS total_ms FROM runs", "results", extra=_RUNS)),
     "fraction_problems": (fraction_problems, sql("SELECT * FROM (SELECT experiment, CASE WHEN fraction <= 0 OR fraction > 1 THEN 'out_of_range' WHEN fraction < 1 AND NOT debug THEN 'not_debug' END AS problem FROM runs) WHERE problem IS NOT NULL", "results", extra=_RUNS)),
     "fair_result_problems": (fair_result_problems, sql("""SELECT experiment, 'differs:epochs' AS problem FROM runs WHERE contains(experiment, '3') <> contains(ref, '3')
- UNION ALL SELECT experiment, 'fraction' FROM runs WHERE fraction <> 1 UNION ALL SELECT experiment, 'not_finite:recall' FROM runs WHERE contains(experiment, '4')""", "results", extra=_RUNS)),
+ UNION ALL SELECT experiment, 'fraction' FROM runs WHERE fraction <> 1 UNION ALL SELECT experiment, 'not_finite:recall' FROM runs WHERE contains(experiment, '4')
+ UNION ALL SELECT NULL, concat('raw_rows:', count_if(preprocessing = 'raw')::BIGINT) FROM runs HAVING count_if(preprocessing = 'raw') <> 1""", "results", extra=_RUNS)),
     "config_differences": (config_differences, sql("SELECT experiment AS name, CAST(n AS STRING) AS trained, CASE n % 3 WHEN 2 THEN CAST(n + 1 AS STRING) END AS dataset FROM results WHERE n % 3 <> 1", "results")),
     "pareto_frontier": (pareto_frontier, sql("SELECT experiment, score, latency_units FROM results c WHERE NOT EXISTS (SELECT 1 FROM results o WHERE o.score >= c.score AND o.latency_units <= c.latency_units AND (o.score > c.score OR o.latency_units < c.latency_units))", "results")),
     "metric_leaders": (metric_leaders, sql("""SELECT metric, experiment, CAST(x AS DOUBLE) AS value FROM (
@@ -129,9 +155,19 @@ QUERIES = {
     "missing_experiments_upsert": (missing_experiments_upsert, sql("SELECT experiment, score, CASE WHEN experiment < 'Brand#2' THEN 'kept' END AS notes FROM results", "results")),
     "review_gate_reasons": (review_gate_reasons, sql("SELECT experiment, reason FROM why", "results", extra=_REVIEWS)),
     "review_conclusion": (review_conclusion, sql("SELECT CASE WHEN count(*) > 0 THEN 'BLOCKED' ELSE 'READY' END AS status, count(*) AS n_reasons FROM why", "results", extra=_REVIEWS)),
+    "experiment_analysis": (experiment_analysis, sql("""SELECT 'status' AS section, NULL AS experiment, 'READY' AS name, 0.0::DOUBLE AS value
+ UNION ALL SELECT 'leader', experiment, name, CAST(x AS DOUBLE) FROM (SELECT name, experiment, x, row_number() OVER (PARTITION BY name ORDER BY CASE WHEN name = 'latency_units' THEN x ELSE -x END, experiment) AS k FROM cells) WHERE k = 1
+ UNION ALL SELECT 'frontier', experiment, NULL, NULL FROM results c WHERE NOT EXISTS (SELECT 1 FROM results o WHERE o.score >= c.score AND o.latency_units <= c.latency_units AND (o.score > c.score OR o.latency_units < c.latency_units))
+ UNION ALL SELECT 'metric', experiment, name, CAST(x AS DOUBLE) FROM cells
+ UNION ALL SELECT 'delta', a.experiment, a.name, CAST(a.x - b.x AS DOUBLE) FROM cells a JOIN cells b USING (name) WHERE name <> 'latency_units' AND b.experiment = (SELECT min(experiment) FROM results)""", "results",
+ extra="cells AS (SELECT experiment, 'score' AS name, score AS x FROM results UNION ALL SELECT experiment, 'n', n FROM results UNION ALL SELECT experiment, 'latency_units', latency_units FROM results)")),
+    "experiment_analysis_blocked": (experiment_analysis_blocked, sql("SELECT 'status' AS section, NULL AS experiment, CASE WHEN count(*) > 0 THEN 'BLOCKED' ELSE 'READY' END AS name, count(*)::DOUBLE AS value FROM why UNION ALL SELECT 'reason', experiment, reason, NULL FROM why", "results", extra=_REVIEWS)),
+    "contract_differences": (contract_differences, """SELECT p_partkey AS part, '$.contrast.resize.size' AS path, concat(p_size, '.0') AS trained, concat(p_size + 1, '.0') AS dataset FROM part WHERE p_size % 4 = 0
+ UNION ALL SELECT p_partkey, '$.contrast.gamma', '0.9', NULL FROM part WHERE p_partkey % 5 = 0
+ UNION ALL SELECT p_partkey, '$.steps[1]', '"gaussian"', '"median"' FROM part WHERE p_partkey % 3 = 0"""),
     "latency_after_warmup": (latency_after_warmup, sql("""SELECT stream_id AS experiment, CASE WHEN max(c) > 5 THEN count_if(k > 5) ELSE count(*) END::BIGINT AS n_samples, CASE WHEN max(c) > 5 THEN avg(CASE WHEN k > 5 THEN conf_pct END) ELSE avg(conf_pct) END AS mean_ms
  FROM (SELECT *, row_number() OVER (PARTITION BY stream_id ORDER BY frame) AS k, count(*) OVER (PARTITION BY stream_id) AS c FROM frames) GROUP BY stream_id""", "frames")),
     "suite_row_pooled": (suite_row_pooled, sql("""SELECT videos, frames, tp, fp, fn, confirmed, unconfirmed, mean_ms, p AS precision, r AS recall, CASE WHEN p + r > 0 THEN 2.0::DOUBLE * p * r / (p + r) ELSE 0.0::DOUBLE END AS f1 FROM (
  SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp)::DOUBLE ELSE 0 END AS p, CASE WHEN tp + fn > 0 THEN tp / (tp + fn)::DOUBLE ELSE 0 END AS r FROM (
- SELECT count(*) AS videos, count(*) AS frames, sum(tp)::BIGINT AS tp, sum(fp)::BIGINT AS fp, sum(fn)::BIGINT AS fn, count_if(tp > 1)::BIGINT AS confirmed, count_if(tp <= 1)::BIGINT AS unconfirmed, avg(frame_id % 50) AS mean_ms FROM counts WHERE class_id = 0 AND tp + fn > 0))""", "pred", "classes", recursive=True, extra=_GREEDY)),
+ SELECT count(*) AS videos, count(*) AS frames, sum(tp)::BIGINT AS tp, sum(fp)::BIGINT AS fp, sum(fn)::BIGINT AS fn, count_if(tp > 1)::BIGINT AS confirmed, count_if(tp <= 1)::BIGINT AS unconfirmed, avg(frame_id % 50) AS mean_ms FROM (SELECT frame_id, sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn FROM counts GROUP BY frame_id) WHERE tp + fn > 0))""", "pred", "classes", recursive=True, extra=_GREEDY)),
 }

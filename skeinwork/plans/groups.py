@@ -8,6 +8,8 @@ from skeinwork.functions.annotations import group_key
 from skeinwork.operators import neardup, splitting
 from skeinwork.plans import views as v
 from skeinwork.plans.views import sql
+from skeinwork.session import checkpointed
+from skeinwork.sources.pixels import inspected
 
 _KEY = r"""keys AS (SELECT doc_id, filename, CASE WHEN regexp_matches(st, '^rh_(train|valid)_.+$') THEN concat('rh_', regexp_replace(regexp_extract(st, '^rh_(?:train|valid)_(.+)$', 1), '(_aug_.+|_augmented)$', ''))
  WHEN regexp_matches(st, '^(?i:vlcsnap)[-_][0-9]{4}-[0-9]{2}-[0-9]{2}[-_][0-9]{2}[hH]') THEN concat('session_', regexp_extract(st, '[0-9]{4}-[0-9]{2}-[0-9]{2}'))
@@ -44,6 +46,38 @@ def near_dup_components(s, d):
     return neardup.components(v.phashes(s, d).select(F.col("label").alias("node")), edges)
 
 
+def _pictures(s, d):
+    """Embeddings as PNG files of 16 by 16 grey squares of four pixels, rows filtered in turn; every ninth has lost its end,
+    every eleventh a bit."""
+    import numpy as np
+    import pandas as pd
+
+    from skeinwork.sources.pixels import png_bytes
+
+    def draw(batches):
+        for pdf in batches:
+            files = []
+            for i, e in zip(pdf["vec_id"], pdf["embedding"], strict=True):
+                x = np.resize(np.asarray(e, float), 256).reshape(16, 16)
+                grey = np.clip(np.rint(128 + 100 * x), 0, 255).astype(np.uint8).repeat(2, 0).repeat(2, 1)
+                b = png_bytes(grey[:, :, None], [i % 5, 4, 3, 1, 2])
+                files.append(b[: len(b) // 2] if i % 9 == 5 else b[:60] + bytes([b[60] ^ 1]) + b[61:] if i % 11 == 7 else b)
+            yield pd.DataFrame({"vec_id": pdf["vec_id"], "content": files})
+
+    return v.table(s, d, "embeddings").select("vec_id", "embedding").mapInPandas(draw, "vec_id long, content binary")
+
+
+def picture_hashes(s, d):
+    """Pictures' verdicts and hashes, from their bytes."""
+    return inspected(_pictures(s, d), "vec_id")
+
+
+def picture_near_duplicates(s, d):
+    """Whole pictures' groups by hashes within ten bits: each with the smallest of its group."""
+    whole = checkpointed(picture_hashes(s, d).where("ok").select("vec_id", "sig_hi", "sig_lo"))
+    return neardup.near_components(whole, "vec_id", 10)
+
+
 def banded_hamming_pairs(s, d):
     return neardup.hamming_pairs(v.planted_signatures(s, d), "sig_id", 8)
 
@@ -58,5 +92,7 @@ QUERIES = {
     "phash_bits": (phash_bits, sql("SELECT vec_id, label, sig_hi, sig_lo FROM phash", "phash")),
     "phash_pairs": (phash_pairs, sql("SELECT vec_id_a, vec_id_b, distance FROM pairs", "phash", extra=_PAIRS)),
     "near_dup_components": (near_dup_components, sql("SELECT node, min(to_) AS root FROM reach GROUP BY node", "phash", recursive=True, extra=_CLOSURE)),
+    "picture_hashes": (picture_hashes, None),
+    "picture_near_duplicates": (picture_near_duplicates, None),
     "banded_hamming_pairs": (banded_hamming_pairs, sql("SELECT a.sig_id AS sig_id_a, b.sig_id AS sig_id_b, CAST(bit_count(xor(a.sig_hi, b.sig_hi)) + bit_count(xor(a.sig_lo, b.sig_lo)) AS INT) AS distance FROM sigs a JOIN sigs b ON a.sig_id < b.sig_id WHERE bit_count(xor(a.sig_hi, b.sig_hi)) + bit_count(xor(a.sig_lo, b.sig_lo)) <= 8", "sigs")),
 }

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from skeinwork.functions.annotations import clipped_or_null, group_key, parsed, signature, validated
+from skeinwork.operators import audit
 from skeinwork.operators import quality as q
 from skeinwork.plans import views as v
 from skeinwork.plans.groups import _KEY
@@ -99,13 +102,39 @@ def leakage_by_group(s, d):
 
 def processed_dataset_errors(s, d):
     """The gate of processed data over label lines as boxes: images are those of customers, labels their files."""
-    lines = _lines(s, d).withColumn("split", F.lit("train"))
+    written = parsed(v.label_rows(s, d).where("trim(raw) <> ''"))
+    before = written.select("stem", "line_no", *(F.col(c).alias(f"__{c}") for c in ("xc", "yc", "w", "h")))
+    changed = reduce(lambda a, b: a | b, (~F.col(c).eqNullSafe(F.col(f"__{c}")) for c in ("xc", "yc", "w", "h")))
+    lines = validated(written).join(before, ["stem", "line_no"]).withColumn("changed", changed).withColumn("split", F.lit("train"))
     images = table(s, d, "customer").select(F.lit("train").alias("split"), F.concat(F.lit("img_"), F.col("c_custkey").cast("string")).alias("stem"), (F.col("c_acctbal") >= 0).alias("ok"))
     labels = lines.select("split", "stem").distinct()
-    e = q.structural_errors(images, labels, lines.select("split", "stem", "line_no", "status", F.lit(False).alias("changed")))
+    e = q.structural_errors(images, labels, lines.select("split", "stem", "line_no", "status", "changed"))
     return e.groupBy("error").agg(F.count("*").alias("n_errors"))
 
 
+def _split_lines(s, d):
+    """Label lines with the split of their image."""
+    k = F.regexp_extract("stem", "[0-9]+", 0).cast("long") % 20
+    return v.label_rows(s, d).where("trim(raw) <> ''").withColumn("split", F.when(k < 14, "train").when(k < 17, "val").otherwise("test"))
+
+
+def dataset_audit(s, d):
+    """Customers as images and label files of orders; three in a row have one digest, groups are a nation's segments."""
+    k = F.col("c_custkey") % 20
+    split = F.when(k < 14, "train").when(k < 17, "val").otherwise("test")
+    images = table(s, d, "customer").select(split.alias("split"), F.concat(F.lit("img_"), F.col("c_custkey").cast("string")).alias("stem"), F.floor(F.col("c_custkey") / 3).cast("string").alias("digest"), F.concat_ws("-", "c_nationkey", "c_mktsegment").alias("group_key"))
+    lines = _split_lines(s, d)
+    return audit.audit(lines, images, lines.select("split", "stem").distinct())
+
+
+def audited_classes(s, d):
+    return audit.class_distribution(_split_lines(s, d))
+
+
+def label_line_faults(s, d):
+    return audit.line_faults(_split_lines(s, d)).select("stem", "line_no", *audit.COUNTERS, "class_id")
+
+
 def passages(documents, benchmark):
     """doc_id, item_id where the whole item stands in the document. Up to three inner words of an item, which the document
     must hold as words, find candidates by an equality join; the text decides. Items of one or two words have no inner words:
@@ -137,6 +166,14 @@ def eval_leakage_passages(s, d):
     return passages(table(s, d, "documents"), table(s, d, "benchmark"))
 
 
+_FAULTS = r"""sp AS (SELECT *, regexp_split_to_array(trim(raw), '\s+') AS f, CAST(substr(stem, 5) AS BIGINT) % 20 AS k20 FROM lines WHERE trim(raw) <> ''),
+nu AS (SELECT stem, line_no, CASE WHEN k20 < 14 THEN 'train' WHEN k20 < 17 THEN 'val' ELSE 'test' END AS split, len(f) = 5 AS five, TRY_CAST(f[1] AS INT) AS c, list_transform(f[2:5], lambda x: TRY_CAST(x AS DOUBLE)) AS z FROM sp),
+rd AS (SELECT *, five AND c IS NOT NULL AND len(list_filter(z, lambda x: x IS NULL)) = 0 AS ok FROM nu),
+fl AS (SELECT stem, line_no, split, ok AND c NOT IN (0, 1, 2) AS invalid_class_ids, ok AND len(list_filter(z, lambda x: isnan(x) OR x < 0 OR x > 1)) > 0 AS out_of_bounds_coords,
+ ok AND len(list_filter(z[3:4], lambda x: NOT isnan(x) AND x <= 0)) > 0 AS non_positive_wh, five AND (NOT ok OR len(list_filter(z, lambda x: NOT isfinite(x))) > 0) AS nan_inf_values, NOT five AS malformed_lines,
+ CASE WHEN ok AND c IN (0, 1, 2) THEN c END AS class_id FROM rd),
+im AS (SELECT concat('img_', CAST(c_custkey AS STRING)) AS stem, CASE WHEN c_custkey % 20 < 14 THEN 'train' WHEN c_custkey % 20 < 17 THEN 'val' ELSE 'test' END AS split, c_custkey // 3 AS dg, concat(c_nationkey, '-', c_mktsegment) AS gk FROM customer)"""
+
 QUERIES = {
     "clean_dedup_outcomes": (clean_dedup_outcomes, sql("SELECT outcome, count(*) AS n_images, count(l.doc_id) AS n_labelled FROM outcomes LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id) GROUP BY outcome", "images", extra=_OUTCOME)),
     "dedup_conflict_groups": (dedup_conflict_groups, sql("SELECT content_md5, count(*) AS n_images, count(DISTINCT signature) AS n_signatures, min(name) AS first_name FROM images GROUP BY 1 HAVING count(*) > 1 AND count(DISTINCT signature) > 1", "images")),
@@ -160,5 +197,12 @@ QUERIES = {
  UNION ALL SELECT 'unreadable_image' FROM customer WHERE c_acctbal < 0
  UNION ALL SELECT 'missing_label' FROM customer WHERE concat('img_', CAST(c_custkey AS STRING)) NOT IN (SELECT stem FROM u)
  UNION ALL SELECT 'orphan_label' FROM (SELECT DISTINCT stem FROM u) WHERE stem NOT IN (SELECT concat('img_', CAST(c_custkey AS STRING)) FROM customer)) GROUP BY error""", "lines", extra=_PARSED)),
+    "dataset_audit": (dataset_audit, sql("""SELECT *, invalid_class_ids + out_of_bounds_coords + non_positive_wh + nan_inf_values + malformed_lines + stem_overlaps + digest_overlaps + group_key_overlaps = 0 AS is_valid FROM (
+ SELECT (SELECT count(*) FROM fl WHERE invalid_class_ids) AS invalid_class_ids, (SELECT count(*) FROM fl WHERE out_of_bounds_coords) AS out_of_bounds_coords, (SELECT count(*) FROM fl WHERE non_positive_wh) AS non_positive_wh,
+ (SELECT count(*) FROM fl WHERE nan_inf_values) AS nan_inf_values, (SELECT count(*) FROM fl WHERE malformed_lines) AS malformed_lines, (SELECT count(class_id) FROM fl) AS total_valid_objects,
+ (SELECT count(*) FROM im WHERE stem NOT IN (SELECT stem FROM fl)) AS missing_labels, (SELECT count(DISTINCT stem) FROM fl WHERE stem NOT IN (SELECT stem FROM im)) AS missing_images,
+ 0::BIGINT AS stem_overlaps, (SELECT count(*) FROM (SELECT dg FROM im GROUP BY dg HAVING count(DISTINCT split) > 1)) AS digest_overlaps, (SELECT count(*) FROM (SELECT gk FROM im GROUP BY gk HAVING count(DISTINCT split) > 1)) AS group_key_overlaps)""", "lines", extra=_FAULTS)),
+    "audited_classes": (audited_classes, sql("SELECT split, count_if(class_id = 0)::BIGINT AS pothole, count_if(class_id = 1)::BIGINT AS crack, count_if(class_id = 2)::BIGINT AS manhole, count(class_id) AS total_objects FROM fl GROUP BY split", "lines", extra=_FAULTS)),
+    "label_line_faults": (label_line_faults, sql("SELECT stem, line_no, invalid_class_ids, out_of_bounds_coords, non_positive_wh, nan_inf_values, malformed_lines, class_id FROM fl", "lines", extra=_FAULTS)),
     "eval_leakage_passages": (eval_leakage_passages, "SELECT DISTINCT doc_id, item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)"),
 }

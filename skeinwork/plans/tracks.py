@@ -35,6 +35,12 @@ def hold_last(s, d):
     return t.held(v.frames(s, d), 5, "conf_pct")
 
 
+def held_detections(s, d):
+    """Every frame of a stream with the last purchase or signup that its stream showed up to it."""
+    f = v.frames(s, d)
+    return t.asof(f.select("stream_id", "frame", "det_id"), f.where("class_id = 1").select("stream_id", "frame", "track_id", "conf_pct"), "stream_id", "frame", ["track_id", "conf_pct"], 16)
+
+
 def frame_step_sample(s, d):
     return t.sampled(v.frames(s, d), 12).select("stream_id", "frame", "det_id")
 
@@ -121,6 +127,7 @@ QUERIES = {
     "running_vote": (running_vote, sql("SELECT stream_id, track_id, frame, hits, CASE WHEN s0 >= s1 AND s0 >= s2 THEN 0 WHEN s1 >= s2 THEN 1 ELSE 2 END AS voted_class_id FROM sums", "frames", extra=_VOTES)),
     "running_objects": (running_objects, sql("SELECT DISTINCT stream_id, frame, (sum(CASE WHEN hits = 3 THEN 1 ELSE 0 END) OVER (PARTITION BY stream_id ORDER BY frame))::BIGINT AS objects FROM sums", "frames", extra=_VOTES)),
     "hold_last": (hold_last, sql("SELECT stream_id, frame, conf_pct, last_value(CASE WHEN frame % 5 = 0 THEN conf_pct END IGNORE NULLS) OVER (PARTITION BY stream_id ORDER BY frame ROWS UNBOUNDED PRECEDING) AS shown FROM frames", "frames")),
+    "held_detections": (held_detections, sql("SELECT a.stream_id, a.frame, a.det_id, b.track_id, b.conf_pct FROM frames a ASOF LEFT JOIN (SELECT stream_id, frame, track_id, conf_pct FROM frames WHERE class_id = 1) b ON a.stream_id = b.stream_id AND a.frame >= b.frame", "frames")),
     "frame_step_sample": (frame_step_sample, sql("SELECT stream_id, frame, det_id FROM frames WHERE frame % 12 = 0", "frames")),
     "frame_seconds": (frame_seconds, sql("SELECT stream_id, frame, det_id, frame / CASE WHEN stream_id % 5 <> 0 THEN 25.0::DOUBLE ELSE 30.0::DOUBLE END AS seconds FROM frames", "frames")),
     "clip_rollup": (clip_rollup, sql("""SELECT split, count(DISTINCT stream_id) AS n_clips, count(*) AS n_frames, sum(objects)::BIGINT AS n_objects, count_if(objects = 0)::BIGINT AS n_background FROM (

@@ -10,7 +10,7 @@ from itertools import product
 import pytest
 from pyspark.sql import functions as F
 
-from skeinwork.operators import experiments, neardup, quality, sampling, splitting, stats
+from skeinwork.operators import audit, experiments, neardup, precision, quality, sampling, settings, splitting, stats, tracking
 from skeinwork.plans import quality as quality_plans
 from skeinwork.schema import SPLITS
 
@@ -29,8 +29,95 @@ def test_integrity_gate_names_each_fault(spark):
     boxes = spark.createDataFrame([("val", "b", 1, "clipped", False), ("val", "c", 1, "valid", False)], "split string, stem string, line_no int, status string, changed boolean")
     got = {(r["item"], r["error"]) for r in quality.integrity_errors(images, labels, boxes).collect()}
     assert got == {("a", "missing_label"), ("x", "orphan_label"), ("c", "unreadable_image"), ("b:1", "invalid_box"), ("d1", "leakage_by_digest"), ("a", "leakage_by_stem"), ("g1", "leakage_by_group_key")}
-    r = quality.audit_counters(images, labels, boxes).first()
-    assert (r["n_errors"], r["is_valid"]) == (4, False)
+
+
+def test_audit_counts_one_line_twice_and_bears_missing_files(spark):
+    lines = ["0 0.5 0.5 0.2 0.2", "0 nan 0.5 0.2 0.2", "1 0.5 0.5 -inf 0.2", "9 0.5 0.5 0.2 0.2", "1 1.5 0.5 0 0.2", "1 x 0.5 0.2 0.2", "1 0.5 0.5 0.2", "2 0.95 0.5 0.2 0.2", "2 0.5 0.5 1.000005 0.2", "+1 1_0e-1 .5 0.2 1."]
+    d = spark.createDataFrame([("train", x) for x in lines], "split string, raw string")
+    images = spark.createDataFrame([("train", "a", "d1", "g1"), ("val", "b", "d2", "g2")], "split string, stem string, digest string, group_key string")
+    labels = spark.createDataFrame([("train", "a"), ("val", "c")], "split string, stem string")
+    r = audit.audit(d, images, labels).first().asDict()
+    # nan is out of bounds, too; so is an infinity, which is a size of no extent here; a corner over the edge is none
+    assert [r[c] for c in audit.COUNTERS] == [1, 4, 2, 3, 1]
+    assert (r["total_valid_objects"], r["missing_labels"], r["missing_images"], r["is_valid"]) == (7, 1, 1, False)
+    good = d.where("raw like '0 0.5%' or raw like '2 0.95%'")
+    assert audit.audit(good, images, labels).first()["is_valid"] is True  # missing files are told only
+    leaky = images.withColumn("digest", F.lit("same"))
+    r = audit.audit(good, leaky, labels).first()
+    assert (r["digest_overlaps"], r["is_valid"]) == (1, False)
+
+
+def _plain_ap(points, n):
+    """Area under the envelope: at each confidence the best precision at that recall or more."""
+    curve, tp, seen = [], 0, 0
+    for c in sorted({c for c, _ in points}, reverse=True):
+        own = [t for x, t in points if x == c]
+        tp, seen = tp + sum(own), seen + len(own)
+        curve.append((sum(own), tp / seen))
+    return sum(t * max(p for _, p in curve[k:]) for k, (t, _) in enumerate(curve)) / n
+
+
+def test_average_precision_against_a_plain_loop(spark):
+    rnd = random.Random(6)
+    rows = [(rnd.randrange(2), rnd.choice([rnd.random(), 0.5, 0.25]), int(rnd.random() < 0.6)) for _ in range(400)]
+    points = spark.createDataFrame(rows, "class_id int, confidence double, tp long").repartition(5)
+    n = {0: 200, 1: 150}
+    got = precision.curve(points, spark.createDataFrame(list(n.items()), "class_id int, n long")).groupBy("class_id").agg(F.sum(F.col("tp") * F.col("envelope")).alias("area"))
+    for r in got.collect():
+        assert r["area"] / n[r["class_id"]] == pytest.approx(_plain_ap([(c, t) for k, c, t in rows if k == r["class_id"]], n[r["class_id"]]))
+    none = spark.createDataFrame([], "frame_id long, pred_id long, class_id int, x1 int, y1 int, x2 int, y2 int, confidence double")
+    gt = spark.createDataFrame([(1, 1, 0, 0, 0, 9, 9)], "frame_id long, box_id long, class_id int, x1 int, y1 int, x2 int, y2 int")
+    assert {r["class_name"]: (r["n_gt"], r["ap"]) for r in precision.average_precision(gt, none).collect()} == {"pothole": (1, 0.0), "crack": (0, None), "manhole": (0, None)}
+
+
+@pytest.mark.parametrize("width", [1, 7, 1000])
+def test_asof_against_a_plain_loop(spark, width):
+    rnd = random.Random(width)
+    left = [(rnd.randrange(3), rnd.randrange(200), k) for k in range(150)]
+    right = [(rnd.randrange(4), rnd.randrange(200), rnd.choice([None, rnd.randrange(9)]), rnd.choice("xy")) for _ in range(40)]
+    a, b = spark.createDataFrame(left, "s long, t int, k long").repartition(4), spark.createDataFrame(right, "s long, t int, v int, w string")
+    got = {tuple(r) for r in tracking.asof(a, b, "s", "t", ["v", "w"], width).select("s", "t", "k", "v", "w").collect()}
+    want = set()
+    for s, t, k in left:
+        before = [(u, -1 if v is None else v, w) for x, u, v, w in right if x == s and u <= t]
+        at = max(before, default=None)
+        want.add((s, t, k, None if at is None or at[1] == -1 else at[1], at and at[2]))
+    assert got == want
+
+
+def test_nested_settings_by_path(spark):
+    a = ['{"a": {"b": [1, {"c": null}], "d": "1"}, "e": [], "f": true}', '{"x": 1}', "[1, [2]]"]
+    b = ['{"e": [], "f": true, "a": {"d": 1, "b": [1.0, {"c": null}, 3]}}', '{"x": 1.0}', "[[2], 1]"]
+    frame = lambda x: spark.createDataFrame(list(enumerate(x)), "k int, j string")
+    got = {tuple(r) for r in settings.differences(frame(a), frame(b), "k", "j").collect()}
+    assert got == {(0, "$.a.d", '"1"', "1.0"), (0, "$.a.b[2]", None, "3.0"), (2, "$[0]", "1.0", None), (2, "$[0][0]", None, "2.0"), (2, "$[1]", None, "1.0"), (2, "$[1][0]", "2.0", None)}
+    names = spark.createDataFrame([("m", '{"classes": {"0": "pothole", "1": "crock", "7": "x"}}')], "k string, j string")
+    assert {tuple(r) for r in settings.class_map_problems(names, "k", "j", {0: "pothole", 1: "crack", 2: "manhole"}).collect()} == {
+        ("m", "$.classes.1", '"crack"', '"crock"'), ("m", "$.classes.2", '"manhole"', None), ("m", "$.classes.7", None, '"x"'),
+    }
+
+
+def test_one_raw_row_or_none_is_told(spark):
+    d = spark.createDataFrame([("a", "raw", 3.0), ("b", "x", 4.0)], "experiment string, preprocessing string, m double")
+    assert {tuple(r) for r in experiments.deltas(d, ["m"]).collect()} == {("a", 0.0), ("b", 1.0)}
+    for bad in (d.where("experiment = 'b'"), d.unionByName(d)):
+        with pytest.raises(Exception, match="raw rows"):
+            experiments.deltas(bad, ["m"]).collect()
+
+
+def test_pareto_over_many_partitions(spark):
+    rnd = random.Random(8)
+    rows = [(str(i), rnd.randrange(60), rnd.randrange(60)) for i in range(300)]
+    d = spark.createDataFrame(rows, "experiment string, score int, cost int").repartition(7)
+    want = {e for e, s, c in rows if not any(x >= s and y <= c and (x > s or y < c) for _, x, y in rows)}
+    assert {r["experiment"] for r in experiments.pareto(d, "score", "cost").collect()} == want
+
+
+def test_warnings_of_balance(spark):
+    sized = spark.createDataFrame([(320, c, float(a)) for c, a in [(0, 10), (0, 5000), (1, 10), (2, 5000), (2, 5000)]] + [(640, 2, 1.0)], "imgsz int, class_id int, area double")
+    boxes = spark.createDataFrame([(0, "train")] * 4 + [(1, "train")] * 2 + [(2, "val")], "class_id int, split string")
+    got = {r["code"]: (r["severity"], r["value"]) for r in stats.balance_warnings(sized, boxes).collect()}
+    assert got == {"MANY_SMALL_OBJECTS_AT_320": ("HIGH", 0.4), "MANY_SMALL_POTHOLE_AT_320": ("HIGH", 0.5), "MANY_SMALL_CRACK_AT_320": ("HIGH", 1.0), "CLASS_IMBALANCE": ("HIGH", 2.0)}
 
 
 def test_empty_split_and_cross_split_report(spark):
