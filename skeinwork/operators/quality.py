@@ -96,3 +96,8 @@ def integrity_errors(images: DataFrame, labels: DataFrame, boxes: DataFrame) ->
 def first_errors(errors: DataFrame, n: int = 20) -> DataFrame:
     """The report shows the first errors only."""
     return errors.orderBy("split", "item", "error").limit(n)
+
+
+def tail(rows: DataFrame, order: list[str], n: int) -> DataFrame:
+    """The last n rows, in order."""
+    return rows.orderBy(*(F.desc(c) for c in order)).limit(n).orderBy(*order)

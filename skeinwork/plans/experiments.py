@@ -84,6 +84,24 @@ def contract_differences(s, d):
     return settings.differences(_contract(s, d, False), _contract(s, d, True), "part", "settings").withColumnRenamed("key", "part")
 
 
+def flat_metrics(s, d):
+    """Brands' nested metrics as rows."""
+    r = v.results(s, d)
+    each = F.array(*(F.struct(F.lit(c).alias("class_name"), (F.col("score") + k).cast("double").alias("mAP50")) for k, c in enumerate(("manhole", "pothole", "crack"))))
+    return e.flat_metrics(r.select("experiment", F.struct("score", "n").alias("overall"), each.alias("per_class")))
+
+
+def run_states(s, d):
+    """Customers as training runs, orders as the files they have."""
+    names = F.array(F.lit("best.pt"), F.lit("last.pt"), F.lit("experiment_config.yaml"), F.lit("log.txt"))
+    return e.run_states(v.table(s, d, "orders").select(F.col("o_custkey").alias("run"), F.get(names, (F.col("o_orderkey") % 4).cast("int")).alias("file")))
+
+
+def latest_orders(s, d):
+    """Each customer's newest order; those of one day by the greatest key."""
+    return e.latest(v.table(s, d, "orders").select("o_custkey", "o_orderdate", "o_orderkey", "o_orderpriority"), ["o_custkey"], "o_orderdate")
+
+
 def latency_after_warmup(s, d):
     return e.latency_after_warmup(v.frames(s, d).select(F.col("stream_id").alias("experiment"), F.col("frame").alias("position"), F.col("conf_pct").alias("ms")))
 
@@ -165,6 +183,10 @@ QUERIES = {
     "contract_differences": (contract_differences, """SELECT p_partkey AS part, '$.contrast.resize.size' AS path, concat(p_size, '.0') AS trained, concat(p_size + 1, '.0') AS dataset FROM part WHERE p_size % 4 = 0
  UNION ALL SELECT p_partkey, '$.contrast.gamma', '0.9', NULL FROM part WHERE p_partkey % 5 = 0
  UNION ALL SELECT p_partkey, '$.steps[1]', '"gaussian"', '"median"' FROM part WHERE p_partkey % 3 = 0"""),
+    "flat_metrics": (flat_metrics, sql("SELECT experiment, score, n, (score + 1)::DOUBLE AS pothole_mAP50, (score + 2)::DOUBLE AS crack_mAP50, score::DOUBLE AS manhole_mAP50 FROM results", "results")),
+    "run_states": (run_states, """SELECT run, CASE WHEN b AND l AND c THEN 'complete' WHEN l THEN 'resumable' ELSE 'empty' END AS state FROM (
+ SELECT o_custkey AS run, bool_or(o_orderkey % 4 = 0) AS b, bool_or(o_orderkey % 4 = 1) AS l, bool_or(o_orderkey % 4 = 2) AS c FROM orders GROUP BY 1)"""),
+    "latest_orders": (latest_orders, "SELECT o_custkey, o_orderdate, o_orderkey, o_orderpriority FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC, o_orderpriority DESC) = 1"),
     "latency_after_warmup": (latency_after_warmup, sql("""SELECT stream_id AS experiment, CASE WHEN max(c) > 5 THEN count_if(k > 5) ELSE count(*) END::BIGINT AS n_samples, CASE WHEN max(c) > 5 THEN avg(CASE WHEN k > 5 THEN conf_pct END) ELSE avg(conf_pct) END AS mean_ms
  FROM (SELECT *, row_number() OVER (PARTITION BY stream_id ORDER BY frame) AS k, count(*) OVER (PARTITION BY stream_id) AS c FROM frames) GROUP BY stream_id""", "frames")),
     "suite_row_pooled": (suite_row_pooled, sql("""SELECT videos, frames, tp, fp, fn, confirmed, unconfirmed, mean_ms, p AS precision, r AS recall, CASE WHEN p + r > 0 THEN 2.0::DOUBLE * p * r / (p + r) ELSE 0.0::DOUBLE END AS f1 FROM (

@@ -7,14 +7,12 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from skeinwork.functions.annotations import clipped_or_null, group_key, parsed, signature, validated
-from skeinwork.operators import audit
+from skeinwork.operators import audit, stats
 from skeinwork.operators import quality as q
 from skeinwork.plans import views as v
-from skeinwork.plans.groups import _KEY
+from skeinwork.plans.groups import _KEY, _PAIRS, phash_pairs
 from skeinwork.plans.views import sql, table
-
-SHORT_BYTES = 8_000_000
-
+from skeinwork.sources.files import imported
 
 def clean_dedup_outcomes(s, d):
     labels = table(s, d, "labels").select("doc_id").distinct()
@@ -135,31 +133,99 @@ def label_line_faults(s, d):
     return audit.line_faults(_split_lines(s, d)).select("stem", "line_no", *audit.COUNTERS, "class_id")
 
 
+#: Letters of a short item's words that anchor it.
+EDGE = 4
+
+
 def passages(documents, benchmark):
-    """doc_id, item_id where the whole item stands in the document. Up to three inner words of an item, which the document
-    must hold as words, find candidates by an equality join; the text decides. Items of one or two words have no inner words:
-    the text alone decides, by a broadcast of up to SHORT_BYTES of them (counted first) or else a product without one."""
+    """doc_id, item_id where the whole item stands in the document, whatever stands around it. Candidates come from an equality
+    join of anchors; the text decides. The anchor of an item of three words and more is up to three of its inner words, which
+    the document must hold as words; of two words the letters on both sides of their space; of one word its first letters."""
     words = lambda c: F.split(c, " ")
     item = benchmark.where("text is not null").select("item_id", F.col("text").alias("passage"), words(F.col("text")).alias("w"))
-    item = item.withColumn("inner", F.least(F.size("w") - 2, F.lit(3)))
-    sizes = {r["inner"]: r["bytes"] for r in item.groupBy(F.greatest("inner", F.lit(0)).alias("inner")).agg(F.sum(F.octet_length("passage") + 16).alias("bytes")).collect()}
-    widths = [k for k in (3, 2, 1) if k in sizes] or [3]
-    anchors = lambda i, k: F.xxhash64(*(F.get("w", i + j) for j in range(k)))
-    anchor = F.coalesce(*(F.when(F.col("inner") == k, anchors(F.lit(1), k)) for k in widths))
-    anchored = lambda k: lambda i: anchors(i, k)
-    d = documents.withColumn("w", words(F.col("text")))
-    at = [F.when(F.size("w") >= k + 2, F.transform(F.sequence(F.lit(1), F.size("w") - 1 - k), anchored(k))).otherwise(F.array().cast("array<bigint>")) for k in widths]
+    length = lambda i: F.least(F.length(F.get("w", F.lit(i))), F.lit(EDGE))
+    shape = F.when(F.size("w") > 2, F.struct(F.lit(3).alias("n"), F.least(F.size("w") - 2, F.lit(3)).alias("a"), F.lit(0).alias("b")))
+    shape = shape.when(F.size("w") == 2, F.struct(F.lit(2).alias("n"), length(0).alias("a"), length(1).alias("b"))).otherwise(F.struct(F.lit(1).alias("n"), length(0).alias("a"), F.lit(0).alias("b")))
+    item = item.withColumn("shape", shape)
+    shapes = [r[0] for r in item.select("shape").distinct().collect()]  # some 30 at most
+    left, right = (lambda x, n: F.substring(x, 1, n)), (lambda x, n: F.substring(x, -n, n) if n else F.lit(""))
+
+    def own(n, a, b):
+        """The anchor of an item of this shape."""
+        if n == 3:
+            return F.xxhash64(*(F.get("w", F.lit(1 + j)) for j in range(a)))
+        if n == 2:
+            return F.xxhash64(F.lit(100 * a + b), right(F.get("w", F.lit(0)), a), left(F.get("w", F.lit(1)), b))
+        return F.xxhash64(F.lit(-1 - a), left(F.get("w", F.lit(0)), a))
+
+    def held(n, a, b):
+        """All anchors of this shape that a document of the words w holds."""
+        none = F.array().cast("array<bigint>")
+        if n == 3:
+            at = lambda i: F.xxhash64(*(F.get("w", i + j) for j in range(a)))
+            return F.when(F.size("w") >= a + 2, F.transform(F.sequence(F.lit(1), F.size("w") - 1 - a), at)).otherwise(none)
+        if n == 2:
+            fits = lambda i: (F.length(F.get("w", i)) >= a) & (F.length(F.get("w", i + 1)) >= b)
+            at = lambda i: F.xxhash64(F.lit(100 * a + b), right(F.get("w", i), a), left(F.get("w", i + 1), b))
+            return F.when(F.size("w") > 1, F.transform(F.filter(F.sequence(F.lit(0), F.size("w") - 2), fits), at)).otherwise(none)
+        long_enough = F.filter(F.array_distinct("w"), lambda x: F.length(x) >= a)
+        grams = lambda x: F.transform(F.sequence(F.lit(1), F.length(x) - a + 1), lambda j: F.xxhash64(F.lit(-1 - a), F.substr(x, j, F.lit(a))))
+        return F.flatten(F.transform(long_enough, grams)) if a else F.array(F.xxhash64(F.lit(-1), F.lit("")))
+
+    of_shape = lambda k: (F.col("shape.n") == k[0]) & (F.col("shape.a") == k[1]) & (F.col("shape.b") == k[2])
+    if not shapes:
+        return documents.select("doc_id").join(item.select("item_id"), F.lit(False))
+    anchored = item.select("item_id", "passage", F.coalesce(*(F.when(of_shape(k), own(*k)) for k in shapes)).alias("anchor"))
+    d = documents.withColumn("w", words(F.col("text"))).where("text is not null")
     # anchors alone go through the join; then the candidates' texts are looked at
-    d = d.select("doc_id", F.xxhash64("text").alias("key"), F.explode(F.array_distinct(F.concat(*at))).alias("anchor"))
-    pairs = d.join(item.where("inner > 0").select("item_id", "passage", anchor.alias("anchor")), "anchor").select(F.col("doc_id").alias("d"), "key", "item_id", "passage").distinct()
+    d = d.select("doc_id", F.xxhash64("text").alias("key"), F.explode(F.array_distinct(F.concat(*(held(*k) for k in shapes)))).alias("anchor"))
+    pairs = d.join(anchored, "anchor").select(F.col("doc_id").alias("d"), "key", "item_id", "passage").distinct()
     texts = documents.select("doc_id", F.xxhash64("text").alias("k"), "text")
     same = (F.col("key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("d"))
-    found = texts.join(pairs, same).where(F.col("text").contains(F.col("passage"))).select("doc_id", "item_id")
-    if 0 in sizes:
-        short = item.where("inner <= 0").select("item_id", "passage").distinct()
-        short = F.broadcast(short) if sizes[0] <= SHORT_BYTES else short.hint("shuffle_replicate_nl")
-        found = found.unionByName(documents.select("doc_id", "text").join(short, F.col("text").contains(F.col("passage"))).select("doc_id", "item_id"))
-    return found.distinct()
+    return texts.join(pairs, same).where(F.col("text").contains(F.col("passage"))).select("doc_id", "item_id").distinct()
+
+
+def splits_without_images(s, d):
+    """Splits without an image, were there only those of the first 17 of every 20."""
+    return q.empty_splits(v.images(s, d).where("split <> 'test'"))
+
+
+def near_duplicates_across_splits(s, d):
+    """Near labels whose groups went to different splits, were groups not merged: a label is its own group."""
+    near = phash_pairs(s, d).join(v.phashes(s, d).select(F.col("vec_id").alias("vec_id_a"), F.col("label").alias("group_a")), "vec_id_a")
+    near = near.join(v.phashes(s, d).select(F.col("vec_id").alias("vec_id_b"), F.col("label").alias("group_b")), "vec_id_b")
+    groups = v.phashes(s, d).select("label").distinct()
+    k = F.col("label") % 3
+    placed = groups.select(F.col("label").alias("group_root"), F.when(k == 0, "train").when(k == 1, "val").otherwise("test").alias("split"))
+    return q.near_duplicate_report(near, groups.select(F.col("label").alias("group_key"), F.col("label").alias("group_root")), placed).select("vec_id_a", "vec_id_b", "distance", "group_a", "group_b", "split_a", "split_b")
+
+
+def image_import(s, d):
+    """Documents as images of two source splits without repeated content: how many were found, kept and repeats."""
+    i = v.images(s, d).select(F.concat(F.col("name")).alias("name"), F.regexp_replace("name", r"\.[^.]*$", "").alias("stem"), F.lit("jpg").alias("ext"), "content_md5", "doc_id")
+    return imported({"train": i.where("doc_id % 3 <> 0").drop("doc_id"), "valid": i.where("doc_id % 3 = 0").drop("doc_id")})[1]
+
+
+def pixel_statistics(s, d):
+    """Orders as images' pixel statistics."""
+    o = F.col("o_orderkey")
+    return stats.pixel_statistics(v.table(s, d, "orders").select((o % 256).alias("mean"), (o % 64).alias("std"), (o % 100).alias("low"), (100 + o % 155).alias("high")))
+
+
+def dataset_integrity(s, d):
+    """Errors of the gate with leakage by digest, stem and group, by kind."""
+    k = F.col("c_custkey") % 20
+    split = F.when(k < 14, "train").when(k < 17, "val").otherwise("test")
+    images = table(s, d, "customer").select(split.alias("split"), F.concat(F.lit("img_"), F.col("c_custkey").cast("string")).alias("stem"), (F.col("c_acctbal") >= 0).alias("ok"), F.floor(F.col("c_custkey") / 3).cast("string").alias("digest"), F.concat_ws("-", "c_nationkey", "c_mktsegment").alias("group_key"))
+    lines = validated(parsed(_split_lines(s, d)))
+    e = q.integrity_errors(images, lines.select("split", "stem").distinct(), lines.select("split", "stem", "line_no", "status", F.lit(False).alias("changed")))
+    return e.groupBy("error").agg(F.count("*").alias("n_errors"))
+
+
+def last_errors(s, d):
+    """The last label lines that don't parse, in the order of their files, as the tail of a log shows them."""
+    bad = _lines(s, d).where("status = 'rejected'").select("stem", "line_no", "reason")
+    return q.tail(bad, ["stem", "line_no"], 20)
 
 
 def eval_leakage_passages(s, d):
@@ -204,5 +270,16 @@ QUERIES = {
  0::BIGINT AS stem_overlaps, (SELECT count(*) FROM (SELECT dg FROM im GROUP BY dg HAVING count(DISTINCT split) > 1)) AS digest_overlaps, (SELECT count(*) FROM (SELECT gk FROM im GROUP BY gk HAVING count(DISTINCT split) > 1)) AS group_key_overlaps)""", "lines", extra=_FAULTS)),
     "audited_classes": (audited_classes, sql("SELECT split, count_if(class_id = 0)::BIGINT AS pothole, count_if(class_id = 1)::BIGINT AS crack, count_if(class_id = 2)::BIGINT AS manhole, count(class_id) AS total_objects FROM fl GROUP BY split", "lines", extra=_FAULTS)),
     "label_line_faults": (label_line_faults, sql("SELECT stem, line_no, invalid_class_ids, out_of_bounds_coords, non_positive_wh, nan_inf_values, malformed_lines, class_id FROM fl", "lines", extra=_FAULTS)),
+    "splits_without_images": (splits_without_images, "SELECT 'test' AS split, 2 AS ord WHERE (SELECT count(*) FROM documents WHERE doc_id % 20 < 14) > 0"),
+    "near_duplicates_across_splits": (near_duplicates_across_splits, sql("""SELECT vec_id_a, vec_id_b, distance, la AS group_a, lb AS group_b, CASE la % 3 WHEN 0 THEN 'train' WHEN 1 THEN 'val' ELSE 'test' END AS split_a, CASE lb % 3 WHEN 0 THEN 'train' WHEN 1 THEN 'val' ELSE 'test' END AS split_b
+ FROM pairs WHERE la % 3 <> lb % 3""", "phash", extra=_PAIRS)),
+    "image_import": (image_import, sql("""SELECT source_split, count(*) AS n_found, count_if(k = 1)::BIGINT AS n_kept, count_if(k > 1)::BIGINT AS n_repeated FROM (
+ SELECT CASE WHEN doc_id % 3 = 0 THEN 'valid' ELSE 'train' END AS source_split, row_number() OVER (PARTITION BY content_md5 ORDER BY doc_id % 3 = 0, name) AS k FROM images) GROUP BY 1""", "images")),
+    "pixel_statistics": (pixel_statistics, "SELECT avg(o_orderkey % 256) AS mean, avg(o_orderkey % 64) AS std, min(o_orderkey % 100) AS low, max(100 + o_orderkey % 155) AS high FROM orders"),
+    "dataset_integrity": (dataset_integrity, sql("""SELECT error, count(*) AS n_errors FROM (
+ SELECT 'invalid_box' AS error FROM u WHERE status <> 'valid' UNION ALL SELECT 'unreadable_image' FROM customer WHERE c_acctbal < 0
+ UNION ALL SELECT 'missing_label' FROM im WHERE stem NOT IN (SELECT stem FROM u) UNION ALL SELECT 'orphan_label' FROM (SELECT DISTINCT stem FROM u) WHERE stem NOT IN (SELECT stem FROM im)
+ UNION ALL SELECT 'leakage_by_digest' FROM im GROUP BY dg HAVING count(DISTINCT split) > 1 UNION ALL SELECT 'leakage_by_group_key' FROM im GROUP BY gk HAVING count(DISTINCT split) > 1) GROUP BY error""", "lines", extra=_PARSED + ", " + _FAULTS[_FAULTS.index("im AS"):])),
+    "last_errors": (last_errors, sql("SELECT stem, line_no, reason FROM u WHERE status = 'rejected' ORDER BY stem DESC, line_no DESC LIMIT 20", "lines", extra=_PARSED)),
     "eval_leakage_passages": (eval_leakage_passages, "SELECT DISTINCT doc_id, item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)"),
 }

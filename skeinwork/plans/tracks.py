@@ -7,6 +7,7 @@ from contextlib import contextmanager
 
 from pyspark.sql import functions as F
 
+from skeinwork.operators import masks
 from skeinwork.operators import tracking as t
 from skeinwork.plans import views as v
 from skeinwork.plans.views import sql
@@ -116,6 +117,36 @@ def tracker_kept_counts(s, d):
     return totals_by_way(scored_ways(v.gt_boxes(s, d), checkpointed(tracked), 2))
 
 
+def _masks(s, d):
+    """Ground truth drawn into masks of 80 by 80: a row of pixels each, 200 where a box of the frame covers the pixel."""
+    cell = 8
+    boxes = v.gt_boxes(s, d).select("frame_id", F.struct(*(F.floor(F.col(c) / cell).cast("int").alias(c) for c in ("x1", "y1", "x2", "y2"))).alias("b")).groupBy("frame_id").agg(F.collect_list("b").alias("boxes"))
+    rows = boxes.withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(79))))
+    here = F.filter("boxes", lambda b: (F.col("y") >= b["y1"]) & (F.col("y") < b["y2"]))
+    grey = F.transform(F.sequence(F.lit(0), F.lit(79)), lambda x: F.when(F.exists("here", lambda b: (x >= b["x1"]) & (x < b["x2"])), 200).otherwise(0))
+    return rows.withColumn("here", here).select(F.col("frame_id").alias("mask_id"), "y", grey.alias("grey"))
+
+
+def mask_boxes(s, d):
+    return masks.mask_boxes(_masks(s, d), 127, 30)
+
+
+def masks_by_place(s, d):
+    """Frames with the confidence of the mask of their number, where there is one: clips are streams, masks those of track 1."""
+    f = v.frames(s, d)
+    clips = f.select(F.col("stream_id").alias("clip"), "frame", "det_id")
+    return t.positional(clips, f.where("track_id = 1").select(F.col("stream_id").alias("clip"), "frame", F.col("conf_pct").alias("mask")))
+
+
+def model_detections(s, d):
+    """A model that sees a class in a frame's number; those it is less than 40 per cent sure of go."""
+
+    def model(pdf):
+        return pdf.assign(class_id=(pdf["det_id"] % 3).astype("int32"), confidence=pdf["conf_pct"] / 100)[["stream_id", "frame", "det_id", "class_id", "confidence"]]
+
+    return t.detections_of(v.frames(s, d).select("stream_id", "frame", "det_id", "conf_pct"), model, "stream_id long, frame int, det_id long, class_id int, confidence double", 0.4)
+
+
 _VOTES = "sums AS (SELECT stream_id, track_id, frame, " + ", ".join(f"sum(CASE WHEN class_id = {c} THEN conf_pct ELSE 0 END) OVER w AS s{c}" for c in range(3)) + ", count(*) OVER w AS hits FROM frames WINDOW w AS (PARTITION BY stream_id, track_id ORDER BY frame ROWS UNBOUNDED PRECEDING))"
 _TRACKS = """byc AS (SELECT stream_id, track_id, class_id, sum(conf_pct) AS score, count(*) AS n, min(frame) AS f, max(frame) AS l, max(conf_pct) AS b FROM frames GROUP BY ALL),
 tr AS (SELECT stream_id, track_id, sum(n)::BIGINT AS hits, min(f) AS first_frame, max(l) AS last_frame, CAST(first(class_id ORDER BY score DESC, class_id) AS INT) AS class_id,
@@ -128,6 +159,9 @@ QUERIES = {
     "running_objects": (running_objects, sql("SELECT DISTINCT stream_id, frame, (sum(CASE WHEN hits = 3 THEN 1 ELSE 0 END) OVER (PARTITION BY stream_id ORDER BY frame))::BIGINT AS objects FROM sums", "frames", extra=_VOTES)),
     "hold_last": (hold_last, sql("SELECT stream_id, frame, conf_pct, last_value(CASE WHEN frame % 5 = 0 THEN conf_pct END IGNORE NULLS) OVER (PARTITION BY stream_id ORDER BY frame ROWS UNBOUNDED PRECEDING) AS shown FROM frames", "frames")),
     "held_detections": (held_detections, sql("SELECT a.stream_id, a.frame, a.det_id, b.track_id, b.conf_pct FROM frames a ASOF LEFT JOIN (SELECT stream_id, frame, track_id, conf_pct FROM frames WHERE class_id = 1) b ON a.stream_id = b.stream_id AND a.frame >= b.frame", "frames")),
+    "mask_boxes": (mask_boxes, None),
+    "masks_by_place": (masks_by_place, sql("SELECT f.stream_id AS clip, f.frame, f.det_id, m.conf_pct AS mask FROM frames f LEFT JOIN (SELECT * FROM frames WHERE track_id = 1) m ON f.stream_id = m.stream_id AND f.frame = m.frame", "frames")),
+    "model_detections": (model_detections, sql("SELECT stream_id, frame, det_id, CAST(det_id % 3 AS INT) AS class_id, conf_pct / 100.0::DOUBLE AS confidence FROM frames WHERE conf_pct >= 40", "frames")),
     "frame_step_sample": (frame_step_sample, sql("SELECT stream_id, frame, det_id FROM frames WHERE frame % 12 = 0", "frames")),
     "frame_seconds": (frame_seconds, sql("SELECT stream_id, frame, det_id, frame / CASE WHEN stream_id % 5 <> 0 THEN 25.0::DOUBLE ELSE 30.0::DOUBLE END AS seconds FROM frames", "frames")),
     "clip_rollup": (clip_rollup, sql("""SELECT split, count(DISTINCT stream_id) AS n_clips, count(*) AS n_frames, sum(objects)::BIGINT AS n_objects, count_if(objects = 0)::BIGINT AS n_background FROM (

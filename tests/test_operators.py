@@ -234,17 +234,16 @@ def test_samples_repeat_and_quotas_hold(spark):
     assert sorted((r["split"], r["id"]) for r in got) == [("train", 0), ("train", 2), ("train", 4), ("val", 1), ("val", 3)]
 
 
-@pytest.mark.parametrize("short_bytes", [8_000_000, 0])
-def test_passages_of_any_number_of_words(spark, monkeypatch, short_bytes):
-    monkeypatch.setattr(quality_plans, "SHORT_BYTES", short_bytes, raising=False)
-    texts = ["ab cd ef gh ij kl", "ab cd ef gh", "b c", "xab cdx", "", None, "cd ef", "a  b", "ab", "x ab cd ef y", "cd ef gh ij"]
-    items = ["ab cd ef gh ij", "b cd ef g", "ab cd ef", "b cd e", "ab cd", "b c", "b", "zz", "", " ", "  ", None, "cd ef", "b cd"]
+def test_passages_of_any_number_of_words(spark):
+    texts = ["ab cd ef gh ij kl", "ab cd ef gh", "b c", "xab cdx", "", None, "cd ef", "a  b", "ab", "x ab cd ef y", "cd ef gh ij", "lengthy words here", "x engthy word"]
+    items = ["ab cd ef gh ij", "b cd ef g", "ab cd ef", "b cd e", "ab cd", "b c", "b", "zz", "", " ", "  ", None, "cd ef", "b cd", "engthy", "engthy word", "lengthy wordx", " words", "here ", "thyy"]
     documents = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
     got = [tuple(r) for r in quality_plans.passages(documents, benchmark).collect()]
     want = {(i, j) for i, t in enumerate(texts) for j, p in enumerate(items) if t is not None and p is not None and p in t}
     assert len(got) == len(want)
     assert set(got) == want
+    assert quality_plans.passages(documents, benchmark.where("false")).collect() == []
 
 
 def _plain_assignment(groups):
@@ -329,3 +328,38 @@ def test_any_number_of_groups_is_assigned_as_one_by_one(spark, monkeypatch, n, m
         ways = [dict(zip(groups, way, strict=True)) for way in itertools.product(SPLITS, repeat=n) if set(way) == set(SPLITS)]
         assert set(got.values()) == set(SPLITS)
         assert _error(groups, got) <= min(_error(groups, w) for w in ways) + 1e-9
+
+
+def test_mask_boxes_equal_the_kernel(spark):
+    import numpy as np
+
+    from skeinwork.functions.kernels import mask_boxes
+    from skeinwork.operators import masks
+
+    rnd = np.random.default_rng(4)
+    pictures = []
+    for k in range(6):
+        m = np.zeros((40, 50), int)
+        for _ in range(9):
+            y, x, h, w = rnd.integers(0, 34), rnd.integers(0, 44), rnd.integers(2, 14), rnd.integers(2, 14)
+            m[y : y + h, x : x + w] = 200 if rnd.random() < 0.8 else 0
+        pictures.append(m)
+    pictures += [np.zeros((5, 5), int), np.full((9, 12), 255)]
+    rows = [(k, y, row.tolist()) for k, m in enumerate(pictures) for y, row in enumerate(m)]
+    got = masks.mask_boxes(spark.createDataFrame(rows, "mask_id long, y int, grey array<int>").repartition(5), 127, 20)
+    assert {(r["mask_id"], r["x1"], r["y1"], r["x2"], r["y2"]) for r in got.collect()} == {(k, *b[1:]) for k, m in enumerate(pictures) for b in mask_boxes(m.astype(np.uint8), threshold=127, least=20)}
+
+
+def test_registered_masks_equal_the_kernel(spark, small):
+    import numpy as np
+
+    from skeinwork.functions.kernels import mask_boxes
+    from skeinwork.plans import registry
+    from skeinwork.plans.views import gt_boxes
+
+    by = {}
+    for r in gt_boxes(spark, small).collect():
+        m = by.setdefault(r["frame_id"], np.zeros((80, 80), np.uint8))
+        m[r["y1"] // 8 : r["y2"] // 8, r["x1"] // 8 : r["x2"] // 8] = 200
+    got = {(r["mask_id"], r["x1"], r["y1"], r["x2"], r["y2"]) for r in registry.queries()["mask_boxes"](spark, small).collect()}
+    assert got == {(k, *b[1:]) for k, m in by.items() for b in mask_boxes(m, threshold=127, least=30)}
