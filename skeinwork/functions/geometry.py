@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from skeinwork.functions.annotations import eight, floored
-from skeinwork.schema import LARGE_AREA, MEDIUM_AREA
+from skeinwork.schema import CLASSES, LARGE_AREA, MEDIUM_AREA
 
 
 def _cut(x: Column) -> Column:
@@ -23,6 +23,15 @@ def to_pixels(xc: Column, yc: Column, w: Column, h: Column, width: int, height:
     return F.struct(px(xc - w / 2, width).alias("x1"), px(yc - h / 2, height).alias("y1"), px(xc + w / 2, width).alias("x2"), px(yc + h / 2, height).alias("y2"))
 
 
+# Fixed value: why a label's box is no ground truth.
+EMPTY_BOX = "empty pixel bbox"
+
+
+def pixel_problem(box: Column) -> Column:
+    """Why a pixel box (as of to_pixels) is no ground truth, or null: rounding left it without width or height."""
+    return F.when((box["x2"] <= box["x1"]) | (box["y2"] <= box["y1"]), F.lit(EMPTY_BOX))
+
+
 def to_label(x1: Column, y1: Column, x2: Column, y2: Column, width: int, height: int) -> Column:
     """xc, yc, w, h of a pixel box: centres of eight decimals, sizes floored so that no corner leaves the image."""
     xc, yc = eight((x1 + x2) / F.lit(2.0) / F.lit(float(width))), eight((y1 + y2) / F.lit(2.0) / F.lit(float(height)))
@@ -102,9 +111,14 @@ def rotated(xc: Column, yc: Column, w: Column, h: Column, degrees: float, width:
     return _between(_cut(F.least(*xs)), _cut(F.least(*ys)), _cut(F.greatest(*xs)), _cut(F.greatest(*ys)), 0.01)
 
 
-def in_frame(xc: Column, yc: Column, w: Column, h: Column) -> Column:
-    """The last filter after augmentation: finite, not empty, no corner outside."""
+def in_frame(xc: Column, yc: Column, w: Column, h: Column, class_id: Column | None = None) -> Column:
+    """The last filter after augmentation: finite, not empty, no corner outside. A class that isn't one is an error, not
+    dropped, where `class_id` (any number) is given."""
     finite = ~(F.isnan(xc) | F.isnan(yc) | F.isnan(w) | F.isnan(h))
+    if class_id is not None:
+        known = F.coalesce(class_id.cast("double").isin(*(float(c) for c in CLASSES)), F.lit(False))
+        wrong = F.raise_error(F.concat(F.lit("unsupported class_id "), F.coalesce(class_id.cast("string"), F.lit("null")))).cast("boolean")
+        finite = F.when(known, finite).otherwise(wrong)
     return finite & (w > 0) & (h > 0) & (xc - w / 2 >= 0) & (yc - h / 2 >= 0) & (xc + w / 2 <= 1) & (yc + h / 2 <= 1)
 
 

@@ -38,14 +38,16 @@ def config_differences(trained: DataFrame, dataset: DataFrame) -> DataFrame:
     return a.join(b, "name", "full_outer").where(~F.col("trained").eqNullSafe(F.col("dataset")))
 
 
-def fair_problems(rows: DataFrame, columns: list[str], metrics: list[str], order: str) -> DataFrame:
+def fair_problems(rows: DataFrame, columns: list[str], metrics: list[str], order: str, expected: DataFrame | None = None) -> DataFrame:
     """experiment, problem of result rows that may not be compared: settings unlike the first row's, fractions other than 1,
-    metrics that aren't finite, and (experiment null) other than exactly one raw row."""
+    metrics that aren't finite, and (experiment null) other than exactly one raw row. If `expected` is given and the rows
+    aren't its experiments, each once, that is all that is told."""
     differ = unfair(rows, columns, order).select("experiment", F.concat(F.lit("differs:"), "differs").alias("problem"))
     part = rows.where(~finite(F.col("fraction").cast("string")).eqNullSafe(F.lit(1.0))).select("experiment", F.lit("fraction").alias("problem"))
     bad = not_finite(rows, metrics).select("experiment", F.concat(F.lit("not_finite:"), "column").alias("problem"))
     raw = rows.agg(F.count_if(F.col("preprocessing") == "raw").alias("n")).where("n <> 1").select(F.lit(None).cast("string").alias("experiment"), F.concat(F.lit("raw_rows:"), F.col("n").cast("string")).alias("problem"))
-    return differ.unionByName(part).unionByName(bad).unionByName(raw)
+    found = differ.unionByName(part).unionByName(bad).unionByName(raw)
+    return found if expected is None else _only_if_whole(found, expected_problems(rows, expected))
 
 
 def finite(value: Column) -> Column:
@@ -76,7 +78,8 @@ def expected_problems(rows: DataFrame, expected: DataFrame) -> DataFrame:
 
 
 def review_reasons(reviews: DataFrame, expected: DataFrame, least: int = 10) -> DataFrame:
-    """experiment, reason: why a visual review doesn't count. It must be complete, of enough images, with all fields."""
+    """experiment, reason: why a visual review doesn't count. It must be complete, of enough images, with all fields. If the
+    reviewed experiments aren't the expected ones, each once, that is all that is told."""
     fields = ("bbox_alignment", "texture_preservation", "representative_failures", "reviewer")
     complete = F.coalesce(F.upper("status") == "COMPLETE", F.lit(False))
     n = F.col("reviewed_images").cast("string").try_cast("int")
@@ -86,8 +89,14 @@ def review_reasons(reviews: DataFrame, expected: DataFrame, least: int = 10) ->
             *(F.when(F.trim(F.coalesce(F.col(c), F.lit(""))) == "", F.lit(f"missing_{c}")) for c in fields),
         ))
     )
-    own = reviews.join(expected.select("experiment"), "experiment", "left_semi").select("experiment", F.explode(reasons).alias("reason"))
-    return own.unionByName(expected_problems(reviews, expected).withColumnRenamed("problem", "reason"))
+    whole = expected_problems(reviews, expected).withColumnRenamed("problem", "reason")
+    return _only_if_whole(reviews.select("experiment", F.explode(reasons).alias("reason")), whole)
+
+
+def _only_if_whole(own: DataFrame, whole: DataFrame) -> DataFrame:
+    """The rows of `whole`, and those of `own` only if there are none."""
+    none = F.broadcast(whole.agg(F.count("*").alias("__n")).where("__n = 0"))  # one row or none
+    return whole.unionByName(own.join(none, F.lit(True)).drop("__n"))
 
 
 def conclusion(reasons: DataFrame) -> DataFrame:

@@ -62,9 +62,15 @@ def rotate_boxes(s, d):
     return _moved(s, d, g.rotated(*_cols(), ANGLE, SIDE, SIDE))
 
 
+def pixel_box_problems(s, d):
+    """Boxes that are no ground truth on an image of 24 by 18 pixels."""
+    box = g.to_pixels(*_cols(), 24, 18)
+    return v.normalised(s, d).select("frame_id", "box_id", box.alias("b"), g.pixel_problem(box).alias("problem")).where("problem is not null").select("frame_id", "box_id", "b.*", "problem")
+
+
 def in_frame_boxes(s, d):
     """Boxes moved without a cut, and what the last filter leaves of them."""
-    return v.normalised(s, d).withColumn("xc", F.col("xc") + F.lit(DX)).where(g.in_frame(*_cols())).select("box_id", *_XYWH)
+    return v.normalised(s, d).withColumn("xc", F.col("xc") + F.lit(DX)).where(g.in_frame(*_cols(), F.col("class_id"))).select("box_id", *_XYWH)
 
 
 def _cut(l, t, r, b, least):  # noqa: E741
@@ -239,6 +245,8 @@ QUERIES = {
     "translate_boxes": (translate_boxes, sql(_around(f"xc + {_D(DX)}", f"yc + {_D(DY)}", "w", "h", "0.01::DOUBLE"), "norm")),
     "scale_boxes": (scale_boxes, sql(_around(f"0.5::DOUBLE + (xc - 0.5::DOUBLE) * {_D(SCALE)}", f"0.5::DOUBLE + (yc - 0.5::DOUBLE) * {_D(SCALE)}", f"w * {_D(SCALE)}", f"h * {_D(SCALE)}", "0.01::DOUBLE"), "norm")),
     "rotate_boxes": (rotate_boxes, sql(_ROTATED, "norm")),
+    "pixel_box_problems": (pixel_box_problems, sql("""SELECT *, 'empty pixel bbox' AS problem FROM (SELECT frame_id, box_id, greatest(0, least(24, round_even((xc - w / 2) * 24.0::DOUBLE, 0)::INT)) AS x1, greatest(0, least(18, round_even((yc - h / 2) * 18.0::DOUBLE, 0)::INT)) AS y1,
+ greatest(0, least(24, round_even((xc + w / 2) * 24.0::DOUBLE, 0)::INT)) AS x2, greatest(0, least(18, round_even((yc + h / 2) * 18.0::DOUBLE, 0)::INT)) AS y2 FROM norm) WHERE x2 <= x1 OR y2 <= y1""", "norm")),
     "in_frame_boxes": (in_frame_boxes, sql(f"SELECT box_id, x AS xc, yc, w, h FROM (SELECT *, xc + {_D(DX)} AS x FROM norm) WHERE w > 0 AND h > 0 AND x - w / 2 >= 0 AND yc - h / 2 >= 0 AND x + w / 2 <= 1 AND yc + h / 2 <= 1", "norm")),
     "edge_or_multi_priority_topk": (edge_or_multi_priority_topk, sql("""SELECT split, frame_id, priority, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY split ORDER BY priority, md5(concat('42:', frame_id)), frame_id) AS INT) AS rank FROM (
  SELECT split, frame_id, CASE WHEN bool_or(least(xc - w / 2, yc - h / 2, 1.0::DOUBLE - (xc + w / 2), 1.0::DOUBLE - (yc + h / 2)) < 0.03::DOUBLE) THEN 0 WHEN count(DISTINCT class_id) > 1 THEN 1 ELSE 2 END AS priority FROM norm GROUP BY ALL)) WHERE rank <= 10""", "norm")),

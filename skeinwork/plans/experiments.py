@@ -45,7 +45,7 @@ def missing_experiments_upsert(s, d):
 def _reviews(s, d):
     r = v.results(s, d)
     k = F.col("n") % 5
-    return r.where("experiment <> 'Brand#7'").select(
+    return r.select(
         "experiment", F.when(k == 0, "open").when(k == 1, "complete").otherwise("COMPLETE").alias("status"), F.when(k == 2, "7").when(k == 3, "many").otherwise("12").alias("reviewed_images"),
         F.when(k == 4, " ").otherwise("good").alias("bbox_alignment"), F.lit("good").alias("texture_preservation"), F.lit("none").alias("representative_failures"), F.when(k == 1, None).otherwise("x").alias("reviewer"),
     )
@@ -55,6 +55,11 @@ def review_gate_reasons(s, d):
     return e.review_reasons(_reviews(s, d), v.results(s, d))
 
 
+def review_gate_missing(s, d):
+    """Reviews of all brands but one: that is all that is told."""
+    return e.review_reasons(_reviews(s, d).where("experiment <> 'Brand#7'"), v.results(s, d))
+
+
 def review_conclusion(s, d):
     return e.conclusion(review_gate_reasons(s, d)).select("status", "n_reasons")
 
@@ -150,11 +155,10 @@ _RUNS = """runs AS (SELECT experiment, score, latency_units, n, CASE WHEN n % 4
  min(experiment) OVER () AS ref FROM results)"""
 
 _REVIEWS = """rv AS (SELECT experiment, CASE n % 5 WHEN 0 THEN 'open' WHEN 1 THEN 'complete' ELSE 'COMPLETE' END AS status, CASE n % 5 WHEN 2 THEN '7' WHEN 3 THEN 'many' ELSE '12' END AS k,
- CASE n % 5 WHEN 4 THEN ' ' ELSE 'good' END AS box, CASE n % 5 WHEN 1 THEN '' ELSE 'x' END AS who FROM results WHERE experiment <> 'Brand#7'),
+ CASE n % 5 WHEN 4 THEN ' ' ELSE 'good' END AS box, CASE n % 5 WHEN 1 THEN '' ELSE 'x' END AS who FROM results),
 why AS (SELECT experiment, 'not_complete' AS reason FROM rv WHERE upper(status) <> 'COMPLETE'
  UNION ALL SELECT experiment, CASE WHEN TRY_CAST(k AS INT) IS NULL THEN 'invalid_reviewed_images' ELSE 'too_few_images' END FROM rv WHERE upper(status) = 'COMPLETE' AND (TRY_CAST(k AS INT) IS NULL OR TRY_CAST(k AS INT) < 10)
- UNION ALL SELECT experiment, 'missing_bbox_alignment' FROM rv WHERE upper(status) = 'COMPLETE' AND trim(box) = '' UNION ALL SELECT experiment, 'missing_reviewer' FROM rv WHERE upper(status) = 'COMPLETE' AND who = ''
- UNION ALL SELECT experiment, 'missing' FROM results WHERE experiment NOT IN (SELECT experiment FROM rv))"""
+ UNION ALL SELECT experiment, 'missing_bbox_alignment' FROM rv WHERE upper(status) = 'COMPLETE' AND trim(box) = '' UNION ALL SELECT experiment, 'missing_reviewer' FROM rv WHERE upper(status) = 'COMPLETE' AND who = '')"""
 
 QUERIES = {
     "result_rows": (result_rows, sql("SELECT experiment, preprocessing, fraction, CAST(score AS DOUBLE) AS recall, round(latency_units / 7.0::DOUBLE, 3) AS preprocessing_ms, round(latency_units / 3.0::DOUBLE, 3) AS inference_ms, round(latency_units / 1.7::DOUBLE, 3) AS total_ms FROM runs", "results", extra=_RUNS)),
@@ -172,6 +176,7 @@ QUERIES = {
  SELECT *, first_value(e) OVER (ORDER BY experiment) AS re, first_value(i) OVER (ORDER BY experiment) AS ri FROM (SELECT experiment, CASE WHEN contains(experiment, '3') THEN 4 ELSE 10 END AS e, CASE WHEN contains(experiment, '5') THEN 320 ELSE 640 END AS i FROM results)) WHERE e <> re OR i <> ri""", "results")),
     "missing_experiments_upsert": (missing_experiments_upsert, sql("SELECT experiment, score, CASE WHEN experiment < 'Brand#2' THEN 'kept' END AS notes FROM results", "results")),
     "review_gate_reasons": (review_gate_reasons, sql("SELECT experiment, reason FROM why", "results", extra=_REVIEWS)),
+    "review_gate_missing": (review_gate_missing, sql("SELECT experiment, 'missing' AS reason FROM results WHERE experiment = 'Brand#7'", "results")),
     "review_conclusion": (review_conclusion, sql("SELECT CASE WHEN count(*) > 0 THEN 'BLOCKED' ELSE 'READY' END AS status, count(*) AS n_reasons FROM why", "results", extra=_REVIEWS)),
     "experiment_analysis": (experiment_analysis, sql("""SELECT 'status' AS section, NULL AS experiment, 'READY' AS name, 0.0::DOUBLE AS value
  UNION ALL SELECT 'leader', experiment, name, CAST(x AS DOUBLE) FROM (SELECT name, experiment, x, row_number() OVER (PARTITION BY name ORDER BY CASE WHEN name = 'latency_units' THEN x ELSE -x END, experiment) AS k FROM cells) WHERE k = 1

@@ -363,3 +363,25 @@ def test_registered_masks_equal_the_kernel(spark, small):
         m[r["y1"] // 8 : r["y2"] // 8, r["x1"] // 8 : r["x2"] // 8] = 200
     got = {(r["mask_id"], r["x1"], r["y1"], r["x2"], r["y2"]) for r in registry.queries()["mask_boxes"](spark, small).collect()}
     assert got == {(k, *b[1:]) for k, m in by.items() for b in mask_boxes(m, threshold=127, least=30)}
+
+
+def test_other_experiments_than_expected_are_all_that_is_told(spark):
+    rows = spark.createDataFrame([("a", "raw", 1.0, 5), ("b", "x", 0.5, 6)], "experiment string, preprocessing string, fraction double, epochs int")
+    same, other = rows.select("experiment"), spark.createDataFrame([("a",), ("c",)], "experiment string")
+    told = lambda expected: {tuple(r) for r in experiments.fair_problems(rows, ["epochs"], ["fraction"], "experiment", expected).collect()}
+    assert told(same) == {("b", "differs:epochs"), ("b", "fraction")}
+    assert told(other) == {("b", "unexpected"), ("c", "missing")}
+    reviews = rows.select("experiment", F.lit("open").alias("status"), *(F.lit("x").alias(c) for c in ("reviewed_images", "bbox_alignment", "texture_preservation", "representative_failures", "reviewer")))
+    assert {tuple(r) for r in experiments.review_reasons(reviews, same).collect()} == {("a", "not_complete"), ("b", "not_complete")}
+    assert {tuple(r) for r in experiments.review_reasons(reviews, other).collect()} == {("b", "unexpected"), ("c", "missing")}
+
+
+def test_unknown_classes_are_errors(spark):
+    from skeinwork.functions.geometry import in_frame
+
+    d = spark.createDataFrame([(0, 0.5, 0.5, 0.2, 0.2), (2, 0.95, 0.5, 0.2, 0.2)], "c int, x double, y double, w double, h double")
+    cols = [F.col(c) for c in "xywh"]
+    assert [r["c"] for r in d.where(in_frame(*cols, F.col("c"))).collect()] == [0]
+    for bad in (F.lit(7), F.lit(0.5), F.lit(None).cast("int")):
+        with pytest.raises(Exception, match="unsupported class_id"):
+            d.where(in_frame(*cols, bad)).collect()
