@@ -31,12 +31,12 @@ def curve(points: DataFrame, n_gt: DataFrame) -> DataFrame:
 
 
 def average_precision(gt: DataFrame, pred: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """class_name, n_gt, n_pred, ap of every class: the area under the envelope over recall; 0 without predictions, null
-    without a box of the class."""
+    """class_name, n_gt, n_pred, ap of every class: the area under the envelope over recall, with four decimals; 0 without
+    predictions, null without a box of the class."""
     spark, points = gt.sparkSession, scored(gt, pred, threshold)
     n_gt = gt.groupBy("class_id").agg(F.count("*").alias("n"))  # a row per class
     area = curve(points, n_gt).groupBy("class_id").agg((F.sum(F.col("tp") * F.col("envelope")) / F.max("n")).alias("ap"))
     n_pred = pred.groupBy("class_id").agg(F.count("*").alias("n_pred"))
     d = classes(spark).join(n_gt, "class_id", "left").join(n_pred, "class_id", "left").join(area, "class_id", "left")
     zero = lambda c: F.coalesce(c, F.lit(0))
-    return d.select("class_name", zero("n").alias("n_gt"), zero("n_pred").alias("n_pred"), F.when(F.col("n") > 0, F.coalesce("ap", F.lit(0.0))).alias("ap"))
+    return d.select("class_name", zero("n").alias("n_gt"), zero("n_pred").alias("n_pred"), F.when(F.col("n") > 0, F.round(F.coalesce("ap", F.lit(0.0)), 4)).alias("ap"))

@@ -267,7 +267,7 @@ QUERIES = {
     "balance_warnings": (balance_warnings, sql("""SELECT CASE WHEN class_id IS NULL THEN 'MANY_SMALL_OBJECTS_AT_320' ELSE concat('MANY_SMALL_', upper(class_name), '_AT_320') END AS code, 'HIGH' AS severity, value FROM (
  SELECT class_id, avg(CASE WHEN area < 1024 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS value FROM (SELECT class_id, ((x2 - x1) * 0.5::DOUBLE) * ((y2 - y1) * 0.5::DOUBLE) AS area FROM gt) GROUP BY ROLLUP (class_id)) LEFT JOIN classes USING (class_id) WHERE value >= 0.2
  UNION ALL SELECT 'CLASS_IMBALANCE', 'HIGH', max(n) / min(n)::DOUBLE FROM (SELECT class_id, count(*) AS n FROM gt WHERE split = 'train' AND (class_id <> 1 OR box_id % 10 < 4) GROUP BY class_id) HAVING max(n) / min(n)::DOUBLE >= 2""", "gt", "classes")),
-    "average_precision": (average_precision, sql("""SELECT class_name, coalesce(n, 0)::BIGINT AS n_gt, (SELECT count(*) FROM pred p WHERE p.class_id = c.class_id) AS n_pred, CASE WHEN n > 0 THEN coalesce(ap, 0.0::DOUBLE) END AS ap
+    "average_precision": (average_precision, sql("""SELECT class_name, coalesce(n, 0)::BIGINT AS n_gt, (SELECT count(*) FROM pred p WHERE p.class_id = c.class_id) AS n_pred, CASE WHEN n > 0 THEN round(coalesce(ap, 0.0::DOUBLE), 4) END AS ap
  FROM classes c LEFT JOIN ng USING (class_id) LEFT JOIN (SELECT class_id, sum(tp * env) / max(n) AS ap FROM (
   SELECT class_id, n, tp, max(pr) OVER (PARTITION BY class_id ORDER BY confidence ROWS UNBOUNDED PRECEDING) AS env FROM (
    SELECT class_id, n, tp, confidence, (sum(tp) OVER w)::BIGINT / (sum(k) OVER w)::DOUBLE AS pr FROM pts JOIN ng USING (class_id) WINDOW w AS (PARTITION BY class_id ORDER BY confidence DESC))) GROUP BY class_id) USING (class_id)""", "pred", "classes", recursive=True, extra=_GREEDY + """,
