@@ -144,9 +144,10 @@ class Ranges:
     """Where ranges of rows in one order end: fixed values, so that every read of them agrees on every row's range.
 
     The order is by a numeric column, nulls first, and then by a hash, so that rows of equal value spread, too. Bounds are
-    quantiles by bytes of a sample of the rows' keys, some 30 a range, chosen by hash."""
+    quantiles by bytes of a sample of the rows' keys, some 30 a range (10, where ranges are very many), chosen by hash."""
 
-    SAMPLE, MOST = 30, 10_000  # rows a range; ranges, whose number the driver holds: larger tables have larger ranges
+    # sampled rows a range, and of all ranges (at least 10 a range); ranges, whose bounds the driver holds: beyond, ranges grow
+    SAMPLE, SAMPLED, MOST = 30, 1_000_000, 100_000
 
     def __init__(self, keys: DataFrame, wished: int):
         """keys: at (numeric), hash (long), bytes (long)."""
@@ -155,7 +156,7 @@ class Ranges:
         if self.n > 1:
             rows = keys.count()
             place = F.pmod(F.xxhash64(F.lit("range"), "at", "hash"), F.lit(1 << 30)) / F.lit(1 << 30)
-            found = keys.where(place < min(1.0, self.n * self.SAMPLE / max(1, rows))).select("at", "hash", "bytes").collect()
+            found = keys.where(place < min(1.0, self.n * max(10, min(self.SAMPLE, self.SAMPLED // self.n)) / max(1, rows))).select("at", "hash", "bytes").collect()
             found.sort(key=lambda r: (r["at"] is not None, r["at"] or 0, r["hash"]))
             ends = np.cumsum([r["bytes"] + 1 for r in found], dtype=np.float64)
             cut = np.unique(np.searchsorted(ends, np.arange(1, self.n) * (ends[-1] / self.n if len(ends) else 0))).tolist()
