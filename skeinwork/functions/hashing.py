@@ -19,7 +19,8 @@ def threshold_bits(values: Column, first: int, last: int) -> tuple[Column, Colum
 
     def half(start: int) -> Column:
         part = F.slice(values, start, 32)
-        return F.aggregate(part, F.lit(0).cast("long"), lambda a, x: F.shiftleft(a, 1).bitwiseOR(F.when(x.cast("double") > median, F.lit(1)).otherwise(F.lit(0)).cast("long")))
+        bits = lambda m: F.aggregate(part, F.lit(0).cast("long"), lambda a, x: F.shiftleft(a, 1).bitwiseOR(F.when(x.cast("double") > m, F.lit(1)).otherwise(F.lit(0)).cast("long")))
+        return F.get(F.transform(F.array(median), bits), F.lit(0))  # as a variable: the values are sorted once, not for each of them
 
     return half(1), half(33)
 

@@ -2,67 +2,173 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 from math import comb
 
-from pyspark.sql import DataFrame
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skeinwork.functions.hashing import hamming
 from skeinwork.session import checkpointed
 
 
-#: What a candidate costs (joined and counted in one stage) of what a probe costs (made, shuffled, sorted).
-CANDIDATE = 0.1
-
-
-def bands_for(n: int, distance: int) -> int:
-    """How many bands make the fewest probes and candidates together, were the bits random.
-
-    With m bands two signatures within the distance agree in some band up to distance // m flipped bits. More bands need
-    fewer probes for a row, but narrower bands meet more often by chance."""
-    def work(m: int) -> float:
-        bits, radius = 64 // m, distance // m
-        probes = m * sum(comb(bits, k) for k in range(radius + 1))
-        return n * probes + CANDIDATE * n * n / 2 * min(1.0, probes / 2**bits)
-
-    return min(range(2, max(3, distance + 2)), key=work)
-
-
-def hamming_pairs(signatures: DataFrame, id_: str, distance: int, group: str | None = None, n_bands: int | None = None) -> DataFrame:
+#: Core seconds of a comparison, of a row dealt out once, and of a pair of buckets that meet.
+COMPARISON, DEALT, MEETING = 3e-9, 2e-6, 3e-5
+#: Rows of a part from where on it is cut into tiles, comparisons of one array operation, pairs of one batch.
+TILE, CELLS, BATCH = 1 << 19, 1 << 18, 1 << 17
+
+
+class Bands:
+    """Bands of `width` bits with the flips each allows: of rows within the distance, some band differs by its radius at most
+    (the radii add up to distance - bands + 1). One band of no bits compares all rows with all."""
+
+    def __init__(self, distance: int, n_bands: int, width: int, n: int):
+        more, some = divmod(max(0, distance - n_bands + 1), n_bands)
+        self.width, self.radius = width, [min(width, more + (k < some)) for k in range(n_bands)]
+        self.shift = [64 - 64 * k // n_bands - width for k in range(n_bands)]
+        #: Rows are dealt to parts by a band's first bits: to their own part, and to those before it within the radius.
+        self.high = min(width, max(6 - (n_bands.bit_length() - 1), (n >> 17).bit_length()))
+
+    def balls(self, bits: int) -> list[int]:
+        return [sum(comb(bits, k) for k in range(r + 1)) for r in self.radius]
+
+    def work(self, n: int) -> float:
+        """Core seconds for n rows of random bits."""
+        met, dealt = sum(self.balls(self.width)) / 2, sum((b + 1) / 2 for b in self.balls(self.high))
+        return COMPARISON * n * n * met / 2**self.width + DEALT * n * (dealt if self.width else n / _tile(n)) + MEETING * min(2**self.width, n) * met
+
+
+def _tile(n: int) -> int:
+    """Rows of a tile where all rows are one part: 16 tiles, of bounded size."""
+    return max(1 << 11, min(1 << 16, -(-n // 16)))
+
+
+def bands_for(n: int, distance: int, n_bands: int | None = None) -> Bands:
+    """The bands that make the least work, were the bits random."""
+    ways = range(1, distance + 2) if n_bands is None else [n_bands]
+    each = (Bands(distance, m, w, n) for m in ways for w in range(min(64 // m, 20) + 1) if w or m == 1)
+    return min((b for b in each if not b.width or max(b.radius) < b.width), key=lambda b: b.work(n))
+
+
+def _flips(bits: int, radius: int) -> list[int]:
+    return [sum(1 << k for k in c) for r in range(radius + 1) for c in combinations(range(bits), r)]
+
+
+def _blocks(a: np.ndarray, b: np.ndarray, distance: int, triangle: bool, x: np.ndarray, n: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Places in a and b, and distance, of signatures within the distance, a bounded block at a time; of a triangle (a is b)
+    only those with the first place before the second. x and n: room for CELLS comparisons."""
+    wide = min(len(b), 4096)
+    tall = max(1, CELLS // max(1, wide))
+    for i in range(0, len(a), tall):
+        for j in range(i if triangle else 0, len(b), wide):
+            left, right = a[i : i + tall], b[j : j + wide]
+            shape, size = (len(left), len(right)), len(left) * len(right)
+            np.bitwise_xor(left[:, None], right, out=x[:size].reshape(shape))
+            np.bitwise_count(x[:size], out=n[:size])
+            if n[:size].min() <= distance:
+                near = np.flatnonzero(n[:size] <= distance)
+                p, q = near // len(right) + i, near % len(right) + j
+                if triangle:
+                    p, q, near = (c[p < q] for c in (p, q, near))
+                yield p, q, n[near]
+
+
+def _compared(bands: Bands, distance: int, names: list[str]):
+    """The pairs of a part's two tiles (or of one), each told by the first band that it is near in."""
+    import pyarrow as pa
+
+    def first(band: int, x: np.ndarray) -> np.ndarray:
+        before = np.zeros(len(x), bool)
+        for shift, radius in zip(bands.shift[:band], bands.radius[:band]):
+            before |= np.bitwise_count(x >> np.uint64(shift) & np.uint64((1 << bands.width) - 1)) <= radius
+        return ~before
+
+    def meetings(band: int, part: int, left: np.ndarray, right: np.ndarray, same: bool) -> Iterator[tuple]:
+        """Runs of left and right whose bits in the band are within the radius, the smaller of this part."""
+        u, a, n = np.unique(left, return_index=True, return_counts=True)
+        v, b, m = np.unique(right, return_index=True, return_counts=True)
+        for flip in _flips(bands.width, bands.radius[band]) if len(v) else []:
+            other = u ^ flip
+            at = np.minimum(np.searchsorted(v, other), len(v) - 1)
+            meets = (v[at] == other) & (np.minimum(u, other) >> (bands.width - bands.high) == part)
+            for k in np.flatnonzero(meets & (other >= u) if same else meets).tolist():
+                yield slice(a[k], a[k] + n[k]), slice(b[at[k]], b[at[k]] + m[at[k]]), same and not flip
+
+    def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (band, part), same = divmod(key[0].as_py(), 1 << bands.high), key[1].as_py() == key[2].as_py()
+        table = pa.Table.from_batches(list(batches)).combine_chunks()
+        sig = table.column("sig").to_numpy().view(np.uint64)
+        value = (sig >> np.uint64(bands.shift[band]) & np.uint64((1 << bands.width) - 1)).astype(np.int64) if bands.width else np.zeros(len(sig), np.int64)
+        kind = table.column(names[1]).combine_chunks().dictionary_encode() if len(names) > 1 else None
+        kind = kind.indices.to_numpy() if kind is not None else None
+        by = np.argsort(value, kind="stable")
+        side = table.column("side").to_numpy()[by]
+        left, right = (by, by) if same else (by[side == 0], by[side == 1])
+        held: list[tuple] = []
+        room = np.empty(CELLS, np.uint64), np.empty(CELLS, np.uint8)
+
+        def told() -> pa.RecordBatch:
+            p, q, d = (np.concatenate(c) for c in zip(*held, strict=True))
+            ids = [(table.column(c).combine_chunks().take(pa.array(at)), f"{c}_{s}") for c in names for at, s in ((p, "a"), (q, "b"))]
+            return pa.RecordBatch.from_arrays([*(c for c, _ in ids), pa.array(d.astype(np.int32))], [*(name for _, name in ids), "distance"])
+
+        for s, t, triangle in meetings(band, part, value[left], value[right], same):
+            own, others = left[s], right[t]
+            for p, q, d in _blocks(sig[own], sig[others], distance, triangle, *room):
+                p, q = own[p], others[q]
+                keep = first(band, sig[p] ^ sig[q])
+                if kind is not None:
+                    keep &= kind[p] != kind[q]
+                if keep.any():
+                    held.append((p[keep], q[keep], d[keep]))
+                    if sum(len(h[0]) for h in held) >= BATCH:
+                        yield told()
+                        held.clear()
+        if held:
+            yield told()
+
+    run.__annotations__ = {"key": tuple, "batches": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}
+    return run
+
+
+def hamming_pairs(signatures: DataFrame, id_: str, distance: int, group: str | None = None, n_bands: int | None = None, width: int | None = None) -> DataFrame:
     """id_a < id_b, distance of all pairs within the distance (of different groups, if a group column is given).
 
-    The signature is cut into bands; one side is looked up by each band as it is, the other with up to distance // bands
-    bits flipped, which finds every pair (pigeonhole) by an equality join; candidates are verified."""
-    n_bands = max(2, n_bands or bands_for(signatures.count(), distance))
-    radius = distance // n_bands
-    cuts = [64 * k // n_bands for k in range(n_bands + 1)]
-    whole = [F.shiftrightunsigned(F.col("sig_hi"), 0), F.col("sig_lo")]
-
-    def band(start: int, end: int):
-        """Bits start..end-1 counted from the highest of the 64."""
-        value = F.lit(0).cast("long")
-        for half in (0, 1):
-            a, b = max(start, 32 * half), min(end, 32 * half + 32)
-            if a < b:
-                part = F.shiftright(whole[half], 32 * half + 32 - b).bitwiseAND(F.lit((1 << b - a) - 1))
-                value = F.shiftleft(value, b - a).bitwiseOR(part)
-        return value
-
-    widths = [b - a for a, b in zip(cuts, cuts[1:])]
-    keep = [F.col(c) for c in (id_, "sig_hi", "sig_lo", *([group] if group else []))]
-    each = signatures.select(*keep, F.posexplode(F.array(*(band(a, b) for a, b in zip(cuts, cuts[1:])))).alias("band", "bits"))
-    flips = {w: [sum(1 << k for k in c) for r in range(radius + 1) for c in combinations(range(w), r)] for w in set(widths)}
-    by_band = F.array(*(F.array(*(F.lit(x).cast("long") for x in flips[w])) for w in widths))
-    probes = each.withColumn("flip", F.explode(F.get(by_band, F.col("band")))).withColumn("bits", F.col("bits").bitwiseXOR(F.col("flip"))).drop("flip")
-    rename = lambda d, s: d.select("band", "bits", *(F.col(c).alias(f"{c}_{s}") for c in (id_, "sig_hi", "sig_lo", *([group] if group else []))))
-    # size estimates don't see how many rows the probes are, so that either side might be broadcast; neither may
-    found = rename(probes, "a").hint("merge").join(rename(each, "b"), ["band", "bits"]).where(F.col(f"{id_}_a") < F.col(f"{id_}_b"))
-    if group:
-        found = found.where(F.col(f"{group}_a") != F.col(f"{group}_b"))
-    d = hamming((F.col("sig_hi_a"), F.col("sig_lo_a")), (F.col("sig_hi_b"), F.col("sig_lo_b")))
-    out = [f"{id_}_a", f"{id_}_b", "distance", *([f"{group}_a", f"{group}_b"] if group else [])]
-    return found.withColumn("distance", d).where(F.col("distance") <= distance).select(*out).distinct()
+    Rows are dealt to parts by the first bits of each band (see Bands) and compared there with those whose whole band is within
+    its radius, by arrays. Parts of more than TILE rows are cut into tiles that meet in tasks of their own, so that neither
+    many copies nor frequent bits make one large task, and a task holds two tiles at most."""
+    n = signatures.count()
+    bands = bands_for(n, distance, n_bands) if width is None else Bands(distance, n_bands, width, n)
+    names = [id_, *([group] if group else [])]
+    sig = F.shiftleft("sig_hi", 32).bitwiseOR(F.col("sig_lo").bitwiseAND(F.lit(0xFFFFFFFF)))
+    rows = signatures.where(" and ".join(f"`{c}` is not null" for c in (*names, "sig_hi", "sig_lo"))).select(*names, sig.alias("sig"))
+
+    def parts_of(band: int) -> Column:
+        top = F.shiftrightunsigned("sig", bands.shift[band] + bands.width - bands.high).bitwiseAND(F.lit((1 << bands.high) - 1)) if bands.high else F.lit(0).cast("long")
+        near = F.transform(F.array(*(F.lit(x).cast("long") for x in _flips(bands.high, bands.radius[band]))), lambda flip: top.bitwiseXOR(flip))
+        return F.transform(F.filter(near, lambda part: part <= top), lambda part: part + (band << bands.high))
+
+    rows = rows.withColumn("part", F.explode(F.concat(*(parts_of(k) for k in range(len(bands.radius))))))
+    if bands.width:
+        parts = rows.groupBy("part").agg(F.count("*").alias("n"))
+        tiles = F.ceil(F.col("n") / TILE).cast("int")
+        total = parts.agg(F.sum(F.col("n") * tiles), F.sum(tiles * (tiles + 1) / 2), F.max(tiles)).first()
+        rows = rows.join(F.broadcast(parts.where(F.col("n") > TILE).select("part", tiles.alias("tiles"))), "part", "left").withColumn("tiles", F.coalesce("tiles", F.lit(1))) if (total[2] or 1) > 1 else rows.withColumn("tiles", F.lit(1))
+    else:
+        cut = max(1, -(-n // _tile(n)))
+        total, rows = (n * cut, cut * (cut + 1) // 2), rows.withColumn("tiles", F.lit(cut))
+    rows = rows.withColumn("tile", F.pmod(F.xxhash64(id_, "sig"), "tiles").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    keys = [F.col("part"), F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("top")]
+    rows = rows.select(*keys, (F.col("tile") > F.col("other")).cast("int").alias("side"), "sig", *names)
+    n_tasks = int(max(1, min(total[1] or 1, max(200, (total[0] or 0) >> 18))))
+    kinds = {c: signatures.schema[c].dataType.simpleString() for c in names}
+    schema = ", ".join([*(f"`{c}_{s}` {k}" for c, k in kinds.items() for s in "ab"), "distance int"])
+    found = rows.repartition(n_tasks, "part", "low", "top").groupBy("part", "low", "top").applyInArrow(_compared(bands, distance, names), schema)
+    ordered = F.col(f"{id_}_a") < F.col(f"{id_}_b")
+    pick = lambda c, x, y: F.when(ordered, F.col(f"{c}_{x}")).otherwise(F.col(f"{c}_{y}"))
+    out = [pick(id_, "a", "b").alias(f"{id_}_a"), pick(id_, "b", "a").alias(f"{id_}_b"), F.col("distance"), *([pick(group, "a", "b").alias(f"{group}_a"), pick(group, "b", "a").alias(f"{group}_b")] if group else [])]
+    return found.where(F.col(f"{id_}_a") != F.col(f"{id_}_b")).select(*out)
 
 
 def stars(edges: DataFrame) -> DataFrame:

@@ -7,10 +7,10 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from skeinwork.functions.annotations import clipped_or_null, group_key, parsed, signature, validated
-from skeinwork.operators import audit, stats
+from skeinwork.operators import audit, neardup, stats
 from skeinwork.operators import quality as q
 from skeinwork.plans import views as v
-from skeinwork.plans.groups import _KEY, _PAIRS, phash_pairs
+from skeinwork.plans.groups import _KEY, _PAIRS
 from skeinwork.plans.views import sql, table
 from skeinwork.sources.files import imported
 
@@ -192,8 +192,7 @@ def splits_without_images(s, d):
 
 def near_duplicates_across_splits(s, d):
     """Near labels whose groups went to different splits, were groups not merged: a label is its own group."""
-    near = phash_pairs(s, d).join(v.phashes(s, d).select(F.col("vec_id").alias("vec_id_a"), F.col("label").alias("group_a")), "vec_id_a")
-    near = near.join(v.phashes(s, d).select(F.col("vec_id").alias("vec_id_b"), F.col("label").alias("group_b")), "vec_id_b")
+    near = neardup.hamming_pairs(v.phashes(s, d), "vec_id", 18, "label").withColumnsRenamed({"label_a": "group_a", "label_b": "group_b"})
     groups = v.phashes(s, d).select("label").distinct()
     k = F.col("label") % 3
     placed = groups.select(F.col("label").alias("group_root"), F.when(k == 0, "train").when(k == 1, "val").otherwise("test").alias("split"))

@@ -5,7 +5,7 @@ import math
 import random
 from collections import Counter
 from fractions import Fraction
-from itertools import product
+from itertools import combinations, product
 
 import pytest
 from pyspark.sql import functions as F
@@ -145,6 +145,31 @@ def test_hamming_pairs_are_all_pairs(spark, n_bands):
     assert {tuple(r) for r in neardup.hamming_pairs(d, "id", 4, n_bands=n_bands if n_bands <= 5 else None).collect()} == want
 
 
+@pytest.mark.parametrize(("n_bands", "width"), [(1, 0), (2, 5), (3, 8), (5, 3), (5, 12), (9, 7)])
+def test_hamming_pairs_by_parts_and_tiles(spark, monkeypatch, n_bands, width):
+    """Copies, groups, missing signatures; parts cut into tiles, several blocks of a pair of tiles."""
+    monkeypatch.setattr(neardup, "TILE", 40)
+    monkeypatch.setattr(neardup, "CELLS", 64)
+    monkeypatch.setattr(neardup, "_tile", lambda n: 60)
+    rnd = random.Random(3)
+    base = [rnd.getrandbits(64) for _ in range(12)]
+    sig = [base[0]] * 70 + [b ^ sum(1 << k for k in rnd.sample(range(64), rnd.randrange(7))) for b in base for _ in range(12)]
+    rows = [(1000 - i, x >> 32, x & 0xFFFFFFFF, f"g{i % 5}") for i, x in enumerate(sig)]
+    want = Counter((min(i, j), max(i, j), n) for (i, a, b, g), (j, c, d, h) in combinations(rows, 2) if g != h and (n := (a ^ c).bit_count() + (b ^ d).bit_count()) <= 8)
+    d = spark.createDataFrame([*rows, (5, None, None, "g"), (None, base[0] >> 32, base[0] & 0xFFFFFFFF, "h")], "id long, sig_hi long, sig_lo long, g string")
+    got = neardup.hamming_pairs(d, "id", 8, "g", n_bands=n_bands, width=width)
+    assert Counter((r["id_a"], r["id_b"], r["distance"]) for r in got.collect()) == want
+    assert all(r["g_a"] == f"g{(1000 - r['id_a']) % 5}" and r["g_b"] == f"g{(1000 - r['id_b']) % 5}" for r in got.collect())
+
+
+def test_hamming_pairs_deal_few_rows_at_any_size():
+    """A row goes to tens of parts, not to the hundreds of flips that the bands allow."""
+    for n in (10**6, 10**7, 5 * 10**7):
+        bands = neardup.bands_for(n, 8)
+        assert sum((b + 1) / 2 for b in bands.balls(bands.high)) < 100
+        assert bands.work(n) < 2e-3 * n
+
+
 def test_components_of_chains_and_hubs(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, k) for k in range(101, 140)] + [(139, 200), (5, 5)]
     nodes = spark.range(0, 210).withColumnRenamed("id", "node")
