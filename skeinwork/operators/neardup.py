@@ -57,9 +57,9 @@ def _flips(bits: int, radius: int) -> list[int]:
 
 def _blocks(a: np.ndarray, b: np.ndarray, distance: int, triangle: bool, x: np.ndarray, n: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Places in a and b, and distance, of signatures within the distance, a bounded block at a time; of a triangle (a is b)
-    only those with the first place before the second. x and n: room for CELLS comparisons."""
-    wide = min(len(b), 4096)
-    tall = max(1, CELLS // max(1, wide))
+    only those with the first place before the second. x and n: room for a block's comparisons."""
+    wide = min(len(b), 4096, len(x))
+    tall = max(1, len(x) // max(1, wide))
     for i in range(0, len(a), tall):
         for j in range(i if triangle else 0, len(b), wide):
             left, right = a[i : i + tall], b[j : j + wide]
