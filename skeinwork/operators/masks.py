@@ -1,50 +1,126 @@
-"""Boxes from masks, in the plan: rows of pixels as arrays, runs by row, components over runs."""
+"""Boxes from masks: pixels packed to bits, dealt by mask, and the opening, the runs and their parts by arrays of many masks."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
-from pyspark.sql import functions as F
+from collections.abc import Iterator
 
-from skeinwork.operators.neardup import stars
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 
 #: Half the side of the square by which a mask is opened.
 REACH = 2
 
 
-def _spread(rows: DataFrame, best, beyond: int) -> DataFrame:
-    """Each pixel as the least (or greatest) of the square around it; pixels outside of the mask count as `beyond`."""
-    edge = F.array_repeat(F.lit(beyond), REACH)
-    padded = rows.withColumn("on", F.concat(edge, "on", edge))
-    padded = padded.withColumn("on", F.transform(F.sequence(F.lit(1), F.size("on") - 2 * REACH), lambda i: best(F.slice("on", i, 2 * REACH + 1))))
-    w = Window.partitionBy("mask_id").orderBy("y").rangeBetween(-REACH, REACH)  # five rows of one mask
-    near = padded.withColumn("near", F.collect_list("on").over(w))
-    whole = F.transform("on", lambda _, i: best(F.transform("near", lambda row: F.get(row, i))))
-    return near.withColumn("on", whole).drop("near")
+def _packed(threshold: int):
+    """Rows of grey pixels as bits: over the threshold or not. Only these are shuffled."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            grey = batch.column("grey")
+            size = np.diff(grey.offsets.to_numpy()).astype(np.int32)
+            on = grey.flatten().to_numpy(zero_copy_only=False) > threshold  # a missing pixel isn't
+            bits = np.zeros((len(batch), -(-int(size.max(initial=0)) // 8) * 8), np.uint8)
+            bits[np.arange(bits.shape[1]) < size[:, None]] = on
+            bits = np.packbits(bits, axis=1)
+            yield pa.RecordBatch.from_arrays([batch.column("mask_id"), batch.column("y"), pa.array(size), pa.array([b.tobytes() for b in bits], pa.binary())], ["mask_id", "y", "size", "bits"])
 
-def opened(rows: DataFrame, threshold: int) -> DataFrame:
-    """mask_id, y, on: pixels over the threshold, as 0 and 1, after an opening. rows: mask_id, y (every row of the mask), grey."""
-    on = rows.select("mask_id", "y", F.transform("grey", lambda g: (g > threshold).cast("int")).alias("on"))
-    return _spread(_spread(on, F.array_min, 1), F.array_max, 0)
+    return run
 
 
-def runs(rows: DataFrame) -> DataFrame:
-    """mask_id, y, a, b: runs of pixels that are on, from a up to b."""
-    at = lambda i: F.coalesce(F.get("on", i), F.lit(0))
-    places = F.sequence(F.lit(0), F.size("on"))
-    first = F.filter(places, lambda i: (at(i) == 1) & (at(i - 1) == 0))
-    end = F.filter(places, lambda i: (at(i) == 0) & (at(i - 1) == 1))
-    d = rows.select("mask_id", "y", F.explode(F.arrays_zip(first.alias("a"), end.alias("b"))).alias("r"))
-    return d.select("mask_id", "y", "r.a", "r.b")
+def _spread(on: np.ndarray, there: np.ndarray, key: np.ndarray, least: bool) -> np.ndarray:
+    """Each pixel as the least (or greatest) of the square around it; pixels outside of the mask don't count."""
+    join = np.logical_and if least else np.logical_or
+    filled = np.where(there, on, least)
+    wide = np.pad(filled, ((0, 0), (REACH, REACH)), constant_values=least)
+    across = filled.copy()
+    for k in range(2 * REACH + 1):
+        join(across, wide[:, k : k + on.shape[1]], out=across)
+    across[~there] = least
+    out = across.copy()
+    for k in [k for k in range(-REACH, REACH + 1) if k]:
+        at = np.minimum(np.searchsorted(key, key + k), len(key) - 1)
+        rows = np.flatnonzero(key[at] == key + k)
+        out[rows] = join(out[rows], across[at[rows]])
+    return out & there
+
+
+def _joined(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest of each one's component, by edges a, b between 0..n-1."""
+    root = np.arange(n)
+    while len(a):
+        x, y = root[a], root[b]
+        apart = x != y
+        a, b = a[apart], b[apart]
+        np.minimum.at(root, np.maximum(x, y)[apart], np.minimum(x, y)[apart])
+        while (root[root] != root).any():
+            root = root[root]
+    return root
+
+
+def _parts(mask: np.ndarray, y: np.ndarray, on: np.ndarray, there: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of whole masks, rows in order: each part's first row of pixels, and x1, y1, x2, y2, pixels."""
+    low = y.min(initial=0) - REACH
+    key = mask * (y.max(initial=0) - low + 2 * REACH + 1) + (y - low)
+    on = _spread(_spread(on, there, key, True), there, key, False)
+    edge = np.diff(np.pad(on, ((0, 0), (1, 1))).astype(np.int8), axis=1)
+    (row, a), (_, b) = np.nonzero(edge == 1), np.nonzero(edge == -1)
+    # runs of the row above that touch, corners too: those that end at a or later and start at b or before
+    above = np.minimum(np.searchsorted(key, key - 1), len(key) - 1)
+    has, scale = (key[above] == key - 1)[row], on.shape[1] + 2
+    first = np.searchsorted(row * scale + b, above[row] * scale + a)
+    count = np.where(has, np.maximum(0, np.searchsorted(row * scale + a, above[row] * scale + b, "right") - first), 0)
+    of = np.repeat(np.arange(len(row)), count)
+    root = _joined(len(row), of, first[of] + np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count))
+    by = np.argsort(root, kind="stable")
+    heads = np.flatnonzero(np.diff(root[by], prepend=-1))
+    if not len(heads):
+        return (row[:0],) * 6
+    lines = y[row[by]]
+    return (
+        row[by][heads], np.minimum.reduceat(a[by], heads), np.minimum.reduceat(lines, heads), np.maximum.reduceat(b[by], heads), np.maximum.reduceat(lines, heads) + 1,
+        np.add.reduceat((b - a)[by], heads),
+    )
+
+
+def _boxes(least: int):
+    """Boxes of sorted rows, whole masks at a time: the last mask of a batch waits for the next."""
+
+    def found(table: pa.Table) -> pa.RecordBatch:
+        size, bits = table.column("size").to_numpy(), table.column("bits").to_pylist()
+        wide = max(len(x) for x in bits)
+        rows = np.frombuffer(b"".join(x.ljust(wide, b"\0") for x in bits), np.uint8).reshape(len(bits), wide)
+        on = np.unpackbits(rows, axis=1).astype(bool)
+        ids = table.column("mask_id").combine_chunks()
+        mask = ids.dictionary_encode(null_encoding="encode").indices.to_numpy().astype(np.int64)
+        first, *box, pixels = _parts(mask, table.column("y").to_numpy().astype(np.int64), on, np.arange(on.shape[1]) < size[:, None])
+        enough = pixels >= least
+        return pa.RecordBatch.from_arrays([ids.take(pa.array(first[enough])), *(pa.array(c[enough].astype(np.int32)) for c in box), pa.array(pixels[enough].astype(np.int64))], ["mask_id", "x1", "y1", "x2", "y2", "pixels"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            ids = batch.column("mask_id").dictionary_encode(null_encoding="encode").indices.to_numpy()
+            cuts = np.flatnonzero(ids[1:] != ids[:-1]) + 1
+            if held and len(batch) and held[-1].column("mask_id")[-1].as_py() != batch.column("mask_id")[0].as_py():
+                cuts = np.append(0, cuts)
+            if len(cuts):
+                done = [*held, *([batch.slice(0, cuts[-1])] if cuts[-1] else [])]
+                yield found(pa.Table.from_batches(done))
+                held, batch = [], batch.slice(cuts[-1])
+            if len(batch):
+                held.append(batch)
+        if held:
+            yield found(pa.Table.from_batches(held))
+
+    return run
 
 
 def mask_boxes(rows: DataFrame, threshold: int, least: int) -> DataFrame:
-    """mask_id, x1, y1, x2, y2, pixels of the parts of `least` pixels or more. Parts are runs that touch in adjacent rows,
-    corners too: an equality join by mask and row, and components over its edges, wherever a mask's rows lie."""
-    each = runs(opened(rows, threshold)).withColumn("node", F.struct("mask_id", "y", "a"))
-    above = each.select("mask_id", (F.col("y") + 1).alias("y"), F.col("a").alias("c"), F.col("b").alias("d"), F.col("node").alias("up"))
-    touching = each.join(above, ["mask_id", "y"]).where("c <= b and a <= d").select(F.col("node").alias("a"), F.col("up").alias("b"))
-    roots = stars(touching)
-    named = each.join(roots.withColumnsRenamed({"a": "member", "b": "root"}), F.col("node") == F.col("member"), "left").withColumn("part", F.coalesce("root", "node"))
-    parts = named.groupBy("mask_id", "part").agg(F.min("a").alias("x1"), F.min("y").alias("y1"), F.max("b").alias("x2"), (F.max("y") + 1).alias("y2"), F.sum(F.col("b") - F.col("a")).alias("pixels"))
-    return parts.where(F.col("pixels") >= least).drop("part")
+    """mask_id, x1, y1, x2, y2, pixels of the parts of `least` pixels or more, after an opening. rows: mask_id, y (every row of
+    the mask), grey. Parts are runs that touch in adjacent rows, corners too.
+
+    A row is shuffled as its bits; a task walks its masks in order and holds a batch and the mask that the batch ends in."""
+    kind = f"mask_id {rows.schema['mask_id'].dataType.simpleString()}"
+    packed = rows.where("grey is not null").select("mask_id", "y", "grey").mapInArrow(_packed(threshold), f"{kind}, y {rows.schema['y'].dataType.simpleString()}, size int, bits binary")
+    return packed.repartition("mask_id").sortWithinPartitions("mask_id", "y").mapInArrow(_boxes(least), f"{kind}, x1 int, y1 int, x2 int, y2 int, pixels long")

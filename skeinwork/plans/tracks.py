@@ -119,12 +119,26 @@ def tracker_kept_counts(s, d):
 
 def _masks(s, d):
     """Ground truth drawn into masks of 80 by 80: a row of pixels each, 200 where a box of the frame covers the pixel."""
-    cell = 8
+    import numpy as np
+    import pyarrow as pa
+
+    cell, side, some = 8, 80, 256  # so many masks of a batch
+
+    def draw(batches):
+        for batch in batches:
+            for k in range(0, len(batch), some):
+                frames, lists = batch.column("frame_id").slice(k, some), batch.column("boxes").slice(k, some)
+                boxes = lists.flatten()
+                x1, y1, x2, y2 = (np.clip(boxes.field(c).to_numpy(), 0, side).tolist() for c in range(4))
+                of = np.repeat(np.arange(len(frames)), np.diff(lists.offsets.to_numpy())).tolist()
+                grey = np.zeros((len(frames), side, side), np.int32)
+                for i, a, b, c, e in zip(of, x1, y1, x2, y2, strict=True):
+                    grey[i, b:e, a:c] = 200
+                rows = pa.ListArray.from_arrays(pa.array(np.arange(0, grey.size + 1, side, dtype=np.int32)), pa.array(grey.ravel()))
+                yield pa.RecordBatch.from_arrays([frames.take(pa.array(np.repeat(np.arange(len(frames)), side))), pa.array(np.tile(np.arange(side, dtype=np.int32), len(frames))), rows], ["mask_id", "y", "grey"])
+
     boxes = v.gt_boxes(s, d).select("frame_id", F.struct(*(F.floor(F.col(c) / cell).cast("int").alias(c) for c in ("x1", "y1", "x2", "y2"))).alias("b")).groupBy("frame_id").agg(F.collect_list("b").alias("boxes"))
-    rows = boxes.withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(79))))
-    here = F.filter("boxes", lambda b: (F.col("y") >= b["y1"]) & (F.col("y") < b["y2"]))
-    grey = F.transform(F.sequence(F.lit(0), F.lit(79)), lambda x: F.when(F.exists("here", lambda b: (x >= b["x1"]) & (x < b["x2"])), 200).otherwise(0))
-    return rows.withColumn("here", here).select(F.col("frame_id").alias("mask_id"), "y", grey.alias("grey"))
+    return boxes.mapInArrow(draw, "mask_id long, y int, grey array<int>")
 
 
 def mask_boxes(s, d):

@@ -375,6 +375,17 @@ def test_mask_boxes_equal_the_kernel(spark):
     assert {(r["mask_id"], r["x1"], r["y1"], r["x2"], r["y2"]) for r in got.collect()} == {(k, *b[1:]) for k, m in enumerate(pictures) for b in mask_boxes(m.astype(np.uint8), threshold=127, least=20)}
 
 
+def test_mask_boxes_shuffle_bits_once(spark):
+    """One exchange of packed rows whatever the masks: no rounds of joins; masks that cross batches stay whole."""
+    from skeinwork.operators import masks
+
+    rows = spark.range(0, 60000).selectExpr("id div 3000 as mask_id", "cast(id % 3000 as int) as y", "array(0, 0, 200, 200, 200, 200, 200, 200, 0, 0, 0) as grey")
+    found = masks.mask_boxes(rows, 127, 30)
+    assert sorted(tuple(r) for r in found.collect()) == [(k, 2, 0, 8, 3000, 18000) for k in range(20)]
+    plan = masks.mask_boxes(rows, 127, 30)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+
+
 def test_registered_masks_equal_the_kernel(spark, small):
     import numpy as np
 
