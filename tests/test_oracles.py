@@ -33,6 +33,14 @@ def test_same_rows_as_sql(spark, small, db, tmp_path, name):
     assert db.execute(f"SELECT count(*) FROM (SELECT {cols} FROM ({got}) EXCEPT ALL SELECT {cols} FROM want)").fetchall()[0][0] == 0
 
 
+def test_review_gate_sql_tells_missing_reviews(db):
+    """The SQL of the gate, over reviews that lack a brand, tells that and nothing else, as the query does."""
+    whole = SQL["review_gate_reasons"]
+    lacking = whole.replace("AS who FROM results)", "AS who FROM results WHERE experiment <> 'Brand#7')")
+    assert lacking != whole
+    assert db.execute(lacking).fetchall() == db.execute(SQL["review_gate_missing"]).fetchall() == [("Brand#7", "missing")]
+
+
 def test_entry_points(spark):
     import __spark_entry__ as e
 
