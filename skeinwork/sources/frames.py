@@ -23,6 +23,9 @@ FORMAT = "skeinwork_frames"
 FPS = 30.0
 DETECTIONS = "array<struct<det_id:long,class_id:int,confidence:double,x1:int,y1:int,x2:int,y2:int>>"
 SCHEMA = "stream_id long, frame int, seconds double, last boolean, det_id long, class_id int, confidence double, x1 int, y1 int, x2 int, y2 int"
+NAMES = [c.split()[0] for c in SCHEMA.split(", ")]
+BATCH = 2048  # frames that are read at once
+BUFFER = 1 << 20  # bytes of a column that are read at once
 
 
 def _filesystem(uri: str):
@@ -91,19 +94,36 @@ class _Reader(DataSourceStreamReader):
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
         return [_Part(f, start["frame"], end["frame"]) for f in self._files()] if start["frame"] < end["frame"] else []
 
-    def read(self, partition: Any) -> Iterator[tuple]:
-        import pyarrow.compute as pc
-        import pyarrow.dataset as ds
+    def read(self, partition: Any) -> Iterator[Any]:
+        import pyarrow as pa
+        import pyarrow.parquet as pq
 
         fs, _ = _filesystem(self.path)
-        wanted = (pc.field("frame") >= partition.start) & (pc.field("frame") < partition.end)
-        final = None if self.most is None else (self.most - 1) // self.step * self.step
-        for b in ds.dataset(partition.file, filesystem=fs, format="parquet").to_batches(filter=wanted):
-            for r in b.to_pylist():
-                if r["frame"] % self.step == 0:
-                    head = (r["stream_id"], r["frame"], r["frame"] / self.fps, bool(r["last"]) or r["frame"] == final)
-                    for d in r["detections"] or [dict.fromkeys(("det_id", "class_id", "confidence", "x1", "y1", "x2", "y2"))]:
-                        yield (*head, d["det_id"], d["class_id"], d["confidence"], d["x1"], d["y1"], d["x2"], d["y2"])
+        with fs.open_input_file(partition.file) as f:
+            # few frames at a time and through a buffer: their detections are many times as large as they are
+            for b in pq.ParquetFile(f, buffer_size=BUFFER, pre_buffer=False).iter_batches(BATCH, columns=["stream_id", "frame", "last", "detections"], use_threads=False):
+                frame = b.column("frame").to_numpy(zero_copy_only=False)
+                b = b.filter(pa.array((frame >= partition.start) & (frame < partition.end) & (frame % self.step == 0)))
+                if b.num_rows:
+                    yield self._rows(b)
+
+    def _rows(self, b: Any) -> Any:
+        """Frames as SCHEMA."""
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        final = -1 if self.most is None else (self.most - 1) // self.step * self.step
+        frame, lists = b.column("frame").to_numpy(), b.column("detections")
+        counts = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
+        each = np.maximum(counts, 1)  # a row without a detection for a frame that shows none
+        of = pa.array(np.repeat(np.arange(len(frame)), each))
+        at = pa.array(np.cumsum(np.repeat(counts > 0, each)) - 1, mask=np.repeat(counts == 0, each))
+        shown = lists.flatten().take(at)
+        last = np.where(frame == final, True, pc.fill_null(b.column("last"), False).to_numpy(zero_copy_only=False))
+        heads = [b.column("stream_id"), b.column("frame"), pa.array(frame / self.fps), pa.array(last)]
+        columns = [h.take(of) for h in heads] + [pc.struct_field(shown, c) for c in NAMES[4:]]
+        return pa.RecordBatch.from_arrays(columns, names=NAMES)
 
 
 class FrameSource(DataSource):

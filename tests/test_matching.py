@@ -252,3 +252,23 @@ def test_live_sources_need_a_limit(spark, tmp_path):
         _Reader({"path": str(tmp_path), "live": "true"})
     with pytest.raises(ValueError, match="step"):
         _Reader({"path": str(tmp_path), "step": "0"})
+
+
+def test_frames_are_read_few_at_a_time(spark, tmp_path, monkeypatch):
+    import pyarrow as pa
+
+    from skeinwork.sources import frames as source
+
+    rows, frames = _moving(4)
+    source.record(spark.createDataFrame(rows, DETECTION), spark.createDataFrame(frames, "stream_id long, frame int"), str(tmp_path / "in"))
+    monkeypatch.setattr(source, "BATCH", 8, raising=False)
+    reader = source._Reader({"path": str(tmp_path / "in"), "step": "3"})
+    got = [b for part in reader.partitions({"frame": 30}, {"frame": 120}) for b in reader.read(part)]
+    assert got and all(isinstance(b, pa.RecordBatch) and b.schema.names == source.NAMES for b in got)
+    assert max(len(set(zip(b["stream_id"].to_pylist(), b["frame"].to_pylist(), strict=True))) for b in got) <= 8
+    told = [tuple(r[c] for c in ("stream_id", "frame", "det_id", "class_id", "confidence", "x1", "y1", "x2", "y2")) for b in got for r in b.to_pylist()]
+    shown = [r for r in rows if 30 <= r[1] < 120 and r[1] % 3 == 0]
+    dark = {f for f in frames if 30 <= f[1] < 120 and f[1] % 3 == 0} - {r[:2] for r in shown}
+    assert dark
+    assert sorted(r for r in told if r[2] is not None) == sorted(shown)
+    assert sorted(r for r in told if r[2] is None) == sorted((*f, *[None] * 7) for f in dark)
