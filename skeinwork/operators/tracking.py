@@ -5,8 +5,9 @@ must see such frames, as a track that isn't met in more than `max_missed` proces
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
-from typing import TYPE_CHECKING, Any
+from typing import Any
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -15,9 +16,6 @@ from pyspark.sql import functions as F
 from skeinwork.schema import classes
 from skeinwork.session import checkpointed
 
-if TYPE_CHECKING:
-    import pandas as pd
-
 IOU, MAX_MISSED, MIN_HITS = 0.3, 5, 3
 
 
@@ -28,85 +26,128 @@ _TRACK = [c.split()[0] for c in TRACK.split(", ")]
 
 
 def overlaps(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Intersection over union of all boxes of a with all of b, 0 where the union is empty."""
-    size = np.clip(np.minimum(a[:, None, 2:], b[None, :, 2:]) - np.maximum(a[:, None, :2], b[None, :, :2]), 0, None)
-    both = size.prod(-1)
+    """Intersection over union of the boxes of a with those of b, row by row, 0 where the union is empty."""
+    both = np.clip(np.minimum(a[:, 2:], b[:, 2:]) - np.maximum(a[:, :2], b[:, :2]), 0, None).prod(-1)
     area = lambda x: np.clip(x[:, 2:] - x[:, :2], 0, None).prod(-1)
-    union = area(a)[:, None] + area(b)[None, :] - both
+    union = area(a) + area(b) - both
     return np.divide(both, union, out=np.zeros(union.shape), where=union > 0)
 
 
+#: Pairs of boxes whose overlaps are held at once.
+PAIRS = 1 << 18
+
+
 class Tracker:
-    """The active tracks of a stream as columns, in the order they started, and the next number.
+    """The active tracks of a stream, in the order they started, and the next number.
 
     A frame's detections and the active tracks pair up by falling overlap; equal overlaps take the higher track, then the
     higher detection. A track without a pair misses the frame and ends with more than max_missed missed frames in a row; a
-    detection without one starts a track."""
+    detection without one starts a track.
+
+    A track's box is its last detection's, so overlaps are those of detections at most max_missed + 1 frames apart: arrays
+    tell them for many frames at once, and only the pairs that overlap enough are gone through one by one."""
 
     def __init__(self, rows: list[tuple] | None = None, next_id: int = 1, iou: float = IOU, max_missed: int = MAX_MISSED):
         if not 0 < iou <= 1:
             raise ValueError("iou must be above 0, and 1 at most")
         self.iou, self.max_missed, self.next = iou, max_missed, next_id
-        rows = sorted(rows or [])
-        self.whole = np.array([r[:9] for r in rows], np.int64).reshape(-1, 9)  # id, box, missed, hits, first, last
-        self.score = np.array([r[9:] for r in rows], float).reshape(-1, 4)  # best, by class
+        self.active = [list(r) for r in sorted(rows or [])]
 
-    def rows(self, which: np.ndarray | slice = slice(None)) -> list[tuple]:
+    def rows(self) -> list[tuple]:
         """Tracks as TRACK has them."""
-        return [(*w, *s) for w, s in zip(self.whole[which].tolist(), self.score[which].tolist(), strict=True)]
-
-    def _pairs(self, boxes: np.ndarray) -> np.ndarray:
-        """By detection the row of its track, -1 for none."""
-        value = overlaps(self.whole[:, 1:5], boxes)
-        track, detection = np.nonzero(value >= self.iou)
-        best = np.lexsort((detection, track, value[track, detection]))[::-1]
-        of, free = np.full(len(boxes), -1), np.ones(len(self.whole), bool)
-        for t, d in zip(track[best].tolist(), detection[best].tolist(), strict=True):
-            if free[t] and of[d] < 0:
-                of[d], free[t] = t, False
-        return of
+        return [tuple(t) for t in self.active]
+
+    def _pairs(self, at: np.ndarray, boxes: np.ndarray, old: int) -> Iterator[tuple[int, int, float]]:
+        """Boxes from the old-th on with those before that overlap them enough and may be their track's last, in order of the
+        former. at: the boxes' frames, rising."""
+        first = np.searchsorted(at, at[old:] - self.max_missed - 1)
+        counts = np.searchsorted(at, at[old:]) - first
+        ends = np.cumsum(counts)
+        k = 0
+        while k < len(counts):
+            before = int(ends[k - 1]) if k else 0
+            m = max(k + 1, int(np.searchsorted(ends, before + PAIRS, "right")))
+            later = np.repeat(np.arange(k, m), counts[k:m])
+            earlier = np.arange(before, int(ends[m - 1])) + (first - ends + counts)[later]
+            value = overlaps(boxes[earlier], boxes[old + later])
+            enough = np.flatnonzero(value >= self.iou)
+            yield from zip((old + later[enough]).tolist(), earlier[enough].tolist(), value[enough].tolist(), strict=True)
+            k = m
+
+    def run(self, n: int, place: np.ndarray, frame: np.ndarray, class_id: np.ndarray, confidence: np.ndarray, boxes: np.ndarray) -> tuple[list[int], list[int], list[tuple]]:
+        """n processed frames with their detections, in order: their tracks' numbers, their classes by vote so far, the tracks
+        that ended. place: by detection, which of the n frames it is in."""
+        tracks = sorted(self.active, key=lambda t: -t[5])
+        old = len(tracks)
+        at = np.concatenate((np.array([-1 - t[5] for t in tracks], np.int64), place))
+        whole = np.concatenate((np.array([t[1:5] for t in tracks], np.int64).reshape(-1, 4), boxes))
+        of: list[Any] = [*tracks, *[None] * len(place)]  # by box its track
+        tip = [True] * old + [False] * len(place)  # whether it is its track's last
+        told, number, kind, score, box = at.tolist(), frame.tolist(), class_id.tolist(), confidence.tolist(), boxes.tolist()
+        ids, voted = [0] * len(place), [0] * len(place)
+        pairs = self._pairs(at, whole, old)
+        pair = next(pairs, None)
+        cuts = [*np.flatnonzero(np.diff(place, prepend=-1)).tolist(), len(place)]
+        for a, b in itertools.pairwise(cuts):
+            ways = []
+            while pair is not None and pair[0] < old + b:
+                if tip[pair[1]]:
+                    ways.append((pair[2], of[pair[1]][0], pair[0], pair[1]))
+                pair = next(pairs, None)
+            for _, _, later, earlier in sorted(ways, reverse=True) if len(ways) > 1 else ways:
+                if tip[earlier] and of[later] is None:
+                    of[later], tip[earlier] = of[earlier], False
+            for d in range(a, b):
+                t = of[old + d]
+                if t is None:
+                    of[old + d] = t = [self.next, 0, 0, 0, 0, 0, 0, number[d], 0, 0.0, 0.0, 0.0, 0.0]
+                    self.next += 1
+                tip[old + d] = True
+                t[1:5], t[8] = box[d], number[d]
+                t[6] += 1
+                t[9] = max(t[9], score[d])
+                t[10 + kind[d]] += score[d]
+                ids[d], voted[d] = t[0], 1 if t[11] > t[10] and t[11] >= t[12] else 2 if t[12] > t[10] and t[12] > t[11] else 0
+        active, ended = [], []
+        for t, last, where in zip(of, tip, told, strict=True):
+            if last:
+                t[5] = n - 1 - where
+                if t[5] <= self.max_missed:
+                    active.append(t)
+                else:
+                    t[5] = self.max_missed + 1
+                    ended.append((where, tuple(t)))
+        self.active = sorted(active)
+        return ids, voted, [t for _, t in sorted(ended)]
 
     def update(self, frame: int, class_id: np.ndarray, confidence: np.ndarray, boxes: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple]]:
-        """A processed frame's detections, in order: their tracks' numbers, their classes by vote so far, the tracks that ended."""
-        of = self._pairs(boxes)
-        new, old = np.flatnonzero(of < 0), len(self.whole)
-        of[new] = old + np.arange(len(new))
-        started = np.zeros((len(new), 9), np.int64)
-        started[:, 0], started[:, 7] = self.next + np.arange(len(new)), frame
-        self.next += len(new)
-        self.whole, self.score = np.concatenate((self.whole, started)), np.concatenate((self.score, np.zeros((len(new), 4))))
-        self.whole[:, 5] += 1
-        self.whole[of, 1:5], self.whole[of, 5], self.whole[of, 8] = boxes, 0, frame
-        self.whole[of, 6] += 1
-        self.score[of, 0] = np.maximum(self.score[of, 0], confidence)
-        self.score[of, 1 + class_id] += confidence
-        ids, voted = self.whole[of, 0], self.score[of, 1:].argmax(1)
-        over = self.whole[:, 5] > self.max_missed
-        ended = self.rows(over)
-        self.whole, self.score = self.whole[~over], self.score[~over]
-        return ids, voted, ended
+        """A processed frame's detections, as run() has them."""
+        ids, voted, ended = self.run(1, np.zeros(len(boxes), np.int64), np.full(len(boxes), frame), class_id, confidence, boxes)
+        return np.array(ids, np.int64), np.array(voted, np.int64), ended
 
 
 TRACKED = "stream_id long, frame int, det_id long, class_id int, confidence double, x1 int, y1 int, x2 int, y2 int, track_id int, track_class_id int"
 _IN = ["stream_id", "frame", "det_id", "class_id", "confidence", *BOX]
+_TYPES = [c.split()[1] for c in TRACKED.split(", ")][: len(_IN)]
 
 
-def track_frames(tracker: Tracker, pdf: pd.DataFrame) -> tuple[pd.DataFrame, list[tuple]]:
-    """A stream's rows (_IN, in any order) frame by frame through the tracker: the detections as TRACKED, the tracks that ended."""
-    pdf = pdf[_IN].sort_values(["frame", "det_id"], kind="stable")
-    real = pdf["det_id"].notna().to_numpy()
-    frame = pdf["frame"].to_numpy(np.int64)
-    class_id, confidence = pdf["class_id"].fillna(0).to_numpy(np.int64), pdf["confidence"].fillna(0).to_numpy(float)
-    boxes = pdf[BOX].fillna(0).to_numpy(np.int64)
-    ids, voted, ended = np.zeros(len(pdf), np.int64), np.zeros(len(pdf), np.int64), []
-    cuts = np.flatnonzero(np.diff(frame, prepend=-1)).tolist() if len(pdf) else []
-    for a, b in zip(cuts, [*cuts[1:], len(pdf)], strict=True):
-        at = a + np.flatnonzero(real[a:b])
-        ids[at], voted[at], over = tracker.update(int(frame[a]), class_id[at], confidence[at], boxes[at])
-        ended += over
-    out = pdf.assign(track_id=ids, track_class_id=voted)[real]
-    whole = ["stream_id", "frame", "det_id", "class_id", *BOX, "track_id", "track_class_id"]
-    return out.astype(dict.fromkeys(whole, "int64"))[[*_IN, "track_id", "track_class_id"]], ended
+def track_frames(tracker: Tracker, rows: dict[str, np.ndarray]) -> tuple[dict[str, np.ndarray], list[tuple]]:
+    """A stream's rows (_IN as columns, in any order) through the tracker: the detections as TRACKED, the tracks that ended."""
+    order = np.lexsort((rows["det_id"], rows["frame"]))
+    rows = {c: rows[c][order] for c in _IN}
+    place = np.cumsum(np.diff(rows["frame"], prepend=rows["frame"][:1]) != 0)
+    real = ~np.isnan(rows["det_id"].astype(float))
+    out = {c: v[real] for c, v in rows.items()}
+    class_id, confidence, boxes = _plain(out)
+    ids, voted, ended = tracker.run(int(place[-1]) + 1, place[real], out["frame"], class_id, confidence, boxes)
+    whole = {c: out[c].astype(np.int64) for c in _IN if c != "confidence"}
+    return out | whole | {"track_id": np.array(ids, np.int64), "track_class_id": np.array(voted, np.int64)}, ended
+
+
+def _plain(rows: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Class, confidence and box of detections; 0 for what they don't tell."""
+    whole = lambda c: np.nan_to_num(rows[c]).astype(np.int64)
+    return whole("class_id"), np.nan_to_num(rows["confidence"].astype(float)), np.stack([whole(c) for c in BOX], 1)
 
 
 def with_empty_frames(detections: DataFrame, frames: DataFrame) -> DataFrame:
@@ -161,13 +202,42 @@ def track(detections: DataFrame, iou: float = IOU, max_missed: int = MAX_MISSED,
 
 
 def _tracked(rows: DataFrame, by: list[str], iou: float, max_missed: int) -> DataFrame:
-    import pandas as pd
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        out, _ = track_frames(Tracker(None, 1, iou, max_missed), pdf)
-        return out.assign(piece=int(key[1]) if len(key) > 1 else 0)
-
-    return rows.select(*_IN, *by[1:]).groupBy(*by).applyInPandas(run, f"{TRACKED}, piece long")
+    """Rows in the order of their pieces and frames, batch by batch through one tracker: between pieces it sees as many empty
+    frames as end every track. It holds a batch, a frame and the active tracks, however long a piece is."""
+    import pyarrow as pa
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tracker, held, piece, base = Tracker(None, 1, iou, max_missed), None, None, 0
+        for batch in itertools.chain(batches, [None]):
+            table = pa.Table.from_batches([b for b in (held, batch) if b is not None]).combine_chunks() if held or batch else None
+            if not table:
+                continue
+            key = np.stack([table.column(c).to_numpy() for c in ("stream_id", "piece", "frame")])
+            n = table.num_rows
+            if batch is not None:  # more of the last frame may come
+                n = int(np.flatnonzero((key != key[:, -1:]).any(0))[-1]) + 1 if (key != key[:, -1:]).any() else 0
+            held = table.slice(n).to_batches()[0] if n < table.num_rows else None
+            if not n:
+                continue
+            key, real = key[:, :n], table.column("det_id").slice(0, n).is_valid().to_numpy(zero_copy_only=False)
+            last = key[:2, :1] - 1 if piece is None else piece
+            new = (np.diff(key[:2], axis=1, prepend=last) != 0).any(0)
+            frames = new | (np.diff(key[2], prepend=key[2, 0] - 1) != 0)
+            place = np.cumsum(frames + new * (max_missed + 1)) - 1
+            found = table.slice(0, n).filter(pa.array(real))
+            class_id, confidence, boxes = _plain({c: found.column(c).fill_null(0).to_numpy() for c in _IN[3:]})
+            ids, voted, _ = tracker.run(int(place[-1]) + 1, place[real], key[2][real], class_id, confidence, boxes)
+            # numbers go on from piece to piece: each piece's own start after those of the pieces before
+            ids, own = np.array(ids, np.int64), np.cumsum(new)[real]
+            starts = np.full(int(new.sum()) + 1, tracker.next - 1)
+            np.minimum.at(starts, own, ids - 1)
+            starts[0] = base
+            piece, base = key[:2, -1:], int(starts[-1])
+            out = [*(found.column(c) for c in _IN), pa.array((ids - starts[own]).astype(np.int32)), pa.array(np.array(voted, np.int32)), found.column("piece")]
+            yield from pa.table(out, names=[*_IN, "track_id", "track_class_id", "piece"]).to_batches()
+
+    rows = rows.select(*(F.col(c).cast(t) for c, t in zip(_IN, _TYPES, strict=True)), F.col("piece") if "piece" in by else F.lit(0).cast("long").alias("piece"))
+    return rows.repartition(*by).sortWithinPartitions("stream_id", "piece", "frame", "det_id").mapInArrow(run, f"{TRACKED}, piece long")
 
 
 def finished(tracked: DataFrame) -> DataFrame:

@@ -1,8 +1,8 @@
 """The overlap tracker over a stream of frames, with its tracks in the state store.
 
-State of a stream: `seen` (last frame, late rows, next number, timer) and `tracks`, a map with an entry for each active
-track. A micro-batch reads the entries once, puts its frames in order and writes back what changed; a track that ended goes
-from the map and, in track_ends(), comes out once with all that is known of it. Tracks still active come out when the
+State of a stream: `seen` (last frame, late rows, next number, timer, and the active tracks by column), one value, since each
+frame changes each of its tracks. A micro-batch reads and writes it once; a track that ended goes from it and, in
+track_ends(), comes out once with all that is known of it. Tracks still active come out when the
 stream's last frame is there (rows with `last`), or when nothing came for `idle` seconds (a processing-time timer). Frames up
 to the last one that a stream has seen are late: they are dropped and counted, since the tracker cannot go back;
 late_frames() reads the counts from the state store. Checkpoints make the query restart where it ended.
@@ -14,15 +14,16 @@ from __future__ import annotations
 from collections.abc import Iterator
 from typing import Any
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from skeinwork.operators.tracking import _IN, _TRACK, IOU, MAX_MISSED, TRACK, TRACKED, Tracker, track_frames
 
-SEEN = "last_frame int, late_rows long, next_id int, timer long"
+SEEN = "last_frame int, late_rows long, next_id int, timer long, " + ", ".join(f"active_{c.split()[0]} array<{c.split()[1]}>" for c in TRACK.split(", "))
 ENDED = "stream_id long, " + TRACK
-KEY, VALUE = TRACK.split(", ", 1)
+_KINDS = [{"int": "int32", "long": "int64", "double": "float64"}[c.split()[1]] for c in TRACK.split(", ")]
 
 
 class _Handler(StatefulProcessor):
@@ -34,52 +35,51 @@ class _Handler(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.seen = handle.getValueState("seen", SEEN)
-        self.tracks = handle.getMapState("tracks", KEY, VALUE)
 
     def _state(self) -> tuple:
-        return self.seen.get() if self.seen.exists() else (-1, 0, 1, -1)
+        """Last frame, late rows, next number, timer and the active tracks."""
+        found = self.seen.get() or (-1, 0, 1, -1, *([] for _ in _TRACK))
+        return *found[:4], list(zip(*found[4:], strict=True))
+
+    def _keep(self, last_frame: int, late: int, next_id: int, deadline: int, tracks: list[tuple]) -> None:
+        columns = zip(*tracks, strict=True) if tracks else ([] for _ in _TRACK)
+        self.seen.update((last_frame, late, next_id, deadline, *(list(c) for c in columns)))
 
     def _ended(self, key: Any, rows: list[tuple]) -> Any:
         import pandas as pd
 
-        return pd.DataFrame([(key[0], *r) for r in rows], columns=["stream_id", *_TRACK])
+        columns = zip(*rows, strict=True) if rows else ([] for _ in _TRACK)
+        return pd.DataFrame({"stream_id": [key[0]] * len(rows)} | {c: np.array(v, t) for c, t, v in zip(_TRACK, _KINDS, columns, strict=True)})
 
     def handleInputRows(self, key: Any, rows: Iterator, timerValues: Any) -> Iterator:  # noqa: N802, N803 - Spark's names
         import pandas as pd
 
-        last_frame, late, next_id, deadline = self._state()
-        pdf = pd.concat(list(rows))
-        old = pdf["frame"] <= last_frame
-        late += int((old & pdf["det_id"].notna()).sum())
-        pdf = pdf[~old]
-        if len(pdf):
-            before = {k[0]: v for k, v in self.tracks.iterator()}
-            tracker = Tracker([(k, *v) for k, v in before.items()], next_id, self.iou, self.max_missed)
-            out, ended = track_frames(tracker, pdf)
-            now = {r[0]: r[1:] for r in tracker.rows()}
-            if bool(pdf["last"].any()):  # no frame follows
-                ended, now = ended + tracker.rows(), {}
-            for k in before.keys() - now.keys():
-                self.tracks.removeKey((k,))
-            for k, v in now.items():
-                if before.get(k) != v:
-                    self.tracks.updateValue((k,), v)
-            last_frame, next_id = int(pdf["frame"].max()), tracker.next
-            yield self._ended(key, ended) if self.ends else out
+        last_frame, late, next_id, deadline, tracks = self._state()
+        parts = list(rows)
+        came = {c: np.concatenate([p[c].to_numpy() for p in parts]) for c in [*_IN, "last"]}
+        old = came["frame"] <= last_frame
+        late += int((old & ~np.isnan(came["det_id"].astype(float))).sum())
+        if not old.all():
+            came = {c: v[~old] for c, v in came.items()}
+            tracker = Tracker(tracks, next_id, self.iou, self.max_missed)
+            out, ended = track_frames(tracker, came)
+            tracks, last_frame, next_id = tracker.rows(), int(came["frame"].max()), tracker.next
+            if bool(came["last"].any()):  # no frame follows
+                ended, tracks = ended + tracks, []
+            if ended if self.ends else len(out["frame"]):
+                yield self._ended(key, ended) if self.ends else pd.DataFrame(out)
         if self.idle is not None:
             if deadline >= 0:
                 self.handle.deleteTimer(deadline)
             deadline = timerValues.getCurrentProcessingTimeInMs() + int(1000 * self.idle)
             self.handle.registerTimer(deadline)
-        self.seen.update((last_frame, late, next_id, deadline))
+        self._keep(last_frame, late, next_id, deadline, tracks)
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator:  # noqa: N802, N803 - Spark's names
-        last_frame, late, next_id, _ = self._state()
-        left = [(k[0], *v) for k, v in self.tracks.iterator()]
-        self.tracks.clear()
-        self.seen.update((last_frame, late, next_id, -1))
+        last_frame, late, next_id, _, left = self._state()
+        self._keep(last_frame, late, next_id, -1, [])
         if self.ends:
-            yield self._ended(key, sorted(left))
+            yield self._ended(key, left)
 
     def close(self) -> None:
         pass

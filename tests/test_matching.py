@@ -272,3 +272,44 @@ def test_frames_are_read_few_at_a_time(spark, tmp_path, monkeypatch):
     assert dark
     assert sorted(r for r in told if r[2] is not None) == sorted(shown)
     assert sorted(r for r in told if r[2] is None) == sorted((*f, *[None] * 7) for f in dark)
+
+
+def test_many_frames_at_once_as_one_by_one(monkeypatch):
+    rnd = random.Random(11)
+    for size, most in ((4, 1 << 18), (12, 7), (40, 50)):
+        monkeypatch.setattr(tracking, "PAIRS", most, raising=False)
+        frames = [[(rnd.randrange(3), rnd.randrange(1, 4) / 4, (lambda x, y: (x, y, x + rnd.choice((0, 4, 8)), y + 4))(rnd.randrange(0, size, 2), rnd.randrange(0, 8, 2))) for _ in range(rnd.choice((0, 0, 1, 5)))] for _ in range(90)]
+        rows = [(0, f, 100 * f + i, c, p, *b) for f, found in enumerate(frames) for i, (c, p, b) in enumerate(found)]
+        want = [r[-2:] for r in _plain_tracks(rows, [(0, f) for f in range(90)], max_missed=2)]
+        apart, whole = Tracker(None, 1, 0.3, 2), Tracker(None, 1, 0.3, 2)
+        one, over = [], []
+        for f, found in enumerate(frames):
+            seen, ended = _update(apart, f, *found)
+            one += seen
+            over += ended
+        got, ends = [], []
+        for a, b in ((0, 31), (31, 32), (32, 90)):  # tracks go on from call to call
+            part = [r for r in rows if a <= r[1] < b]
+            column = lambda k, t=np.int64, part=part: np.array([r[k] for r in part], t)
+            ids, voted, ended = whole.run(b - a, column(1) - a, column(1), column(3), column(4, float), np.array([r[5:] for r in part], np.int64).reshape(-1, 4))
+            got += zip(ids, voted, strict=True)
+            ends += ended
+        assert got == one == want
+        assert ends == over
+        assert whole.rows() == apart.rows()
+
+
+def test_the_state_of_a_stream_is_one_value(spark, tmp_path):
+    from skeinwork.streaming.tracker import run_available, track_stream
+
+    rows, _ = _moving(7, n=1, length=20, gaps=())
+    d = spark.createDataFrame(rows, DETECTION)
+    where = [str(tmp_path / x) for x in ("in", "out", "checkpoint")]
+    d.write.parquet(where[0])
+    run_available(track_stream(spark.readStream.schema(d.schema).parquet(where[0])), where[1], where[2])
+    seen = spark.read.format("statestore").option("path", where[2]).option("stateVarName", "seen").load().select("value.*").collect()
+    want = _plain_tracks(rows, list({r[:2] for r in rows}))
+    last = {i: max(r for r in want if r[9] == i) for i in {r[9] for r in want}}
+    active = {i: r for i, r in last.items() if r[1] >= 14}
+    assert [r["active_track_id"] for r in seen] == [sorted(active)]
+    assert seen[0]["active_x1"] == [active[i][5] for i in sorted(active)]
