@@ -103,7 +103,7 @@ def late_frame_counts(s, d):
     with _rocksdb(s) as (own, here):
         frames = v.frame_detections(own, d)
         for k, part in enumerate((frames.where("frame >= 50"), frames.where("frame < 50"))):
-            part.coalesce(1).write.mode("append").parquet(f"{here}/in")
+            part.write.mode("append").parquet(f"{here}/in")
             stream = own.readStream.schema(frames.schema).parquet(f"{here}/in")
             run_available(track_stream(stream), f"{here}/out", f"{here}/checkpoint")
         return late_frames(s, f"{here}/checkpoint")

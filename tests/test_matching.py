@@ -313,3 +313,13 @@ def test_the_state_of_a_stream_is_one_value(spark, tmp_path):
     active = {i: r for i, r in last.items() if r[1] >= 14}
     assert [r["active_track_id"] for r in seen] == [sorted(active)]
     assert seen[0]["active_x1"] == [active[i][5] for i in sorted(active)]
+
+
+def test_late_frames_are_not_written_by_one_task(spark, small, monkeypatch):
+    from skeinwork.plans import registry
+
+    def coalesce(self, n):
+        raise AssertionError(f"{n} tasks")
+
+    monkeypatch.setattr(type(spark.range(1)), "coalesce", coalesce)
+    assert registry.queries()["late_frame_counts"](spark, small).count() > 0
