@@ -323,3 +323,21 @@ def test_late_frames_are_not_written_by_one_task(spark, small, monkeypatch):
 
     monkeypatch.setattr(type(spark.range(1)), "coalesce", coalesce)
     assert registry.queries()["late_frame_counts"](spark, small).count() > 0
+
+
+def test_pieces_go_on_from_batch_to_batch(spark):
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(size)
+    rows, frames = _moving(13, n=3, length=90)
+    rows = [r for r in rows if r[0] != 1 or r[1] > 30]  # a stream that begins with nothing
+    d, f = spark.createDataFrame(rows, DETECTION), spark.createDataFrame(frames, "stream_id long, frame int")
+    try:
+        for n in (1, 4, 10000):
+            spark.conf.set(size, n)
+            found = tracking.track(d, frames=f)
+            assert sorted(map(tuple, found.collect())) == _plain_tracks(rows, frames)
+        alone = tracking.track(d)
+        assert sorted(map(tuple, alone.collect())) == _plain_tracks(rows, list({r[:2] for r in rows}))
+        assert "InPandas" not in alone._jdf.queryExecution().toString()  # no piece is one Python group
+    finally:
+        spark.conf.set(size, before)
