@@ -10,6 +10,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skeinwork.operators import signatures as near
 from skeinwork.session import checkpointed
 
 
@@ -138,11 +139,11 @@ def hamming_pairs(signatures: DataFrame, id_: str, distance: int, group: str | N
     Rows are dealt to parts by the first bits of each band (see Bands) and compared there with those whose whole band is within
     its radius, by arrays. Parts of more than TILE rows are cut into tiles that meet in tasks of their own, so that neither
     many copies nor frequent bits make one large task, and a task holds two tiles at most."""
+    names = [id_, *([group] if group else [])]
+    rows = _told(signatures, names)
+    kinds = {c: signatures.schema[c].dataType.simpleString() for c in names}
     n = signatures.count()
     bands = bands_for(n, distance, n_bands) if width is None else Bands(distance, n_bands, width, n)
-    names = [id_, *([group] if group else [])]
-    sig = F.shiftleft("sig_hi", 32).bitwiseOR(F.col("sig_lo").bitwiseAND(F.lit(0xFFFFFFFF)))
-    rows = signatures.where(" and ".join(f"`{c}` is not null" for c in (*names, "sig_hi", "sig_lo"))).select(*names, sig.alias("sig"))
 
     def parts_of(band: int) -> Column:
         top = F.shiftrightunsigned("sig", bands.shift[band] + bands.width - bands.high).bitwiseAND(F.lit((1 << bands.high) - 1)) if bands.high else F.lit(0).cast("long")
@@ -162,9 +163,24 @@ def hamming_pairs(signatures: DataFrame, id_: str, distance: int, group: str | N
     keys = [F.col("part"), F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("top")]
     rows = rows.select(*keys, (F.col("tile") > F.col("other")).cast("int").alias("side"), "sig", *names)
     n_tasks = int(max(1, min(total[1] or 1, max(200, (total[0] or 0) >> 18))))
-    kinds = {c: signatures.schema[c].dataType.simpleString() for c in names}
     schema = ", ".join([*(f"`{c}_{s}` {k}" for c, k in kinds.items() for s in "ab"), "distance int"])
     found = rows.repartition(n_tasks, "part", "low", "top").groupBy("part", "low", "top").applyInArrow(_compared(bands, distance, names), schema)
+    return _in_order(found, id_, group)
+
+
+def _told(signatures: DataFrame, names: list[str]) -> DataFrame:
+    """Rows that have all names and a signature, as one number."""
+    sig = F.shiftleft("sig_hi", 32).bitwiseOR(F.col("sig_lo").bitwiseAND(F.lit(0xFFFFFFFF)))
+    return signatures.where(" and ".join(f"`{c}` is not null" for c in (*names, "sig_hi", "sig_lo"))).select(*names, sig.alias("sig"))
+
+
+def _joined(rows: DataFrame, names: list[str], kinds: dict[str, str], distance: int, how: near.Deal, connect: bool) -> DataFrame:
+    dealt = near.dealt_out(rows.withColumn("mix", F.xxhash64(names[0], "sig")), names, how)
+    return near.joined(dealt, names, kinds, distance, how, connect)
+
+
+def _in_order(found: DataFrame, id_: str, group: str | None) -> DataFrame:
+    """The smaller row of each pair first; no row with its like."""
     ordered = F.col(f"{id_}_a") < F.col(f"{id_}_b")
     pick = lambda c, x, y: F.when(ordered, F.col(f"{c}_{x}")).otherwise(F.col(f"{c}_{y}"))
     out = [pick(id_, "a", "b").alias(f"{id_}_a"), pick(id_, "b", "a").alias(f"{id_}_b"), F.col("distance"), *([pick(group, "a", "b").alias(f"{group}_a"), pick(group, "b", "a").alias(f"{group}_b")] if group else [])]
@@ -196,11 +212,18 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("node").distinct().join(found, F.col("node") == F.col("a"), "left").select("node", F.coalesce("b", "node").alias("root"))
 
 
+def near_edges(signatures: DataFrame, id_: str, distance: int) -> DataFrame:
+    """a, b: near rows that connect whatever all near pairs connect, fewer of each part than it has rows."""
+    rows = _told(signatures, [id_])
+    how, _ = near.deal(rows, distance)
+    found = _joined(rows, [id_], {id_: signatures.schema[id_].dataType.simpleString()}, distance, how, True)
+    return found.select(F.col(f"{id_}_a").alias("a"), F.col(f"{id_}_b").alias("b"))
+
+
 def near_components(signatures: DataFrame, id_: str, distance: int) -> DataFrame:
-    """id_, root: the smallest row that near signatures connect each row with. Rows of one signature are one node: however
-    many there are, they make no pairs among themselves."""
-    nodes = signatures.groupBy("sig_hi", "sig_lo").agg(F.min(id_).alias("__node"))
-    pairs = hamming_pairs(checkpointed(nodes), "__node", distance)
-    found = stars(pairs.select(F.col("__node_a").alias("a"), F.col("__node_b").alias("b")))
+    """id_, root: the smallest row that near signatures connect each row with. Rows of one signature are one node, and of the
+    near pairs only a forest of each part leaves it: neither copies nor crowds make pairs among themselves."""
+    nodes = checkpointed(signatures.groupBy("sig_hi", "sig_lo").agg(F.min(id_).alias("__node")))
+    found = stars(near_edges(nodes, "__node", distance))
     roots = nodes.join(found, F.col("__node") == F.col("a"), "left").select("sig_hi", "sig_lo", F.coalesce("b", "__node").alias("root"))
     return signatures.join(roots, ["sig_hi", "sig_lo"]).select(id_, "root")

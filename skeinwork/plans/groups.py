@@ -64,7 +64,9 @@ def _pictures(s, d):
                 files.append(b[: len(b) // 2] if i % 9 == 5 else b[:60] + bytes([b[60] ^ 1]) + b[61:] if i % 11 == 7 else b)
             yield pd.DataFrame({"vec_id": pdf["vec_id"], "content": files})
 
-    return v.table(s, d, "embeddings").select("vec_id", "embedding").mapInPandas(draw, "vec_id long, content binary")
+    rows = v.table(s, d, "embeddings").select("vec_id", "embedding")
+    n = 4 * s.sparkContext.defaultParallelism  # a file of one row group would be drawn and read by one task
+    return rows.repartition(n, "vec_id").mapInPandas(draw, "vec_id long, content binary")
 
 
 def picture_hashes(s, d):
