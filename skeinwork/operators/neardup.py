@@ -18,6 +18,8 @@ from skeinwork.session import checkpointed
 COMPARISON, DEALT, MEETING = 3e-9, 2e-6, 3e-5
 #: Rows of a part from where on it is cut into tiles, comparisons of one array operation, pairs of one batch.
 TILE, CELLS, BATCH = 1 << 19, 1 << 18, 1 << 17
+#: Rows up to which pairs are found without dealing by equal bands.
+FEW = 1 << 13
 
 
 class Bands:
@@ -136,13 +138,19 @@ def _compared(bands: Bands, distance: int, names: list[str]):
 def hamming_pairs(signatures: DataFrame, id_: str, distance: int, group: str | None = None, n_bands: int | None = None, width: int | None = None) -> DataFrame:
     """id_a < id_b, distance of all pairs within the distance (of different groups, if a group column is given).
 
-    Rows are dealt to parts by the first bits of each band (see Bands) and compared there with those whose whole band is within
-    its radius, by arrays. Parts of more than TILE rows are cut into tiles that meet in tasks of their own, so that neither
-    many copies nor frequent bits make one large task, and a task holds two tiles at most."""
+    Rows are dealt to parts by distance + 1 bands of which one must be equal (`signatures`). Few rows, distances that leave
+    such bands under four bits, and given bands: by the first bits of each band (see Bands), where they are compared with those
+    whose whole band is within its radius, by arrays. Parts of more than TILE rows are cut into tiles that meet in tasks of their
+    own, so that neither many copies nor frequent bits make one large task, and a task holds two tiles at most."""
     names = [id_, *([group] if group else [])]
     rows = _told(signatures, names)
     kinds = {c: signatures.schema[c].dataType.simpleString() for c in names}
-    n = signatures.count()
+    if n_bands is None and width is None and near.widest(distance):
+        how, n = near.deal(rows, distance)
+        if n > FEW:
+            return _in_order(_joined(rows, names, kinds, distance, how, False), id_, group)
+    else:
+        n = signatures.count()
     bands = bands_for(n, distance, n_bands) if width is None else Bands(distance, n_bands, width, n)
 
     def parts_of(band: int) -> Column:

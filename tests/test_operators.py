@@ -7,10 +7,11 @@ from collections import Counter
 from fractions import Fraction
 from itertools import combinations, product
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from skeinwork.operators import audit, experiments, neardup, precision, quality, sampling, settings, splitting, stats, tracking
+from skeinwork.operators import audit, experiments, neardup, precision, quality, sampling, settings, signatures, splitting, stats, tracking
 from skeinwork.plans import quality as quality_plans
 from skeinwork.schema import SPLITS
 
@@ -170,6 +171,50 @@ def test_hamming_pairs_deal_few_rows_at_any_size():
         assert bands.work(n) < 2e-3 * n
 
 
+@pytest.mark.parametrize("tile", [40, 1 << 19])
+def test_hamming_pairs_by_equal_bands(spark, monkeypatch, tile):
+    """A row is dealt once for each of distance + 1 bands; copies, groups, missing signatures, parts cut into tiles."""
+    monkeypatch.setattr(neardup, "FEW", 0)
+    monkeypatch.setattr(signatures, "TILE", tile)
+    rnd = random.Random(4)
+    base = [rnd.getrandbits(64) for _ in range(12)]
+    sig = [base[0]] * 70 + [b ^ sum(1 << k for k in rnd.sample(range(64), rnd.randrange(7))) for b in base for _ in range(12)]
+    rows = [(1000 - i, x >> 32, x & 0xFFFFFFFF, f"g{i % 5}") for i, x in enumerate(sig)]
+    d = spark.createDataFrame([*rows, (5, None, None, "g"), (None, base[0] >> 32, base[0] & 0xFFFFFFFF, "h")], "id long, sig_hi long, sig_lo long, g string")
+    for group in ("g", None):
+        want = Counter((min(i, j), max(i, j), n) for (i, a, b, g), (j, c, d, h) in combinations(rows, 2) if (g != h or not group) and (n := (a ^ c).bit_count() + (b ^ d).bit_count()) <= 8)
+        got = neardup.hamming_pairs(d, "id", 8, group).collect()
+        assert Counter((r["id_a"], r["id_b"], r["distance"]) for r in got) == want
+        assert all(r[f"g_{s}"] == f"g{(1000 - r[f'id_{s}']) % 5}" for r in got for s in "ab" if group)
+    told = neardup._told(d, ["id"]).withColumn("mix", F.xxhash64("id"))
+    how, n = signatures.deal(told, 8)
+    assert n == len(rows) and (how.most > 1) == (tile == 40)
+    if tile > 40:
+        assert signatures.dealt_out(told, ["id"], how).agg(F.sum(F.size("id"))).first()[0] == 9 * n
+
+
+def test_near_pairs_by_flips_are_all_pairs(monkeypatch):
+    """Whole parts by flips of their other bits, pairs that an earlier band has left out, each pair once."""
+    monkeypatch.setattr(signatures, "FLIP", 0)
+    monkeypatch.setattr(signatures, "COMPARED", 1e-3)
+    signatures.bands_within.cache_clear()
+    rng = np.random.default_rng(5)
+    sig = np.repeat(rng.integers(0, 1 << 63, 20, dtype=np.uint64), 12)
+    for _ in range(7):
+        sig = sig ^ (np.uint64(1) << rng.integers(0, 64, len(sig), dtype=np.uint64))
+    want = Counter((i, j, n) for i, j in combinations(range(len(sig)), 2) if (n := int(sig[i] ^ sig[j]).bit_count()) <= 8)
+    how, got = signatures.Deal(8, 4), Counter()
+    for band in range(9):
+        part = how.parts(band, sig)
+        for value in set(part.tolist()):
+            at = np.flatnonzero(part == value)
+            some = how.turned(band, sig[at])
+            assert signatures.bands_within(len(at), len(at), True, 8, 60)
+            got.update((int(at[min(i, j)]), int(at[max(i, j)]), int(n)) for p, q, d in signatures.pairs(some, None, 8, 60, how.before(band)) for i, j, n in zip(p, q, d))
+    signatures.bands_within.cache_clear()
+    assert got == want
+
+
 def test_components_of_chains_and_hubs(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, k) for k in range(101, 140)] + [(139, 200), (5, 5)]
     nodes = spark.range(0, 210).withColumnRenamed("id", "node")
